@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -51,10 +52,21 @@ def distinct_on(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> Dat
     return picked.select(*[F.col(c) if c in keys else F.col(f"_first.{c}").alias(c) for c in df.columns])
 
 
+_DICTIONARY_ROWS = 10_000
+
+
 def class_index(df: DataFrame, name: str, out: str = "class_idx") -> DataFrame:
-    """(name, index): 0-based place of each distinct name in binary order."""
+    """(name, index): 0-based place of each distinct name in binary order.
+
+    A dictionary of checked size is sorted in one task; a longer one gets distributed positions.
+    """
     names = df.select(name).where(F.col(name).isNotNull()).distinct()
-    return positions(names, [name], name=out).withColumn(out, F.col(out).cast("int"))
+    held = names.limit(_DICTIONARY_ROWS + 1).toArrow()
+    if held.num_rows > _DICTIONARY_ROWS:
+        return positions(names, [name], name=out).withColumn(out, F.col(out).cast("int"))
+    held = held.sort_by(name)
+    held = held.append_column(out, pa.array(range(held.num_rows), pa.int32()))
+    return df.sparkSession.createDataFrame(held)
 
 
 def positive_classes(df: DataFrame, index: DataFrame, name: str, label: str) -> DataFrame:
