@@ -66,5 +66,5 @@ def active_labels(df: DataFrame, names: Sequence[str]) -> Column:
     present = [n for n in names if n in df.columns]
     if not present:
         return F.array().cast("array<string>")
-    flags = F.array(*[F.when(F.col(n) == 1, F.lit(n)) for n in present])
+    flags = F.array(*[F.when(F.col(n).try_cast("int") == 1, F.lit(n)) for n in present])
     return F.filter(flags, lambda x: x.isNotNull())

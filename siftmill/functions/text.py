@@ -141,4 +141,5 @@ def preview(text: Column, width: int = 78) -> Column:
 
 
 def percent(share: Column) -> Column:
-    return F.format_string("%.1f%%", share * 100)
+    """A share as percent with one decimal, ties to the even digit."""
+    return F.format_string("%.1f%%", F.bround(share * 100, 1))
