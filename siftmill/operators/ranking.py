@@ -167,10 +167,10 @@ def mark_seeded(
 
     The wide rows are never shuffled: they are compared with one cut per stratum.
     """
-    cut = small_or_same(seeded_cut(df, key, take, strata, seed))
+    cut = seeded_cut(df, key, take, strata, seed)
     own = F.struct(seeded_hash(key, seed).alias("h"), F.col(key).alias("k"))
     if strata:
-        joined = df.join(cut, list(strata), "left")
+        joined = df.join(small_or_same(cut), list(strata), "left")
         return joined.select(*df.columns, F.coalesce(own <= F.col("cut"), F.lit(False)).alias(name))
     limit = cut.select("cut").scalar()
     return df.withColumn(name, F.coalesce(own <= limit, F.lit(False)))

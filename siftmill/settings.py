@@ -47,10 +47,7 @@ NEGATIVE_EMOTIONS = (
     "sadness", "grief", "anger", "fear", "nervousness", "remorse", "disgust", "annoyance",
     "disappointment",
 )
-# Characters that end-of-string trimming removes (Unicode blanks and the ASCII separators).
-BLANKS = (
-    "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0        "
-    "        　"
-)
+# The characters that trimming removes: all Unicode blanks and the ASCII separators.
+BLANKS = "".join(chr(c) for c in range(0x3001) if chr(c).isspace())
 # A token: a run of letters, digits and underscores, or one other visible character.
-TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0b\f\r]"
+TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_\p{Z}\t\n\x0b\f\r\x1c-\x1f\x85]"
