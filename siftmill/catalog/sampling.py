@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from siftmill.catalog import query
 from siftmill.catalog import views as V
 from siftmill.operators import ranking, sampling
+from siftmill.session import listed
 
 H = "md5('42:' || {})"
 QUOTA = 150
@@ -89,7 +90,7 @@ def d07_author_cap(spark, d):
 @query("d08_cap_quota")
 def d08_cap_quota(spark, d):
     rows = feed(spark, d)
-    names = sorted(r[0] for r in rows.select("event_type").distinct().limit(1000).collect())
+    names = sorted(r[0] for r in listed(rows.select("event_type").distinct()))
     return sampling.cap_and_quota(
         rows, "author", "event_type", ["ts", "event_id"], "n_chunks", [(n, QUOTA) for n in names]
     ).select("event_id", "author", "event_type", "n_chunks")

@@ -26,9 +26,7 @@ def arriving_table(spark, d, name, **options):
 )
 def x01_stream_chunks(spark, d):
     out = scratch(spark, "chunks")
-    stream = arriving_table(spark, d, "documents").select("doc_id", "text").repartition(
-        spark.sparkContext.defaultParallelism, "doc_id"
-    )
+    stream = arriving_table(spark, d, "documents").select("doc_id", "text")
     files.stream_chunks(stream, "text", ["doc_id"], out, scratch(spark, "progress"))
     return spark.read.parquet(out).select(
         "doc_id", V.long(F.col("chunk_id")).alias("chunk_id"), F.md5("input").alias("input"),
@@ -96,9 +94,7 @@ def x05_stream_cap(spark, d):
 )
 def x06_stream_score(spark, d):
     out = scratch(spark, "silver")
-    stream = arriving_table(spark, d, "documents").select("doc_id", "text").repartition(
-        spark.sparkContext.defaultParallelism, "doc_id"
-    )
+    stream = arriving_table(spark, d, "documents").select("doc_id", "text")
     files.stream_silver(stream, "doc_id", "text", load_scorer, out, scratch(spark, "progress"))
     return spark.read.parquet(out).select(
         "id", "top_label", V.six(F.col("confidence")).alias("confidence")

@@ -97,13 +97,15 @@ risk AS (SELECT * FROM vectors WHERE binary_label = 1)"""
 
 @query(
     "v06_cross_density",
-    f"""WITH {V.VECTORS}, {SIDES}, {ranked_sql('near', 'safe', 'risk')}
-    SELECT qid, round(avg(sim), 6) AS density FROM near GROUP BY qid""",
+    f"""WITH {V.VECTORS}, {SIDES}, {ranked_sql('near', 'safe', 'risk')},
+    dens AS (SELECT qid, avg(sim) AS density FROM near GROUP BY qid)
+    SELECT qid, round(density, 6) AS density,
+      row_number() OVER (ORDER BY density DESC, qid) AS rank FROM dens""",
 )
 def v06_cross_density(spark, d):
     rows = V.vectors(spark, d)
-    made = knn.density(rows.where("binary_label = 0"), rows.where("binary_label = 1"), K)
-    return made.select("qid", V.six(F.col("density")).alias("density"))
+    made = knn.hard_negatives(rows.where("binary_label = 0"), rows.where("binary_label = 1"), K)
+    return made.select("qid", V.six(F.col("density")).alias("density"), "rank")
 
 
 @query(

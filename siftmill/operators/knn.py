@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmill import settings
+from siftmill.operators.ranking import positions
 from siftmill.session import durable
 
 MAX_CELLS = 4096
@@ -204,7 +205,7 @@ def _assign(refs: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def _visit(queries, pivots, sizes, radius, k, nprobe, tau: bool):
-    """Cells to visit per query.
+    """Cells to visit, an array per query row.
 
     First pass: nearest cells until they hold k vectors, or `nprobe` cells. Second pass
     (`tau`): all other cells whose best possible similarity reaches the k-th one found.
@@ -231,26 +232,27 @@ def _visit(queries, pivots, sizes, radius, k, nprobe, tau: bool):
                 bound = np.cos(np.maximum(0.0, angle - radius[None, :]))
                 floor = table.column("tau").to_numpy()[:, None]
                 near = ~near & (bound >= floor - _SLACK) & (sizes[None, :] > 0)
-            row, cell = np.nonzero(near)
-            yield from pa.table(
-                {
-                    "key": table.column("key").take(pa.array(row)),
-                    "vec": table.column("vec").take(pa.array(row)),
-                    "cell": pa.array(cell.astype(np.int32)),
-                }
-            ).to_batches()
+            ends = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
+            cells = pa.ListArray.from_arrays(
+                pa.array(ends), pa.array(np.nonzero(near)[1].astype(np.int32))
+            )
+            yield from table.select(["key", "vec"]).append_column("cells", cells).to_batches()
 
     vec_type = queries.schema["vec"].dataType
     schema = T.StructType(
         [
             T.StructField("key", T.StringType()),
             T.StructField("vec", vec_type),
-            T.StructField("cell", T.IntegerType()),
+            T.StructField("cells", T.ArrayType(T.IntegerType())),
         ]
     )
     return queries.mapInArrow(run, schema)
 
 
+def _by_cell(visits: DataFrame) -> DataFrame:
+    return visits.select("key", "vec", F.explode("cells").alias("cell"))
+
+
 def _spread_pivots(refs: DataFrame, cells: int) -> np.ndarray:
     """`cells` distinct vectors in hash order; at most MAX_CELLS rows reach the driver."""
     table = refs.orderBy("key").limit(min(cells, MAX_CELLS)).select("vec").toArrow()
@@ -296,7 +298,7 @@ def _search(queries, refs, k, cells, nprobe, pivots, block_rows) -> DataFrame:
     for row in stats:
         sizes[row["cell"]], radius[row["cell"]] = row["n"], row["a"]
     by_cell = {int(r["cell"]): int(r["n"]) for r in stats}
-    near = _visit(vectors, pivots, sizes, radius, k, nprobe, tau=False)
+    near = _by_cell(_visit(vectors, pivots, sizes, radius, k, nprobe, tau=False))
     plan = _plan(spark, _counts(near), by_cell, block_rows, tasks)
     found = _compare(near, placed, plan, k)
     if nprobe:
@@ -308,7 +310,7 @@ def _search(queries, refs, k, cells, nprobe, pivots, block_rows) -> DataFrame:
     bounded = vectors.join(reached, vectors["key"] == reached["qkey"], "left").select(
         "key", "vec", F.coalesce("tau", F.lit(-2.0)).alias("tau")
     )
-    far = durable(_visit(bounded, pivots, sizes, radius, k, nprobe, tau=True))
+    far = _by_cell(_visit(bounded, pivots, sizes, radius, k, nprobe, tau=True))
     loads = _counts(far)
     if not loads:
         return found
@@ -383,12 +385,17 @@ def dense(df: DataFrame, densities: DataFrame, ident: str, above: float) -> Data
     )
 
 
-def hard_negatives(safe: DataFrame, risk: DataFrame, k: int, n: int, **options) -> DataFrame:
-    """The n safe rows closest to the risk set by mean similarity to their k risk neighbours."""
-    from siftmill.operators.ranking import first_rows
+def hard_negatives(
+    safe: DataFrame, risk: DataFrame, k: int, n: int | None = None, **options
+) -> DataFrame:
+    """(qid, density, rank): safe rows by their mean similarity to the k nearest risk rows.
 
-    scored = density(safe, risk, k, **options).withColumn("away", -F.col("density"))
-    return first_rows(scored, ["away", "qid"], n).drop("away")
+    The closest row has rank 1; `n` keeps the first n.
+    """
+    scored = durable(density(safe, risk, k, **options).withColumn("_away", -F.col("density")))
+    placed = positions(scored, ["_away", "qid"], name="rank")
+    ranked = placed.select("qid", "density", (F.col("rank") + 1).alias("rank"))
+    return ranked if n is None else ranked.where(F.col("rank") <= n)
 
 
 def soft_labels(

@@ -17,6 +17,7 @@ from siftmill import settings
 from siftmill.operators.reduction import Scaler, fit_scaler
 from siftmill.operators.sampling import random_split
 from siftmill.operators.scoring import sigmoid_scores
+from siftmill.session import listed
 
 
 def multi_hot(labels: Column, classes: Sequence[str]) -> Column:
@@ -56,7 +57,7 @@ def fit_probe(
     The labels share one persisted table and are fitted as concurrent jobs.
     """
     found = df.select(F.explode(labels).alias("c")).distinct()
-    classes = sorted(r["c"] for r in found.limit(10_000).collect())
+    classes = sorted(r["c"] for r in listed(found))
     split = random_split(df, key, test_share, seed)
     train = split.where("side = 'train'")
     scaler = fit_scaler(train, vec)

@@ -34,6 +34,7 @@ def _offsets(totals: DataFrame, group: Sequence[str], part: str, names: Sequence
     return totals.select(
         *[F.col(c).alias(f"_o_{c}") for c in (*group, part)],
         *[F.coalesce(F.sum(f"_t_{n}").over(ordered), F.lit(0)).alias(f"_o_{n}") for n in names],
+        *[f"_t_{n}" for n in names],
     )
 
 
@@ -44,6 +45,22 @@ def _with_offsets(df: DataFrame, offsets: DataFrame, keys: Sequence[str]) -> Dat
     return df.join(small_or_same(offsets), on, "inner").drop(*[f"_o_{k}" for k in keys])
 
 
+def _ranged(df: DataFrame, order, group, values: Mapping[str, Column]) -> DataFrame:
+    width = shuffle_width(df.sparkSession)
+    return (
+        df.select("*", *[values[n].alias(f"_v_{n}") for n in values])
+        .repartitionByRange(width, *group, *order)
+        .withColumn(_PART, F.spark_partition_id())
+    )
+
+
+def _range_sums(ranged: DataFrame, group: Sequence[str], names: Sequence[str]) -> DataFrame:
+    """Per range (_o_group, _o__part) the sum before it (_o_name) and its own sum (_t_name)."""
+    keys = [*group, _PART]
+    totals = ranged.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
+    return _offsets(totals, group, _PART, names)
+
+
 def sums_before(
     df: DataFrame,
     order: Sequence[str],
@@ -57,14 +74,8 @@ def sums_before(
     """
     names = list(values)
     keys = [*group, _PART]
-    width = shuffle_width(df.sparkSession)
-    ranged = durable(
-        df.select("*", *[values[n].alias(f"_v_{n}") for n in names])
-        .repartitionByRange(width, *group, *order)
-        .withColumn(_PART, F.spark_partition_id())
-    )
-    totals = ranged.groupBy(*keys).agg(*[F.sum(f"_v_{n}").alias(f"_t_{n}") for n in names])
-    joined = _with_offsets(ranged, _offsets(totals, group, _PART, names), keys)
+    ranged = durable(_ranged(df, order, group, values))
+    joined = _with_offsets(ranged, _range_sums(ranged, group, names), keys)
     inside = _before(W.partitionBy(*keys).orderBy(*order))
     return joined.select(
         *df.columns,
@@ -75,6 +86,51 @@ def sums_before(
     )
 
 
+def prefix_layout(
+    df: DataFrame, order: Sequence[str], size: str, group: Sequence[str] = ()
+) -> DataFrame:
+    """Rows in ranges of (group, order), kept durable: the input of `prefix_rows`."""
+    return durable(_ranged(df, order, group, {"s": F.col(size).cast("long")}))
+
+
+def prefix_rows(
+    layout: DataFrame, order: Sequence[str], group: Sequence[str], limit: Column
+) -> DataFrame:
+    """Rows of a layout (or of a part of it) whose sizes before them stay below the limit.
+
+    Ranges below the limit are kept and ranges above it dropped as a whole; only the range the
+    limit falls into, one per group, needs a running sum.
+    """
+    keys = [*group, _PART]
+    columns = [c for c in layout.columns if c not in (_PART, "_v_s")]
+    sums = _range_sums(layout, group, ["s"]).where(F.col("_o_s") < limit)
+    near = _with_offsets(layout, sums, keys)
+    whole = F.col("_o_s") + F.col("_t_s") <= limit
+    inside = _before(W.partitionBy(*keys).orderBy(*order))
+    running = F.col("_o_s") + F.coalesce(F.sum("_v_s").over(inside), F.lit(0))
+    edge = near.where(~whole).withColumn("before", running).where(F.col("before") < limit)
+    return near.where(whole).select(*columns).unionByName(edge.select(*columns))
+
+
+def last_within(
+    layout: DataFrame, order: Sequence[str], group: str, limits: DataFrame, limit: str
+) -> DataFrame:
+    """(group, last): the last row whose sizes before it stay below the limit.
+
+    Groups that never reach their limit are left out. `limits` holds (group, limit).
+    """
+    sums = _range_sums(layout, [group], ["s"])
+    ends = F.col("_o_s") + F.col("_t_s")
+    crossed = sums.join(limits, F.col(f"_o_{group}") == F.col(group)).where(
+        (F.col("_o_s") < F.col(limit)) & (ends >= F.col(limit))
+    )
+    near = _with_offsets(layout, crossed.drop(group), [group, _PART])
+    inside = _before(W.partitionBy(group, _PART).orderBy(*order))
+    running = F.col("_o_s") + F.coalesce(F.sum("_v_s").over(inside), F.lit(0))
+    kept = near.withColumn("before", running).where(F.col("before") < F.col(limit))
+    return kept.groupBy(group).agg(F.max(F.struct(*order)).alias("last"))
+
+
 def positions(
     df: DataFrame, order: Sequence[str], group: Sequence[str] = (), name: str = "pos"
 ) -> DataFrame:

@@ -6,21 +6,22 @@ Random choice is the order of md5(seed:key): the same rows whatever the partitio
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftmill import settings
 from siftmill.operators.ranking import (
+    last_within,
     mark_seeded,
+    prefix_layout,
+    prefix_rows,
     seeded_hash,
     seeded_positions,
-    sums_before,
     take_seeded,
 )
-from siftmill.session import durable
 
 
 def bernoulli(df: DataFrame, key: str, rate: float, seed: int = settings.SEED) -> DataFrame:
@@ -68,8 +69,7 @@ def until_quota(
     df: DataFrame, group: Sequence[str], order: Sequence[str], size: str, quota: Column
 ) -> DataFrame:
     """Whole rows in order until their sizes reach the quota; the last one may pass it."""
-    placed = sums_before(df, order, {"before": F.col(size).cast("long")}, group)
-    return placed.where(F.col("before") < quota)
+    return prefix_rows(prefix_layout(df, order, size, group), order, group, quota)
 
 
 def _exempt(author: str, exempt: Sequence[str]) -> Column:
@@ -107,29 +107,52 @@ def cap_and_quota(
 ) -> DataFrame:
     """Groups read one after another, each until its quota; the author cap holds across them.
 
-    A row cut off by a full quota uses no slot of its author, so a group can only start when
-    the one before is settled: one job per entry of the configured list `wanted`. Within a
-    group everything is distributed.
+    A row cut off by a full quota uses no slot of its author, so where a group ends depends on
+    where the groups before it end. All ends are computed together from the ends of the last
+    round, starting without any. The first group is right after one round, the second after
+    two, and so on; ends that repeat themselves are the only possible ones. Most tables
+    settle in a few rounds, and none takes more than there are groups.
     """
     free = _exempt(author, exempt)
-    used: DataFrame | None = None
-    taken = []
-    for name, quota in wanted:
-        rows = df.where(F.col(group) == name)
-        rank = F.row_number().over(W.partitionBy(author).orderBy(*order))
-        named = rows.where(~free).withColumn("_r", rank).where(F.col("_r") <= cap)
-        if used is not None:
-            named = named.join(used, author, "left").where(
-                F.col("_r") + F.coalesce("_used", F.lit(0)) <= cap
-            )
-        open_rows = named.select(*df.columns).unionByName(rows.where(free))
-        kept = until_quota(open_rows, (), order, size, F.lit(quota))
-        taken.append(kept)
-        counts = kept.where(~free).groupBy(author).agg(F.count("*").alias("_used"))
-        if used is not None:
-            counts = used.unionByName(counts).groupBy(author).agg(F.sum("_used").alias("_used"))
-        used = durable(counts)
-    return reduce(lambda a, b: a.unionByName(b), taken)
+    names, quotas_ = zip(*wanted)
+    plan = F.broadcast(df.sparkSession.createDataFrame(pa.table({
+        "_name": pa.array(names),
+        "_g": pa.array(range(len(names)), pa.int32()),
+        "_quota": pa.array(quotas_, pa.int64()),
+    })))
+    listed = df.join(plan.drop("_quota"), F.col(group) == F.col("_name")).drop("_name")
+    # Only the first `cap` rows of an author in a group can ever be taken.
+    rank = F.row_number().over(W.partitionBy(author, "_g").orderBy(*order))
+    named = listed.where(~free).withColumn("_r", rank).where(F.col("_r") <= cap)
+    rows = named.unionByName(listed.where(free).withColumn("_r", F.lit(0)))
+    layout = prefix_layout(rows, order, size, ["_g"])
+
+    def open_rows(ends: DataFrame | None) -> DataFrame:
+        """Rows whose author has a slot left, given where the earlier groups end."""
+        if ends is None:
+            read = layout.withColumn("_read", F.lit(1))
+        else:
+            inside = F.col("last").isNull() | (F.struct(*order) <= F.col("last"))
+            read = layout.join(ends, "_g", "left").withColumn("_read", inside.cast("int"))
+            read = read.drop("last")
+        earlier = W.partitionBy(author).orderBy("_g").rangeBetween(W.unboundedPreceding, -1)
+        used = F.coalesce(F.sum("_read").over(earlier), F.lit(0))
+        slots = read.where(~free).withColumn("_used", used).where(
+            F.col("_used") + F.col("_r") <= cap
+        )
+        return slots.drop("_used").unionByName(read.where(free))
+
+    ends, before = None, None
+    for _ in range(len(wanted) + 1):
+        found = last_within(
+            open_rows(ends), order, "_g", plan.select("_g", "_quota"), "_quota"
+        )
+        held = found.toArrow().sort_by("_g")
+        if before is not None and held.equals(before):
+            break
+        before = held
+        ends = F.broadcast(df.sparkSession.createDataFrame(held, found.schema))
+    return open_rows(ends).where("_read = 1").select(*df.columns)
 
 
 def replicate(df: DataFrame, times: int, first: int = 1) -> DataFrame:

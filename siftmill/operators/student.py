@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark import StorageLevel
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
@@ -17,20 +16,17 @@ def fit_student(
     """Multinomial regression against soft labels.
 
     Cross-entropy with a distribution is the weighted sum over its classes, so each row
-    counts once per class with the probability as its weight.
+    counts once per class with the probability as its weight. The estimator keeps its own
+    blocks of the rows, so they are not persisted a second time here.
     """
     rows = (
         df.select(as_features(F.col(vec)).alias("features"), F.posexplode(dist).alias("c", "p"))
         .where(F.col("p") > 0)
         .select("features", F.col("c").cast("double").alias("label"), "p")
-        .persist(StorageLevel.MEMORY_AND_DISK)
     )
-    try:
-        return LogisticRegression(
-            family="multinomial", weightCol="p", regParam=regularisation, maxIter=iterations
-        ).fit(rows)
-    finally:
-        rows.unpersist()
+    return LogisticRegression(
+        family="multinomial", weightCol="p", regParam=regularisation, maxIter=iterations
+    ).fit(rows)
 
 
 def apply_student(

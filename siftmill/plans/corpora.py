@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftmill import settings
 from siftmill.functions import parsing, text
 from siftmill.operators import filters, ranking, sampling, turns
-from siftmill.session import durable
+from siftmill.session import durable, listed
 from siftmill.sources import tables
 
 
@@ -22,17 +22,30 @@ def risk_posts(
     """Valid bodies, sampled, inside the period, capped per author, in chunks, limited.
 
     The cheap filters and the cap run on rows before any text is cut. The cap takes posts in
-    `order`; the limit takes chunks in the same order.
+    `order`, which names a post uniquely; the limit takes chunks in the same order.
     """
     named = posts.withColumn("author", F.coalesce("author", F.lit("unknown")))
     kept = filters.valid_body(named, body)
     kept = filters.in_period(sampling.bernoulli(kept, key, rate))
     capped = sampling.author_cap(kept, "author", order, cap)
     keys = list(dict.fromkeys([key, *order, *carry]))
-    chunks = filters.chunk_rows(capped, body, keys)
     if limit is None:
-        return chunks
-    return ranking.first_rows(durable(chunks), [*order, "chunk_id"], limit)
+        return filters.chunk_rows(capped, body, keys)
+    return first_chunks(capped, body, keys, order, limit)
+
+
+def first_chunks(
+    posts: DataFrame, body: str, keys: Sequence[str], order: Sequence[str], limit: int
+) -> DataFrame:
+    """The first `limit` chunks of the posts in order.
+
+    The cut is found on a slim table of chunk counts; only the posts before it are cut into rows.
+    """
+    counted = posts.select(*order, F.size(text.chunks(F.col(body))).alias("_n"))
+    placed = ranking.sums_before(counted, order, {"_before": F.col("_n").cast("long")})
+    chosen = placed.where(F.col("_before") < limit).select(*order, "_before")
+    rows = filters.chunk_rows(posts.join(chosen, list(order)), body, [*keys, "_before"])
+    return rows.where(F.col("_before") + F.col("chunk_id") <= limit).drop("_before")
 
 
 def control_posts(
@@ -58,7 +71,7 @@ def control_posts(
 def quota_list(posts: DataFrame, group: str, **bounds) -> list[tuple[str, int]]:
     """Groups and quotas in name order: one short row per configured group."""
     made = sampling.quotas(posts, group, **bounds)
-    return [(r[group], r["quota"]) for r in made.orderBy(group).limit(10_000).collect()]
+    return [(r[group], r["quota"]) for r in listed(made.orderBy(group))]
 
 
 def chat_pairs(chats: DataFrame, conv: str = "conv_id") -> DataFrame:

@@ -95,3 +95,11 @@ def small_or_same(df: DataFrame, rows: int = 100_000) -> DataFrame:
     if held.num_rows > rows:
         return df
     return F.broadcast(df.sparkSession.createDataFrame(held, df.schema))
+
+
+def listed(df: DataFrame, rows: int = 10_000) -> list:
+    """All rows of a configuration-sized table; an error, never a cut, if there are more."""
+    held = df.limit(rows + 1).collect()
+    if len(held) > rows:
+        raise ValueError(f"more than {rows} rows where a short list is expected")
+    return held
