@@ -120,7 +120,17 @@ def _block_topk(k: int):
     return run
 
 
-def _compare(queries: DataFrame, refs: DataFrame, plan: DataFrame, k: int) -> DataFrame:
+def _with_plan(df: DataFrame, plan: pa.Table) -> DataFrame:
+    """Add `blocks` and `salts` of the row's cell; one row per cell, at most MAX_CELLS."""
+    if plan.num_rows == 1:
+        one = plan.to_pylist()[0]
+        return df.where(F.col("cell") == one["cell"]).withColumns(
+            {c: F.lit(one[c]) for c in ("blocks", "salts")}
+        )
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(plan)), "cell")
+
+
+def _compare(queries: DataFrame, refs: DataFrame, plan: pa.Table, k: int) -> DataFrame:
     """Best k per query of queries (key, vec, cell) against refs (rid, vec, items, cell).
 
     `plan` gives per cell the number of reference sub-blocks and of query salts.
@@ -132,11 +142,11 @@ def _compare(queries: DataFrame, refs: DataFrame, plan: DataFrame, k: int) -> Da
     def every(parts: str):
         return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
 
-    left = queries.join(plan, "cell").select(
+    left = _with_plan(queries, plan).select(
         "cell", "key", F.col("vec").alias("qvec"), slot("key", "salts").alias("salt"),
         every("blocks").alias("block"),
     )
-    right = refs.join(plan, "cell").select(
+    right = _with_plan(refs, plan).select(
         "cell", "rid", "vec", "items", slot("rid", "blocks").alias("block"),
         every("salts").alias("salt"),
     )
@@ -162,19 +172,18 @@ def _best(found: DataFrame, k: int) -> DataFrame:
     return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
 
 
-def _plan(spark, loads: dict[int, int], sizes: dict[int, int], block_rows: int, tasks: int):
+def _plan(loads: dict[int, int], sizes: dict[int, int], block_rows: int, tasks: int):
     """Sub-blocks and salts per cell from its row counts; at most MAX_CELLS rows."""
     total = max(1, sum(loads.values()))
     query_rows = max(1, min(block_rows, math.ceil(total / tasks)))
     cells = sorted(set(loads) & set(sizes))
-    table = pa.table(
+    return pa.table(
         {
             "cell": pa.array(cells, pa.int32()),
-            "blocks": pa.array([math.ceil(sizes[c] / block_rows) for c in cells], pa.int32()),
-            "salts": pa.array([math.ceil(loads[c] / query_rows) for c in cells], pa.int32()),
+            "blocks": pa.array([max(1, math.ceil(sizes[c] / block_rows)) for c in cells], pa.int32()),
+            "salts": pa.array([max(1, math.ceil(loads[c] / query_rows)) for c in cells], pa.int32()),
         }
     )
-    return F.broadcast(spark.createDataFrame(table))
 
 
 def _counts(df: DataFrame) -> dict[int, int]:
@@ -286,7 +295,7 @@ def _search(queries, refs, k, cells, nprobe, pivots, block_rows) -> DataFrame:
             pivots = _spread_pivots(refs, wanted)
     vectors = queries.select("key", "vec")
     if pivots is None or n_ref == 0:
-        plan = _plan(spark, {0: queries.count()}, {0: n_ref}, block_rows, tasks)
+        plan = _plan({0: queries.count()}, {0: n_ref}, block_rows, tasks)
         zero = F.lit(0).cast("int").alias("cell")
         return _compare(
             vectors.select("key", "vec", zero), refs.select("rid", "vec", "items", zero), plan, k
@@ -299,7 +308,7 @@ def _search(queries, refs, k, cells, nprobe, pivots, block_rows) -> DataFrame:
         sizes[row["cell"]], radius[row["cell"]] = row["n"], row["a"]
     by_cell = {int(r["cell"]): int(r["n"]) for r in stats}
     near = _by_cell(_visit(vectors, pivots, sizes, radius, k, nprobe, tau=False))
-    plan = _plan(spark, _counts(near), by_cell, block_rows, tasks)
+    plan = _plan(_counts(near), by_cell, block_rows, tasks)
     found = _compare(near, placed, plan, k)
     if nprobe:
         return found
@@ -314,7 +323,7 @@ def _search(queries, refs, k, cells, nprobe, pivots, block_rows) -> DataFrame:
     loads = _counts(far)
     if not loads:
         return found
-    rest = _compare(far, placed, _plan(spark, loads, by_cell, block_rows, tasks), k)
+    rest = _compare(far, placed, _plan(loads, by_cell, block_rows, tasks), k)
     return _best(found.unionByName(rest), k)
 
 

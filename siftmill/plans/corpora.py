@@ -55,17 +55,20 @@ def control_posts(
 ) -> DataFrame:
     """Good posts, read group by group until each quota of chunks, capped per author.
 
-    Caps and quotas work on a slim table of chunk counts; the texts are cut for the kept posts.
+    Caps, quotas and the final shuffle work on slim tables of chunk counts and chunk numbers;
+    the texts are cut into rows for the kept posts only.
     """
     named = posts.withColumn("author", F.coalesce("author", F.lit("unknown")))
     good = filters.quality_body(filters.in_period(named), body)
     sized = good.withColumn("_chunks", F.size(text.chunks(text.strip(F.col(body)))))
     slim = durable(sized.select(*dict.fromkeys([key, *order, "author", group, "_chunks"])))
-    kept = sampling.cap_and_quota(slim, "author", group, order, "_chunks", wanted, cap)
+    kept = durable(sampling.cap_and_quota(slim, "author", group, order, "_chunks", wanted, cap))
+    numbered = kept.select(key, F.explode(F.sequence(F.lit(1), F.col("_chunks"))).alias("chunk_id"))
+    numbered = numbered.withColumn("_id", filters.composite_id(key, "chunk_id"))
+    placed = sampling.shuffled(durable(numbered), "_id", seed).drop("_id")
     chosen = good.join(kept.select(key), key, "left_semi")
     rows = filters.chunk_rows(chosen, body, [key, "author", group, "created_utc"])
-    unique = rows.withColumn("_id", filters.composite_id(key, "chunk_id"))
-    return sampling.shuffled(unique, "_id", seed).drop("_id")
+    return rows.join(placed, [key, "chunk_id"])
 
 
 def quota_list(posts: DataFrame, group: str, **bounds) -> list[tuple[str, int]]:
