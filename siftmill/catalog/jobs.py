@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftmill.catalog import query
 from siftmill.catalog import views as V
 from siftmill.catalog.models import SCORED, fixed_probe
-from siftmill.catalog.sampling import SPLIT
+from siftmill.catalog.sampling import SPLIT, in_turn_sql
 from siftmill.catalog.scores import load_scorer, silver_sql
 from siftmill.catalog.sets import INDEX
 from siftmill.catalog.turns import PAIRS, TURNS
@@ -108,11 +108,32 @@ def z02_risk_posts(spark, d):
     )
 
 
-@query("z03_control_posts")
+@query(
+    "z03_control_posts",
+    f"""WITH RECURSIVE {V.POSTS}, shares AS (SELECT subreddit, CAST(greatest(40, least(floor(
+        CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () * (count(*) OVER () * 100)), 200)) AS BIGINT)
+      AS quota FROM posts GROUP BY subreddit),
+    good AS (SELECT * FROM posts WHERE created_utc BETWEEN 1627776000 AND 1661990400
+      AND {V.strip_sql('selftext')} <> '' AND NOT contains(selftext, '[removed]')
+      AND NOT contains(selftext, '[deleted]') AND {V.tokens_sql('selftext')} >= 20),
+    {V.chunks_sql('good', 'post_id', 'selftext')},
+    sized AS (SELECT g.post_id, author, g.subreddit, created_utc, quota,
+        (SELECT count(*) FROM chunks c WHERE c.post_id = g.post_id) AS n_chunks
+      FROM good g JOIN shares USING (subreddit)),
+    {in_turn_sql('sized', 'post_id', 'subreddit', 'created_utc, post_id', 'n_chunks', 'quota')}
+    SELECT post_id, author, subreddit, chunk_id, md5(chunk) AS input, tokens AS input_tokens,
+      row_number() OVER (ORDER BY md5('42:' || post_id || '_' || chunk_id),
+        post_id || '_' || chunk_id) - 1 AS pos
+    FROM chunks JOIN sized USING (post_id) WHERE post_id IN (SELECT post_id FROM taken)""",
+)
 def z03_control_posts(spark, d):
     posts = spread(V.posts(spark, d), "post_id")
     wanted = corpora.quota_list(posts, "subreddit", per_group=100, low=40, high=200)
-    return corpora.control_posts(posts, wanted, order=["created_utc", "post_id"])
+    made = corpora.control_posts(posts, wanted, order=["created_utc", "post_id"])
+    return made.select(
+        "post_id", "author", "subreddit", V.long(F.col("chunk_id")).alias("chunk_id"),
+        F.md5("input").alias("input"), V.long(F.col("input_tokens")).alias("input_tokens"), "pos",
+    )
 
 
 @query(

@@ -87,7 +87,35 @@ def d07_author_cap(spark, d):
     )
 
 
-@query("d08_cap_quota")
+def in_turn_sql(source: str, key: str, group: str, order: str, size: str, quota: str) -> str:
+    """CTEs that end in `taken(key)`: groups one after another by name, the author slots that
+    earlier groups used carried along. `quota` may read the columns of `source`."""
+    return f"""turns_g AS (SELECT {group}, row_number() OVER (ORDER BY {group}) AS step
+  FROM (SELECT DISTINCT {group} FROM {source})),
+acc AS (
+  SELECT CAST(0 AS BIGINT) AS step, {key}, author FROM {source} WHERE false
+  UNION ALL SELECT 0, NULL, NULL
+  UNION ALL
+  (WITH now AS (SELECT max(step) + 1 AS step FROM acc),
+  used AS (SELECT author, count(*) AS used FROM acc GROUP BY author),
+  ranked AS (SELECT f.*, now.step, row_number() OVER (PARTITION BY f.author ORDER BY {order}) AS r,
+      coalesce(used, 0) AS used
+    FROM {source} f JOIN turns_g USING ({group}) JOIN now USING (step)
+    LEFT JOIN used ON f.author = used.author),
+  fits AS (SELECT *, coalesce(sum({size}) OVER (ORDER BY {order}
+      ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
+    FROM ranked WHERE author = 'unknown' OR r + used <= 5)
+  SELECT step, {key}, author FROM fits WHERE prior < {quota}
+  UNION ALL SELECT now.step, acc.{key}, acc.author FROM acc, now
+    WHERE now.step <= (SELECT count(*) FROM turns_g))),
+taken AS (SELECT {key} FROM acc WHERE step = (SELECT count(*) FROM turns_g) AND {key} IS NOT NULL)"""
+
+
+@query(
+    "d08_cap_quota",
+    f"""WITH RECURSIVE {FEED}, {in_turn_sql('feed', 'event_id', 'event_type', 'ts, event_id', 'n_chunks', str(QUOTA))}
+    SELECT event_id, author, event_type, n_chunks FROM feed WHERE event_id IN (SELECT event_id FROM taken)""",
+)
 def d08_cap_quota(spark, d):
     rows = feed(spark, d)
     names = sorted(r[0] for r in listed(rows.select("event_type").distinct()))

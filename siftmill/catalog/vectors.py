@@ -81,6 +81,26 @@ def v04_knn_cells(spark, d):
     return knn.knn(rows, rows, K, pivots=pivots, nprobe=8)
 
 
+@query(
+    "v04_knn_sampled_cells",
+    f"""WITH {V.VECTORS}, pivots AS (SELECT vec_id AS cell, v AS c FROM vectors
+      ORDER BY md5('42:' || vec_id), vec_id LIMIT 24),
+    away AS (SELECT vec_id, cell, row_number() OVER (PARTITION BY vec_id
+      ORDER BY list_cosine_similarity(v, c) DESC, cell) AS r FROM vectors, pivots),
+    cand AS (SELECT q.vec_id AS qid, b.vec_id AS rid FROM away q JOIN away b ON q.cell = b.cell
+      WHERE q.r <= 6 AND b.r = 1),
+    sims AS (SELECT qid, rid, list_cosine_similarity(a.v, b.v) AS sim FROM cand
+      JOIN vectors a ON qid = a.vec_id JOIN vectors b ON rid = b.vec_id)
+    SELECT qid, rid, CAST(rank AS INTEGER) AS rank, round(sim, 6) AS sim FROM (SELECT *,
+      row_number() OVER (PARTITION BY qid ORDER BY sim DESC, rid) AS rank FROM sims) WHERE rank <= {K}""",
+)
+def v04_knn_sampled_cells(spark, d):
+    rows = V.table(spark, d, "embeddings")
+    pivots = knn.sampled_pivots(rows, "vec_id", "embedding", 24)
+    near = knn.knn(rows, rows, K, pivots=pivots, nprobe=6)
+    return near.select("qid", "rid", "rank", V.six(F.col("sim")).alias("sim"))
+
+
 @query(
     "v05_self_density",
     f"""WITH {V.VECTORS}, {ranked_sql('near', 'vectors', 'vectors')}

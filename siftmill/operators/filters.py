@@ -75,7 +75,7 @@ def tag_source(df: DataFrame, source: str) -> DataFrame:
     return df.withColumn("dataset_type", F.lit(source))
 
 
-def binary_label(source: Column, mark: str = "mental_health") -> Column:
+def binary_label(source: Column, mark: str = settings.RISK_TABLE_MARK) -> Column:
     return F.coalesce(F.contains(source, F.lit(mark)), F.lit(False)).cast("int")
 
 

@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from siftmill import settings
-from siftmill.operators.ranking import positions
+from siftmill.operators.ranking import positions, take_seeded
 from siftmill.session import durable
 
 MAX_CELLS = 4096
@@ -69,6 +69,16 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return made / np.where(size > 0, size, 1.0)
 
 
+_SLICE = 1024
+
+
+def _slices(batches):
+    """Tables of at most _SLICE rows, so that a score matrix stays small."""
+    for batch in batches:
+        for start in range(0, batch.num_rows, _SLICE):
+            yield pa.Table.from_batches([batch.slice(start, _SLICE)])
+
+
 def _top(scores: np.ndarray, k: int) -> np.ndarray:
     """Columns of the k largest entries per row; the lower column wins a tie at the edge."""
     width = scores.shape[1]
@@ -100,8 +110,8 @@ def _block_topk(k: int):
         ref = _matrix(right.column("vec"))
         queries = _matrix(left.column("qvec"))
         rows, cols, sims = [], [], []
-        for start in range(0, len(queries), 1024):
-            scores = queries[start : start + 1024] @ ref.T
+        for start in range(0, len(queries), _SLICE):
+            scores = queries[start : start + _SLICE] @ ref.T
             best = _top(scores, k)
             sims.append(np.take_along_axis(scores, best, axis=1).ravel())
             cols.append(best.ravel())
@@ -196,11 +206,10 @@ def _assign(refs: DataFrame, pivots: np.ndarray) -> DataFrame:
     """Nearest pivot and the angle to it for every reference vector."""
 
     def run(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
+        for table in _slices(batches):
             scores = _matrix(table.column("vec")) @ pivots.T
-            cell = scores.argmax(axis=1) if len(scores) else np.zeros(0, int)
-            best = scores[np.arange(len(scores)), cell] if len(scores) else np.zeros(0)
+            cell = scores.argmax(axis=1)
+            best = scores[np.arange(len(scores)), cell]
             angle = np.arccos(np.clip(best, -1.0, 1.0))
             yield from table.append_column("cell", pa.array(cell.astype(np.int32))).append_column(
                 "angle", pa.array(angle)
@@ -221,10 +230,7 @@ def _visit(queries, pivots, sizes, radius, k, nprobe, tau: bool):
     """
 
     def run(batches):
-        for batch in batches:
-            table = pa.Table.from_batches([batch])
-            if table.num_rows == 0:
-                continue
+        for table in _slices(batches):
             scores = _matrix(table.column("vec")) @ pivots.T
             order = np.argsort(-scores, axis=1, kind="stable")
             held = np.cumsum(sizes[order], axis=1)
@@ -268,6 +274,14 @@ def _spread_pivots(refs: DataFrame, cells: int) -> np.ndarray:
     return _matrix(table.column("vec"))
 
 
+def sampled_pivots(
+    df: DataFrame, key: str, vec: str, cells: int, seed: int = settings.SEED
+) -> np.ndarray:
+    """The vectors of a seeded sample of rows, which does not depend on the engine."""
+    rows = take_seeded(df.select(key, vec), key, min(cells, MAX_CELLS), seed=seed)
+    return _matrix(rows.orderBy(key).select(vec).toArrow().column(vec))
+
+
 def trained_pivots(
     df: DataFrame, vec: str, cells: int, seed: int = settings.SEED, iterations: int = 10
 ) -> np.ndarray:

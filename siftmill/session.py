@@ -16,6 +16,10 @@ _SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
 }
+_AT_START = {
+    # Checkpoints go when no DataFrame needs them any more.
+    "spark.cleaner.referenceTracking.cleanCheckpoints": "true",
+}
 
 
 def get_spark(app: str = "siftmill", master: str | None = None, **conf: str) -> SparkSession:
@@ -23,7 +27,7 @@ def get_spark(app: str = "siftmill", master: str | None = None, **conf: str) ->
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
-    for key, value in _SETTINGS.items():
+    for key, value in {**_SETTINGS, **_AT_START}.items():
         builder = builder.config(key, value)
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
@@ -49,7 +53,6 @@ def shared_folder(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="siftmill-")
-        spark.conf.set("spark.checkpoint.dir", root)
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(root)
     return root

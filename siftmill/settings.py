@@ -32,6 +32,7 @@ REQUESTS_PER_MINUTE = 5_000
 TOKENS_PER_MINUTE = 5_000_000
 EMBEDDING_WIDTH = 1536
 EMPTY_BODIES = ("nan", "none", "", "[removed]", "[deleted]")
+RISK_TABLE_MARK = "mental_health"
 REMOVAL_MARKS = ("[removed]", "[deleted]")
 SKIPPED_CSV_FILES = ("emotion_words.csv", "ekman_labels.csv")
 EMOTIONS = (

@@ -1,6 +1,5 @@
 """Sources, sinks, streams and composite jobs on small literal inputs."""
 
-import os
 from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
@@ -188,4 +187,4 @@ def test_materialised_is_built_once(spark):
 
     assert sinks.materialised(spark, path, build).count() == 3
     assert sinks.materialised(spark, path, build).count() == 3
-    assert len(calls) == 1 and os.path.isdir(path)
+    assert len(calls) == 1 and sinks.exists(spark, path)
