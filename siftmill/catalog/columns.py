@@ -280,7 +280,7 @@ def t02_windows(spark, d):
 
 @query(
     "t03_chunks",
-    f"""WITH {V.chunks_sql('documents', 'doc_id', 'text')}
+    f"""WITH {V.chunks_sql('documents', 'doc_id', 'text', trimmed=False)}
     SELECT doc_id, md5(chunk) AS chunk, tokens FROM chunks""",
 )
 def t03_chunks(spark, d):

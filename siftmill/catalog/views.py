@@ -179,15 +179,16 @@ def windows_sql(items: str, size: int = 3, stride: int = 1) -> str:
 
 def chunks_sql(
     source: str, keys: str, text: str, name: str = "chunks", size: int = 3, stride: int = 1,
-    min_tokens: int = 20,
+    min_tokens: int = 20, trimmed: bool = True,
 ) -> str:
     """CTEs that end in `name(keys, chunk_id, chunk, tokens)`."""
     n = name
+    whole = strip_sql("body") if trimmed else "body"
     return f"""{n}_s AS (SELECT {keys}, {text} AS body, {sentences_sql(text)} AS sents FROM {source}),
 {n}_w AS (SELECT {keys}, body, {windows_sql('sents', size, stride)} AS win FROM {n}_s),
 {n}_k AS (SELECT {keys}, body, win,
   list_filter(win, lambda c: {tokens_sql('c')} >= {min_tokens}) AS kept FROM {n}_w),
 {n}_f AS (SELECT {keys}, CASE WHEN len(kept) = 0 AND len(win) > 0
-  THEN [{strip_sql('body')}] ELSE kept END AS made FROM {n}_k),
+  THEN [{whole}] ELSE kept END AS made FROM {n}_k),
 {n} AS (SELECT {keys}, unnest(range(1, len(made) + 1)) AS chunk_id, unnest(made) AS chunk,
   unnest(list_transform(made, lambda c: {tokens_sql('c')})) AS tokens FROM {n}_f)"""

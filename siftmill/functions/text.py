@@ -80,7 +80,7 @@ def chunks(
 ) -> Column:
     """Array of `struct(chunk, tokens)`: the windows of at least `min_tokens` tokens.
 
-    When every window is too short the whole text is the only chunk. Tokens never reach over
+    When every window is too short the unchanged text is the only chunk. Tokens never reach over
     the blank between two sentences, so each sentence is counted once and windows add up.
     """
     counted = F.transform(
@@ -102,9 +102,7 @@ def chunks(
 
     def keep(made: Column) -> Column:
         long_enough = F.filter(made, lambda c: c["tokens"] >= min_tokens)
-        fallback = F.struct(
-            strip(text).alias("chunk"), token_count(text, pattern).alias("tokens")
-        )
+        fallback = F.struct(text.alias("chunk"), token_count(text, pattern).alias("tokens"))
         return bind(
             long_enough,
             lambda kept: F.when((F.size(kept) == 0) & (F.size(made) > 0), F.array(fallback))

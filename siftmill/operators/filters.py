@@ -122,6 +122,8 @@ def chunk_rows(
     return exploded.select(
         *keys,
         (F.col("pos") + 1).alias("chunk_id"),
-        F.col("c.chunk").alias("input"),
+        # Windows are trimmed already; a whole text that stands in for them comes first.
+        F.when(F.col("pos") == 0, text.strip(F.col("c.chunk"))).otherwise(F.col("c.chunk"))
+        .alias("input"),
         F.col("c.tokens").alias("input_tokens"),
     )

@@ -200,9 +200,8 @@ def seeded_cut(
     if strata:
         near = hashed.join(edge, list(strata)).where(F.col(_BUCKET) == F.col("edge"))
     else:
-        near = hashed.where(F.col(_BUCKET) == edge.select("edge").scalar()).withColumn(
-            "need", edge.select("need").scalar()
-        )
+        found = edge.select(F.struct("edge", "need")).scalar()
+        near = hashed.where(F.col(_BUCKET) == found["edge"]).withColumn("need", found["need"])
     ranked = near.withColumn(
         "r", F.row_number().over(W.partitionBy(*strata, _BUCKET).orderBy(_HASH, key))
     ).where(F.col("r") <= F.col("need"))

@@ -41,7 +41,7 @@ def first_chunks(
 
     The cut is found on a slim table of chunk counts; only the posts before it are cut into rows.
     """
-    counted = posts.select(*order, F.size(text.chunks(F.col(body))).alias("_n"))
+    counted = durable(posts.select(*order, F.size(text.chunks(F.col(body))).alias("_n")))
     placed = ranking.sums_before(counted, order, {"_before": F.col("_n").cast("long")})
     chosen = placed.where(F.col("_before") < limit).select(*order, "_before")
     rows = filters.chunk_rows(posts.join(chosen, list(order)), body, [*keys, "_before"])
@@ -88,7 +88,7 @@ def chat_chunks(
     conv: str = "conv_id",
 ) -> DataFrame:
     """Chunks of the questions of the first conversations in a language."""
-    pairs = turns.turn_pairs(filters.in_language(chats, language), conv)
+    pairs = turns.turn_pairs(chats.where(F.col("language") == language), conv)
     if conversations is not None:
         pairs = turns.of_first_conversations(pairs, conversations, conv)
     return turns.chat_chunks(pairs, conv)
@@ -103,6 +103,9 @@ def labelled_emotions(
     return filters.chunk_rows(listed, body, [key, "emotions"])
 
 
-def nested_chats(df: DataFrame, conv: str, carry: Sequence[str] = ("language", "model")) -> DataFrame:
+def nested_chats(
+    df: DataFrame, conv: str, language: str | None = None, carry: Sequence[str] = ("language", "model")
+) -> DataFrame:
     """Long form of a table with one array of turns per conversation."""
-    return tables.unnest_conversations(df, conv).join(df.select(conv, *carry), conv)
+    kept = df if language is None else filters.in_language(df, language, "conversation")
+    return tables.unnest_conversations(kept, conv, carry)

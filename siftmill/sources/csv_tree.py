@@ -49,8 +49,13 @@ def read_csv_tree(
     root: str,
     required: Sequence[str] = (),
     skip_files: Sequence[str] = settings.SKIPPED_CSV_FILES,
+    row_name: str | None = None,
 ) -> DataFrame:
-    """All CSV files below `root` but the skipped ones and those without a required column."""
+    """All CSV files below `root` but the skipped ones and those without a required column.
+
+    `row_name` adds a column that names each row by its file and a number unique in the read,
+    as a default for rows without an id.
+    """
     listed = (
         spark.read.format("binaryFile")
         .option("recursiveFileLookup", "true")
@@ -70,7 +75,15 @@ def read_csv_tree(
     if not layouts:
         raise ValueError(f"no CSV file with the columns {list(required)} below {root}")
     tables = [_read(spark, files, names) for names, files in layouts.items()]
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    if row_name:
+        tables = [
+            t.withColumn(row_name, F.element_at(F.split(F.input_file_name(), "/"), -1)) for t in tables
+        ]
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
+    if not row_name:
+        return whole
+    number = F.monotonically_increasing_id().cast("string")
+    return whole.withColumn(row_name, F.concat_ws("_", row_name, number))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

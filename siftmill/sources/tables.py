@@ -58,9 +58,14 @@ def offset_page(df: DataFrame, order: Sequence[str], skip: int, n: int) -> DataF
 
 
 def batches(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
-    """Add `batch`, 0-based: consecutive rows in order, `size` to a batch."""
-    placed = positions(df, order, name="_pos")
-    return placed.withColumn("batch", F.floor(F.col("_pos") / size)).drop("_pos")
+    """Add `batch`, 0-based: consecutive rows in order, `size` to a batch.
+
+    `order` names a row uniquely. Wide rows meet their batch in a join on it; only the order
+    columns are sorted.
+    """
+    placed = positions(df.select(*order), order, name="_pos")
+    numbered = placed.withColumn("batch", F.floor(F.col("_pos") / size)).drop("_pos")
+    return numbered if set(df.columns) == set(order) else df.join(numbered, list(order))
 
 
 _SEGMENT = 1000
@@ -78,16 +83,19 @@ def nest_conversations(df: DataFrame, conv: str = "conv_id", segment: int = _SEG
     )
 
 
-def unnest_conversations(df: DataFrame, conv: str = "conv_id") -> DataFrame:
-    """(conv, turn, role, text) from conversation arrays.
+def unnest_conversations(
+    df: DataFrame, conv: str = "conv_id", carry: Sequence[str] = ()
+) -> DataFrame:
+    """(conv, turn, role, text, *carry) from conversation arrays.
 
     Arrays without turn numbers are numbered by place; a null conversation gives no row.
     """
     item = df.schema["conversation"].dataType.elementType
-    exploded = df.select(conv, F.posexplode("conversation").alias("_place", "_t"))
+    exploded = df.select(conv, *carry, F.posexplode("conversation").alias("_place", "_t"))
     turn = F.col("_t.turn") if "turn" in item.names else F.col("_place").cast("long")
     return exploded.select(
-        conv, turn.alias("turn"), F.col("_t.role").alias("role"), F.col("_t.content").alias("text")
+        conv, turn.alias("turn"), F.col("_t.role").alias("role"),
+        F.col("_t.content").alias("text"), *carry,
     )
 
 

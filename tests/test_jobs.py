@@ -25,6 +25,9 @@ def test_csv_quirks(spark, tmp_path):
     (tmp_path / "other.csv").write_text("id,body\n8,no text column\n", encoding="utf8")
     rows = csv_tree.read_csv_tree(spark, str(tmp_path), required=["text"]).collect()
     got = {r["id"]: (r["text"], r["lang"]) for r in rows}
+    named = csv_tree.read_csv_tree(spark, str(tmp_path), required=["text"], row_name="post_id")
+    names = [r["post_id"] for r in named.collect()]
+    assert len(set(names)) == 3 and all(n.startswith(("one.csv_", "two.csv_")) for n in names)
     assert got == {
         "1": ('two\nlines, "quoted"', "en"), "3": ("few", None), "4": ("plain", None),
     }
@@ -51,6 +54,22 @@ def test_nested_input_without_turn_numbers(spark):
     assert [tuple(r) for r in got] == [("c", 0, "user", "a"), ("c", 1, "assistant", "b")]
 
 
+def test_nested_chats_become_pairs(spark):
+    df = spark.sql(
+        "select 'c' id, 'English' language, 'm' model, array(named_struct('role','system','content','s'),"
+        "named_struct('role','user','content',cast(null as string)),"
+        "named_struct('role','assistant','content','b'),"
+        "named_struct('role','user','content','q'),"
+        "named_struct('role','assistant','content','r')) conversation union all "
+        "select 'd', 'French', 'm', null"
+    )
+    long = corpora.nested_chats(df, "id", "English")
+    got = sorted(tuple(r) for r in corpora.chat_pairs(long, "id").collect())
+    assert got == [("c", 1, "English", "m", None, "b", 0), ("c", 2, "English", "m", "q", "r", 1)]
+    chunks = corpora.chat_chunks(long, 5, conv="id").collect()
+    assert [(r["turn_id"], r["chunk_id"], r["input"]) for r in chunks] == [(2, 1, "q")]
+
+
 def test_pairs_with_gaps_in_the_turn_numbers(spark):
     rows = [(1, 5, "system", "s"), (1, 7, "user", "a"), (1, 20, "assistant", "b"),
             (1, 21, "user", "c"), (1, 22, "user", "d"), (1, 30, "assistant", "e")]

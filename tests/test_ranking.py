@@ -68,3 +68,37 @@ def test_deep_page(spark, monkeypatch):
     monkeypatch.setattr(ranking, "_SMALL_PAGE", 10)
     got = ranking.first_rows(heavy(spark), ["t", "id"], 50, 2000).collect()
     assert sorted(r["id"] for r in got) == list(range(2000, 2050))
+
+
+def test_results_do_not_depend_on_partitioning(spark):
+    rows = heavy(spark, 2000)
+    answers = set()
+    for parts, width in [(1, "3"), (9, "8"), (4, "1")]:
+        spark.conf.set("spark.sql.shuffle.partitions", width)
+        df = rows.repartition(parts)
+        taken = ranking.take_seeded(df, "id", F.ceil(F.col("n") * 0.3), ["g"])
+        placed = ranking.positions(df, ["t", "id"], ["g"])
+        answers.add((
+            tuple(sorted(r["id"] for r in taken.collect())),
+            tuple(sorted((r["id"], r["pos"]) for r in placed.collect())),
+        ))
+    spark.conf.set("spark.sql.shuffle.partitions", "8")
+    assert len(answers) == 1
+
+
+def test_prefix_and_last_agree(spark):
+    rows = heavy(spark, 2000)
+    layout = ranking.prefix_layout(rows, ["t", "id"], "v", ["g"])
+    kept = ranking.prefix_rows(layout, ["t", "id"], ["g"], F.lit(300)).collect()
+    limits = rows.select("g").distinct().withColumn("limit", F.lit(300))
+    ends = {
+        r["g"]: tuple(r["last"])
+        for r in ranking.last_within(layout, ["t", "id"], "g", limits, "limit").collect()
+    }
+    tops = defaultdict(lambda: (-1, -1))
+    totals = defaultdict(int)
+    for r in kept:
+        tops[r["g"]] = max(tops[r["g"]], (r["t"], r["id"]))
+        totals[r["g"]] += r["v"]
+    assert {g: tops[g] for g in ends} == ends
+    assert all(totals[g] >= 300 for g in ends)

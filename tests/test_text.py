@@ -40,7 +40,7 @@ def plain_chunks(body, size, stride, least):
     else:
         made = [" ".join(parts[i : i + size]) for i in range(0, len(parts) - size + 1, stride)]
     kept = [c for c in made if len(TOKEN.findall(c)) >= least]
-    return kept or [body.strip()]
+    return kept or [body]
 
 
 EDGES = [
@@ -80,6 +80,14 @@ def test_stride_one_covers_all_sentences(spark):
     assert all(f"word{i} " in got for i in range(30))
 
 
+def test_rows_are_trimmed_and_numbered(spark):
+    from siftmill.operators.filters import chunk_rows
+
+    df = spark.createDataFrame([(1, "  short text \n"), (2, "  "), (3, None)], "i int, t string")
+    got = [tuple(r) for r in chunk_rows(df, "t", ["i"]).collect()]
+    assert got == [(1, 1, "short text", 2)]
+
+
 def test_null_and_long(spark):
     df = spark.createDataFrame([(None,), ("x" * 200_000,), ("... " * 50_000,)], "t string")
     rows = [r["n"] for r in df.select(F.size(text.chunks(F.col("t"))).alias("n")).collect()]
