@@ -5,8 +5,9 @@ from __future__ import annotations
 import math
 from dataclasses import dataclass
 
-from pyspark.ml.feature import PCA, PCAModel, StandardScaler
+from pyspark.ml.feature import PCA, PCAModel
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -39,10 +40,12 @@ def _literal(values: list[float]) -> Column:
 def _moments(df: DataFrame, vec: str) -> tuple[list[float], list[float], int]:
     """Mean and population deviation per dimension, in one pass that sums vectors per task."""
     made = df.select(as_features(F.col(vec)).alias("x"))
-    model = StandardScaler(inputCol="x", outputCol="y", withMean=True).fit(made)
-    n = made.count()
-    to_population = math.sqrt((n - 1) / n) if n > 1 else 0.0
-    return list(model.mean), [s * to_population for s in model.std], n
+    row = made.select(
+        Summarizer.metrics("mean", "variance", "count").summary(F.col("x")).alias("s")
+    ).first()["s"]
+    n = row["count"]
+    shrink = (n - 1) / n if n else 0.0
+    return list(row["mean"]), [math.sqrt(v * shrink) for v in row["variance"]], n
 
 
 def fit_pca(df: DataFrame, vec: str, n: int = 100) -> Reducer:

@@ -42,8 +42,20 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(made, key=str)
 
 
+_UNWANTED = ("CartesianProduct", "BroadcastNestedLoopJoin", "BatchEvalPython")
+
+
+def unwanted(df) -> list[str]:
+    """Operators of the physical plan that do not scale: pair products, row-at-a-time Python."""
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [name for name in _UNWANTED if name in plan]
+
+
 def compare(spark, con, key: str, folder: str) -> str:
     df = catalog.QUERIES[key](spark, folder)
+    found = unwanted(df)
+    if found:
+        return f"FAIL plan holds {found}"
     got = rows_of(df.columns, [tuple(r) for r in df.collect()])
     if key not in catalog.ORACLES:
         return f"rows-only ({len(got[1])} rows)"
