@@ -14,7 +14,7 @@ from siftmill.session import spread
 CLASSES = 7
 
 
-def load_scorer():
+def _load():
     """A scorer that needs no model file: logits follow from the length of the text."""
 
     def score(texts: list[str]) -> np.ndarray:
@@ -24,6 +24,9 @@ def load_scorer():
     return score
 
 
+load_scorer = scoring.once_per_worker("length-scorer", _load)
+
+
 def silver_sql(source: str, ident: str, text: str, heat: float = 1.0) -> str:
     """CTEs that end in `silver(id, text, top_class, confidence, dist)`."""
     return f"""silver_l AS (SELECT {ident} AS id, {text} AS text,

@@ -22,6 +22,7 @@ from siftmill.operators.ranking import (
     seeded_positions,
     take_seeded,
 )
+from siftmill.session import small_or_same
 
 
 def bernoulli(df: DataFrame, key: str, rate: float, seed: int = settings.SEED) -> DataFrame:
@@ -48,7 +49,7 @@ def quotas(
     low: int = settings.QUOTA_FLOOR, high: int = settings.QUOTA_CEILING,
 ) -> DataFrame:
     """(group, n, quota): the share of each group in the target, held between two bounds."""
-    counted = df.groupBy(group).agg(F.count("*").alias("n"))
+    counted = small_or_same(df.groupBy(group).agg(F.count("*").alias("n")))
     return quotas_of_counts(counted, group, per_group, low, high)
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import sys
 from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
@@ -17,6 +18,22 @@ from siftmill.operators.sets import with_names
 Scorer = Callable[[list[str]], np.ndarray]
 
 
+def once_per_worker(name: str, load: Callable[[], object]) -> Callable[[], object]:
+    """A loader whose result stays in the Python worker, which serves many tasks in turn.
+
+    Functions are sent to every task anew, so the result is kept on a module that all tasks of
+    a worker share. `name` tells models and their versions apart.
+    """
+
+    def held():
+        kept = sys.modules["pyspark"].__dict__.setdefault("_held_by_worker", {})
+        if name not in kept:
+            kept[name] = load()
+        return kept[name]
+
+    return held
+
+
 def linear_scores(vec: Column, weights: np.ndarray, bias: np.ndarray) -> Column:
     """weights @ vec + bias as an array, one matrix product per Arrow batch."""
     matrix = np.asarray(weights, np.float64).T
@@ -45,7 +62,8 @@ def score_texts(
 ) -> DataFrame:
     """Add the scores of a text column; blank and null texts get an empty array.
 
-    `load` is called once per task and returns a function from texts to a score matrix.
+    `load` is called once per task and returns a function from texts to a score matrix; wrap a
+    heavy model in `once_per_worker`.
     """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.DoubleType()))])
 

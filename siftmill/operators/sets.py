@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.operators.ranking import positions
+from siftmill.session import small_or_same
 
 
 def members(df: DataFrame, other: DataFrame, key: str) -> DataFrame:
@@ -105,9 +106,9 @@ def class_count(df: DataFrame, vector: str) -> DataFrame:
 
 
 def shares(df: DataFrame, group: str) -> DataFrame:
-    """(group, n, total, share) of the table."""
-    counted = df.groupBy(group).agg(F.count("*").alias("n"))
-    total = df.agg(F.count("*").alias("t")).scalar()
+    """(group, n, total, share) of the table, from one scan."""
+    counted = small_or_same(df.groupBy(group).agg(F.count("*").alias("n")))
+    total = counted.agg(F.sum("n").alias("t")).scalar()
     return counted.select(
         group, "n", total.alias("total"), (F.col("n") / total).alias("share")
     )

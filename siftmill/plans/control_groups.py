@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import SparkSession
+
+from siftmill.operators.sampling import quotas_of_counts
+
 # Rows per group of the source; quotas follow from them.
 GROUP_ROWS = {
     "tifu": 526000, "explainlikeimfive": 1810000, "WritingPrompts": 1000000,
@@ -19,3 +23,10 @@ GROUP_ROWS = {
     "technology": 2110000, "Fitness": 1040000, "travel": 1010000, "lifehacks": 117000,
     "Damnthatsinteresting": 397000, "gardening": 723000, "programming": 571000,
 }
+
+
+def default_quotas(spark: SparkSession) -> list[tuple[str, int]]:
+    """Groups in their order of reading with the chunks wanted from each."""
+    counted = spark.createDataFrame(list(GROUP_ROWS.items()), "name string, n long")
+    made = {r["name"]: r["quota"] for r in quotas_of_counts(counted, "name").collect()}
+    return [(name, made[name]) for name in GROUP_ROWS]

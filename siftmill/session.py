@@ -15,6 +15,8 @@ _SETTINGS = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
+    # 4096 vectors of 1536 floats are 25 MB.
+    "spark.sql.execution.arrow.maxRecordsPerBatch": "4096",
 }
 _AT_START = {
     # Checkpoints go when no DataFrame needs them any more.

@@ -1,5 +1,8 @@
 """Fitted models: invariants instead of fixed numbers."""
 
+import os
+import uuid
+
 import numpy as np
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
@@ -7,7 +10,7 @@ from pyspark.sql import functions as F
 from siftmill.catalog import models
 from siftmill.catalog import views as V
 from siftmill.functions import dists
-from siftmill.operators import evaluation, probe, reduction, student
+from siftmill.operators import evaluation, probe, reduction, scoring, student
 
 
 def test_pca(spark, small):
@@ -101,3 +104,47 @@ def test_no_threshold_scores(spark):
     sweep = evaluation.threshold_sweep(df, F.col("m"), F.col("t"))
     assert sweep.count() == 17
     assert tuple(evaluation.best_threshold(sweep).first()) == (0.5, 0.0)
+
+
+def test_model_is_loaded_once_per_worker(spark):
+    def load():
+        made = uuid.uuid4().int % 10**6
+
+        def score(texts):
+            return np.array([[os.getpid(), made, len(t)] for t in texts], float)
+
+        return score
+
+    df = spark.range(400, numPartitions=40).select(F.col("id").cast("string").alias("t"))
+    held = scoring.score_texts(df, "t", scoring.once_per_worker("counted", load), batch=3)
+    rows = [tuple(r["logits"][:2]) for r in held.collect()]
+    assert len(rows) == 400
+    assert len(set(rows)) == len({pid for pid, _ in rows})
+
+
+def test_failures_of_the_embedder_are_null(spark):
+    df = spark.createDataFrame([("abc",), ("",), (None,)], "t string")
+    made = scoring.embed_column(df, "t", lambda: lambda t: [1 / len(t), 2]).collect()
+    assert [r["embedding"] is None for r in made] == [False, True, True]
+
+
+def test_byte_pair_counter(spark):
+    class Encoder:
+        def encode_ordinary(self, text):
+            return text.split("-")
+
+    df = spark.createDataFrame([("a-b-c",), (None,)], "t string")
+    assert [r[0] for r in df.select(scoring.token_counter(Encoder)(F.col("t"))).collect()] == [3, 0]
+
+
+def test_unscored_rows_are_kept(spark):
+    df = spark.createDataFrame([(1, "text"), (2, "  "), (3, None)], "id int, t string")
+
+    def load():
+        return lambda texts: np.tile([0.0, 2.0, 1.0], (len(texts), 1))
+
+    names = spark.createDataFrame([(1, "one")], "class_idx int, name string")
+    rows = {r["id"]: r for r in scoring.silver_labels(df, "id", "t", load, names).collect()}
+    assert (rows[1]["top_label"], len(rows[1]["full_dist"])) == ("one", 3)
+    assert all((rows[i]["top_label"], rows[i]["confidence"], rows[i]["full_dist"]) == ("N/A", 0.0, [])
+               for i in (2, 3))

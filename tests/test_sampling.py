@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 from pyspark.sql import functions as F
 
 from siftmill.operators import sampling, sets
-from siftmill.plans.control_groups import GROUP_ROWS
+from siftmill.plans.control_groups import default_quotas
 
 
 def posts(n=2000, seed=1):
@@ -81,8 +81,7 @@ def test_quota_prefix(spark):
 
 
 def test_default_quotas(spark):
-    counted = spark.createDataFrame(list(GROUP_ROWS.items()), "g string, n long")
-    made = [r["quota"] for r in sampling.quotas_of_counts(counted, "g").collect()]
+    made = [quota for _, quota in default_quotas(spark)]
     assert (len(made), sum(made)) == (50, 2_606_023)
     assert (made.count(200_000), made.count(10_000)) == (3, 9)
 
