@@ -25,6 +25,9 @@ class CompileOptions:
     temperature: float = settings.TEMPERATURE
     test_share: float = settings.TEST_SHARE
     seed: int = settings.SEED
+    # Neighbour search: exact by default; `nprobe` makes it approximate.
+    cells: int | None = None
+    nprobe: int | None = None
 
 
 @dataclass
@@ -62,7 +65,8 @@ def compile_sets(
 
     def with_density(rows: DataFrame) -> DataFrame:
         found = knn.density(
-            sets.gather(rows.select(key), vectors, key), k=o.neighbours, qid=key, rid=key, vec=vec
+            sets.gather(rows.select(key), vectors, key), k=o.neighbours, qid=key, rid=key, vec=vec,
+            cells=o.cells, nprobe=o.nprobe,
         )
         return rows.join(found.withColumnRenamed("qid", key), key)
 
@@ -88,12 +92,12 @@ def compile_sets(
     )
     full = rows.select("row_id", key, "side", "class_idx").join(vectors, key)
     teacher = full.where("side = 'train'")
-    settings_ = dict(
+    search = dict(
         k=o.label_neighbours, temperature=o.temperature, qid="row_id", rid="row_id", vec=vec,
-        classes=classes,
+        classes=classes, cells=o.cells, nprobe=o.nprobe,
     )
-    shares = knn.soft_labels(teacher, teacher, **settings_).unionByName(
-        knn.soft_labels(full.where("side = 'test'"), teacher, **settings_)
+    shares = knn.soft_labels(teacher, teacher, **search).unionByName(
+        knn.soft_labels(full.where("side = 'test'"), teacher, **search)
     )
     risk_classes = sets.positive_classes(meta, classes, "subreddit", "binary_label")
     counts = {

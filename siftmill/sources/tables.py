@@ -23,7 +23,7 @@ def id_ranges(df: DataFrame, ident: str, n: int) -> DataFrame:
     if low is None:
         low, high = 0, -1
     step = max(1, math.ceil((high - low) / n) + 1) if high > low else 1
-    part = F.floor((F.col(ident) - low) / step)
+    part = F.expr(f"(`{ident}` - {low}) div {step}")
     counted = df.groupBy(part.alias("part")).agg(F.count("*").alias("rows"))
     return counted.select(
         (F.col("part") * step + low).alias("first_id"),

@@ -190,6 +190,21 @@ def test_compiled_set_is_written(spark, small):
     assert both.count() == 0
 
 
+def test_compile_with_cells(spark, small):
+    """Approximate search over all cells is the exact one."""
+    from dataclasses import replace
+
+    rows = V.vectors(spark, small)
+    exact = compiling.compile_sets(rows, options=jobs.OPTIONS)
+    cells = compiling.compile_sets(rows, options=replace(jobs.OPTIONS, cells=6, nprobe=6))
+
+    def answer(made):
+        return {tuple(r) for r in made.shares.select(
+            "qid", "class_idx", F.round("p", 9)).collect()}
+
+    assert answer(exact) == answer(cells)
+
+
 def test_empty_risk_set_is_kept_whole(spark):
     from siftmill.operators.filters import drop_happy_risk
 
