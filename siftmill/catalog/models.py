@@ -9,6 +9,7 @@ from siftmill import settings
 from siftmill.catalog import query
 from siftmill.catalog import views as V
 from siftmill.operators import evaluation, probe, sampling, student
+from siftmill.plans import labels
 
 CLASSES = sorted(settings.POSITIVE_EMOTIONS + settings.NEGATIVE_EMOTIONS)
 
@@ -76,7 +77,11 @@ def m01_multihot(spark, d):
 
 @query("m02_probe_fit")
 def m02_probe_fit(spark, d):
-    made, split = probe.fit_probe(tagged(spark, d), "vec_id", "embedding", "emotions", iterations=100)
+    stored = tagged(spark, d).select(
+        "vec_id", F.to_json("embedding").alias("embedding"), F.to_json("emotions").alias("emotions")
+    )
+    rows = labels.training_labels(stored, "emotions", "embedding")
+    made, split = probe.fit_probe(rows, "vec_id", "embedding", "emotions", iterations=100)
     guess = probe.predicted(F.col("scores"), made.classes)
     test = split.where("side = 'test'").withColumn("scores", made.scores(F.col("embedding")))
     checked = test.withColumn("guess", guess)

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from siftmill.catalog import query
 from siftmill.catalog import views as V
-from siftmill.operators import filters
 from siftmill.session import scratch
 from siftmill.sources import csv_tree, sinks, tables
 

@@ -237,9 +237,12 @@ def e06_threshold_sweep(spark, d):
     return both.select("kind", F.round("threshold", 2).alias("threshold"), V.six(F.col("f1")).alias("f1"))
 
 
+_DATASET = "CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS dataset, teacher"
+
+
 @query(
     "e07_per_dataset",
-    f"""WITH {V.DISTS}, {TOPS.replace('label, teacher', "CASE WHEN label < 5 THEN 'low' ELSE 'high' END AS dataset, teacher")},
+    f"""WITH {V.DISTS}, {TOPS.replace('label, teacher', _DATASET)},
     {prf_sql('dataset')}, u AS (UNPIVOT prf ON accuracy, precision, recall, f1, top3_accuracy
       INTO NAME m VALUE value)
     SELECT dataset || '_' || m AS metric, round(value, 6) AS value FROM u""",

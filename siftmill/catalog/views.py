@@ -143,13 +143,6 @@ def usage(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def pairs_sql() -> str:
-    """Neighbour similarities over all pairs: `pairs(qid, rid, sim, rank)` of table `vectors`."""
-    return """pairs AS (
-  SELECT a.vec_id AS qid, b.vec_id AS rid, list_cosine_similarity(a.v, b.v) AS sim
-  FROM vectors a, vectors b)"""
-
-
 def strip_sql(text: str) -> str:
     return f"trim({text}, {_BLANKS_SQL})"
 

@@ -25,7 +25,8 @@ from siftmill.session import durable
 
 MAX_CELLS = 4096
 BLOCK_ROWS = 8192
-_SLACK = 1e-9
+# Above the rounding error of an angle near zero, about 1e-8.
+_SLACK = 1e-6
 
 
 def _content_key(vec: str):
@@ -183,9 +184,13 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _plan(loads: dict[int, int], sizes: dict[int, int], block_rows: int, tasks: int):
-    """Sub-blocks and salts per cell from its row counts; at most MAX_CELLS rows."""
-    total = max(1, sum(loads.values()))
-    query_rows = max(1, min(block_rows, math.ceil(total / tasks)))
+    """Sub-blocks and salts per cell from its row counts; at most MAX_CELLS rows.
+
+    Fewer query rows than a block make more tasks, but each of them needs its own copy of the
+    reference block, so there is a floor.
+    """
+    share = math.ceil(sum(loads.values()) / tasks)
+    query_rows = max(1, min(block_rows, max(share, block_rows // 16)))
     cells = sorted(set(loads) & set(sizes))
     return pa.table(
         {
@@ -289,7 +294,9 @@ def trained_pivots(
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    made = df.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
+    # The cosine distance is not defined for zero vectors.
+    some = df.where(F.exists(vec, lambda x: x != 0))
+    made = some.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     model = KMeans(
         k=min(cells, MAX_CELLS), seed=seed, maxIter=iterations, distanceMeasure="cosine"
     ).fit(made)

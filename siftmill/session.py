@@ -75,16 +75,18 @@ def scratch(spark: SparkSession, name: str) -> str:
     return os.path.join(shared_folder(spark), f"{name}-{uuid.uuid4().hex}")
 
 
+_SPREAD_BELOW = 16 << 20
+
+
 def spread(df: DataFrame, *keys: str) -> DataFrame:
-    """Hash a scan over the cores when it has fewer tasks than there are cores.
+    """Hash a small table over the cores before heavy work on its rows.
 
-    A table of one row group is one task. Large tables have more tasks than cores and pass
-    through without a shuffle.
+    A file of one row group is one task. The estimated size decides without running anything:
+    from 16 MB per core on, the scan has enough tasks and passes without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= cores:
-        return df
-    return df.repartition(cores, *keys)
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    return df if size >= cores * _SPREAD_BELOW else df.repartition(cores, *keys)
 
 
 def shuffle_width(spark: SparkSession) -> int:

@@ -6,7 +6,6 @@ import math
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from siftmill.operators.ranking import first_rows, positions
@@ -97,9 +96,3 @@ def unnest_conversations(
         conv, turn.alias("turn"), F.col("_t.role").alias("role"),
         F.col("_t.content").alias("text"), *carry,
     )
-
-
-def newest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """One row per key, the first in order; ranked before the shuffle as well as after it."""
-    rank = F.row_number().over(W.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("_r", rank).where(F.col("_r") == 1).drop("_r")

@@ -222,3 +222,26 @@ def test_materialised_is_built_once(spark):
     assert sinks.materialised(spark, path, build).count() == 3
     assert sinks.materialised(spark, path, build).count() == 3
     assert len(calls) == 1 and sinks.exists(spark, path)
+
+
+def test_probe_is_trained_and_written_back(spark, small):
+    """Stored text columns to a fitted probe to an updated table."""
+    from siftmill.catalog import models
+    from siftmill.operators import probe
+    from siftmill.plans import labels
+
+    stored = models.tagged(spark, small).select(
+        "vec_id",
+        F.when(F.col("vec_id") % 10 == 0, "broken").otherwise(F.to_json("embedding")).alias("embedding"),
+        F.to_json("emotions").alias("emotions"),
+    )
+    rows = labels.training_labels(stored, "emotions", "embedding")
+    model, _ = probe.fit_probe(rows, "vec_id", "embedding", "emotions", iterations=10)
+    made = labels.enrich(stored, model, "vec_id", "embedding", scratch(spark, "t"), 1, 0.6)
+    assert made.count() == stored.count()
+    broken = made.where(F.col("vec_id") % 10 == 0)
+    assert broken.where("emotion_scores is not null").count() == 0
+    good = made.where(F.col("vec_id") % 10 != 0)
+    flags = F.array_contains("predicted_emotions", "positive") == (
+        F.col("emotion_scores.positive") >= 0.6)
+    assert good.where(~flags).count() == 0 and good.where("emotion_scores is null").count() == 0

@@ -93,6 +93,18 @@ def test_null_vectors_are_left_out(spark):
     assert 77 not in got and all(77 not in v for v in got.values())
 
 
+def test_bounds_hold_on_spread_vectors(spark, medium):
+    df = spark.read.parquet(f"{medium}/embeddings.parquet")
+    assert found(knn.knn(df, df, 10, cells=12, block_rows=64)) == found(knn.knn(df, df, 10))
+
+
+def test_trained_pivots_skip_zero_vectors(spark):
+    df = frame(spark, clustered(60) + [(99, np.zeros(8))])
+    pivots = knn.trained_pivots(df, "embedding", 6)
+    rows = clustered(60) + [(99, np.zeros(8))]
+    assert found(knn.knn(df, df, 5, pivots=pivots, block_rows=8)) == brute(rows, rows, 5)
+
+
 def test_recall_of_cells(spark, medium):
     df = spark.read.parquet(f"{medium}/embeddings.parquet")
     exact = found(knn.knn(df, df, 10))

@@ -58,6 +58,13 @@ def test_a_cluster_needs_a_shared_folder():
         session.shared_folder(fake)
 
 
+def test_only_small_tables_are_spread(spark, small, monkeypatch):
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    assert "Exchange" in plan_of(session.spread(docs, "doc_id"))
+    monkeypatch.setattr(session, "_SPREAD_BELOW", 1)
+    assert "Exchange" not in plan_of(session.spread(docs, "doc_id"))
+
+
 def test_lists_are_never_cut(spark):
     with pytest.raises(ValueError):
         session.listed(spark.range(11), 10)
