@@ -85,7 +85,7 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     from 16 MB per core on, the scan has enough tasks and passes without a shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     return df if size >= cores * _SPREAD_BELOW else df.repartition(cores, *keys)
 
 
