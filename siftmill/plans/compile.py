@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill import settings
+from siftmill.functions import parsing
 from siftmill.operators import knn, sampling, sets
-from siftmill.operators.filters import drop_happy_risk
+from siftmill.operators.filters import binary_label, drop_happy_risk, ensure_columns
+from siftmill.operators.ranking import seeded_hash
 from siftmill.session import durable
 
 
@@ -45,6 +47,26 @@ class Compiled:
 _COPIES = 10
 
 
+def with_scores(snapshot: DataFrame) -> DataFrame:
+    """A stored snapshot with the columns that `compile_sets` reads.
+
+    The label follows from the table a row came from unless it is there already. Scores are a
+    struct or JSON text; without them a predicted label counts as 1.
+    """
+    grown = ensure_columns(
+        snapshot, {"emotion_scores": parsing.SCORES, "predicted_emotions": "array<string>"}
+    )
+    is_text = grown.schema["emotion_scores"].dataType.typeName() == "string"
+    scores = parsing.read_scores(F.col("emotion_scores")) if is_text else F.col("emotion_scores")
+    made = grown.withColumns({
+        "pos_score": parsing.emotion_score(scores, F.col("predicted_emotions"), "positive"),
+        "neg_score": parsing.emotion_score(scores, F.col("predicted_emotions"), "negative"),
+    })
+    if "binary_label" in snapshot.columns:
+        return made
+    return made.withColumn("binary_label", binary_label(F.col("dataset_type")))
+
+
 def compile_sets(
     snapshot: DataFrame, key: str = "vec_id", vec: str = "embedding",
     options: CompileOptions = CompileOptions(),
@@ -121,4 +143,5 @@ def compiled_rows(made: Compiled, texts: DataFrame, key: str, side: str, seed: i
     width = made.classes.count()
     arrays = knn.soft_label_arrays(made.shares, width).withColumnRenamed("qid", "row_id")
     rows = made.rows.where(F.col("side") == side).join(texts.select(key, "input"), key)
-    return rows.join(arrays, "row_id").select("input", "binary_label", "soft_label", "subreddit")
+    mixed = rows.join(arrays, "row_id").orderBy(seeded_hash("row_id", seed), "row_id")
+    return mixed.select("input", "binary_label", "soft_label", "subreddit")

@@ -224,6 +224,48 @@ def test_materialised_is_built_once(spark):
     assert len(calls) == 1 and sinks.exists(spark, path)
 
 
+def test_population_goes_on_with_what_is_missing(spark):
+    from siftmill.plans import populate
+
+    chunks = spark.createDataFrame(
+        [(i, 1, "bad" if i % 4 == 0 else f"text\0{i}") for i in range(40)],
+        "post_id int, chunk_id int, input string",
+    )
+    path = populate.start_over(spark, scratch(spark, "table"))
+
+    def load(refused):
+        def embed(text):
+            if text == refused:
+                raise ValueError(text)
+            return [len(text), 1]
+
+        return lambda: embed
+
+    keys = ["post_id", "chunk_id"]
+    assert populate.populate(chunks.where("post_id < 20"), keys, load("bad"), path).count() == 15
+    assert populate.populate(chunks, keys, load("bad"), path).count() == 30
+    stored = populate.populate(chunks, keys, load("none"), path)
+    assert stored.count() == stored.select(*keys).distinct().count() == 40
+    assert stored.where(F.contains("input", F.lit("\0"))).count() == 0
+    again = populate.start_over(spark, path.rsplit("/v=", 1)[0])
+    assert again.endswith("v=2")
+
+
+def test_snapshot_scores(spark):
+    rows = [
+        (1, "safe", '{"negative": 0.2, "positive": 0.9}', None), (2, "mental_health_x", None, ["negative"]),
+        (3, None, "broken", []), (4, "safe", '{"positive": 0.4}', ["negative"]),
+    ]
+    df = spark.createDataFrame(
+        rows, "id int, dataset_type string, emotion_scores string, predicted_emotions array<string>"
+    )
+    got = {r["id"]: (r["pos_score"], r["neg_score"], r["binary_label"])
+           for r in compiling.with_scores(df).collect()}
+    assert got == {1: (0.9, 0.2, 0), 2: (0.0, 1.0, 1), 3: (0.0, 0.0, 0), 4: (0.4, 0.0, 0)}
+    bare = compiling.with_scores(df.select("id", "dataset_type")).first()
+    assert (bare["pos_score"], bare["neg_score"]) == (0.0, 0.0)
+
+
 def test_probe_is_trained_and_written_back(spark, small):
     """Stored text columns to a fitted probe to an updated table."""
     from siftmill.catalog import models
