@@ -10,6 +10,7 @@ from siftmill.catalog import query
 from siftmill.catalog import views as V
 from siftmill.operators import evaluation, probe, sampling, student
 from siftmill.plans import labels
+from siftmill.session import durable
 
 CLASSES = sorted(settings.POSITIVE_EMOTIONS + settings.NEGATIVE_EMOTIONS)
 
@@ -80,7 +81,7 @@ def m02_probe_fit(spark, d):
     stored = tagged(spark, d).select(
         "vec_id", F.to_json("embedding").alias("embedding"), F.to_json("emotions").alias("emotions")
     )
-    rows = labels.training_labels(stored, "emotions", "embedding")
+    rows = durable(labels.training_labels(stored, "emotions", "embedding"))
     made, split = probe.fit_probe(rows, "vec_id", "embedding", "emotions", iterations=100)
     guess = probe.predicted(F.col("scores"), made.classes)
     test = split.where("side = 'test'").withColumn("scores", made.scores(F.col("embedding")))

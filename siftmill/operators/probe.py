@@ -1,4 +1,4 @@
-"""Multi-label probe: one logistic regression per label on scaled vectors."""
+"""Multi-label probe: one logistic regression per label."""
 
 from __future__ import annotations
 
@@ -9,12 +9,11 @@ from dataclasses import dataclass
 import numpy as np
 from pyspark import StorageLevel, inheritable_thread_target
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill import settings
-from siftmill.operators.reduction import Scaler, fit_scaler
+from siftmill.operators.reduction import as_features
 from siftmill.operators.sampling import random_split
 from siftmill.operators.scoring import sigmoid_scores
 from siftmill.session import listed
@@ -26,26 +25,15 @@ def multi_hot(labels: Column, classes: Sequence[str]) -> Column:
 
 @dataclass
 class Probe:
-    """Weights per label, with the scaling of the vectors they were fitted on."""
+    """Weights per label on unscaled vectors."""
 
     classes: list[str]
     weights: np.ndarray
     bias: np.ndarray
-    scaler: Scaler | None = None
-
-    def _folded(self) -> tuple[np.ndarray, np.ndarray]:
-        """Weights on unscaled vectors: the scaling is folded into them."""
-        if self.scaler is None:
-            return self.weights, self.bias
-        mean = np.array(self.scaler.mean)
-        scale = np.array([d if d > 0 else 1.0 for d in self.scaler.deviation])
-        weights = self.weights / scale
-        return weights, self.bias - weights @ mean
 
     def scores(self, vec: Column) -> Column:
         """Probability per label as an array."""
-        weights, bias = self._folded()
-        return sigmoid_scores(vec, weights, bias)
+        return sigmoid_scores(vec, self.weights, self.bias)
 
 
 def fit_probe(
@@ -54,34 +42,37 @@ def fit_probe(
 ) -> tuple[Probe, DataFrame]:
     """A probe fitted on the train side and the split rows with their `side`.
 
-    The labels share one persisted table and are fitted as concurrent jobs.
+    The penalty is that of a regression on standardised vectors with one unit of inverse
+    strength. The estimator standardises by itself and gives weights for the vectors as they
+    are; with the intercept free of penalty, centring changes nothing. The labels share one
+    persisted table and are fitted as concurrent jobs.
     """
     found = df.select(F.explode(labels).alias("c")).distinct()
     classes = sorted(r["c"] for r in listed(found))
     split = random_split(df, key, test_share, seed)
-    train = split.where("side = 'train'")
-    scaler = fit_scaler(train, vec)
-    rows = train.select(
-        array_to_vector(scaler.apply(F.col(vec))).alias("features"),
-        multi_hot(F.col(labels), classes).alias("hot"),
+    rows = split.where("side = 'train'").select(
+        as_features(F.col(vec)).alias("features"), multi_hot(F.col(labels), classes).alias("hot")
     ).persist(StorageLevel.MEMORY_AND_DISK)
     n = rows.count()
+    # The estimator divides by the sample deviation, the penalty is meant for the population's.
+    penalty = (n - 1) / n**2
 
     def fit(place: int):
         one = rows.select("features", F.col("hot")[place].cast("double").alias("label"))
         model = LogisticRegression(
-            regParam=1.0 / n, elasticNetParam=0.0, standardization=False, maxIter=iterations,
+            regParam=penalty, elasticNetParam=0.0, standardization=True, maxIter=iterations,
             tol=1e-6,
         ).fit(one)
         return model.coefficients.toArray(), model.intercept
 
     try:
         with ThreadPoolExecutor(threads) as pool:
-            fitted = list(pool.map(inheritable_thread_target(df.sparkSession)(fit), range(len(classes))))
+            run = inheritable_thread_target(df.sparkSession)(fit)
+            fitted = list(pool.map(run, range(len(classes))))
     finally:
         rows.unpersist()
     weights = np.vstack([w for w, _ in fitted])
-    return Probe(classes, weights, np.array([b for _, b in fitted]), scaler), split
+    return Probe(classes, weights, np.array([b for _, b in fitted])), split
 
 
 def late_fusion(scores: Column, classes: Sequence[str], group: Sequence[str]) -> Column:
