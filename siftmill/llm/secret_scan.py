@@ -42,7 +42,7 @@ NOVELTY = 0.7
 # Characters of the text on either side that serve as its dictionary.
 AROUND = 4096
 _CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
-_CANDIDATE = re.compile(r"[A-Za-z0-9+/_=.~-]{%d,}" % SHORTEST)
+_CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_=.~-]{%d,}" % (SHORTEST - 1))
 _GATE = ("passw", "secret", "token", "key", "passphrase", "pwd", "credential", "bearer", "auth",
          "client_id", "signature", "webhook")
 IDENTIFIERS = (
