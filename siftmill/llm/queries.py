@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import packing, secret_scan, simhash, token_count
+from siftmill.llm import license_scan, packing, secret_scan, simhash, token_count
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -31,6 +31,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir))
 
 
+@_query("op4_license_scan")
+def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(_documents(spark, sf_dir))
+
+
 @_query("op5_token_count")
 def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_documents(spark, sf_dir))
