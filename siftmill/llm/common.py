@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Rows of one Arrow batch of texts. A batch of a thousand texts of 100 kB is 100 MB.
@@ -41,11 +41,6 @@ def map_batches(
     return df.mapInArrow(run, schema)
 
 
-def learning_row(ident: str, modulus: int, held: int) -> Column:
-    """False for the rows whose labels are held out: crc32(id as text) mod `modulus` = `held`."""
-    return F.crc32(F.col(ident).cast("string").cast("binary")) % modulus != held
-
-
 def usable_vectors(
     vectors: DataFrame, ident: str = "vec_id", vec: str = "embedding", zero: bool = False
 ) -> DataFrame:
@@ -57,7 +52,3 @@ def usable_vectors(
         F.col("vec_id").isNotNull() & (F.size("vec") > 0) & finite
     )
     return rows if zero else rows.where(F.exists("vec", lambda x: x != 0))
-
-
-def quoted(names: Sequence[str]) -> list[Column]:
-    return [F.col(f"`{n}`") for n in names]
