@@ -13,6 +13,7 @@ buckets, so a length that a third of all pieces share is ranked by many tasks.
 
 from __future__ import annotations
 
+import os
 import zlib
 from bisect import bisect_left, insort
 from functools import cache
@@ -32,7 +33,7 @@ from siftmill.session import durable
 SIZE = 2048
 END_ID = 0
 # Chunks whose ids a worker remembers; beyond it the memory starts anew, the ids are the same.
-REMEMBERED = 700_000
+REMEMBERED = 900_000
 _TOGETHER = 500
 _ROUNDS = 300
 # Pieces of one length in one ranking task, about.
@@ -53,6 +54,8 @@ class Encoder:
     """
 
     def __init__(self, path: str):
+        # A task has one core; threads of the library would only hand its work around.
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         self.library = tokenizers.Tokenizer.from_file(path)
         added = self.library.get_added_tokens_decoder()
         self.mark_id, mark = next(iter(added.items()))
@@ -91,13 +94,14 @@ class Encoder:
         for i, chunks in enumerate(cut):
             found = list(map(get, chunks))
             if None in found:
-                missing.update(c for c, ids in zip(chunks, found, strict=True) if ids is None)
-                late.append(i)
+                missing.update([c for c, ids in zip(chunks, found, strict=True) if ids is None])
+                late.append((i, chunks, found))
             else:
                 result[i] = b"".join(found)
         self._learn(list(missing))
-        for i in late:
-            result[i] = b"".join(map(get, cut[i]))
+        for i, chunks, found in late:
+            pairs = zip(chunks, found, strict=True)
+            result[i] = b"".join([get(c) if ids is None else ids for c, ids in pairs])
         return result
 
 
