@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from siftmill.llm import license_scan, packing, secret_scan, simhash, token_count, toxicity
+from siftmill.llm import license_scan, packing, quality, secret_scan, simhash, token_count, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +55,11 @@ def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.judge(_documents(spark, sf_dir), _labels(spark, sf_dir))
 
 
+@_query("op9_quality")
+def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(_documents(spark, sf_dir), _labels(spark, sf_dir))
+
+
 @_query("op10_simhash")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
