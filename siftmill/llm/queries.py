@@ -5,8 +5,18 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-
-from siftmill.llm import license_scan, packing, quality, secret_scan, simhash, token_count, toxicity
+from pyspark.sql import functions as F
+
+from siftmill.llm import (
+    license_scan,
+    packing,
+    quality,
+    secret_scan,
+    simhash,
+    token_count,
+    topk,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -30,6 +40,31 @@ def _labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/labels.parquet")
 
 
+def _embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+
+
+@_query("op1_topk", """
+WITH whole AS (
+    SELECT vec_id, [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+    FROM embeddings
+    WHERE vec_id IS NOT NULL AND len(embedding) > 0
+      AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
+), scored AS (
+    SELECT a.vec_id AS query_id, b.vec_id,
+           CAST(list_inner_product(a.q, b.q) AS BIGINT) AS score
+    FROM whole a JOIN whole b ON a.vec_id <> b.vec_id
+    WHERE a.vec_id % 50 = 0
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank
+    FROM scored
+)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 5
+""")
+def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(_embeddings(spark, sf_dir), F.col("vec_id") % 50 == 0)
+
+
 @_query("op2_secret_scan")
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir))
