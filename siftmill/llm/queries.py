@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siftmill.llm import (
+    ann,
     license_scan,
     packing,
     quality,
@@ -70,6 +71,11 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan(_documents(spark, sf_dir))
 
 
+@_query("op3_ann")
+def op3(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.neighbours(_embeddings(spark, sf_dir), F.col("vec_id") % 100 == 0)
+
+
 @_query("op4_license_scan")
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(_documents(spark, sf_dir))
