@@ -13,6 +13,7 @@ from siftmill.llm import (
     packing,
     quality,
     secret_scan,
+    sentence_pieces,
     simhash,
     token_count,
     topk,
@@ -86,6 +87,11 @@ def op5(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.token_counts(_documents(spark, sf_dir))
 
 
+@_query("op6_sentence_pieces")
+def op6(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sentence_pieces.digests(_documents(spark, sf_dir))
+
+
 @_query("op7_packing")
 def op7(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_documents(spark, sf_dir))
