@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.llm.common import map_batches
 from siftmill.session import durable
 
 SEED = 42
@@ -54,3 +58,17 @@ def judged(
         "doc_id", F.coalesce(~learn, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= cutoff).cast("int").alias("predicted"),
     )
+
+
+def rows_by_score(
+    docs: DataFrame, model, keep: Callable[[float], bool], text: str = "text"
+) -> DataFrame:
+    """The rows of `docs`, with all their columns, whose text `model` gives a score that `keep`
+    accepts; null texts are scored as empty. One pass, nothing is joined."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+        scores = (shared.value.score(t or "") for t in batch.column(text).to_pylist())
+        return batch.filter(pa.array([keep(s) for s in scores], pa.bool_()))
+
+    return map_batches(docs, run, docs.schema)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.llm.common import map_batches, table_of, whole_texts
-from siftmill.llm.labelled import judged, sample_rows
+from siftmill.llm.labelled import judged, learning_row, rows_by_score, sample_rows
 
 CUTOFF = 0.7
 # The model is fitted on a bounded sample: at most so many labelled rows of each class.
@@ -207,3 +207,13 @@ def judge(
 ) -> DataFrame:
     """(doc_id, held_out, score, predicted) with labels of the held-out remainder never read."""
     return judged(docs, labels, fit, scores, modulus, held, cutoff, **options)
+
+
+def good_rows(
+    docs: DataFrame, labels: DataFrame, modulus: int = 4, held: int = 2, cutoff: float = CUTOFF,
+    ident: str = "doc_id", text: str = "text", **options,
+) -> DataFrame:
+    """The rows of `docs` whose text is good: its score reaches the cutoff."""
+    learn = learning_row("doc_id", modulus, held)
+    model = fit(docs, labels, learn=learn, ident=ident, text=text, **options)
+    return rows_by_score(docs, model, lambda s: s >= cutoff, text)

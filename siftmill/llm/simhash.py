@@ -26,9 +26,9 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import map_batches, table_of, whole_texts
+from siftmill.llm.common import map_batches, table_of
 from siftmill.llm.components import components
-from siftmill.session import durable
+from siftmill.session import durable, shuffle_width
 
 # Words to a shingle, hash seed, differing bits of a link, generator polynomial.
 SHINGLE_WORDS = 3
@@ -41,7 +41,7 @@ _BLOCK = 1 << 16
 _PARTS = (("a", 0, 23), ("b", 23, 23), ("c", 46, 18))
 _HALF = 9
 _FP = pa.schema([("doc_id", pa.int64()), ("fp", pa.int64())])
-_KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64()), ("home", pa.bool_())])
+_KEYS = pa.schema([("key", pa.int64()), ("fp", pa.int64())])
 
 
 def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = HASH_SEED) -> int:
@@ -70,15 +70,26 @@ def fingerprint(text: str, words: int = SHINGLE_WORDS, seed: int = HASH_SEED) ->
     return int(packed.view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, ident: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every whole text as a signed long."""
+def fingerprints(
+    docs: DataFrame, ident: str = "doc_id", text: str = "text", carry: str | None = None, **options
+) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every whole text as a signed long; `carry` names one more
+    whole-number column to keep."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         made = [fingerprint(t, **options) for t in batch.column("text").to_pylist()]
         signed = np.array(made, np.uint64).view(np.int64)
-        return table_of({"doc_id": batch.column("doc_id"), "fp": signed}, _FP)
-
-    return map_batches(whole_texts(docs, ident, text), run, "doc_id long, fp long")
+        columns = {"doc_id": batch.column("doc_id"), "fp": signed}
+        if carry:
+            columns[carry] = batch.column(carry)
+        return table_of(columns, schema)
+
+    schema = _FP.append(pa.field(carry, pa.int64())) if carry else _FP
+    texts = docs.select(
+        F.col(ident).cast("long").alias("doc_id"), F.coalesce(text, F.lit("")).alias("text"),
+        *([F.col(carry)] if carry else []),
+    )
+    return map_batches(texts, run, "doc_id long, fp long" + (f", {carry} long" if carry else ""))
 
 
 def _remainder(words: np.ndarray) -> np.ndarray:
@@ -146,22 +157,38 @@ def fuzzy_keys(fps: np.ndarray) -> dict[str, np.ndarray]:
     return {"key": np.concatenate(keys), "fp": np.concatenate(rows), "home": np.concatenate(home)}
 
 
-def links(fps: DataFrame) -> DataFrame:
-    """(a, b), a < b: all pairs of different fingerprints `fp` at LINK_BITS or fewer bits."""
+def _keyed(fps: DataFrame, home: bool) -> DataFrame:
+    """(key, fp): the home keys or the probe keys of distinct fingerprints."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        values = batch.column("fp").to_numpy(zero_copy_only=False)
-        return table_of(fuzzy_keys(values), _KEYS)
+        made = fuzzy_keys(batch.column("fp").to_numpy(zero_copy_only=False))
+        at = made["home"] == home
+        return table_of({"key": made["key"][at], "fp": made["fp"][at]}, _KEYS)
+
+    return map_batches(fps, run, "key long, fp long", rows=2000)
 
+
+def links(fps: DataFrame) -> DataFrame:
+    """(a, b), a < b: all pairs of different fingerprints `fp` at LINK_BITS or fewer bits."""
     distinct = fps.where(F.col("fp").isNotNull()).select("fp").distinct()
-    keys = map_batches(distinct, run, "key long, fp long, home boolean", rows=2000)
-    at_home = keys.where("home").select("key", F.col("fp").alias("x"))
-    probes = keys.where("not home").select("key", F.col("fp").alias("y"))
+    # Each fingerprint makes about a hundred rows: they are made by all cores, not by the few tasks
+    # that the short fingerprints themselves would fill.
+    distinct = distinct.repartition(shuffle_width(fps.sparkSession), "fp")
+    at_home = _keyed(distinct, True).withColumnRenamed("fp", "x")
+    probes = _keyed(distinct, False).withColumnRenamed("fp", "y")
     close = F.bit_count(F.col("x").bitwiseXOR(F.col("y"))).between(1, LINK_BITS)
     met = at_home.join(probes.hint("merge"), (at_home["key"] == probes["key"]) & close)
     return met.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
+def _rooted(prints: DataFrame, *first: str) -> DataFrame:
+    """(fp, *first, root): for each fingerprint the least values of `first` and its component."""
+    known = durable(prints.groupBy("fp").agg(*[F.min(c).alias(c) for c in first]))
+    roots = components(links(known))
+    placed = known.join(roots, known["fp"] == roots["node"], "left")
+    return placed.select("fp", *first, F.coalesce("root", "fp").alias("root"))
+
+
 def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
     """(doc_id, fingerprint, component_id) for every row of `docs`.
 
@@ -171,13 +198,27 @@ def near_duplicates(docs: DataFrame, ident: str = "doc_id", text: str = "text")
     if there is none), repeated rows stay, an empty table gives no rows.
     """
     prints = durable(fingerprints(docs, ident, text))
-    known = durable(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id")))
-    roots = components(links(known))
-    placed = known.join(roots, known["fp"] == roots["node"], "left").select(
-        "fp", "first_id", F.coalesce("root", "fp").alias("root")
-    )
-    least = placed.groupBy("root").agg(F.min("first_id").alias("component_id"))
+    placed = _rooted(prints, "doc_id")
+    least = placed.groupBy("root").agg(F.min("doc_id").alias("component_id"))
     named = placed.join(least, "root").select("fp", "component_id")
     return prints.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
     )
+
+
+def deduplicate(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
+    """One row of each group of near-duplicates, with all its columns: that of the smallest id, of
+    rows with one id the first; rows without an id come last.
+
+    `docs` is read twice and numbered by its partitions, so it must be laid out alike both times, as
+    tables in files are; make any other frame durable first.
+    """
+    row = "_row"
+    while row in docs.columns:
+        row += "_"
+    numbered = docs.withColumn(row, F.monotonically_increasing_id())
+    prints = durable(fingerprints(numbered, ident, text, carry=row))
+    first = F.struct(F.coalesce("doc_id", F.lit(2**63 - 1)).alias("id"), F.col(row).alias("row"))
+    placed = _rooted(prints.select("fp", first.alias("first")), "first")
+    kept = placed.groupBy("root").agg(F.min("first").alias("first")).select(F.col("first.row").alias(row))
+    return numbered.join(kept, row, "left_semi").drop(row)

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from siftmill.llm.common import map_batches, table_of, whole_texts
 from siftmill.llm.labelled import FOLDS as _FOLDS
-from siftmill.llm.labelled import judged, sample_rows
+from siftmill.llm.labelled import judged, learning_row, rows_by_score, sample_rows
 from siftmill.session import durable
 
 CUTOFF = 0.7
@@ -270,3 +270,13 @@ def judge(
     A row with a null id is not held out.
     """
     return judged(docs, labels, fit, scores, modulus, held, cutoff, **options)
+
+
+def without_toxic(
+    docs: DataFrame, labels: DataFrame, modulus: int = 3, held: int = 1, cutoff: float = CUTOFF,
+    ident: str = "doc_id", text: str = "text", **options,
+) -> DataFrame:
+    """The rows of `docs` whose text is not toxic: its score is below the cutoff."""
+    learn = learning_row("doc_id", modulus, held)
+    model = fit(docs, labels, learn=learn, ident=ident, text=text, **options)
+    return rows_by_score(docs, model, lambda s: s < cutoff, text)

@@ -118,3 +118,18 @@ def test_components_of_paths_and_stars(spark):
     got = {r["node"]: r["root"] for r in components(df).collect()}
     assert got == {**{i: 0 for i in range(61)}, **{100 + i: 100 for i in range(50)}}
     assert components(df.where(F.lit(False))).count() == 0
+
+
+def test_deduplicate(spark):
+    base = "the quick brown fox jumps over the lazy dog and runs far away from here " * 9
+    rows = [(i, base + "x" * (i % 3), "a") for i in range(30, 10, -1)]
+    rows += [(11, base, "again"), (None, base, "b"), (None, "no id and no copy at all", "c"), (None, "no id and no copy at all", "d"), (5, None, "e"), (4, "", "f")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, _row string")
+    got = simhash.deduplicate(df)
+    kept = got.collect()
+    assert got.columns == df.columns
+    groups = {(simhash.fingerprint(r["text"] or "")) for r in kept}
+    want = _brute([(i, t) for i, t, _ in rows])
+    assert len(kept) == len({c if c is not None else f for _, f, c in want}) and len(groups) == len(kept)
+    assert {r["doc_id"] for r in kept} == {c for _, _, c in want}
+    assert simhash.deduplicate(df.where("false")).count() == 0
