@@ -128,7 +128,7 @@ def z02_risk_posts(spark, d):
 )
 def z03_control_posts(spark, d):
     posts = spread(V.posts(spark, d), "post_id")
-    wanted = corpora.quota_list(posts, "subreddit", per_group=100, low=40, high=200)
+    wanted = corpora.quota_table(posts, "subreddit", per_group=100, low=40, high=200)
     made = corpora.control_posts(posts, wanted, order=["created_utc", "post_id"])
     return made.select(
         "post_id", "author", "subreddit", V.long(F.col("chunk_id")).alias("chunk_id"),

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from siftmill.catalog import query
 from siftmill.catalog import views as V
 from siftmill.operators import ranking, sampling
-from siftmill.session import listed
+from siftmill.operators.sets import union_all
 
 H = "md5('42:' || {})"
 QUOTA = 150
@@ -49,10 +49,27 @@ def d03_shuffle(spark, d):
     return sampling.shuffled(V.table(spark, d, "documents").select("doc_id"), "doc_id")
 
 
-@query("d04_limit", "SELECT event_id, user_id FROM events ORDER BY event_id LIMIT 7000")
+@query(
+    "d04_limit",
+    """WITH e AS (SELECT CASE WHEN user_id % 7 = 0 THEN NULL ELSE user_id % 10 END AS slot,
+      event_id // 3 AS third, event_type FROM events),
+    cut AS (SELECT 'most' AS page, * FROM e ORDER BY slot NULLS FIRST, third, event_type
+      LIMIT (SELECT count(*) * 9 // 10 FROM e)),
+    few AS (SELECT 'few', * FROM e ORDER BY slot NULLS FIRST, third, event_type LIMIT 250)
+    SELECT * FROM cut UNION ALL SELECT * FROM few""",
+)
 def d04_limit(spark, d):
-    events = V.table(spark, d, "events").select("event_id", "user_id")
-    return ranking.first_rows(events, ["event_id"], 7000)
+    """Order columns that repeat and hold nulls, a page of nine tenths of the table and a short one."""
+    events = V.table(spark, d, "events").select(
+        F.when(F.col("user_id") % 7 != 0, F.col("user_id") % 10).alias("slot"),
+        F.floor(F.col("event_id") / 3).alias("third"), "event_type",
+    )
+    order = ["slot", "third", "event_type"]
+    pages = {"most": events.count() * 9 // 10, "few": 250}
+    return union_all(*[
+        ranking.first_rows(events, order, n).select(F.lit(name).alias("page"), "*")
+        for name, n in pages.items()
+    ])
 
 
 @query(
@@ -118,9 +135,9 @@ taken AS (SELECT {key} FROM acc WHERE step = (SELECT count(*) FROM turns_g) AND
 )
 def d08_cap_quota(spark, d):
     rows = feed(spark, d)
-    names = sorted(r[0] for r in listed(rows.select("event_type").distinct()))
+    wanted = rows.select("event_type").distinct().withColumn("quota", F.lit(QUOTA).cast("long"))
     return sampling.cap_and_quota(
-        rows, "author", "event_type", ["ts", "event_id"], "n_chunks", [(n, QUOTA) for n in names]
+        rows, "author", "event_type", ["ts", "event_id"], "n_chunks", wanted
     ).select("event_id", "author", "event_type", "n_chunks")
 
 

@@ -79,7 +79,7 @@ def x05_stream_cap(spark, d):
     edges = [float("-inf"), *cuts, float("inf")]
     for low, high in zip(edges, edges[1:]):
         part = rows.where((second > low) & (second <= high))
-        part.coalesce(1).write.mode("append").parquet(source)
+        part.repartition(1).write.mode("append").parquet(source)
     stream = files.arriving(spark, source, rows.schema, files_per_trigger=1)
     caps.stream_author_cap(
         stream, "author", ["ts", "event_id"], out, scratch(spark, "counts"), scratch(spark, "progress")

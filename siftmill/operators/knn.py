@@ -23,7 +23,8 @@ from siftmill import settings
 from siftmill.operators.ranking import positions, take_seeded
 from siftmill.session import durable
 
-MAX_CELLS = 4096
+# Cells made without being asked for; a request is never lowered.
+USUAL_CELLS = 4096
 BLOCK_ROWS = 8192
 # Above the rounding error of an angle near zero, about 1e-8.
 _SLACK = 1e-6
@@ -132,7 +133,7 @@ def _block_topk(k: int):
 
 
 def _with_plan(df: DataFrame, plan: pa.Table) -> DataFrame:
-    """Add `blocks` and `salts` of the row's cell; one row per cell, at most MAX_CELLS."""
+    """Add `blocks` and `salts` of the row's cell; one row per cell."""
     if plan.num_rows == 1:
         one = plan.to_pylist()[0]
         return df.where(F.col("cell") == one["cell"]).withColumns(
@@ -184,7 +185,7 @@ def _best(found: DataFrame, k: int) -> DataFrame:
 
 
 def _plan(loads: dict[int, int], sizes: dict[int, int], block_rows: int, tasks: int):
-    """Sub-blocks and salts per cell from its row counts; at most MAX_CELLS rows.
+    """Sub-blocks and salts per cell from its row counts.
 
     Fewer query rows than a block make more tasks, but each of them needs its own copy of the
     reference block, so there is a floor.
@@ -202,7 +203,7 @@ def _plan(loads: dict[int, int], sizes: dict[int, int], block_rows: int, tasks:
 
 
 def _counts(df: DataFrame) -> dict[int, int]:
-    """Rows per cell; the number of cells is bounded by MAX_CELLS."""
+    """Rows per cell; there are as many as pivots, which one matrix holds."""
     rows = df.groupBy("cell").agg(F.count("*").alias("n")).collect()
     return {r["cell"]: r["n"] for r in rows}
 
@@ -274,8 +275,8 @@ def _by_cell(visits: DataFrame) -> DataFrame:
 
 
 def _spread_pivots(refs: DataFrame, cells: int) -> np.ndarray:
-    """`cells` distinct vectors in hash order; at most MAX_CELLS rows reach the driver."""
-    table = refs.orderBy("key").limit(min(cells, MAX_CELLS)).select("vec").toArrow()
+    """`cells` distinct vectors in hash order; they reach the driver, as pivots do."""
+    table = refs.orderBy("key").limit(cells).select("vec").toArrow()
     return _matrix(table.column("vec"))
 
 
@@ -283,7 +284,7 @@ def sampled_pivots(
     df: DataFrame, key: str, vec: str, cells: int, seed: int = settings.SEED
 ) -> np.ndarray:
     """The vectors of a seeded sample of rows, which does not depend on the engine."""
-    rows = take_seeded(df.select(key, vec), key, min(cells, MAX_CELLS), seed=seed)
+    rows = take_seeded(df.select(key, vec), key, cells, seed=seed)
     return _matrix(rows.orderBy(key).select(vec).toArrow().column(vec))
 
 
@@ -298,7 +299,7 @@ def trained_pivots(
     some = df.where(F.exists(vec, lambda x: x != 0))
     made = some.select(array_to_vector(F.col(vec).cast("array<double>")).alias("features"))
     model = KMeans(
-        k=min(cells, MAX_CELLS), seed=seed, maxIter=iterations, distanceMeasure="cosine"
+        k=cells, seed=seed, maxIter=iterations, distanceMeasure="cosine"
     ).fit(made)
     centres = np.vstack(model.clusterCenters())
     size = np.sqrt((centres * centres).sum(axis=1, keepdims=True))
@@ -311,7 +312,7 @@ def _search(queries, refs, k, cells, nprobe, pivots, block_rows) -> DataFrame:
     tasks = spark.sparkContext.defaultParallelism
     n_ref = refs.count()
     if pivots is None:
-        wanted = cells or max(1, min(MAX_CELLS, n_ref // (4 * block_rows)))
+        wanted = cells or max(1, min(USUAL_CELLS, n_ref // (4 * block_rows)))
         if wanted > 1 and n_ref > wanted:
             pivots = _spread_pivots(refs, wanted)
     vectors = queries.select("key", "vec")

@@ -237,14 +237,43 @@ def take_seeded(df, key, take, strata=(), seed=settings.SEED) -> DataFrame:
     return mark_seeded(df, key, wanted, strata, seed, "_picked").where("_picked").drop("_picked")
 
 
-_SMALL_PAGE = 10_000
+_KEY = "_key"
+
+
+def row_key(*columns: str) -> Column:
+    """128 bits that name a row by its values, nulls among them."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit(settings.SEED), *columns).alias("b"))
 
 
 def first_rows(df: DataFrame, order: Sequence[str], n: int, skip: int = 0) -> DataFrame:
-    """Rows skip..skip+n-1 in order. A deep page is cut by positions, not kept in one task."""
-    if skip + n <= _SMALL_PAGE:
-        page = df.orderBy(*order)
-        return (page.offset(skip) if skip else page).limit(n)
-    placed = positions(df.select(*order), order, name="_pos")
-    wanted = placed.where((F.col("_pos") >= skip) & (F.col("_pos") < skip + n)).drop("_pos")
-    return df.join(wanted, list(order), "left_semi")
+    """Rows skip..skip+n-1 in order, nulls first; the page comes back in that order.
+
+    Rows that the order columns do not tell apart follow each other by a hash of their values, so
+    the page is exact whatever repeats. The places are counted on a table of order columns, hash
+    and number of equal rows; only the rows of the page are sorted.
+    """
+    clear = [f"_o{i}" for i in range(len(order))]
+    keyed = df.withColumns(
+        {_KEY: row_key(*df.columns), **{c: F.col(o) for c, o in zip(clear, order)}}
+    )
+    counted = keyed.groupBy(*clear, _KEY).agg(F.count("*").alias("_n"))
+    placed = sums_before(counted, [*clear, _KEY], {"_at": F.col("_n")})
+    until = F.least(F.col("_at") + F.col("_n"), F.lit(skip + n))
+    cut = placed.withColumn("_take", until - F.greatest(F.col("_at"), F.lit(skip)))
+    page = cut.where(F.col("_take") > 0)
+    same = F.lit(True)
+    for c in (*clear, _KEY):
+        same = same & F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}"))
+
+    def rows(chosen: DataFrame, extra: Sequence[str] = ()) -> DataFrame:
+        met = keyed.alias("l").join(chosen.alias("r"), same)
+        return met.select(*[F.col(f"l.`{c}`") for c in keyed.columns], *[F.col(f"r.{c}") for c in extra])
+
+    whole = rows(page.where("_take = _n"))
+    # Of equal rows at an end of the page some stay: one of them, as often as needed.
+    edge = rows(page.where("_take < _n"), ["_take"]).groupBy(*clear, _KEY).agg(
+        *[F.any_value(c).alias(c) for c in df.columns], F.any_value("_take").alias("_take")
+    )
+    edge = edge.withColumn("_i", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_take"))))
+    both = whole.unionByName(edge.drop("_take", "_i"))
+    return both.orderBy(*clear, _KEY).select(*df.columns)

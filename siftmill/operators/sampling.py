@@ -16,13 +16,14 @@ from siftmill import settings
 from siftmill.operators.ranking import (
     last_within,
     mark_seeded,
+    positions,
     prefix_layout,
     prefix_rows,
     seeded_hash,
     seeded_positions,
     take_seeded,
 )
-from siftmill.session import small_or_same
+from siftmill.session import durable, small_or_same
 
 
 def bernoulli(df: DataFrame, key: str, rate: float, seed: int = settings.SEED) -> DataFrame:
@@ -103,7 +104,7 @@ def cap_then_quota(
 
 def cap_and_quota(
     df: DataFrame, author: str, group: str, order: Sequence[str], size: str,
-    wanted: Sequence[tuple[str, int]],
+    wanted: Sequence[tuple[str, int]] | DataFrame,
     cap: int = settings.AUTHOR_CAP, exempt: Sequence[str] = settings.EXEMPT_AUTHORS,
 ) -> DataFrame:
     """Groups read one after another, each until its quota; the author cap holds across them.
@@ -113,14 +114,22 @@ def cap_and_quota(
     round, starting without any. The first group is right after one round, the second after
     two, and so on; ends that repeat themselves are the only possible ones. Most tables
     settle in a few rounds, and none takes more than there are groups.
+
+    `wanted` is a list of (group, quota) in reading order, or a table (group, quota) of any size
+    whose groups are read in order of their names.
     """
     free = _exempt(author, exempt)
-    names, quotas_ = zip(*wanted)
-    plan = F.broadcast(df.sparkSession.createDataFrame(pa.table({
-        "_name": pa.array(names),
-        "_g": pa.array(range(len(names)), pa.int32()),
-        "_quota": pa.array(quotas_, pa.int64()),
-    })))
+    if isinstance(wanted, DataFrame):
+        named = wanted.select(F.col(group).alias("_name"), F.col("quota").alias("_quota"))
+        plan = durable(positions(named.where("_name IS NOT NULL"), ["_name"], name="_g"))
+    else:
+        names, quotas_ = zip(*wanted)
+        plan = df.sparkSession.createDataFrame(pa.table({
+            "_name": pa.array(names),
+            "_g": pa.array(range(len(names)), pa.int64()),
+            "_quota": pa.array(quotas_, pa.int64()),
+        }))
+    groups = plan.count()
     listed = df.join(plan.drop("_quota"), F.col(group) == F.col("_name")).drop("_name")
     # Only the first `cap` rows of an author in a group can ever be taken.
     rank = F.row_number().over(W.partitionBy(author, "_g").orderBy(*order))
@@ -144,15 +153,16 @@ def cap_and_quota(
         return slots.drop("_used").unionByName(read.where(free))
 
     ends, before = None, None
-    for _ in range(len(wanted) + 1):
-        found = last_within(
+    for _ in range(groups + 1):
+        found = durable(last_within(
             open_rows(ends), order, "_g", plan.select("_g", "_quota"), "_quota"
-        )
-        held = found.toArrow().sort_by("_g")
-        if before is not None and held.equals(before):
+        ))
+        held = tuple(found.agg(
+            F.count("*"), F.sum(F.xxhash64("_g", "last").cast("decimal(38,0)"))
+        ).first())
+        if held == before:
             break
-        before = held
-        ends = F.broadcast(df.sparkSession.createDataFrame(held, found.schema))
+        before, ends = held, found
     return open_rows(ends).where("_read = 1").select(*df.columns)
 
 
@@ -199,9 +209,12 @@ def author_split(
     test = (
         drawn.groupBy(author).agg(F.bool_and("picked").alias("_test")).where("_test")
     )
-    joined = df.join(test, author, "left")
+    # Unknown authors may hold a third of all rows; they never enter the join.
+    joined = df.where(known).join(test, author, "left")
     side = F.when(F.coalesce("_test", F.lit(False)), "test").otherwise("train")
-    return joined.select(*df.columns, side.alias("side"))
+    return joined.select(*df.columns, side.alias("side")).unionByName(
+        df.where(~known).select("*", F.lit("train").alias("side"))
+    )
 
 
 def random_split(

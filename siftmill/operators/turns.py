@@ -13,23 +13,30 @@ from pyspark.sql import functions as F
 
 from siftmill.functions import text
 from siftmill.operators.filters import chunk_rows, composite_id
-from siftmill.operators.ranking import first_rows, positions
+from siftmill.operators.ranking import first_rows, positions, row_key
+from siftmill.session import durable
 
 
 def with_place(df: DataFrame, conv: str = "conv_id", turn: str = "turn") -> DataFrame:
     """Add `place`, the 0-based position of a turn among all turns of its conversation.
 
-    Where every conversation numbers its turns 0..n-1, which one narrow aggregate proves, the
-    turn number is the place. Otherwise places are counted across ranges.
+    In a conversation whose turn numbers are 0..n-1, each once, the number is the place. The turns
+    of all other conversations are counted across ranges; of turns with one number (a missing one
+    comes first) the order is that of a hash of their values.
     """
     per = df.groupBy(conv).agg(
-        F.min(turn).alias("lo"), F.max(turn).alias("hi"), F.count("*").alias("n")
+        F.min(turn).alias("lo"), F.max(turn).alias("hi"), F.count("*").alias("n"),
+        F.count_distinct(turn).alias("kinds"),
     )
-    whole = (F.col("lo") == 0) & (F.col("hi") + 1 == F.col("n"))
-    if per.agg(F.coalesce(F.bool_and(whole), F.lit(True))).first()[0]:
+    whole = (F.col("lo") == 0) & (F.col("hi") + 1 == F.col("n")) & (F.col("kinds") == F.col("n"))
+    odd = durable(per.where(~F.coalesce(whole, F.lit(False))).select(F.col(conv).alias("_conv")))
+    if odd.isEmpty():
         return df.withColumn("place", F.col(turn).cast("long"))
-    placed = positions(df.select(conv, turn), [turn], [conv], name="place")
-    return df.join(placed, [conv, turn])
+    same = F.col(conv).eqNullSafe(F.col("_conv"))
+    plain = df.join(odd, same, "left_anti").withColumn("place", F.col(turn).cast("long"))
+    uneven = df.join(odd, same, "left_semi").withColumn("_key", row_key(*df.columns))
+    placed = positions(uneven, [turn, "_key"], [conv], name="place").drop("_key")
+    return plain.unionByName(placed)
 
 
 def turn_pairs(

@@ -78,7 +78,11 @@ def compile_sets(
     """
     o = options
     vectors = snapshot.select(key, vec)
-    meta = snapshot.select(key, "author", "subreddit", "binary_label", "pos_score", "neg_score")
+    # A row without a class stays, under a class of its own.
+    meta = snapshot.select(
+        key, "author", F.coalesce("subreddit", F.lit(settings.NO_CLASS)).alias("subreddit"),
+        "binary_label", "pos_score", "neg_score",
+    )
     classes = sets.class_index(meta, "subreddit")
     split = durable(
         sampling.author_split(meta, share=o.test_share, seed=o.seed).join(classes, "subreddit")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from siftmill import settings
 from siftmill.functions import parsing, text
 from siftmill.operators import filters, ranking, sampling, turns
-from siftmill.session import durable, listed
+from siftmill.session import durable
 from siftmill.sources import tables
 
 
@@ -49,7 +49,7 @@ def first_chunks(
 
 
 def control_posts(
-    posts: DataFrame, wanted: Sequence[tuple[str, int]], key: str = "post_id",
+    posts: DataFrame, wanted: Sequence[tuple[str, int]] | DataFrame, key: str = "post_id",
     body: str = "selftext", group: str = "subreddit", order: Sequence[str] = ("post_id",),
     cap: int = settings.AUTHOR_CAP, seed: int = settings.SEED,
 ) -> DataFrame:
@@ -71,10 +71,9 @@ def control_posts(
     return rows.join(placed, [key, "chunk_id"])
 
 
-def quota_list(posts: DataFrame, group: str, **bounds) -> list[tuple[str, int]]:
-    """Groups and quotas in name order: one short row per configured group."""
-    made = sampling.quotas(posts, group, **bounds)
-    return [(r[group], r["quota"]) for r in listed(made.orderBy(group))]
+def quota_table(posts: DataFrame, group: str, **bounds) -> DataFrame:
+    """(group, quota): as many rows as there are groups, joined where they are needed."""
+    return sampling.quotas(posts, group, **bounds).select(group, "quota")
 
 
 def chat_pairs(chats: DataFrame, conv: str = "conv_id") -> DataFrame:

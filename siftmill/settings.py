@@ -31,6 +31,7 @@ SEED = 42
 REQUESTS_PER_MINUTE = 5_000
 TOKENS_PER_MINUTE = 5_000_000
 EMBEDDING_WIDTH = 1536
+NO_CLASS = "(none)"
 EMPTY_BODIES = ("nan", "none", "", "[removed]", "[deleted]")
 RISK_TABLE_MARK = "mental_health"
 REMOVAL_MARKS = ("[removed]", "[deleted]")

@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import csv
+import io
+import re
 from collections.abc import Sequence
 from functools import reduce
 
@@ -24,16 +26,27 @@ _OVERFLOW = "_overflow"
 
 
 def _header(spark: SparkSession, path: str) -> tuple[str, ...]:
-    """The column names of one file: only its first line is read."""
+    """The column names of one file: only its first record is read, which may span lines.
+
+    A byte-order mark is no part of the first name.
+    """
     jvm = spark._jvm
     where = jvm.org.apache.hadoop.fs.Path(path)
     stream = where.getFileSystem(spark._jsc.hadoopConfiguration()).open(where)
     try:
         reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(stream, "UTF-8"))
-        line = reader.readLine()
+        lines = []
+        while (line := reader.readLine()) is not None:
+            lines.append(line)
+            if sum(part.count('"') for part in lines) % 2 == 0:
+                break
     finally:
         stream.close()
-    return tuple(next(csv.reader([line]))) if line else ()
+    record = "\n".join(lines).removeprefix("\ufeff")
+    return tuple(next(csv.reader(io.StringIO(record, newline="")))) if record else ()
+
+
+_NUMBER, _PATH = "_number", "_path"
 
 
 def _read(spark: SparkSession, paths: list[str], names: tuple[str, ...]) -> DataFrame:
@@ -41,7 +54,22 @@ def _read(spark: SparkSession, paths: list[str], names: tuple[str, ...]) -> Data
     fewer keeps nulls."""
     schema = T.StructType([T.StructField(n, T.StringType()) for n in (*names, _OVERFLOW)])
     rows = spark.read.options(**_OPTIONS).option("columnPruning", "false").schema(schema).csv(paths)
-    return rows.where(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
+    numbered = rows.withColumn(_NUMBER, F.monotonically_increasing_id()).withColumn(
+        _PATH, F.col("_metadata.file_path")
+    )
+    return numbered.where(F.col(_OVERFLOW).isNull()).drop(_OVERFLOW)
+
+
+def _named(rows: DataFrame, root: str, name: str) -> DataFrame:
+    """Add `name`: the path of the file below `root` and the row's number in the file.
+
+    A file is read by one task from its first line on, so a number less the least one of its file
+    does not depend on how files are dealt out.
+    """
+    first = rows.groupBy(_PATH).agg(F.min(_NUMBER).alias("_first"))
+    number = (F.col(_NUMBER) - F.col("_first")).cast("string")
+    below = F.regexp_replace(_PATH, "^" + re.escape(root) + "/?", "")
+    return rows.join(first, _PATH).withColumn(name, F.concat_ws("_", below, number)).drop("_first")
 
 
 def read_csv_tree(
@@ -53,8 +81,8 @@ def read_csv_tree(
 ) -> DataFrame:
     """All CSV files below `root` but the skipped ones and those without a required column.
 
-    `row_name` adds a column that names each row by its file and a number unique in the read,
-    as a default for rows without an id.
+    `row_name` adds a column that names each row by the path of its file below `root` and its
+    number in the file, as a default for rows without an id; another cluster gives the same names.
     """
     listed = (
         spark.read.format("binaryFile")
@@ -76,14 +104,13 @@ def read_csv_tree(
         raise ValueError(f"no CSV file with the columns {list(required)} below {root}")
     tables = [_read(spark, files, names) for names, files in layouts.items()]
     if row_name:
-        tables = [
-            t.withColumn(row_name, F.element_at(F.split(F.input_file_name(), "/"), -1)) for t in tables
-        ]
-    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    if not row_name:
-        return whole
-    number = F.monotonically_increasing_id().cast("string")
-    return whole.withColumn(row_name, F.concat_ws("_", row_name, number))
+        where = spark._jvm.org.apache.hadoop.fs.Path(root)
+        system = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        base = system.makeQualified(where).toString()
+        tables = [_named(t, base, row_name) for t in tables]
+    return reduce(
+        lambda a, b: a.unionByName(b, allowMissingColumns=True), [t.drop(_NUMBER, _PATH) for t in tables]
+    )
 
 
 def write_csv(df: DataFrame, path: str) -> None:

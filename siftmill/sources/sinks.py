@@ -53,7 +53,8 @@ def after_rows(df: DataFrame, order: str, done: int) -> DataFrame:
     from siftmill.operators.ranking import positions
 
     placed = positions(df.select(order), [order], name="_pos")
-    return df.join(placed.where(F.col("_pos") >= done).select(order), order, "left_semi")
+    later = placed.where(F.col("_pos") >= done).select(F.col(order).alias("_order"))
+    return df.join(later, F.col(order).eqNullSafe(F.col("_order")), "left_semi")
 
 
 def version(path: str, n: int) -> str:
@@ -110,7 +111,7 @@ def write_compiled(df: DataFrame, path: str) -> None:
 
 def write_side_table(df: DataFrame, path: str) -> None:
     """A small table as one JSON file."""
-    df.coalesce(1).write.json(path)
+    df.repartition(1).write.json(path)
 
 
 def read_side_table(spark: SparkSession, path: str, schema: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -64,7 +65,11 @@ def batches(df: DataFrame, order: Sequence[str], size: int) -> DataFrame:
     """
     placed = positions(df.select(*order), order, name="_pos")
     numbered = placed.withColumn("batch", F.floor(F.col("_pos") / size)).drop("_pos")
-    return numbered if set(df.columns) == set(order) else df.join(numbered, list(order))
+    if set(df.columns) == set(order):
+        return numbered
+    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in order])
+    met = df.alias("l").join(numbered.alias("r"), same)
+    return met.select(*[F.col(f"l.{c}") for c in df.columns], "r.batch")
 
 
 _SEGMENT = 1000

@@ -13,10 +13,15 @@ from siftmill.sources.sinks import exists
 from siftmill.streaming.files import each_page
 
 
-def _counts_before(spark: SparkSession, folder: str, page: int) -> DataFrame | None:
-    """Slots used by the pages before `page`; every page leaves one table of counts."""
-    path = f"{folder}/page={page - 1}"
-    return spark.read.parquet(path) if page > 0 and exists(spark, path) else None
+def _counts_before(spark: SparkSession, author: str, folder: str, page: int) -> DataFrame | None:
+    """Slots used by the pages before `page`; every page leaves a table of what it used."""
+    paths = [f"{folder}/page={n}" for n in range(page)]
+    missing = [p for p in paths if not exists(spark, p)]
+    if missing:
+        raise RuntimeError(f"the counts of {len(missing)} earlier pages are missing, e.g. {missing[-1]}")
+    if not paths:
+        return None
+    return spark.read.parquet(*paths).groupBy(author).agg(F.sum("_used").alias("_used"))
 
 
 def stream_author_cap(
@@ -32,7 +37,7 @@ def stream_author_cap(
 
     def page(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
-        used = _counts_before(spark, counts, number)
+        used = _counts_before(spark, author, counts, number)
         free = F.coalesce(F.col(author).isin(*exempt), F.lit(True))
         rank = F.row_number().over(W.partitionBy(author).orderBy(*order))
         named = rows.where(~free).withColumn("_r", rank).where(F.col("_r") <= cap)
@@ -46,8 +51,6 @@ def stream_author_cap(
         )
         kept = spark.read.parquet(target).where(~free)
         now = kept.groupBy(author).agg(F.count("*").alias("_used"))
-        if used is not None:
-            now = used.unionByName(now).groupBy(author).agg(F.sum("_used").alias("_used"))
         now.write.mode("overwrite").parquet(f"{counts}/page={number}")
 
     each_page(stream, page, progress)

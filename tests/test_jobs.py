@@ -2,6 +2,7 @@
 
 from collections import Counter, defaultdict
 
+import pytest
 from pyspark.sql import functions as F
 
 from siftmill.catalog import jobs
@@ -27,12 +28,70 @@ def test_csv_quirks(spark, tmp_path):
     got = {r["id"]: (r["text"], r["lang"]) for r in rows}
     named = csv_tree.read_csv_tree(spark, str(tmp_path), required=["text"], row_name="post_id")
     names = [r["post_id"] for r in named.collect()]
-    assert len(set(names)) == 3 and all(n.startswith(("one.csv_", "two.csv_")) for n in names)
+    assert sorted(names) == ["a/deep/two.csv_0", "a/one.csv_0", "a/one.csv_2"]
     assert got == {
         "1": ('two\nlines, "quoted"', "en"), "3": ("few", None), "4": ("plain", None),
     }
 
 
+def test_csv_marks_and_headers(spark, tmp_path):
+    (tmp_path / "mark.csv").write_text("text,id\nfirst,1\nsecond,2\n", encoding="utf-8-sig")
+    (tmp_path / "plain.csv").write_text('id,text,"a\nb"\n3,third,x\n', encoding="utf8")
+    rows = csv_tree.read_csv_tree(spark, str(tmp_path), required=["text", "id"], row_name="name")
+    got = sorted((r["name"], r["id"], r["text"], r["a\nb"]) for r in rows.collect())
+    assert got == [
+        ("mark.csv_0", "1", "first", None), ("mark.csv_1", "2", "second", None),
+        ("plain.csv_0", "3", "third", "x"),
+    ]
+
+
+def test_places_of_repeated_and_missing_turns(spark):
+    rows = [("a", t, "user", f"a{i}") for i, t in enumerate([0, 0, 2])]
+    rows += [("b", t, "user", f"b{i}") for i, t in enumerate([5, 5, 7])]
+    rows += [("c", t, "user", f"c{i}") for i, t in enumerate([1, None])] + [(None, 0, "user", "n")]
+    rows += [("d", t, "user", f"d{t}") for t in range(3)]
+    df = spark.createDataFrame(rows, "conv_id string, turn long, role string, text string")
+    got = defaultdict(list)
+    for r in turns.with_place(df).collect():
+        got[r["conv_id"]].append((r["place"], r["turn"]))
+    assert {k: sorted(p for p, _ in v) for k, v in got.items()} == {
+        "a": [0, 1, 2], "b": [0, 1, 2], "c": [0, 1], "d": [0, 1, 2], None: [0]
+    }
+    assert sorted(got["c"], key=str) == [(0, None), (1, 1)] and (2, 7) in got["b"]
+
+
+def test_missing_counts_of_a_page_are_an_error(spark, tmp_path):
+    with pytest.raises(RuntimeError, match="missing"):
+        caps._counts_before(spark, "author", str(tmp_path), 7)
+    assert caps._counts_before(spark, "author", str(tmp_path), 0) is None
+
+
+def test_control_posts_of_many_groups(spark):
+    text = "one two three four five six seven eight nine ten eleven twelve. " * 2
+    posts = spark.range(24_000).select(
+        F.concat(F.lit("p"), F.col("id").cast("string")).alias("post_id"), F.lit("unknown").alias("author"),
+        F.lit(1630000000.0).alias("created_utc"), F.lit(text).alias("selftext"),
+        F.concat(F.lit("g"), (F.col("id") % 12_000).cast("string")).alias("subreddit"),
+    )
+    wanted = corpora.quota_table(posts, "subreddit", per_group=1, low=1, high=1)
+    made = corpora.control_posts(posts, wanted, order=["created_utc", "post_id"])
+    assert made.select("subreddit").distinct().count() == 12_000
+
+
+def test_rows_without_a_class_stay(spark):
+    rows = spark.range(400).select(
+        F.col("id").alias("vec_id"), F.concat(F.lit("u"), (F.col("id") % 90).cast("string")).alias("author"),
+        F.when(F.col("id") % 5 != 0, F.concat(F.lit("c"), (F.col("id") % 3).cast("string"))).alias("subreddit"),
+        (F.col("id") % 2).cast("int").alias("binary_label"), F.lit(0.1).alias("pos_score"), F.lit(0.1).alias("neg_score"),
+        F.array(F.cos("id").cast("float"), F.sin("id").cast("float")).alias("embedding"),
+    )
+    options = compiling.CompileOptions(neighbours=3, label_neighbours=3, risk_density=-1.0, safe_density=-1.0)
+    made = compiling.compile_sets(rows, options=options)
+    counts = {r["stage"]: r["rows"] for r in made.funnel.collect()}
+    assert counts["all"] == 400 == counts["train"] + counts["test"]
+    assert {r["subreddit"] for r in made.classes.collect()} == {"(none)", "c0", "c1", "c2"}
+
+
 def test_long_conversation_is_cut_into_segments(spark):
     df = spark.range(2500).select(
         F.lit(1).alias("conv_id"), F.col("id").alias("turn"), F.lit("user").alias("role"),

@@ -1,7 +1,7 @@
 """Distributed positions and selections against sorted lists, with one heavy group."""
 
 import hashlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import pytest
 from pyspark.sql import functions as F
@@ -64,10 +64,25 @@ def test_seeded_positions(spark):
     assert [r["id"] for r in sorted(got, key=lambda r: r["pos"])] == sorted(range(1000), key=order_of)
 
 
-def test_deep_page(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "_SMALL_PAGE", 10)
+def test_deep_page(spark):
     got = ranking.first_rows(heavy(spark), ["t", "id"], 50, 2000).collect()
-    assert sorted(r["id"] for r in got) == list(range(2000, 2050))
+    assert [r["id"] for r in got] == list(range(2000, 2050))
+
+
+@pytest.mark.parametrize("n", [9_999, 10_000, 10_001, 20_000])
+def test_pages_with_ties_and_nulls(spark, n):
+    df = spark.range(12_000).select(
+        F.when(F.col("id") % 100 != 0, F.col("id") % 10).alias("t"), (F.col("id") % 40).alias("v")
+    )
+    got = [(r["t"], r["v"]) for r in ranking.first_rows(df, ["t"], n).collect()]
+    assert len(got) == min(n, 12_000)
+    every = Counter((None if i % 100 == 0 else i % 10, i % 40) for i in range(12_000))
+    kept = Counter(got)
+    assert all(kept[k] <= every[k] for k in kept)
+    order = [-1 if t is None else t for t, _ in got]
+    assert order == sorted(-1 if i % 100 == 0 else i % 10 for i in range(12_000))[:n]
+    rest = [(r["t"], r["v"]) for r in ranking.first_rows(df, ["t"], 12_000, n).collect()]
+    assert kept + Counter(rest) == every
 
 
 def test_results_do_not_depend_on_partitioning(spark):
