@@ -82,7 +82,7 @@ def m02_probe_fit(spark, d):
         "vec_id", F.to_json("embedding").alias("embedding"), F.to_json("emotions").alias("emotions")
     )
     rows = durable(labels.training_labels(stored, "emotions", "embedding"))
-    made, split = probe.fit_probe(rows, "vec_id", "embedding", "emotions", iterations=100)
+    made, split = probe.fit_probe(rows, "vec_id", "embedding", "emotions")
     guess = probe.predicted(F.col("scores"), made.classes)
     test = split.where("side = 'test'").withColumn("scores", made.scores(F.col("embedding")))
     checked = test.withColumn("guess", guess)

@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftmill import settings
 from siftmill.catalog import query
 from siftmill.catalog import views as V
 from siftmill.functions import vectors as fv
 from siftmill.operators import knn, reduction
 
-K = 10
-RISK_CUT = 0.30
-SAFE_CUT = 0.345
+K = settings.NEIGHBOURS
+RISK_CUT = 0.13
+SAFE_CUT = 0.20
 HEAT = 0.5
 
 
