@@ -16,7 +16,7 @@ from __future__ import annotations
 
 import re
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import cache
 
 import numpy as np
@@ -29,10 +29,8 @@ from siftmill.llm.common import map_batches, table_of, whole_texts
 
 SPACE = "▁"
 # Units whose ids, and pairs of pieces whose test, a worker remembers; the ids do not depend on it.
-REMEMBERED = 500_000
+REMEMBERED = 700_000
 _LONGEST_KEPT = 64
-# Blanks before letters or before other characters; no piece of a fitting model crosses these cuts.
-_UNIT = re.compile(r" *[^\W\d_]+| *(?:[^\w ]|[\d_])+| +")
 _MINUS = float("-inf")
 _SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_byte_pieces", pa.int64()),
@@ -42,30 +40,37 @@ Step = Callable[[int, int], float]
 
 
 def viterbi(
-    text: str, pieces: dict[str, int], longest: int, step: Step, unknown: Step | None = None,
+    text: str, pieces: dict[str, int], longest: int, step: Step | None = None,
+    fits: dict[int, bool] | None = None, width: int = 0,
 ) -> Iterator[tuple[int, int, int]]:
     """(id, start, end) of the best segmentation, each as soon as it is settled.
 
-    `step(before, piece)` is the score of `piece` after the id `before` (-1 at the start). A single
-    character that is no piece is passed over as id -1, scored by `unknown`, if given, or 0.
+    Either `step(before, piece)` is the score of `piece` after the id `before` (-1 at the start), or
+    `fits[before * width + piece]` says whether it may follow, and at most one way into each
+    position may be allowed. A single character that is no piece is passed over as id -1.
     """
     base = 0
     score, back, last = [0.0], [0], [-1]
+    get = pieces.get
     size = len(text)
     for end in range(1, size + 1):
         best, origin, chosen = _MINUS, end - 1, -1
-        for start in range(max(base, end - longest), end):
-            if score[start - base] == _MINUS:
+        low = end - longest
+        for start in range(low if low > base else base, end):
+            piece = get(text[start:end])
+            if piece is None or score[start - base] == _MINUS:
                 continue
-            piece = pieces.get(text[start:end])
-            if piece is None:
+            if fits is not None:
+                before = last[start - base]
+                if before < 0 or fits[before * width + piece]:
+                    best, origin, chosen = 0.0, start, piece
+                    break
                 continue
             value = score[start - base] + step(last[start - base], piece)
             if value > best:
                 best, origin, chosen = value, start, piece
         if best == _MINUS and text[end - 1] not in pieces:
-            extra = unknown(last[end - 1 - base], -1) if unknown else 0.0
-            best, origin, chosen = score[end - 1 - base] + extra, end - 1, -1
+            best = score[-1]
         score.append(best)
         back.append(origin)
         last.append(chosen)
@@ -97,6 +102,34 @@ def _path(base: int, end: int, back: list[int], last: list[int]) -> list[tuple[i
     return made[::-1]
 
 
+class _Fits(dict):
+    """Whether the second piece of a pair may follow the first, found out once for each pair."""
+
+    def __init__(self, texts: list[str], merged: Callable[[str], list[str]]):
+        self.texts, self.merged = texts, merged
+
+    def __missing__(self, pair: int) -> bool:
+        left, right = (self.texts[i] for i in divmod(pair, len(self.texts)))
+        if len(self) > REMEMBERED:
+            self.clear()
+        found = self[pair] = self.merged(left + right) == [left, right]
+        return found
+
+
+def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
+    """A pattern for units of a text: blanks and then either letters or other characters.
+
+    A cut is safe where no piece crosses it. Numbers that are no digits count as letters for regular
+    expressions and as others in vocabularies; the pattern takes those of the pieces for others. If
+    a piece still crosses a cut, the whole text is one unit.
+    """
+    pieces = list(pieces)
+    odd = sorted({c for p in pieces for c in p if c.isalnum() and not c.isalpha() and not c.isdecimal()})
+    more = "".join(map(re.escape, odd))
+    unit = re.compile(rf" *[^\W\d_{more}]+| *(?:[^\w ]|[\d_{more}])+| +")
+    return unit if all(unit.findall(p) == [p] for p in pieces) else re.compile(r"(?s).+")
+
+
 class Codec:
     """Encoder and decoder of one model file with the ids the library gives."""
 
@@ -117,15 +150,14 @@ class Codec:
                 self.byte_ids[int(texts[i][1:-1], 16)] = i
         self.every = {t: i for i, t in enumerate(texts) if not special[i]}
         self.kind = kind
-        self.fits: dict[int, bool] = {}
+        self.fits = _Fits(texts, self._merged)
         self.known: dict[str, bytes] = {}
         self.pieces = self.every
         if kind == "bpe":
             # A piece that its own characters do not merge into never comes out.
             self.pieces = {t: i for t, i in self.every.items() if self._merged(t) == [t]}
         self.longest = max(map(len, self.pieces), default=1)
-        whole = all(_UNIT.findall(t.replace(SPACE, " ")) == [t.replace(SPACE, " ")] for t in self.every)
-        self.unit = _UNIT if whole else re.compile(r"(?s).+")
+        self.unit = unit_pattern(t.replace(SPACE, " ") for t in self.every)
         self.is_byte = np.zeros(size, bool)
         self.is_byte[list(self.byte_ids.values())] = True
         self.byte_of = {i: b for b, i in self.byte_ids.items()}
@@ -148,24 +180,14 @@ class Codec:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _step(self, before: int, piece: int) -> float:
-        if self.kind == "unigram":
-            return self.scores[piece]
-        if before < 0:
-            return 0.0
-        pair = before * len(self.texts) + piece
-        fits = self.fits.get(pair)
-        if fits is None:
-            if len(self.fits) > REMEMBERED:
-                self.fits.clear()
-            left, right = self.texts[before], self.texts[piece]
-            fits = self.fits[pair] = self._merged(left + right) == [left, right]
-        return 0.0 if fits else _MINUS
-
     def _unit_ids(self, unit: str) -> bytes:
         text = unit.replace(" ", SPACE)
         ids = []
-        for piece, start, end in viterbi(text, self.pieces, self.longest, self._step):
+        if self.kind == "bpe":
+            found = viterbi(text, self.pieces, self.longest, fits=self.fits, width=len(self.texts))
+        else:
+            found = viterbi(text, self.pieces, self.longest, lambda _, piece: self.scores[piece])
+        for piece, start, end in found:
             if piece >= 0:
                 ids.append(piece)
             elif self.byte_ids:

@@ -30,6 +30,11 @@ def test_equals_the_library(library, codec):
         assert codec.decode(ids) == library.decode(ids.tolist()), text
 
 
+def test_units_are_short_and_whole_texts_if_pieces_cross(codec):
+    assert codec.unit.findall(" Two words, 3²x") == [" Two", " words", ",", " 3²", "x"]
+    assert S.unit_pattern(["a", "b.c"]).findall("a b.c") == ["a b.c"]
+
+
 def test_random_texts(library, codec, monkeypatch):
     rng = random.Random(6)
     for letters in ("etaoinshrdlu ", "ab ", "abcé, .\n1(2)_", "ññß日 aeiou\t"):
