@@ -14,7 +14,7 @@ from siftmill.catalog.turns import PAIRS, TURNS
 from siftmill.catalog.vectors import HEAT, K, RISK_CUT, SAFE_CUT, ranked_sql
 from siftmill.operators.sets import union_all
 from siftmill.plans import compile as compiling
-from siftmill.plans import corpora, labels
+from siftmill.plans import corpora, labels, populate
 from siftmill.session import scratch, spread
 from siftmill.sources import csv_tree
 
@@ -221,7 +221,9 @@ def z06_enrich(spark, d):
         ORDER BY turn) AS r FROM chats WHERE role = 'user') WHERE r = 1 AND length(text) > 0
       UNION ALL SELECT 'turn_' || conv_id || '_' || place, text FROM turns
         WHERE role = 'user' AND length({V.strip_sql('text')}) > 5
-      UNION ALL SELECT 'post_' || post_id, selftext FROM posts),
+      UNION ALL SELECT 'post_' || post_id, selftext FROM (SELECT * FROM posts
+        WHERE length({V.strip_sql('selftext')}) > 5 ORDER BY post_id
+        LIMIT (SELECT count(*) // 2 FROM posts))),
     {silver_sql('corpus', 'id', 'text', 0.5)}
     SELECT id, CAST(top_class AS VARCHAR) AS top_label, round(confidence, 6) AS confidence,
       round(dist[1], 6) AS p0 FROM silver WHERE len(dist) > 0""",
@@ -238,7 +240,7 @@ def z07_silver(spark, d):
     corpus = union_all(
         named(labels.first_turns(chats), "first_", "id", "text"),
         named(labels.all_user_turns(chats), "turn_", "id", "text"),
-        named(posts, "post_", "post_id", "selftext"),
+        named(labels.long_posts(posts, limit=posts.count() // 2), "post_", "id", "text"),
     )
     made = labels.silver_corpus(
         corpus, "id", "text", load_scorer, scratch(spark, "silver"), temperature=0.5
@@ -247,3 +249,35 @@ def z07_silver(spark, d):
         "id", "top_label", V.six(F.col("confidence")).alias("confidence"),
         V.six(F.col("full_dist")[0]).alias("p0"),
     )
+
+
+def load_sizes(refused: int):
+    """Vectors of sizes; a list that holds a text whose size leaves no rest by `refused` fails."""
+
+    def embed(texts):
+        if refused and any(len(t) % refused == 0 for t in texts):
+            raise ValueError("refused")
+        return [[len(t), t.count("e")] for t in texts]
+
+    return lambda: embed
+
+
+@query(
+    "z08_populate",
+    """SELECT doc_id, CASE WHEN length(text) % 5 = 0 THEN 2 ELSE 1 END AS run, length(text) AS size,
+      length(text) - length(replace(text, 'e', '')) AS e, 1 AS copies FROM documents""",
+)
+def z08_populate(spark, d):
+    """Two runs: the first fails on every fifth size or so, the second stores what is missing."""
+    chunks = spread(V.table(spark, d, "documents"), "doc_id").select(
+        "doc_id", F.lit(1).alias("chunk_id"), F.col("text").alias("input")
+    )
+    path = populate.start_over(spark, scratch(spark, "populate"))
+    runs = [
+        populate.populate(chunks.withColumn("run", F.lit(n)), ["doc_id", "chunk_id"], load_sizes(r), path)
+        for n, r in ((1, 5), (2, 0))
+    ]
+    return runs[-1].groupBy("doc_id", "run").agg(
+        V.long(F.max(F.col("embedding")[0])).alias("size"), V.long(F.max(F.col("embedding")[1])).alias("e"),
+        F.count("*").cast("int").alias("copies"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 import numpy as np
 from pyspark.sql import functions as F
 
@@ -15,24 +17,33 @@ CLASSES = 7
 
 
 def _load():
-    """A scorer that needs no model file: logits follow from the length of the text."""
+    """A scorer that needs no model file: logits follow from a digest of all that it sees."""
 
     def score(texts: list[str]) -> np.ndarray:
-        sizes = np.array([len(t) for t in texts])[:, None]
-        return (sizes * (np.arange(CLASSES)[None, :] + 3) % 17) / 4.0
+        seen = np.array([int(hashlib.md5(t.encode()).hexdigest()[:3], 16) for t in texts])[:, None]
+        return (seen * (np.arange(CLASSES)[None, :] + 3) % 17) / 4.0
 
     return score
 
 
-load_scorer = scoring.once_per_worker("length-scorer", _load)
+load_scorer = scoring.once_per_worker("digest-scorer", _load)
+
+
+def seen_sql(text: str) -> str:
+    """The number that the scorer reads off the first 512 tokens of a text."""
+    cut = f"regexp_extract_all({text}, '{V.TOKEN}')"
+    seen = f"CASE WHEN len({cut}) <= 512 THEN {text} ELSE array_to_string({cut}[1:512], ' ') END"
+    digits = [f"(strpos('0123456789abcdef', substr(md5({seen}), {i}, 1)) - 1)" for i in (1, 2, 3)]
+    return f"({digits[0]} * 256 + {digits[1]} * 16 + {digits[2]})"
 
 
 def silver_sql(source: str, ident: str, text: str, heat: float = 1.0) -> str:
     """CTEs that end in `silver(id, text, top_class, confidence, dist)`."""
-    return f"""silver_l AS (SELECT {ident} AS id, {text} AS text,
-  CASE WHEN length({V.strip_sql(text)}) > 0 THEN list_transform(range(0, {CLASSES}),
-    lambda j: exp((length({text}) * (j + 3)) % 17 / 4.0 / {heat})) ELSE []::DOUBLE[] END AS e
-  FROM {source}),
+    return f"""silver_s AS (SELECT {ident} AS id, {text} AS text, {seen_sql(text)} AS seen FROM {source}),
+silver_l AS (SELECT id, text,
+  CASE WHEN length({V.strip_sql('text')}) > 0 THEN list_transform(range(0, {CLASSES}),
+    lambda j: exp((seen * (j + 3)) % 17 / 4.0 / {heat})) ELSE []::DOUBLE[] END AS e
+  FROM silver_s),
 silver_d AS (SELECT id, text, list_transform(e, lambda x: x / list_sum(e)) AS dist FROM silver_l),
 silver AS (SELECT id, text, dist, CAST(list_position(dist, list_max(dist)) - 1 AS INTEGER)
   AS top_class, coalesce(list_max(dist), 0) AS confidence FROM silver_d)"""
@@ -40,9 +51,10 @@ silver AS (SELECT id, text, dist, CAST(list_position(dist, list_max(dist)) - 1 A
 
 @query(
     "i01_batch_score",
-    f"""SELECT doc_id, unnest(range(0, {CLASSES})) AS j,
-      unnest(list_transform(range(0, {CLASSES}), lambda j: (length(text) * (j + 3)) % 17 / 4.0)) AS logit
-    FROM documents""",
+    f"""WITH s AS (SELECT doc_id, {seen_sql('text')} AS seen FROM documents)
+    SELECT doc_id, unnest(range(0, {CLASSES})) AS j,
+      unnest(list_transform(range(0, {CLASSES}), lambda j: (seen * (j + 3)) % 17 / 4.0)) AS logit
+    FROM s""",
 )
 def i01_batch_score(spark, d):
     docs = spread(V.table(spark, d, "documents").select("doc_id", "text"), "doc_id")

@@ -40,6 +40,14 @@ def truncate_tokens(
     return F.slice(F.regexp_extract_all(text, F.lit(pattern), F.lit(0)), 1, limit)
 
 
+def first_tokens(
+    text: Column, limit: int = settings.MAX_MODEL_TOKENS, pattern: str = settings.TOKEN
+) -> Column:
+    """The text itself, or of a longer one the first `limit` tokens set apart by blanks."""
+    short = token_count(text, pattern) <= limit
+    return F.when(short, text).otherwise(F.array_join(truncate_tokens(text, limit, pattern), " "))
+
+
 def sentences(text: Column) -> Column:
     """Array of sentences: a cut after each run of `.!?`, where `...` is no end of sentence."""
     kept = F.replace(text, F.lit("..."), F.lit(_DOTS))

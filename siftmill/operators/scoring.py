@@ -58,10 +58,13 @@ def is_scorable(body: Column) -> Column:
 
 def score_texts(
     df: DataFrame, column: str, load: Callable[[], Scorer], out: str = "logits",
-    batch: int = 256,
+    batch: int = 256, tokens: int | None = settings.MAX_MODEL_TOKENS,
 ) -> DataFrame:
     """Add the scores of a text column; blank and null texts get an empty array.
 
+    The model sees the first `tokens` tokens of a longer text, set apart by blanks; the column
+    itself stays as it is.
+
     `load` is called once per task and returns a function from texts to a score matrix; wrap a
     heavy model in `once_per_worker`.
     """
@@ -71,14 +74,16 @@ def score_texts(
         score = load()
         for frame in frames:
             good = frame["_ok"].to_numpy(dtype=bool)
-            frame = frame.drop(columns="_ok")
-            texts = frame.loc[good, column].tolist()
+            texts = frame.loc[good, "_seen"].tolist()
+            frame = frame.drop(columns=["_ok", "_seen"])
             rows = [score(texts[i : i + batch]) for i in range(0, len(texts), batch)]
             found = iter(np.concatenate(rows)) if rows else iter(())
             frame[out] = [next(found).tolist() if ok else [] for ok in good]
             yield frame
 
-    return df.withColumn("_ok", is_scorable(F.col(column))).mapInPandas(run, schema)
+    seen = F.col(column) if tokens is None else text.first_tokens(F.col(column), tokens)
+    given = df.withColumns({"_ok": is_scorable(F.col(column)), "_seen": seen})
+    return given.mapInPandas(run, schema)
 
 
 def top_labels(
@@ -137,23 +142,37 @@ def token_counter(encoding) -> Callable[[Column], Column]:
 
 
 def embed_column(
-    df: DataFrame, column: str, load: Callable[[], Callable[[str], Sequence[float]]],
-    out: str = "embedding",
+    df: DataFrame, column: str, load: Callable[[], Scorer], out: str = "embedding",
+    batch: int = 256,
 ) -> DataFrame:
-    """Add a vector per text by a user function; a text it fails on gets null."""
+    """Add a vector per text by a user function from texts to rows of numbers.
+
+    The function gets `batch` texts at a time; where it fails, these are tried one by one, and a
+    text that fails alone, or has no value, gets null.
+    """
     schema = T.StructType([*df.schema.fields, T.StructField(out, T.ArrayType(T.FloatType()))])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         embed = load()
 
-        def attempt(value):
+        def attempt(texts: list[str]) -> list:
             try:
-                return [float(x) for x in embed(value)]
+                rows = [[float(x) for x in row] for row in embed(texts)]
+                if len(rows) != len(texts):
+                    raise ValueError(f"{len(rows)} vectors for {len(texts)} texts")
+                return rows
             except Exception:  # noqa: BLE001 - any failure of the user function is a null
-                return None
+                return [None] if len(texts) == 1 else [attempt([t])[0] for t in texts]
 
         for frame in frames:
-            frame[out] = frame[column].map(attempt)
+            values = frame[column].tolist()
+            there = [i for i, v in enumerate(values) if isinstance(v, str)]
+            made = [None] * len(values)
+            for start in range(0, len(there), batch):
+                places = there[start : start + batch]
+                for i, row in zip(places, attempt([values[i] for i in places]), strict=True):
+                    made[i] = row
+            frame[out] = pd.Series(made, index=frame.index, dtype=object)
             yield frame
 
     return df.mapInPandas(run, schema)

@@ -8,8 +8,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill import settings
-from siftmill.functions import parsing
+from siftmill.functions import parsing, text
 from siftmill.operators import filters, probe, scoring, turns
+from siftmill.operators.ranking import first_rows
 from siftmill.sources import sinks
 
 
@@ -74,3 +75,13 @@ def first_turns(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
 
 def all_user_turns(chats: DataFrame, conv: str = "conv_id") -> DataFrame:
     return turns.user_turns(chats, conv)
+
+
+def long_posts(
+    posts: DataFrame, ident: str = "post_id", body: str = "selftext", longer: int = 5,
+    limit: int | None = None,
+) -> DataFrame:
+    """(id, text): posts with more than `longer` characters, the first `limit` of them by id."""
+    rows = posts.select(F.col(ident).cast("string").alias("id"), F.col(body).alias("text"))
+    kept = rows.where(F.length(text.strip(F.col("text"))) > longer)
+    return kept if limit is None else first_rows(kept, ["id"], limit)

@@ -293,10 +293,10 @@ def test_population_goes_on_with_what_is_missing(spark):
     path = populate.start_over(spark, scratch(spark, "table"))
 
     def load(refused):
-        def embed(text):
-            if text == refused:
-                raise ValueError(text)
-            return [len(text), 1]
+        def embed(texts):
+            if refused in texts:
+                raise ValueError(refused)
+            return [[len(t), 1] for t in texts]
 
         return lambda: embed
 

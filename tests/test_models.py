@@ -131,10 +131,23 @@ def test_model_is_loaded_once_per_worker(spark):
 
 def test_failures_of_the_embedder_are_null(spark):
     df = spark.createDataFrame([("abc",), ("",), (None,)], "t string")
-    made = scoring.embed_column(df, "t", lambda: lambda t: [1 / len(t), 2]).collect()
+    made = scoring.embed_column(df, "t", lambda: lambda ts: [[1 / len(t), 2] for t in ts]).collect()
     assert [r["embedding"] is None for r in made] == [False, True, True]
 
 
+def test_models_see_the_first_tokens_only(spark):
+    long = " ".join(f"w{i}" for i in range(600))
+    df = spark.createDataFrame([(1, long + "!"), (2, "short, text")], "id int, t string")
+
+    def load():
+        return lambda texts: np.array([[len(t.split(" ")), len(t)] for t in texts], float)
+
+    got = {r["id"]: r["logits"] for r in scoring.score_texts(df, "t", load).collect()}
+    assert got[1] == [512.0, float(len(" ".join(f"w{i}" for i in range(512))))] and got[2] == [2.0, 11.0]
+    whole = scoring.score_texts(df.where("id = 1"), "t", load, tokens=None).first()
+    assert whole["logits"] == [600.0, float(len(long) + 1)]
+
+
 def test_byte_pair_counter(spark):
     class Encoder:
         def encode_ordinary(self, text):
