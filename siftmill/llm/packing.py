@@ -37,7 +37,7 @@ REMEMBERED = 900_000
 _TOGETHER = 500
 _ROUNDS = 300
 # Pieces of one length in one ranking task, about.
-_BUCKET_ROWS = 20_000
+_BUCKET_ROWS = 2_000
 _PIECES = pa.schema([
     ("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()),
     ("ids_crc32", pa.int64()),
