@@ -8,6 +8,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siftmill.session import scratch
+
 # Rows of one Arrow batch of texts. A batch of a thousand texts of 100 kB is 100 MB.
 TEXT_ROWS = 1000
 
@@ -52,3 +54,10 @@ def usable_vectors(
         F.col("vec_id").isNotNull() & (F.size("vec") > 0) & finite
     )
     return rows if zero else rows.where(F.exists("vec", lambda x: x != 0))
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """The rows as a table in the shared folder: compressed, unlike a checkpoint."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)

@@ -25,10 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import map_batches, table_of, whole_texts
+from siftmill.llm.common import map_batches, stored, table_of, whole_texts
 from siftmill.llm.labelled import FOLDS as _FOLDS
 from siftmill.llm.labelled import judged, learning_row, rows_by_score, sample_rows
-from siftmill.session import durable
 
 CUTOFF = 0.7
 # The model is fitted on a bounded sample: at most so many labelled rows of each class.
@@ -126,12 +125,12 @@ def _tables(sample: DataFrame, words: int, pairs: int) -> tuple[dict, dict]:
     A word counts once for each different word before it, a bigram likewise, so neither copies of a
     document nor repetition inside one make an expression look frequent.
     """
-    counted = durable(_counted(sample))
+    counted = stored(_counted(sample), "expressions")
     names = list(_columns())
     total = F.col("n4") + F.col("n5")
     counts = [c.alias(n) for n, c in _columns().items()]
     single = counted.where("pair").groupBy("b").agg(*counts, F.count("*").alias("follows"))
-    double = durable(counted.where("not pair").groupBy("a", "b").agg(*counts))
+    double = stored(counted.where("not pair").groupBy("a", "b").agg(*counts), "bigrams")
     context = double.groupBy(F.col("a").alias("b")).agg(
         *[F.sum(n).alias(n.replace("n", "c")) for n in names]
     )
