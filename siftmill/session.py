@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 
@@ -52,7 +53,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     root = named or context.getCheckpointDir()
     if root is None:
-        if not context.master.startswith("local"):
+        if not re.match(r"local($|\[)", context.master):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="siftmill-")
     if context.getCheckpointDir() is None:
