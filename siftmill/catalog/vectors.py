@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from siftmill import settings
 from siftmill.catalog import query
 from siftmill.catalog import views as V
 from siftmill.functions import vectors as fv
-from siftmill.operators import knn, reduction
+from siftmill.operators import knn, reduction, scoring
 
 K = settings.NEIGHBOURS
 RISK_CUT = 0.13
@@ -172,6 +173,28 @@ def v10_pca(spark, d):
     return reduced.select("vec_id", F.posexplode("reduced").alias("component", "value"))
 
 
+@query(
+    "v10_pca_energy",
+    f"""WITH {V.VECTORS}, x AS (SELECT vec_id, unnest(range(0, 64)) AS dim, unnest(v) AS x FROM vectors),
+    m AS (SELECT dim, avg(x) AS m FROM x GROUP BY dim)
+    SELECT vec_id, round(sum((x - m) * (x - m)), 6) AS energy FROM x JOIN m ON x.dim = m.dim
+    GROUP BY vec_id""",
+)
+def v10_pca_energy(spark, d):
+    """Squared length of the projection plus that of what it leaves out: the components are
+    orthonormal and centred exactly if this is the squared distance from the mean."""
+    rows = V.table(spark, d, "embeddings").select("vec_id", "embedding")
+    reducer = reduction.fit_pca(rows, "embedding", 10)
+    axes = reducer.model.pc.toArray()
+    made = reducer.apply(rows, "embedding").withColumn(
+        "back", scoring.linear_scores(F.col("reduced"), axes, np.array(reducer.mean))
+    )
+    left = F.zip_with(F.col("embedding").cast("array<double>"), F.col("back"), lambda x, b: x - b)
+    return made.select(
+        "vec_id", V.six(fv.dot(F.col("reduced"), F.col("reduced")) + fv.dot(left, left)).alias("energy")
+    )
+
+
 @query(
     "v11_standardize",
     f"""WITH {V.VECTORS}, x AS (SELECT vec_id, unnest(range(0, 64)) AS dim, unnest(v) AS x
