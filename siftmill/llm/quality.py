@@ -34,7 +34,7 @@ RATE = 0.5
 BATCH = 16
 SEED = 42
 # Words whose part in the score a worker remembers; the scores do not depend on it.
-REMEMBERED = 700_000
+REMEMBERED = 500_000
 _REPEAT = zlib.crc32(b"\0repeat")
 # A repeated word counts as much as a word of usual length has features.
 _REPEAT_WEIGHT = 12
@@ -55,6 +55,12 @@ def features_of(word: str, buckets: int = BUCKETS) -> list[int]:
     return found
 
 
+def features_in(words: list[str]) -> int:
+    """How many features the words have; with its marks a word is never shorter than an n-gram."""
+    letters = sum(map(len, words))
+    return len(NGRAMS) * letters + len(words) * (1 + sum(3 - n for n in NGRAMS))
+
+
 def text_features(text: str, buckets: int = BUCKETS) -> tuple[np.ndarray, np.ndarray]:
     """(buckets, shares) of a whole text; the shares add up to one, a text without words has none."""
     words = text.split()
@@ -82,27 +88,28 @@ class Model:
     def __getstate__(self):
         return {**self.__dict__, "_known": {}}
 
-    def _part(self, word: str) -> tuple[float, int]:
-        found = features_of(word, len(self.weight))
-        return float(self.weight[found].sum()), len(found)
+    def _part(self, word: str) -> float:
+        return float(self.weight[features_of(word, len(self.weight))].sum())
 
     def score(self, text: str) -> float:
         words = text.split()
         known = self._known
         if len(known) > REMEMBERED:
             known.clear()
-        total, size = 0.0, 0
-        for word in words:
-            part = known.get(word)
-            if part is None:
-                part = self._part(word)
-                if len(word) <= _LONGEST_KEPT:
-                    known[word] = part
-            total += part[0]
-            size += part[1]
+        parts = list(map(known.get, words))
+        if None in parts:
+            for i, part in enumerate(parts):
+                if part is None:
+                    word = words[i]
+                    part = known.get(word)
+                    if part is None:
+                        part = self._part(word)
+                        if len(word) <= _LONGEST_KEPT:
+                            known[word] = part
+                    parts[i] = part
         repeats = _REPEAT_WEIGHT * sum(map(eq, words, words[1:]))
-        total += repeats * self.weight[_REPEAT % len(self.weight)]
-        mean = total / max(size + repeats, 1)
+        total = sum(parts) + repeats * self.weight[_REPEAT % len(self.weight)]
+        mean = total / max(features_in(words) + repeats, 1)
         return float(1 / (1 + np.exp(-np.clip(mean + self.constant, -30, 30))))
 
 

@@ -61,6 +61,11 @@ def test_shortcut_is_the_average_of_vectors():
         assert model.score(text) == model.score(text)
 
 
+def test_number_of_features():
+    words = ["a", "bc", "é", "!!", "x" * 90]
+    assert quality.features_in(words) == sum(len(quality.features_of(w)) for w in words)
+
+
 def test_training_descends():
     rows = [(y, *quality.text_features(t)) for _, t, y in _corpus(200)]
     before = quality.train(rows, steps=1, rate=0.0)
