@@ -31,7 +31,9 @@ SPACE = "▁"
 # Units whose ids, and pairs of pieces whose test, a worker remembers; the ids do not depend on it.
 REMEMBERED = 700_000
 _LONGEST_KEPT = 64
-_MINUS = float("-inf")
+# The last piece of a beginning that no segmentation covers.
+_DEAD = -2
+_MINUS, _NEVER = float("-inf"), float("inf")
 _SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_byte_pieces", pa.int64()),
     ("ids_crc32", pa.int64()), ("decoded_crc32", pa.int64()), ("round_trip", pa.bool_()),
@@ -105,16 +107,34 @@ def _path(base: int, end: int, back: list[int], last: list[int]) -> list[tuple[i
 class _Fits(dict):
     """Whether the second piece of a pair may follow the first, found out once for each pair."""
 
-    def __init__(self, texts: list[str], merged: Callable[[str], list[str]]):
-        self.texts, self.merged = texts, merged
+    def __init__(self, texts: list[str], rank: dict[str, float]):
+        self.texts, self.rank = texts, rank
 
     def __missing__(self, pair: int) -> bool:
         left, right = (self.texts[i] for i in divmod(pair, len(self.texts)))
         if len(self) > REMEMBERED:
             self.clear()
-        found = self[pair] = self.merged(left + right) == [left, right]
+        found = self[pair] = self._apart(left, right)
         return found
 
+    def _apart(self, left: str, right: str) -> bool:
+        """Whether merging the characters of both never joins the two, best pair first."""
+        rank = self.rank.get
+        parts, edge = [*left, *right], len(left)
+        costs = [rank(a + b, _NEVER) for a, b in zip(parts, parts[1:])]
+        while (low := min(costs)) != _NEVER:
+            at = costs.index(low)
+            if at == edge - 1:
+                return False
+            parts[at] += parts.pop(at + 1)
+            costs.pop(at)
+            edge -= at < edge - 1
+            if at:
+                costs[at - 1] = rank(parts[at - 1] + parts[at], _NEVER)
+            if at < len(costs):
+                costs[at] = rank(parts[at] + parts[at + 1], _NEVER)
+        return True
+
 
 def unit_pattern(pieces: Iterable[str]) -> re.Pattern:
     """A pattern for units of a text: blanks and then either letters or other characters.
@@ -150,13 +170,16 @@ class Codec:
                 self.byte_ids[int(texts[i][1:-1], 16)] = i
         self.every = {t: i for i, t in enumerate(texts) if not special[i]}
         self.kind = kind
-        self.fits = _Fits(texts, self._merged)
+        self.fits = _Fits(texts, {t: -self.scores[i] for t, i in self.every.items()})
         self.known: dict[str, bytes] = {}
         self.pieces = self.every
         if kind == "bpe":
             # A piece that its own characters do not merge into never comes out.
             self.pieces = {t: i for t, i in self.every.items() if self._merged(t) == [t]}
         self.longest = max(map(len, self.pieces), default=1)
+        # Every end of a piece, with the piece's id where it is one itself.
+        self.tails: dict[str, int] = {t[i:]: -1 for t in self.pieces for i in range(1, len(t))}
+        self.tails.update(self.pieces)
         self.unit = unit_pattern(t.replace(SPACE, " ") for t in self.every)
         self.is_byte = np.zeros(size, bool)
         self.is_byte[list(self.byte_ids.values())] = True
@@ -180,13 +203,8 @@ class Codec:
             parts[at:at + 2] = [parts[at] + parts[at + 1]]
         return parts
 
-    def _unit_ids(self, unit: str) -> bytes:
-        text = unit.replace(" ", SPACE)
+    def _ids(self, found: Iterable[tuple[int, int, int]], text: str) -> bytes:
         ids = []
-        if self.kind == "bpe":
-            found = viterbi(text, self.pieces, self.longest, fits=self.fits, width=len(self.texts))
-        else:
-            found = viterbi(text, self.pieces, self.longest, lambda _, piece: self.scores[piece])
         for piece, start, end in found:
             if piece >= 0:
                 ids.append(piece)
@@ -196,26 +214,81 @@ class Codec:
                 ids.append(self.unknown_id)
         return np.array(ids, "<u4").tobytes()
 
+    def _unit_ids(self, unit: str) -> bytes:
+        text = unit.replace(" ", SPACE)
+        if self.kind == "bpe":
+            found = viterbi(text, self.pieces, self.longest, fits=self.fits, width=len(self.texts))
+        else:
+            found = viterbi(text, self.pieces, self.longest, lambda _, piece: self.scores[piece])
+        return self._ids(found, text)
+
+    def _learn(self, units: list[str]) -> None:
+        """Remember the ids of short units.
+
+        In sorted order a unit goes on where the one before parts from it: the search of a common
+        beginning is the same, so it is done once.
+        """
+        if self.kind != "bpe":
+            self.known.update((u, self._unit_ids(u)) for u in units)
+            return
+        tails, fits, width, longest = self.tails.get, self.fits, len(self.texts), self.longest
+        before = ""
+        back, last = [0], [-1]
+        for unit, text in sorted((u, u.replace(" ", SPACE)) for u in units):
+            shared = 0
+            for x, y in zip(before, text):
+                if x != y:
+                    break
+                shared += 1
+            del back[shared + 1:], last[shared + 1:]
+            for end in range(shared + 1, len(text) + 1):
+                ways = []
+                for start in range(end - 1, max(end - longest, 0) - 1, -1):
+                    piece = tails(text[start:end])
+                    if piece is None:
+                        break
+                    if piece >= 0:
+                        ways.append((start, piece))
+                origin, chosen = end - 1, -1
+                if not ways and text[end - 1] in self.pieces:
+                    chosen = _DEAD
+                for start, piece in reversed(ways):
+                    left = last[start]
+                    if left == -1 or left >= 0 and fits[left * width + piece]:
+                        origin, chosen = start, piece
+                        break
+                else:
+                    if ways:
+                        chosen = _DEAD
+                back.append(origin)
+                last.append(chosen)
+            before = text
+            self.known[unit] = self._ids(_path(0, len(text), back, last), text)
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        """Little-endian unsigned 32-bit ids of whole texts, without begin or end."""
+        if len(self.known) > REMEMBERED:
+            self.known.clear()
+        get = self.known.get
+        result, late, missing = [b""] * len(texts), [], set()
+        for i, text in enumerate(texts):
+            units = self.unit.findall(" " + text.replace(SPACE, " ")) if text else []
+            found = list(map(get, units))
+            if None in found:
+                missing.update([u for u, ids in zip(units, found, strict=True) if ids is None])
+                late.append((i, units, found))
+            else:
+                result[i] = b"".join(found)
+        self._learn([u for u in missing if len(u) <= _LONGEST_KEPT])
+        for i, units, found in late:
+            result[i] = b"".join([
+                ids if ids is not None else get(u) if len(u) <= _LONGEST_KEPT else self._unit_ids(u)
+                for u, ids in zip(units, found, strict=True)
+            ])
+        return result
+
     def encode(self, text: str) -> bytes:
-        """Little-endian unsigned 32-bit ids of a whole text, without begin or end."""
-        if not text:
-            return b""
-        known = self.known
-        if len(known) > REMEMBERED:
-            known.clear()
-        units = self.unit.findall(" " + text.replace(SPACE, " "))
-        found = list(map(known.get, units))
-        if None in found:
-            for i, ids in enumerate(found):
-                if ids is None:
-                    unit = units[i]
-                    ids = known.get(unit)
-                    if ids is None:
-                        ids = self._unit_ids(unit)
-                        if len(unit) <= _LONGEST_KEPT:
-                            known[unit] = ids
-                    found[i] = ids
-        return b"".join(found)
+        return self.encode_all([text])[0]
 
     def decode(self, ids: np.ndarray) -> str:
         """The text of ids; runs of byte pieces are UTF-8, and the first blank is the encoder's."""
@@ -254,8 +327,8 @@ def digests(
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         both = codec(path, kind)
         rows = {n: [] for n in _SCHEMA.names[1:]}
-        for t in batch.column("text").to_pylist():
-            raw = both.encode(t)
+        texts = batch.column("text").to_pylist()
+        for t, raw in zip(texts, both.encode_all(texts), strict=True):
             ids = np.frombuffer(raw, "<u4")
             back = both.decode(ids)
             rows["n_pieces"].append(len(ids))

@@ -46,6 +46,17 @@ def test_random_texts(library, codec, monkeypatch):
     assert np.frombuffer(codec.encode(text), "<u4").tolist() == library.encode(text)
 
 
+def test_texts_that_begin_alike(library):
+    rng = random.Random(9)
+    made = S.Codec(PATH)
+    parts = ["er", "tion", "☃", "un", "é", "ver", "sch", "a", "th"]
+    texts = [" ".join("".join(rng.choices(parts, k=rng.randint(1, 9))) for _ in range(40)) for _ in range(60)]
+    got = [np.frombuffer(raw, "<u4").tolist() for raw in made.encode_all(texts)]
+    assert got == library.encode(texts)
+    for text in texts[:10]:
+        assert made._unit_ids(" " + text.replace(" ", "")) == made.encode(text.replace(" ", ""))
+
+
 def test_bytes_that_are_no_text(library, codec):
     ids = [codec.byte_ids[b] for b in (0xFF, 0x41, 0xC3)] + library.encode("x")
     assert codec.decode(np.array(ids)) == library.decode(ids)
