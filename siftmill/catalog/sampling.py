@@ -10,9 +10,11 @@ from siftmill.operators import ranking, sampling
 from siftmill.operators.sets import union_all
 
 H = "md5('42:' || {})"
-QUOTA = 150
-FEED = """feed AS (SELECT event_id, event_type, ts, CASE WHEN user_id % 10 = 0 THEN 'unknown'
-    ELSE 'u' || user_id END AS author, 1 + event_id % 4 AS n_chunks FROM events)"""
+# Chunks per group, as a share of all events.
+SHARE = 33
+FEED = f"""feed AS (SELECT event_id, event_type, ts, CASE WHEN user_id % 10 = 0 THEN 'unknown'
+    ELSE 'u' || user_id END AS author, 1 + event_id % 4 AS n_chunks,
+    (SELECT count(*) // {SHARE} FROM events) AS quota FROM events)"""
 CAPPED = f"""{FEED}, capped AS (SELECT * FROM (SELECT *, row_number() OVER
     (PARTITION BY author ORDER BY ts, event_id) AS r FROM feed) WHERE r <= 5 OR author = 'unknown')"""
 
@@ -27,6 +29,10 @@ def feed(spark, d):
     )
 
 
+def quota(spark, d):
+    return V.table(spark, d, "events").count() // SHARE
+
+
 @query("d01_bernoulli", f"SELECT doc_id FROM documents WHERE {H.format('doc_id')} < '40000000'")
 def d01_bernoulli(spark, d):
     return sampling.bernoulli(V.table(spark, d, "documents"), "doc_id", 0.25).select("doc_id")
@@ -87,12 +93,12 @@ def d05_quota(spark, d):
     "d06_take_until",
     f"""WITH {FEED}, p AS (SELECT *, coalesce(sum(n_chunks) OVER (PARTITION BY event_type
       ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
-      FROM feed) SELECT event_id, event_type, n_chunks FROM p WHERE prior < {QUOTA}""",
+      FROM feed) SELECT event_id, event_type, n_chunks FROM p WHERE prior < quota""",
 )
 def d06_take_until(spark, d):
     rows = feed(spark, d).drop("author")
     kept = sampling.until_quota(
-        rows, ["event_type"], ["ts", "event_id"], "n_chunks", F.lit(QUOTA)
+        rows, ["event_type"], ["ts", "event_id"], "n_chunks", F.lit(quota(spark, d))
     )
     return kept.select("event_id", "event_type", "n_chunks")
 
@@ -130,12 +136,12 @@ taken AS (SELECT {key} FROM acc WHERE step = (SELECT count(*) FROM turns_g) AND
 
 @query(
     "d08_cap_quota",
-    f"""WITH RECURSIVE {FEED}, {in_turn_sql('feed', 'event_id', 'event_type', 'ts, event_id', 'n_chunks', str(QUOTA))}
+    f"""WITH RECURSIVE {FEED}, {in_turn_sql('feed', 'event_id', 'event_type', 'ts, event_id', 'n_chunks', 'quota')}
     SELECT event_id, author, event_type, n_chunks FROM feed WHERE event_id IN (SELECT event_id FROM taken)""",
 )
 def d08_cap_quota(spark, d):
     rows = feed(spark, d)
-    wanted = rows.select("event_type").distinct().withColumn("quota", F.lit(QUOTA).cast("long"))
+    wanted = rows.select("event_type").distinct().withColumn("quota", F.lit(quota(spark, d)))
     return sampling.cap_and_quota(
         rows, "author", "event_type", ["ts", "event_id"], "n_chunks", wanted
     ).select("event_id", "author", "event_type", "n_chunks")
@@ -145,11 +151,11 @@ def d08_cap_quota(spark, d):
     "d13_cap_then_quota",
     f"""WITH {CAPPED}, p AS (SELECT *, coalesce(sum(n_chunks) OVER (PARTITION BY event_type
       ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS prior
-      FROM capped) SELECT event_id, author, event_type FROM p WHERE prior < {QUOTA}""",
+      FROM capped) SELECT event_id, author, event_type FROM p WHERE prior < quota""",
 )
 def d13_cap_then_quota(spark, d):
     kept = sampling.cap_then_quota(
-        feed(spark, d), "author", "event_type", ["ts", "event_id"], "n_chunks", QUOTA
+        feed(spark, d), "author", "event_type", ["ts", "event_id"], "n_chunks", quota(spark, d)
     )
     return kept.select("event_id", "author", "event_type")
 
