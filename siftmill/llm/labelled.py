@@ -20,27 +20,34 @@ def learning_row(ident: str, modulus: int, held: int) -> Column:
     return F.crc32(F.col(ident).cast("string").cast("binary")) % modulus != held
 
 
+def marked_rows(labels: DataFrame, label: str, learn) -> DataFrame:
+    """(doc_id, y) of the ids whose label can be learned: the larger of several labels; labels other
+    than 0 and 1 and null ids are left out."""
+    marked = labels.where(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
+    return marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
+        F.max(label).cast("int").alias("y")
+    )
+
+
+def fold_of(ident: str) -> Column:
+    return F.pmod(F.xxhash64(F.lit(SEED + 1), F.col(ident)), F.lit(FOLDS))
+
+
 def sample_rows(
     docs: DataFrame, labels: DataFrame, label: str, learn, per_class: int, seed: int = SEED,
 ) -> tuple[DataFrame, list[int]]:
     """(doc_id, text, y, fold) of at most `per_class` rows of each class, kept durable, and the
     number of rows of each class that could have been taken.
 
-    The rows with the lowest seeded hash of their id are taken; of rows with one id, one. A row
-    with several labels has the larger one; labels other than 0 and 1 and null ids are left out.
+    The rows with the lowest seeded hash of their id are taken; of rows with one id, one.
     """
-    marked = labels.where(learn & F.col(label).isin(0, 1) & F.col("doc_id").isNotNull())
-    marked = marked.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(
-        F.max(label).cast("int").alias("y")
-    )
-    there = durable(marked.join(docs.select("doc_id"), "doc_id", "left_semi"))
+    there = durable(marked_rows(labels, label, learn).join(docs.select("doc_id"), "doc_id", "left_semi"))
     found = {r["y"]: r["n"] for r in there.groupBy("y").agg(F.count("*").alias("n")).collect()}
     order = F.xxhash64(F.lit(seed), F.col("doc_id"))
     drawn = [there.where(F.col("y") == y).orderBy(order, "doc_id").limit(per_class) for y in (0, 1)]
     # At most 2 * per_class ids, so the broadcast is bounded.
     chosen = F.broadcast(drawn[0].unionByName(drawn[1]))
-    fold = F.pmod(F.xxhash64(F.lit(seed + 1), F.col("doc_id")), F.lit(FOLDS))
-    rows = docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", fold)
+    rows = docs.join(chosen, "doc_id").dropDuplicates(["doc_id"]).withColumn("fold", fold_of("doc_id"))
     return durable(rows.select("doc_id", "text", "y", "fold")), [found.get(0, 0), found.get(1, 0)]
 
 

@@ -1,8 +1,8 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Word bigram models of toxic and of ordinary texts are learned from labelled rows. Each class's
+Word bigram models of toxic and of ordinary texts are learned from all labelled rows. Each class's
 bigrams back off to its own words, and these to one distribution for both classes: the number of
-different words a word follows anywhere. All orders use continuation counts: an expression counts
+different words a word follows in any of these rows. All orders use continuation counts: an expression counts
 once for each different word before it, so copies and repetition add nothing. Discounts take the
 weight of rare expressions away from the classes and give it to the shared backoff, so only what
 occurs in many surroundings in one class tells them apart.
@@ -11,8 +11,8 @@ A text's evidence is the difference of its two length-normalised log-likelihoods
 text and over its most toxic short window, which a long text cannot dilute. A logistic function of
 the two, fitted on cross-fitted training rows and set to the classes' true shares, is the score.
 
-Both classes take the same backoff weights, so the log ratio of a bigram that was not kept is that
-of its right word alone, and nothing at all for an unknown word.
+Both classes take the same backoff weights, so the log ratio of a bigram that passes the discount in
+no class is that of its right word alone, and nothing at all for such a word. All others are kept.
 """
 
 from __future__ import annotations
@@ -27,14 +27,23 @@ from pyspark.sql import functions as F
 
 from siftmill.llm.common import map_batches, stored, table_of, whole_texts
 from siftmill.llm.labelled import FOLDS as _FOLDS
-from siftmill.llm.labelled import judged, learning_row, rows_by_score, sample_rows
+from siftmill.llm.labelled import (
+    fold_of,
+    judged,
+    learning_row,
+    marked_rows,
+    rows_by_score,
+    sample_rows,
+)
+from siftmill.session import small_or_same
 
 CUTOFF = 0.7
-# The model is fitted on a bounded sample: at most so many labelled rows of each class.
+# The weights of the logistic function are fitted on at most so many labelled rows of each class.
 ROWS_PER_CLASS = 4000
-# Size of the model: words and bigrams, the most frequent first.
-WORDS = 200_000
-PAIRS = 100_000
+# With more labelled rows than that, documents meet their labels in a shuffled join.
+HELD_LABELS = 1_000_000
+# Rows of one slice of texts to count.
+COUNT_ROWS = 250
 DISCOUNT = 5.0
 WINDOW = 2
 _TOKEN = re.compile(r"[^\W_]+")
@@ -86,25 +95,50 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
-def _counted(sample: DataFrame) -> DataFrame:
-    """(u, a, b, seen): each kind of bigram (a, b), u null, and of bigram after a word (u, a, b);
-    bit 2 * fold + class of `seen` says where it occurs."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found: dict[tuple, int] = {}
-        texts, ys, folds = (batch.column(n).to_pylist() for n in ("text", "y", "fold"))
-        for text, y, fold in zip(texts, ys, folds, strict=True):
-            words = words_of(text)
-            bit = 1 << (2 * fold + y)
-            kinds = set(zip(words, words[1:], words[2:], strict=False))
-            kinds.update((None, a, b) for a, b in zip(words, words[1:], strict=False))
-            for kind in kinds:
-                found[kind] = found.get(kind, 0) | bit
-        columns = zip(*found, strict=True) if found else ((), (), ())
-        return table_of(dict(zip("uab", columns, strict=True)) | {"seen": list(found.values())}, _COUNTED)
-
-    schema = "u string, a string, b string, seen long"
-    made = map_batches(sample.select("text", "y", "fold"), run, schema)
+def _parted(docs: DataFrame, labels: DataFrame, label: str, learn) -> DataFrame:
+    """(text, part): every labelled document that can be learned from; part is 2 * fold + class."""
+    marked = small_or_same(marked_rows(labels, label, learn), HELD_LABELS)
+    part = (2 * fold_of("doc_id") + F.col("y")).cast("int")
+    return docs.join(marked, "doc_id").select("text", part.alias("part"))
+
+
+def _kinds(keys: list[np.ndarray], parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
+    """(different keys, where they occur): bit i stands for part i."""
+    found, at = np.unique(np.concatenate(keys), return_inverse=True)
+    part = np.repeat(parts, [len(k) for k in keys])
+    seen = sum((np.bincount(at[part == i], minlength=len(found)) > 0) << i for i in range(2 * _FOLDS))
+    return found, seen
+
+
+def _counted(rows: DataFrame) -> DataFrame:
+    """(u, pair, a, b, seen): each kind of bigram (a, b), `pair` true, and of bigram after a word
+    (u, a, b); bit 2 * fold + class of `seen` says where it occurs."""
+
+    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+        index: dict[str, int] = {}
+        runs, parts = [], []
+        for text, part in zip(*(batch.column(n).to_pylist() for n in ("text", "part")), strict=True):
+            ids = np.array([index.setdefault(w, len(index)) for w in words_of(text)], np.int64)
+            if len(ids) > 1:
+                runs.append(ids)
+                parts.append(part)
+        if not runs:
+            return None
+        words, low = pa.array(list(index), pa.string()), 0xFFFFFFFF
+        pairs, seen = _kinds([r[:-1] << 32 | r[1:] for r in runs], parts)
+        columns = [
+            pa.nulls(len(pairs), pa.string()), words.take(pa.array(pairs >> 32)),
+            words.take(pa.array(pairs & low)), pa.array(seen),
+        ]
+        made = [pa.RecordBatch.from_arrays(columns, schema=_COUNTED)]
+        places = [np.searchsorted(pairs, r[1:-1] << 32 | r[2:]) for r in runs]
+        triples, seen = _kinds([r[:-2] << 32 | at for r, at in zip(runs, places, strict=True)], parts)
+        pair = pairs[triples & low]
+        columns = [words.take(pa.array(k)) for k in (triples >> 32, pair >> 32, pair & low)]
+        made.append(pa.RecordBatch.from_arrays([*columns, pa.array(seen)], schema=_COUNTED))
+        return pa.Table.from_batches(made).combine_chunks().to_batches()[0]
+
+    made = map_batches(rows, run, "u string, a string, b string, seen long", rows=COUNT_ROWS)
     return made.groupBy(F.xxhash64("u").alias("u"), F.col("u").isNull().alias("pair"), "a", "b").agg(
         F.bit_or("seen").alias("seen")
     )
@@ -119,26 +153,30 @@ def _columns() -> dict:
     return {f"n{i}": F.count_if(seen.bitwiseAND(F.lit(m)) > 0) for i, m in enumerate(masks)}
 
 
-def _tables(sample: DataFrame, words: int, pairs: int) -> tuple[dict, dict]:
-    """Continuation counts of the kept words and bigrams, at most `words` and `pairs` of them.
+def _tables(rows: DataFrame, discount: float) -> tuple[dict, dict]:
+    """Continuation counts of all words and bigrams that some class counts above the discount.
 
-    A word counts once for each different word before it, a bigram likewise, so neither copies of a
-    document nor repetition inside one make an expression look frequent.
+    The others have no evidence, so leaving them out changes no score. A word counts once for each
+    different word before it, a bigram likewise, so neither copies of a document nor repetition
+    inside one make an expression look frequent.
     """
-    counted = stored(_counted(sample), "expressions")
+    counted = stored(_counted(rows), "expressions")
     names = list(_columns())
-    total = F.col("n4") + F.col("n5")
+    speaks = F.greatest("n4", "n5") > discount
     counts = [c.alias(n) for n, c in _columns().items()]
-    single = counted.where("pair").groupBy("b").agg(*counts, F.count("*").alias("follows"))
+    single = stored(
+        counted.where("pair").groupBy("b").agg(*counts, F.count("*").alias("follows")), "words"
+    )
     double = stored(counted.where("not pair").groupBy("a", "b").agg(*counts), "bigrams")
+    sums = single.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names], F.sum("follows")).first()
+    twos = double.where(speaks).orderBy("a", "b").toArrow().to_pydict()
+    # A word before such a bigram is needed to name it, whatever it says alone.
+    before = double.where(speaks).select(F.col("a").alias("b")).distinct().withColumn("before", F.lit(True))
     context = double.groupBy(F.col("a").alias("b")).agg(
         *[F.sum(n).alias(n.replace("n", "c")) for n in names]
     )
-    kept = single.where(total > 1).orderBy(total.desc(), "b").limit(words)
-    rows = kept.join(context, "b", "left").na.fill(0)
-    ones = rows.toArrow().to_pydict()
-    twos = double.where(total > 2).orderBy(total.desc(), "a", "b").limit(pairs).toArrow().to_pydict()
-    sums = single.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names], F.sum("follows")).first()
+    known = single.join(before, "b", "full").where(speaks | F.col("before")).drop("before")
+    ones = known.join(context, "b", "left").na.fill(0).orderBy("b").toArrow().to_pydict()
     return {**ones, "types": sums[-1] or 0, "sums": np.array(sums[:-1], float)}, twos
 
 
@@ -228,19 +266,20 @@ def _logistic(rows: np.ndarray, shares: list[int], ridge: float = 1e-2) -> np.nd
 
 def fit(
     docs: DataFrame, labels: DataFrame, label: str = "toxic", learn=None,
-    per_class: int = ROWS_PER_CLASS, words: int = WORDS, pairs: int = PAIRS,
-    discount: float = DISCOUNT, ident: str = "doc_id", text: str = "text",
+    per_class: int = ROWS_PER_CLASS, discount: float = DISCOUNT, ident: str = "doc_id",
+    text: str = "text",
 ) -> Model:
     """A model from the labelled rows for which the condition `learn` on `labels` holds.
 
-    Nothing but the text and the label of a row is read. Without labelled rows every text gets the
-    score one half.
+    The language models learn from all of them, the weights of the logistic function from at most
+    `per_class` rows of each class. Nothing but the text and the label of a row is read. Without labelled rows every text gets the score one half.
     """
     learn = F.lit(True) if learn is None else learn
-    sample, shares = sample_rows(whole_texts(docs, ident, text), labels, label, learn, per_class)
-    ones, twos = _tables(sample, words, pairs)
+    docs = whole_texts(docs, ident, text)
+    ones, twos = _tables(_parted(docs, labels, label, learn), discount)
     halves = [_model(ones, twos, f, discount) for f in range(_FOLDS)]
     model = _model(ones, twos, None, discount)
+    sample, shares = sample_rows(docs, labels, label, learn, per_class)
     model.weights = _logistic(_evidence(sample, halves), shares)
     return model
 

@@ -3,6 +3,7 @@ import random
 import zlib
 
 import pytest
+from pyspark.sql import functions as F
 
 from siftmill.llm import queries, toxicity
 from siftmill.llm.labelled import learning_row, sample_rows
@@ -115,3 +116,23 @@ def test_query(spark, medium):
     marked = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{medium}/labels.parquet").collect()}
     held = [i for i in marked if got[i]["held_out"]]
     assert sum(got[i]["predicted"] == marked[i] for i in held) >= 0.93 * len(held)
+
+
+def test_all_labelled_rows_are_counted(spark):
+    """Words outside the few rows that the weights are fitted on count, and none is cut."""
+    rows = [(i, f"plain w{i} words here", int(i % 2 == 0)) for i in range(40)]
+    rows += [(100 + i, "some free text", None) for i in range(3)] + [(0, "plain w0 words here", 0)]
+    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int")
+    ones, twos = toxicity._tables(toxicity._parted(docs, labels, "toxic", F.lit(True)), 0.5)
+    at = {w: i for i, w in enumerate(ones["b"])}
+    assert set(at) == {"words", "here", *(f"w{i}" for i in range(40))}
+    assert ones["types"] == 40 + 40 + 1 and ones["follows"][at["words"]] == 40
+    assert [ones["n4"][at["words"]], ones["n5"][at["words"]]] == [20, 20]
+    # Below the discount stays out; a bigram counts once for each word before it.
+    assert (twos["a"], twos["b"]) == (
+        [f"w{i}" for i in sorted(range(40), key=str)] + ["words"], ["words"] * 40 + ["here"])
+    assert (twos["n4"][-1], twos["n5"][-1]) == (20, 20)
+    model = toxicity.fit(docs, labels, per_class=2, discount=0.5)
+    own = dict(zip(model.words, model.own))
+    assert all(own[f"w{i}"] * (1 if i % 2 == 0 else -1) > 0 for i in range(40))
