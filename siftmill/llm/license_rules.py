@@ -3,7 +3,8 @@
 A family is (label, keyword, name, identifier): the label of its detections, a literal without which
 none of its rules can match, a regular expression for its written name, and one for its short
 identifier. `rules()` makes of each family, in order of priority, the tag, the grant, the title and
-the mention; free-standing notices follow. All patterns read lower-cased text.
+the mention; free-standing notices follow. Tags and grants also take the plain identifiers, which
+are too common as words elsewhere. All patterns read lower-cased text whose gaps are one blank.
 """
 
 from __future__ import annotations
@@ -77,6 +78,12 @@ FAMILIES = (
     ("unlicense", "unlicense", r"the unlicense", r"unlicense"),
     ("wtfpl", "wtfpl", r"do what the f\w+ you want to public licen[sc]e", r"wtfpl"),
 )
+# Identifiers of tags and grants that a mention does not take: (label: pattern).
+PLAIN = {
+    "mit": r"(?:mit|expat|x11)", "isc": r"isc", "zlib": r"zlib", "openssl": r"openssl",
+    "postgresql": r"postgresql", "ncsa": r"ncsa",
+}
+_ALONE = r"(?!-(?!licen))"
 # (strength, frame): the frame is filled with the name or the identifier.
 _FRAMES = (
     (0.99, r"spdx-licen[sc]e-identifier:? *(?:{ident}){end}"),
@@ -123,6 +130,9 @@ def rules() -> tuple[Rule, ...]:
     for strength, frame in _FRAMES:
         for label, keyword, name, ident in FAMILIES:
             keywords = (keyword,) * ("{name}" in frame) + (_letters_of(ident),) * ("{ident}" in frame)
+            if label in PLAIN and strength > 0.9:
+                ident += "|" + PLAIN[label] + _ALONE
+                keywords += tuple(re.findall(r"[a-z0-9]{3,}", PLAIN[label]))
             made.append((strength, label, keywords, frame.format(name=name, ident=ident, end=_END)))
     made += [(strength, label, (keyword,), text) for label, keyword, strength, text in NOTICES]
     made.sort(key=lambda r: -r[0])

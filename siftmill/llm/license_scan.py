@@ -1,6 +1,7 @@
 """License detection in whole texts by ordered signature rules.
 
-A keyword prefilter opens the rules that can match at all. Every match is a detection with an
+Rules read the text with every gap, line ends with their comment marks among them, as one blank; an
+offset map leads back. A keyword prefilter opens the rules that can match at all. Every match is a detection with an
 interval; detections are taken in order of rule priority, and one that lies
 inside an accepted interval is suppressed: `apache license` inside `licensed under the apache
 license, version 2.0` says nothing new. Fixed base phrases are counted beside it by words.
@@ -42,6 +43,14 @@ _SCHEMA = pa.schema([
 ])
 
 
+# A gap that is not one blank: marks at the end of a line, line ends, marks at the start of the next.
+_MARKS = r"(?://+[!/]?|/?\*+[/!]?|#+!?|;+|--+|%+|>+|\|+|!+|<!--|\.\.|\(\*|\bdnl\b|\brem\b|')"
+_LINES = re.compile(
+    rf"(?:(?:[^\S\n]+(?:\*+/?|#+|\|+|;+|\\|-->|\*\)))?[^\S\n]*\n[^\S\n]*(?:{_MARKS}(?=\s)[^\S\n]*)*)+"
+    r"|[^\S\n]{2,}|[^\S\n ]"
+)
+
+
 @dataclass(frozen=True)
 class Detection:
     start: int
@@ -49,8 +58,37 @@ class Detection:
     rule: Rule
 
 
+def _one_blank(low: str) -> tuple[str, np.ndarray, np.ndarray]:
+    """(text, ends, shifts): gaps as one blank; a place from ends[i] on stood shifts[i] later."""
+    pieces, ends, shifts = [], [0], [0]
+    at = made = 0
+    for m in _LINES.finditer(low):
+        pieces.append(low[at:m.start()])
+        made += m.start() - at + 1
+        at = m.end()
+        ends.append(made)
+        shifts.append(at - made)
+    pieces.append(low[at:])
+    return " ".join(pieces), np.array(ends), np.array(shifts)
+
+
 def detections(low: str) -> list[Detection]:
     """What is left of all matches in a lower-cased text after suppression, in text order."""
+    flat, ends, shifts = _one_blank(low)
+    found = _flat_detections(flat)
+    if len(ends) == 1 or not found:
+        return found
+
+    def back(places: list[int]) -> np.ndarray:
+        return places + shifts[np.searchsorted(ends, places, "right") - 1]
+
+    # No rule ends in a gap, so an end is one behind the last character.
+    starts = back([d.start for d in found]).tolist()
+    stops = (back([d.end - 1 for d in found]) + 1).tolist()
+    return [Detection(a, b, d.rule) for a, b, d in zip(starts, stops, found, strict=True)]
+
+
+def _flat_detections(low: str) -> list[Detection]:
     opened = sorted({i for word, orders in keyword_index().items() if word in low for i in orders})
     kept: list[Detection] = []
     starts, reach = np.zeros(0, np.int64), np.zeros(0, np.int64)

@@ -42,6 +42,43 @@ def test_labels(text, want):
     assert _labels(text) == want
 
 
+NOTICES = [
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\")"),
+    ("apache-2.0", "Apache License\n                           Version 2.0, January 2004"),
+    ("bsd", "Redistribution and use in source and binary forms, with or without\nmodification, are permitted"),
+    ("isc", "Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted"),
+    ("mit", "Permission is hereby granted, free of charge, to any person obtaining\na copy of this software"),
+    ("gpl-2.0", "under the terms of the GNU General\nPublic License version 2"),
+]
+
+
+@pytest.mark.parametrize("label, text", NOTICES)
+@pytest.mark.parametrize("mark", ["", "# ", " * ", "// ", "-- ", ";; ", "    ", "\t"])
+def test_broken_lines(label, text, mark):
+    for words in (text, text.replace(" ", "\n"), text.replace(" ", "  ")):
+        body = "\r\n".join(mark + line for line in ["é intro", *words.split("\n"), "", "end"])
+        found = [d for d in L.detections(body.lower()) if d.rule.label == label]
+        assert found, body
+        first, last = found[0].rule.pattern.search(L._one_blank(text.lower())[0])[0].split()[::len(found[0].rule.pattern.search(L._one_blank(text.lower())[0])[0].split()) - 1]
+        got = body.lower()[found[0].start:found[0].end]
+        assert got.startswith(first) and got.endswith(last)
+
+
+@pytest.mark.parametrize("text, want", [
+    ("// SPDX-License-Identifier: MIT\nint x;", ["mit"]),
+    ("/* SPDX-License-Identifier: ISC */", ["isc"]),
+    ("SPDX-License-Identifier: Zlib\n", ["zlib"]),
+    ("SPDX-License-Identifier: NCSA\n", ["ncsa"]),
+    ("SPDX-License-Identifier: OpenSSL\n", ["openssl"]),
+    ("SPDX-License-Identifier: PostgreSQL\n", ["postgresql"]),
+    ("SPDX-License-Identifier: MIT-0\n", ["mit-0"]),
+    ("SPDX-License-Identifier: MIT-CMU\n", []),
+    ("we use zlib and openssl with postgresql\nkomm mit\nuns", []),
+])
+def test_plain_identifiers(text, want):
+    assert _labels(text) == want
+
+
 def test_rules_have_keywords_that_gate_only():
     assert len(rules()) > 200 and len({r.order for r in rules()}) == len(rules())
     texts = ["licensed under the apache license, version 2.0", "gnu lesser general public license v2.1", "cc-by-nc-sa-4.0", "zlib license; mpl-2.0"]
