@@ -3,8 +3,9 @@
 Three base kinds (assign, access, hex) are plain patterns. The method adds the kind `novel`: every
 long token that follows a sensitive word is a candidate; it is compressed with zstandard after a
 raw dictionary made of common identifiers and of the text around it, and the bytes it adds are
-compared with its length. Words, repeated identifiers and paths are in the dictionary and add
-little; a key or a password adds nearly its own length and is reported.
+compared with its length. Words, identifiers and paths of the surroundings are in the dictionary and
+add little; a key or a password adds nearly its own length and is reported. Where the same string is a
+candidate more than once, its other places are taken out of the text around it.
 """
 
 from __future__ import annotations
@@ -105,15 +106,30 @@ def novel_spans(text: str, low: str | None = None) -> list[Span]:
         while (m := _CANDIDATE.search(text, at)) and m.start() < stop:
             found[m.start(), m.end()] = None
             at = m.end()
+    places: dict[str, list[tuple[int, int]]] = {}
+    for start, end in found:
+        places.setdefault(text[start:end], []).append((start, end))
     made = []
     for start, end in found:
         candidate = text[start:end]
-        around = text[max(0, start - AROUND):start] + " " + text[end:end + AROUND]
+        before, after = max(0, start - AROUND), end + AROUND
+        # A secret that stands twice must not explain itself.
+        others = [p for p in places[candidate] if p[1] > before and p[0] < after]
+        around = _without(text, before, after, others)
         if added_bytes(candidate, around) >= NOVELTY * len(candidate):
             made.append((start, "novel", end))
     return made
 
 
+def _without(text: str, start: int, end: int, places: list[tuple[int, int]]) -> str:
+    """text[start:end] with a blank for each of the `places`, which are in order."""
+    made = []
+    for a, b in places:
+        made.append(text[start:max(a, start)])
+        start = b
+    return " ".join([*made, text[start:max(end, start)]])
+
+
 def _joined(spans: list[Span]) -> str:
     order = sorted(spans, key=lambda s: (s[0], KINDS.index(s[1])))
     return ",".join(f"{kind}:{start}:{end}" for start, kind, end in order)

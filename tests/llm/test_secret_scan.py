@@ -103,6 +103,19 @@ def test_novelty():
     assert S.added_bytes(key, "") > S.added_bytes(key, f"x {key} y")
 
 
+def test_a_secret_does_not_explain_itself():
+    rng = random.Random(4)
+    key = "".join(rng.choices(ALNUM, k=40))
+    call = f"curl -H 'Authorization: Bearer {key}' https://service.org/items\n"
+    for times in (1, 2, 50):
+        text = call * times
+        assert [text[a:b] for a, _, b in S.novel_spans(text)].count(key) == times
+        assert key not in S.masked(text)
+    # Repeated names are explained as before.
+    assert S.novel_spans("the token access_token_of_configuration\n" * 3) == []
+    assert S._without("0123456789", 1, 9, [(0, 2), (4, 6), (8, 12)]) == " 23 67 "
+
+
 def test_masked():
     assert S.masked("a password=abcdefgh b") == "a [SECRET] b"
     assert S.masked("token=" + "0a" * 20 + "!") == "[SECRET]!"
