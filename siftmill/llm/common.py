@@ -4,14 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siftmill.session import scratch
 
-# Rows of one Arrow batch of texts. A batch of a thousand texts of 100 kB is 100 MB.
+# Rows and bytes of one slice of texts; a longer text is a slice of its own.
 TEXT_ROWS = 1000
+TEXT_BYTES = 16 << 20
 
 
 def whole_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -27,18 +30,50 @@ def table_of(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     )
 
 
+def slices_by_size(
+    batches: Iterator[pa.RecordBatch], text: str, size: int = TEXT_BYTES, rows: int | None = None,
+) -> Iterator[pa.RecordBatch]:
+    """The batches in slices of about `size` bytes of column `text` and of at most `rows` rows; small
+    batches are put together if only bytes are bounded."""
+    waiting, held = [], 0
+
+    def together() -> pa.RecordBatch:
+        return pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
+
+    for batch in batches:
+        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64))
+        start = 0
+        while start < batch.num_rows:
+            before = int(sizes[start - 1]) if start else 0
+            stop = max(int(np.searchsorted(sizes, before + size - held, "right")), start + 1)
+            stop = min(stop, batch.num_rows, start + (rows or batch.num_rows))
+            waiting.append(batch.slice(start, stop - start))
+            held += int(sizes[stop - 1]) - before
+            if rows or held >= size or stop < batch.num_rows:
+                yield together()
+                waiting, held = [], 0
+            start = stop
+    if waiting:
+        yield together()
+
+
 def map_batches(
     df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch | None], schema: str,
     rows: int = TEXT_ROWS,
 ) -> DataFrame:
-    """`fn` over slices of at most `rows` rows; a slice may give no result."""
+    """`fn` over slices of at most `rows` rows and, of texts, about TEXT_BYTES; a slice may give no
+    result."""
+    text = "text" if dict(df.dtypes).get("text") == "string" else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for start in range(0, batch.num_rows, rows):
-                made = fn(batch.slice(start, rows))
-                if made is not None and made.num_rows:
-                    yield made
+        if text:
+            slices = slices_by_size(batches, text, rows=rows)
+        else:
+            slices = (b.slice(i, rows) for b in batches for i in range(0, b.num_rows, rows))
+        for part in slices:
+            made = fn(part)
+            if made is not None and made.num_rows:
+                yield made
 
     return df.mapInArrow(run, schema)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from siftmill.llm import (
     ann,
+    collocations,
     license_scan,
     packing,
     quality,
@@ -113,6 +114,47 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+@_query("op13_collocations", r"""
+WITH pieces AS (
+    SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
+        translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[.,;:!?\x0A-\x0D]')) AS piece
+    FROM documents
+), cut AS (
+    SELECT lang, list_filter(regexp_split_to_array(piece, '[\x20\x09]+'), lambda w: w <> '') AS w FROM pieces
+), sizes AS (
+    SELECT lang, CAST(sum(len(w)) AS BIGINT) AS n FROM cut GROUP BY lang
+), starts AS (
+    SELECT lang, w, k, unnest(range(1, len(w) - k + 2)) AS i
+    FROM cut, (SELECT unnest(range(1, 6)) AS k)
+), counted AS (
+    SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase, count(*) AS f
+    FROM starts GROUP BY ALL HAVING count(*) >= 100
+), cuts AS (
+    SELECT c.lang, c.phrase, c.f AS a, c.k, unnest(range(1, c.k)) AS j, string_split(c.phrase, ' ') AS w
+    FROM counted c WHERE c.k >= 2
+), scored AS (
+    SELECT c.lang, c.phrase, c.a, c.j, x.f AS l, y.f AS r, s.n,
+           CAST((1000 * c.a::HUGEINT * s.n) // (x.f::HUGEINT * y.f) AS BIGINT) AS score
+    FROM cuts c JOIN sizes s ON s.lang = c.lang
+    JOIN counted x ON x.lang = c.lang AND x.phrase = array_to_string(c.w[1:c.j], ' ')
+    JOIN counted y ON y.lang = c.lang AND y.phrase = array_to_string(c.w[c.j + 1:], ' ')
+), best AS (
+    SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, j) = 1
+), alone AS (
+    SELECT b.* FROM best b WHERE NOT EXISTS (
+        SELECT 1 FROM counted o WHERE o.lang = b.lang AND length(o.phrase) > length(b.phrase)
+        AND contains(' ' || o.phrase || ' ', ' ' || b.phrase || ' ') AND 100 * o.f >= 100 * b.a)
+), ranked AS (
+    SELECT *, row_number() OVER (
+        PARTITION BY lang ORDER BY score DESC, a DESC, encode(phrase)) AS rank FROM alone
+)
+SELECT lang, rank, phrase, a, l, r, n, score FROM ranked WHERE rank <= 2000
+""")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(_documents(spark, sf_dir))
+
+
 QUERIES["pipeline"] = corpus_pipeline.run
 if corpus_pipeline.ORACLE_SQL is not None:
     ORACLES["pipeline"] = corpus_pipeline.ORACLE_SQL
