@@ -11,6 +11,7 @@ import corpus_pipeline
 from siftmill.llm import (
     ann,
     collocations,
+    id_files,
     license_scan,
     packing,
     quality,
@@ -114,6 +115,11 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+@_query("op12_token_files")
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return id_files.round_trip(_documents(spark, sf_dir))
+
+
 @_query("op13_collocations", r"""
 WITH pieces AS (
     SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array(
