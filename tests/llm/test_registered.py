@@ -26,6 +26,6 @@ def test_all_are_registered():
     import __spark_entry__ as contract
 
     numbers = sorted(int(k[2:].split("_")[0]) for k in queries.QUERIES if k.startswith("op"))
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(queries.QUERIES) <= set(contract.queries())
     assert set(queries.ORACLES) <= set(contract.oracle_sql())
