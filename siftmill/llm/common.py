@@ -15,6 +15,8 @@ from siftmill.session import scratch
 # Rows and bytes of one slice of texts; a longer text is a slice of its own.
 TEXT_ROWS = 1000
 TEXT_BYTES = 16 << 20
+# What a row counts beside its text, so that empty texts fill a slice too.
+_ROW_BYTES = 32
 
 
 def whole_texts(docs: DataFrame, ident: str = "doc_id", text: str = "text") -> DataFrame:
@@ -41,7 +43,8 @@ def slices_by_size(
         return pa.Table.from_batches(waiting).combine_chunks().to_batches()[0]
 
     for batch in batches:
-        sizes = np.cumsum(pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy().astype(np.int64))
+        lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy()
+        sizes = np.cumsum(lengths.astype(np.int64) + _ROW_BYTES)
         start = 0
         while start < batch.num_rows:
             before = int(sizes[start - 1]) if start else 0

@@ -12,6 +12,7 @@ from siftmill.llm import (
     ann,
     collocations,
     id_files,
+    lexical_search,
     license_scan,
     packing,
     quality,
@@ -115,6 +116,43 @@ def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_documents(spark, sf_dir))
 
 
+@_query("op11_lexical_search", r"""
+WITH held AS (
+    SELECT row_number() OVER () AS place, doc_id, regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS t
+    FROM documents
+), whole AS (
+    SELECT CAST(count(*) AS BIGINT) AS n, CAST(sum(len(t)) AS BIGINT) AS l FROM held WHERE len(t) > 0
+), asked AS (
+    SELECT DISTINCT item_id, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+    FROM benchmark
+), words AS (
+    SELECT place, doc_id, len(t) AS n, unnest(t) AS term FROM held
+), postings AS (
+    SELECT place, doc_id, n, term, count(*) AS tf FROM words
+    WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+), weights AS (
+    SELECT term, CAST(floor(1000 * ln(CAST(2 * any_value(whole.n) + 2 AS DOUBLE) / (2 * count(*) + 1))) AS BIGINT) AS w
+    FROM postings, whole GROUP BY term
+), scored AS (
+    SELECT a.item_id, p.place, p.doc_id, CAST(sum(w.w * (
+        (1000000000 * p.tf) // (1000 * p.tf + 8 * (10 + (90 * p.n * whole.n) // whole.l)))) AS BIGINT) AS score
+    FROM asked a JOIN postings p ON p.term = a.term JOIN weights w ON w.term = a.term, whole
+    GROUP BY ALL
+), ranked AS (
+    SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank
+    FROM scored WHERE score > 0
+)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10
+""")
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    index = lexical_search.build(_documents(spark, sf_dir))
+    return lexical_search.search(index, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 @_query("op12_token_files")
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
     return id_files.round_trip(_documents(spark, sf_dir))
