@@ -295,7 +295,7 @@ def search(
     held = small_or_same(asked, HELD_TERMS)
     rows = index.table.where("term IS NOT NULL")
     if held is asked:
-        salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).cast("long").alias("salt")
+        salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(_SALTS - 1).cast("long"))).alias("salt")
         rows = rows.withColumn("salt", F.pmod(F.xxhash64("shard"), F.lit(_SALTS)))
         rows = rows.join(asked.select("*", salts), ["term", "salt"]).drop("salt")
     else:
