@@ -43,6 +43,8 @@ SLICE_BYTES = 4 << 20
 # Pre-tokens whose ids a worker remembers; beyond it the memory starts anew, the ids are the same.
 REMEMBERED = 700_000
 _ALONE = 500
+# Latin-1 characters that the quick cut knows.
+_USUAL = bytes(b for b in range(256) if not _ODD.match(chr(b)))
 _MAGIC = b"IDS8B\x00\x00\x01"
 _HEAD = "<8sII6Q"
 _FILES = pa.schema([
@@ -58,8 +60,9 @@ class Encoder:
     """Ids of whole texts by the tokenizers library with a byte-level vocabulary.
 
     Pre-tokens do not influence one another, so each distinct one goes through the library once, many
-    at a time with an added token in between. Texts with added tokens, or with characters whose
-    classes depend on the Unicode version, go through it as they are.
+    in one text: those of one blank and what follows it stand behind one another, as a token with a
+    leading blank begins each of them, others have an added token in between. Texts with added
+    tokens, or with characters whose classes depend on the Unicode version, go through it as they are.
     """
 
     def __init__(self, path: str):
@@ -71,24 +74,41 @@ class Encoder:
         added = self.library.get_added_tokens_decoder()
         self.mark_id, mark = next(iter(added.items()))
         self.mark = mark.content
-        names = [re.escape(t.content) for t in added.values()]
-        self.plain = re.compile("|".join([*names, _ODD.pattern]))
+        self.added = re.compile("|".join(re.escape(t.content) for t in added.values()))
+        vocabulary = self.library.get_vocab()
+        blank = self.library.id_to_token(self.library.encode(" ", add_special_tokens=False).ids[0])
+        self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.begins[[i for token, i in vocabulary.items() if token.startswith(blank)]] = True
         self.known: dict[str, bytes] = {}
 
     def _learn(self, pieces: list[str]) -> None:
-        groups = [pieces[i:i + _ALONE] for i in range(0, len(pieces), _ALONE)]
-        lines = [self.mark.join(g) for g in groups]
-        for group, made in zip(groups, self._library(lines), strict=True):
-            raw = made.tobytes()
-            ends = np.append(np.flatnonzero(made == self.mark_id), len(made)) * 4
-            starts = np.append(0, ends[:-1] + 4)
-            for piece, i, j in zip(group, starts.tolist(), ends.tolist(), strict=True):
-                self.known[piece] = raw[i:j]
+        led = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
+        others = [p for p in pieces if p[0] != " " or len(p) < 2 or p[1].isspace()]
+        for some, between in ((led, ""), (others, self.mark)):
+            groups = [some[i:i + _ALONE] for i in range(0, len(some), _ALONE)]
+            for group, made in zip(groups, self._library([between.join(g) for g in groups]), strict=True):
+                raw = made.tobytes()
+                if between:
+                    ends = np.append(np.flatnonzero(made == self.mark_id), len(made)) * 4
+                    starts = np.append(0, ends[:-1] + 4)
+                else:
+                    starts = np.flatnonzero(self.begins[made]) * 4
+                    ends = np.append(starts[1:], len(raw))
+                for piece, i, j in zip(group, starts.tolist(), ends.tolist(), strict=True):
+                    self.known[piece] = raw[i:j]
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         made = self.library.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(m.ids, "<u4") for m in made]
 
+    def _whole(self, text: str) -> bool:
+        """Whether the library must cut the text."""
+        try:
+            odd = text.encode("latin-1").translate(None, _USUAL)
+        except UnicodeEncodeError:
+            odd = _ODD.search(text)
+        return bool(odd or self.added.search(text))
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
@@ -96,7 +116,7 @@ class Encoder:
         result: list[bytes] = [b""] * len(texts)
         late, missing, odd = [], set(), []
         for i, text in enumerate(texts):
-            if self.plain.search(text):
+            if self._whole(text):
                 odd.append(i)
                 continue
             pieces = _FAST.findall(text)

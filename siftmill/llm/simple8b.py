@@ -19,8 +19,13 @@ _COUNT = np.array([240, 1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
 _WIDTH = np.array([0, 60, 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, 15, 20, 30, 60])
 _PACKINGS = [s for s in range(16) if s != _ESCAPE]
 _LOW = np.uint64((1 << 60) - 1)
+# (numbers, numbers of the first of the two runs that make up a run of so many).
+_RUNS = [(2, 1), (3, 2), (4, 2), (5, 4), (6, 4), (7, 4), (8, 4), (10, 8), (12, 8), (15, 8), (20, 10), (30, 15), (60, 30),
+         (120, 60), (240, 120)]
+_BITS = np.array([n.bit_length() for n in range(1 << 16)], np.int8)
+_SHORT = np.uint64(0xFFFF)
 # Blocks coded together.
-_TOGETHER = 256
+_TOGETHER = 512
 
 
 @dataclass
@@ -37,23 +42,33 @@ class Coded:
 
 def _bits(values: np.ndarray) -> np.ndarray:
     """Bits of each number; 0 for 0."""
-    bits = np.zeros(values.shape, np.int8)
-    for shift in (32, 16, 8, 4, 2, 1):
-        more = values >> np.uint64(shift) != 0
-        bits[more] += shift
-        values = np.where(more, values >> np.uint64(shift), values)
-    return bits + (values != 0).astype(np.int8)
-
-
-def _selectors(bits: np.ndarray, left: np.ndarray) -> np.ndarray:
-    """For each place of each block (rows), the selector that takes most numbers from there on."""
-    here = np.arange(bits.shape[1], dtype=np.int32)
-    best = np.full(bits.shape, _ESCAPE, np.int8)
-    for selector in reversed(_PACKINGS):
-        wide = np.where(bits > _WIDTH[selector], here, np.int32(2 ** 30))
-        run = np.minimum.accumulate(wide[:, ::-1], axis=1)[:, ::-1] - here
-        best[run >= np.minimum(_COUNT[selector], left)] = selector
-    return best
+    bits = _BITS[(values & _SHORT).astype(np.uint16)]
+    for shift in (16, 32, 48):
+        high = values >> np.uint64(shift)
+        more = high != 0
+        if not more.any():
+            break
+        bits[more] = _BITS[(high[more] & _SHORT).astype(np.uint16)] + np.int8(shift)
+    return bits
+
+
+def _selectors(bits: np.ndarray) -> np.ndarray:
+    """For each place of each block (rows), the selector that takes most numbers from there on.
+
+    A selector that takes fewer numbers takes wider ones, so the fitting ones are the last of the
+    list and the number of others names the first. What lies behind a block has no bits.
+    """
+    size = bits.shape[1] - 240
+    # Widest number among the next n: two runs that are known, laid over each other.
+    runs = {1: bits}
+    for n, a in _RUNS:
+        left, right = runs[a], runs[n - a][:, a:]
+        width = min(left.shape[1], right.shape[1])
+        runs[n] = np.maximum(left[:, :width], right[:, :width])
+    missed = np.zeros((len(bits), size), np.int8)
+    for selector in _PACKINGS:
+        missed += runs[_COUNT[selector]][:, :size] > _WIDTH[selector]
+    return np.array([*_PACKINGS, _ESCAPE], np.int8)[missed]
 
 
 def _walk(best: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -84,9 +99,7 @@ def _encode_blocks(values: np.ndarray, size: int):
     table[whole:, :len(values) - whole * size] = values[whole * size:]
     sizes = np.full(n, size)
     sizes[whole:] = len(values) - whole * size
-    bits = _bits(table[:, :size])
-    left = np.maximum(sizes[:, None] - np.arange(size), 1)
-    block, at, selector = _walk(_selectors(bits, left), sizes)
+    block, at, selector = _walk(_selectors(_bits(table)), sizes)
     words = selector.astype(np.uint64) << np.uint64(60)
     for s in _PACKINGS[1:]:
         rows = np.flatnonzero(selector == s)
