@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import zlib
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,6 +35,8 @@ FIRST = 2000
 _TOGETHER = 16 << 20
 # Distinct hashes held beside the counters while summaries are merged.
 _WAITING = 4 << 20
+# Bits by which partitions are fewer in the second pass.
+_FEWER = 4
 # Bits of the table of survivors: 32 MB, whatever the input. A fuller table lets more phrases into
 # the second pass, which counts them and drops them.
 TABLE_BITS = 28
@@ -45,6 +48,9 @@ _LETTERS = bytes(range(0x41, 0x5B))
 _PLAIN = bytes.maketrans(_LETTERS + _SEPARATORS + b"\t", _LETTERS.lower() + b"." * len(_SEPARATORS) + b" ")
 _MIX, _LAST = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _SUMMARY = pa.schema([("part", pa.int32()), ("mass", pa.int64()), ("summary", pa.binary())])
+_BLOCK = pa.schema([
+    ("part", pa.int32()), ("lang", pa.string()), ("phrases", pa.binary()), ("counts", pa.binary()),
+])
 _COUNTS = pa.schema([
     ("lang", pa.string()), ("phrase", pa.string()), ("words", pa.int32()), ("a", pa.int64()),
 ])
@@ -199,9 +205,9 @@ def _survivors(group: pa.Table, threshold: int, bits: int, parts: int, table_bit
 
 def survivors(
     rows: DataFrame, threshold: int, table_bits: int = TABLE_BITS, together: int = _TOGETHER,
-) -> tuple[np.ndarray, int]:
-    """(table, bits): the bit of each hash that a phrase of at least `threshold` occurrences of
-    (lang, text) has, and the width of a hash."""
+) -> tuple[np.ndarray, int, int]:
+    """(table, bits, parts): the bit of each hash that a phrase of at least `threshold` occurrences of
+    (lang, text) has, the width of a hash, and how many of its bits name a partition."""
     # A word and its blank take two bytes, and LONGEST phrases begin there.
     size = rows.agg(F.sum(F.octet_length("text") + 1).alias("n")).first()["n"] or 0
     mass = LONGEST * size // 2 + 1
@@ -223,7 +229,7 @@ def survivors(
     width = 1 << (table_bits - parts - 3)
     for part, data in zip(made.column("part").to_pylist(), made.column("bits").to_pylist(), strict=True):
         table[part * width:(part + 1) * width] = np.frombuffer(data, np.uint8)
-    return table, bits
+    return table, bits, parts
 
 
 def _is_set(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
@@ -231,25 +237,26 @@ def _is_set(table: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
     return (table[at >> 3] >> (7 - (at & 7)).astype(np.uint8)) & 1 > 0
 
 
-def _exact(batch: pa.RecordBatch, table: np.ndarray, bits: int) -> pa.RecordBatch:
-    """Counts of the slice's phrases with their bit set; the empty phrase stands for all words."""
-    langs, phrases, sizes, counts = [], [], [], []
+def _exact(batch: pa.RecordBatch, table: np.ndarray, bits: int, parts: int) -> pa.RecordBatch:
+    """Counts of the slice's phrases with their bit set, in one block of each lang and partition of
+    the hash range; the empty phrase stands for all words."""
+    made: dict[tuple[str, int], tuple[list, list]] = {}
 
-    def add(lang: str, names: list[bytes], size: int, seen: list[int]) -> None:
-        langs.extend([lang] * len(names))
-        phrases.extend(n.decode() for n in names)
-        sizes.extend([size] * len(names))
-        counts.extend(seen)
+    def add(lang: str, names: list[bytes], keys: np.ndarray, seen: np.ndarray) -> None:
+        for part, name, n in zip(_top(keys, parts).tolist(), names, seen.tolist(), strict=True):
+            block = made.setdefault((lang, part), ([], []))
+            block[0].append(name)
+            block[1].append(n)
 
     for lang, ids, words in _by_lang(batch):
         own = _word_hashes(words, lang)
         at = np.flatnonzero(ids)
-        add(lang, [b""], 0, [len(at)])
+        add(lang, [b""], np.zeros(1, np.uint64), np.array([len(at)]))
         at = at[_is_set(table, _top(own, bits), bits)[ids[at]]]
-        keys = own[ids[at]]
         found, name, seen = np.unique(ids[at], return_inverse=True, return_counts=True)
+        keys = own[ids[at]]
         names = [words[i] for i in found.tolist()]
-        add(lang, names, 1, seen.tolist())
+        add(lang, names, own[found], seen)
         for more in range(1, LONGEST):
             inside = ids[at + more] != 0
             at, name = at[inside], name[inside]
@@ -258,37 +265,69 @@ def _exact(batch: pa.RecordBatch, table: np.ndarray, bits: int) -> pa.RecordBatc
             at, keys = at[there], keys[there]
             # The number of the beginning and the next word name a phrase exactly.
             pair = name[there] << 32 | ids[at + more]
-            found, name, seen = np.unique(pair, return_inverse=True, return_counts=True)
+            found, first, name, seen = np.unique(
+                pair, return_index=True, return_inverse=True, return_counts=True
+            )
             names = [
                 names[i] + b" " + words[j]
                 for i, j in zip((found >> 32).tolist(), (found & 0xFFFFFFFF).tolist(), strict=True)
             ]
-            add(lang, names, more + 1, seen.tolist())
-    columns = (langs, phrases, sizes, counts)
+            add(lang, names, keys[first], seen)
+    columns = ([], [], [], [])
+    for (lang, part), (names, seen) in made.items():
+        counts = varint.encode(np.array(seen, np.uint64))[0].tobytes()
+        for column, value in zip(columns, (part, lang, b"\n".join(names), counts), strict=True):
+            column.append(value)
     return pa.RecordBatch.from_arrays(
-        [pa.array(c, f.type) for c, f in zip(columns, _COUNTS, strict=True)], schema=_COUNTS
+        [pa.array(c, f.type) for c, f in zip(columns, _BLOCK, strict=True)], schema=_BLOCK
     )
 
 
+def _summed_blocks(group: pa.Table, threshold: int) -> pa.Table:
+    """The frequent phrases of a partition and the numbers of all words."""
+    total: dict[str, Counter] = {}
+    for row in group.to_batches():
+        for lang, names, counts in zip(*(row.column(n).to_pylist() for n in ("lang", "phrases", "counts")), strict=True):
+            held = total.setdefault(lang, Counter())
+            seen = varint.decode(np.frombuffer(counts, np.uint8)).tolist()
+            for name, n in zip(names.split(b"\n"), seen, strict=True):
+                held[name] += n
+    rows = [
+        (lang, name.decode(), name.count(b" ") + 1 if name else 0, n)
+        for lang, held in total.items() for name, n in held.items() if n >= threshold or not name
+    ]
+    return pa.table(
+        [pa.array(c, f.type) for c, f in zip(zip(*rows, strict=True), _COUNTS, strict=True)], schema=_COUNTS
+    ) if rows else _COUNTS.empty_table()
+
+
 def phrase_counts(rows: DataFrame, threshold: int = THRESHOLD, table_bits: int = TABLE_BITS) -> DataFrame:
     """(lang, phrase, words, a) of every phrase of one to LONGEST words with at least `threshold`
     occurrences in its lang; the empty phrase of no words counts the lang's words."""
-    table, bits = survivors(rows, threshold, table_bits)
+    table, bits, parts = survivors(rows, threshold, table_bits)
     shared = rows.sparkSession.sparkContext.broadcast(table)
+    # Survivors are few beside all phrases.
+    parts = max(3, parts - _FEWER)
 
     def count(batches):
         for batch in slices_by_size(batches, "text", SLICE_BYTES):
-            yield _exact(batch, shared.value, bits)
+            yield _exact(batch, shared.value, bits, parts)
+
+    def total(group: pa.Table) -> pa.Table:
+        return _summed_blocks(group, threshold)
+
+    blocks = rows.mapInArrow(count, "part int, lang string, phrases binary, counts binary")
+    made = blocks.groupBy("part").applyInArrow(total, "lang string, phrase string, words int, a long")
+    return stored(made, "phrases")
+
 
-    found = rows.mapInArrow(count, "lang string, phrase string, words int, a long")
-    total = found.groupBy("lang", "phrase", "words").agg(F.sum("a").alias("a"))
-    return stored(total.where((F.col("a") >= threshold) | (F.col("words") == 0)), "phrases")
+def _all_salts() -> Column:
+    return F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
 
 
 def _looked_up(cuts: DataFrame, parts: DataFrame, part: str, count: str) -> DataFrame:
     """`cuts` with the count of the phrase in column `part`, which is frequent."""
-    salts = F.explode(F.sequence(F.lit(0), F.lit(_SALTS - 1))).alias("salt")
-    known = parts.select(F.col("lang"), F.col("phrase").alias(part), F.col("a").alias(count), salts)
+    known = parts.select("lang", F.col("phrase").alias(part), F.col("a").alias(count), _all_salts())
     return cuts.join(known, ["lang", part, "salt"])
 
 
@@ -324,13 +363,13 @@ def collocations(
     )
     parts = counts.where((F.col("words") >= 1) & (F.col("words") < LONGEST))
     found = _looked_up(_looked_up(cuts, parts, "head", "l"), parts, "tail", "r")
-    whole = counts.where("words = 0").select("lang", F.col("a").alias("n"))
+    whole = counts.where("words = 0").select("lang", F.col("a").alias("n"), _all_salts())
     # Products of two counts need more than 64 bits.
     score = F.expr(
         "1000 * (CAST(a AS DECIMAL(18, 0)) * CAST(n AS DECIMAL(18, 0)))"
         " div (CAST(l AS DECIMAL(18, 0)) * CAST(r AS DECIMAL(18, 0)))"
     )
-    best = found.join(whole, "lang").select("*", score.cast("long").alias("score")).groupBy(
+    best = found.join(whole, ["lang", "salt"]).select("*", score.cast("long").alias("score")).groupBy(
         "lang", "phrase", "a", "n"
     ).agg(F.min(F.struct("score", "k", "l", "r")).alias("cut"))
     shorter = F.explode(F.array(

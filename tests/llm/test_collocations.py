@@ -97,7 +97,7 @@ def test_few_bits_and_many_partitions(spark, monkeypatch):
     df = spark.createDataFrame(rows, "lang string, text string")
     monkeypatch.setattr(collocations, "_TOGETHER", 2000)
     monkeypatch.setattr(collocations, "_WAITING", 1000)
-    table, bits = collocations.survivors(df, 100, together=2000)
+    table, _, _ = collocations.survivors(df, 100, together=2000)
     kept = int(np.unpackbits(table).sum())
     assert 3 <= kept < 2000
     got = collocations.collocations(df, 100)
