@@ -44,6 +44,11 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def _is_local(spark: SparkSession) -> bool:
+    """Driver and tasks in one process; local clusters are none."""
+    return re.match(r"local($|\[)", spark.sparkContext.master) is not None
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder every executor can reach, named by `spark.checkpoint.dir`.
 
@@ -53,7 +58,7 @@ def shared_folder(spark: SparkSession) -> str:
     named = spark.conf.get("spark.checkpoint.dir", None)
     root = named or context.getCheckpointDir()
     if root is None:
-        if not re.match(r"local($|\[)", context.master):
+        if not _is_local(spark):
             raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="siftmill-")
     if context.getCheckpointDir() is None:
@@ -94,7 +99,7 @@ def shuffle_width(spark: SparkSession) -> int:
     """Tasks for an explicit repartition: the session's shuffle width, not below the cores."""
     cores = spark.sparkContext.defaultParallelism
     width = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return cores if spark.sparkContext.master.startswith("local") else max(width, cores)
+    return cores if _is_local(spark) else max(width, cores)
 
 
 def small_or_same(df: DataFrame, rows: int = 100_000) -> DataFrame:
