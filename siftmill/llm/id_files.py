@@ -40,6 +40,8 @@ END_ID = 0
 # A file is closed behind the document that fills it.
 FILE_IDS = 2 << 20
 SLICE_BYTES = 4 << 20
+# Bytes of text that one task sorts, encodes and writes, about.
+PART_BYTES = 128 << 20
 # Pre-tokens whose ids a worker remembers; beyond it the memory starts anew, the ids are the same.
 REMEMBERED = 700_000
 _ALONE = 500
@@ -244,7 +246,9 @@ def write(
     # Equal rows may take any order, so a random number spreads them over ranges.
     keyed = whole_texts(docs, ident, text).select("*", F.xxhash64("text").alias("hash"), F.rand(42).alias("spread"))
     order = ["doc_id", "hash", "spread"]
-    rows = keyed.repartitionByRange(shuffle_width(spark), *order).sortWithinPartitions(*order)
+    size = docs.agg(F.sum(F.octet_length(text)).alias("n")).first()["n"] or 0
+    width = max(spark.sparkContext.defaultParallelism, -(-size // PART_BYTES))
+    rows = keyed.repartitionByRange(width, *order).sortWithinPartitions(*order)
     files = rows.select("doc_id", "text").mapInArrow(
         run, "part int, seq int, path string, n_docs long, n_ids long"
     )

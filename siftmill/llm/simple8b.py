@@ -73,21 +73,15 @@ def _selectors(bits: np.ndarray) -> np.ndarray:
 
 def _walk(best: np.ndarray, sizes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(block, place, selector) of each word, in order; all blocks step together."""
-    blocks, places, chosen = [], [], []
+    begun = np.zeros(best.shape, bool)
     block, at = np.flatnonzero(sizes), np.zeros(int((sizes > 0).sum()), np.int64)
     while len(block):
-        selector = best[block, at]
-        blocks.append(block)
-        places.append(at)
-        chosen.append(selector)
-        at = at + _COUNT[selector]
+        begun[block, at] = True
+        at = at + _COUNT[best[block, at]]
         on = at < sizes[block]
         block, at = block[on], at[on]
-    if not blocks:
-        return (np.zeros(0, np.int64),) * 3
-    block, at, selector = (np.concatenate(x) for x in (blocks, places, chosen))
-    order = np.lexsort((at, block))
-    return block[order], at[order], selector[order].astype(np.int64)
+    block, at = np.nonzero(begun)
+    return block, at, best[block, at].astype(np.int64)
 
 
 def _encode_blocks(values: np.ndarray, size: int):
