@@ -1,18 +1,22 @@
 """Toxicity by class-conditional Kneser-Ney language models.
 
-Word bigram models of toxic and of ordinary texts are learned from all labelled rows. Each class's
-bigrams back off to its own words, and these to one distribution for both classes: the number of
-different words a word follows in any of these rows. All orders use continuation counts: an expression counts
-once for each different word before it, so copies and repetition add nothing. Discounts take the
-weight of rare expressions away from the classes and give it to the shared backoff, so only what
-occurs in many surroundings in one class tells them apart.
-
-A text's evidence is the difference of its two length-normalised log-likelihoods, over the whole
-text and over its most toxic short window, which a long text cannot dilute. A logistic function of
+Word bigram models of toxic and of ordinary texts are learned from all labelled rows:
+
+* a bigram counts once for each distinct text of the class that holds it, so neither copies nor
+  repetition inside a text look like evidence;
+* bigrams back off to words, which count once for each different word before them in the class;
+* words back off to one distribution for both classes: the number of documents that hold a word,
+  over all documents, labelled or not.
+
+Each class keeps its own discounted mass, so a context that only one class knows has a weight there
+and backs off in the other. A text's evidence is the difference of its two length-normalised
+log-likelihoods and its most telling word, which a long text cannot dilute. A logistic function of
 the two, fitted on cross-fitted training rows and set to the classes' true shares, is the score.
 
-Both classes take the same backoff weights, so the log ratio of a bigram that passes the discount in
-no class is that of its right word alone, and nothing at all for such a word. All others are kept.
+Words are 48-bit hashes throughout. Slices of texts send their counts as compressed blocks, one of
+each partition of the hash range; no string travels, and nothing longer than a bigram. Words and
+bigrams that no class counts above the discount give no evidence of their own, so only the others
+are part of the model that the tasks hold.
 """
 
 from __future__ import annotations
@@ -22,13 +26,13 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.llm.common import map_batches, stored, table_of, whole_texts
-from siftmill.llm.labelled import FOLDS as _FOLDS
+from siftmill.llm import varint
+from siftmill.llm.common import map_batches, slices_by_size, stored, table_of, whole_texts
 from siftmill.llm.labelled import (
-    fold_of,
     judged,
     learning_row,
     marked_rows,
@@ -42,12 +46,21 @@ CUTOFF = 0.7
 ROWS_PER_CLASS = 4000
 # With more labelled rows than that, documents meet their labels in a shuffled join.
 HELD_LABELS = 1_000_000
-# Rows of one slice of texts to count.
-COUNT_ROWS = 250
+# Words and bigrams of a model that tasks can hold: 40 bytes each, of three models. More are an error.
+HELD_ENTRIES = 12_000_000
+# Estimated discounts (1 to 3) leave the many words of one or two places as noise; README has both
+# results.
 DISCOUNT = 5.0
-WINDOW = 2
+WINDOW = 1
+SLICE_BYTES = 8 << 20
+# Bytes of text whose counts one merging task takes, about.
+_PART_BYTES = 16 << 20
+_HASH_BITS = 48
+_REMEMBERED = 1_000_000
 _TOKEN = re.compile(r"[^\W_]+")
-_COUNTED = pa.schema([("u", pa.string()), ("a", pa.string()), ("b", pa.string()), ("seen", pa.int64())])
+_BLOCK = pa.schema([("part", pa.int32()), ("pairs", pa.bool_()), ("data", pa.binary())])
+_NUMBERS = [f"n{i}" for i in range(6)] + [f"c{i}" for i in range(4)] + ["df"]
+_COUNTS = pa.schema([("h", pa.int64()), ("a", pa.int64()), *((n, pa.int64()) for n in _NUMBERS)])
 _SCORED = pa.schema([("doc_id", pa.int64()), ("score", pa.float64())])
 
 
@@ -55,39 +68,68 @@ def words_of(text: str) -> list[str]:
     return _TOKEN.findall(text.lower())
 
 
+def word_hash(word: str) -> int:
+    return xxhash.xxh64_intdigest(word.encode()) >> (64 - _HASH_BITS)
+
+
+def pair_keys(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Of two arrays of word hashes."""
+    keys = first.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + second.astype(np.uint64)
+    return ((keys ^ (keys >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)).view(np.int64)
+
+
 @dataclass
 class Model:
-    """Log ratios by word and by kept bigram, and the weights of the logistic function."""
+    """Log ratios of words and of bigrams by hash, and the weights of the logistic function.
 
-    words: list[str]
+    `own` is a word's ratio after a context that neither class knows, `back` what a context adds to
+    it for a bigram that is not listed; unlisted words have the ratio `rest`.
+    """
+
+    words: np.ndarray
     own: np.ndarray
+    back: np.ndarray
     pairs: np.ndarray
     ratio: np.ndarray
+    rest: float
     weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    _index: dict | None = None
+    _index: dict = field(default_factory=dict)
 
     def __getstate__(self):
-        return {**self.__dict__, "_index": None}
+        return {**self.__dict__, "_index": {}}
+
+    def _places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes, rows of `words`) of a text's words; behind the last row if unlisted."""
+        if len(self._index) > _REMEMBERED:
+            self._index.clear()
+        for word in set(words).difference(self._index):
+            h = word_hash(word)
+            at = int(np.searchsorted(self.words, h))
+            known = at < len(self.words) and self.words[at] == h
+            self._index[word] = h, at if known else len(self.words)
+        return np.array([self._index[w] for w in words], np.int64).T
+
+    def ratios(self, words: list[str]) -> np.ndarray:
+        """The log ratio of each word after the one before it."""
+        hashes, at = self._places(words)
+        ratios = np.append(self.own, self.rest)[at]
+        if len(words) > 1:
+            ratios[1:] += np.append(self.back, 0.0)[at[:-1]]
+            if len(self.pairs):
+                keys = pair_keys(hashes[:-1], hashes[1:])
+                found = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+                ratios[1:] = np.where(self.pairs[found] == keys, self.ratio[found], ratios[1:])
+        return ratios
 
     def evidence(self, text: str) -> tuple[float, float]:
         """(mean log ratio of the text, mean log ratio of its most toxic window)."""
-        if self._index is None:
-            self._index = {w: i for i, w in enumerate(self.words)}
         words = words_of(text)
         if not words:
             return 0.0, 0.0
-        unknown = len(self.words)
-        get = self._index.get
-        ids = np.fromiter((get(w, unknown) for w in words), np.int64, len(words))
-        ratios = self.own[ids]
-        if len(ids) > 1 and len(self.pairs):
-            keys = ids[:-1] * (unknown + 1) + ids[1:]
-            at = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-            ratios[1:] = np.where(self.pairs[at] == keys, self.ratio[at], ratios[1:])
-        run = np.concatenate([[0.0], np.cumsum(ratios)])
-        width = min(WINDOW, len(ratios))
+        run = np.concatenate([[0.0], np.cumsum(self.ratios(words))])
+        width = min(WINDOW, len(words))
         top = (run[width:] - run[:-width]).max() / width
-        return float(run[-1] / len(ratios)), float(top)
+        return float(run[-1] / len(words)), float(top)
 
     def score(self, text: str) -> float:
         mean, top = self.evidence(text)
@@ -95,135 +137,249 @@ class Model:
         return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
 
 
+def text_fold(text: str = "text") -> Column:
+    """0 or 1, the same for equal texts."""
+    return F.pmod(F.xxhash64(F.lit(7), F.col(text)), F.lit(2)).cast("int")
+
+
 def _parted(docs: DataFrame, labels: DataFrame, label: str, learn) -> DataFrame:
-    """(text, part): every labelled document that can be learned from; part is 2 * fold + class."""
+    """(text, part) of all documents. `part` is 2 * fold + class for one document of each labelled
+    text, null for the others."""
     marked = small_or_same(marked_rows(labels, label, learn), HELD_LABELS)
-    part = (2 * fold_of("doc_id") + F.col("y")).cast("int")
-    return docs.join(marked, "doc_id").select("text", part.alias("part"))
-
-
-def _kinds(keys: list[np.ndarray], parts: list[int]) -> tuple[np.ndarray, np.ndarray]:
-    """(different keys, where they occur): bit i stands for part i."""
-    found, at = np.unique(np.concatenate(keys), return_inverse=True)
-    part = np.repeat(parts, [len(k) for k in keys])
-    seen = sum((np.bincount(at[part == i], minlength=len(found)) > 0) << i for i in range(2 * _FOLDS))
-    return found, seen
-
-
-def _counted(rows: DataFrame) -> DataFrame:
-    """(u, pair, a, b, seen): each kind of bigram (a, b), `pair` true, and of bigram after a word
-    (u, a, b); bit 2 * fold + class of `seen` says where it occurs."""
-
-    def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-        index: dict[str, int] = {}
-        runs, parts = [], []
-        for text, part in zip(*(batch.column(n).to_pylist() for n in ("text", "part")), strict=True):
-            ids = np.array([index.setdefault(w, len(index)) for w in words_of(text)], np.int64)
-            if len(ids) > 1:
-                runs.append(ids)
-                parts.append(part)
-        if not runs:
-            return None
-        words, low = pa.array(list(index), pa.string()), 0xFFFFFFFF
-        pairs, seen = _kinds([r[:-1] << 32 | r[1:] for r in runs], parts)
-        columns = [
-            pa.nulls(len(pairs), pa.string()), words.take(pa.array(pairs >> 32)),
-            words.take(pa.array(pairs & low)), pa.array(seen),
-        ]
-        made = [pa.RecordBatch.from_arrays(columns, schema=_COUNTED)]
-        places = [np.searchsorted(pairs, r[1:-1] << 32 | r[2:]) for r in runs]
-        triples, seen = _kinds([r[:-2] << 32 | at for r, at in zip(runs, places, strict=True)], parts)
-        pair = pairs[triples & low]
-        columns = [words.take(pa.array(k)) for k in (triples >> 32, pair >> 32, pair & low)]
-        made.append(pa.RecordBatch.from_arrays([*columns, pa.array(seen)], schema=_COUNTED))
-        return pa.Table.from_batches(made).combine_chunks().to_batches()[0]
-
-    made = map_batches(rows, run, "u string, a string, b string, seen long", rows=COUNT_ROWS)
-    return made.groupBy(F.xxhash64("u").alias("u"), F.col("u").isNull().alias("pair"), "a", "b").agg(
-        F.bit_or("seen").alias("seen")
+    key = F.xxhash64("text").alias("key")
+    part = (2 * text_fold() + F.col("y")).cast("int").alias("part")
+    there = docs.join(marked, "doc_id").select("doc_id", key, part)
+    first = stored(there.groupBy("key", "part").agg(F.min("doc_id").alias("doc_id")), "labelled-texts")
+    rows = docs.select("doc_id", "text", key)
+    return rows.join(small_or_same(first, HELD_LABELS), ["doc_id", "key"], "left").select("text", "part")
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def _sorted_blocks(part: np.ndarray, pairs: bool, first: np.ndarray, wide: np.ndarray | None, more: list):
+    """Rows of (part, pairs, data): hashes `first` ascend in each part; `wide` are hashes as they
+    are, `more` small numbers."""
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
+    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+        steps = np.r_[first[i], np.diff(first[i:j])]
+        numbers = varint.encode(np.concatenate([steps, *(m[i:j] for m in more)]))[0].tobytes()
+        raw = b"" if wide is None else np.ascontiguousarray(
+            wide[i:j].astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6]
+        ).tobytes()
+        yield int(part[i]), pairs, np.array([j - i], "<u4").tobytes() + raw + numbers
+
+
+def _read_block(data: bytes, pairs: bool) -> tuple[np.ndarray, ...]:
+    n = int(np.frombuffer(data, "<u4", 1)[0])
+    at = 4
+    columns = []
+    if pairs:
+        raw = np.zeros((n, 8), np.uint8)
+        raw[:, :6] = np.frombuffer(data, np.uint8, 6 * n, at).reshape(n, 6)
+        columns.append(raw.view("<u8").ravel().astype(np.int64))
+        at += 6 * n
+    numbers = varint.decode(np.frombuffer(data, np.uint8, offset=at)).astype(np.int64).reshape(-1, n)
+    return np.cumsum(numbers[0]), *columns, *numbers[1:]
+
+
+def _part_of(first: np.ndarray, split: np.ndarray, bits: int, splits: int) -> np.ndarray:
+    """Range of the first hash, and the share of it that another hash falls into."""
+    return (first >> (_HASH_BITS - bits)) * splits + split % splits
+
+
+def _blocks(texts: list[str], parts: list[int | None], bits: int, splits: int) -> list[tuple]:
+    """A slice's counts: bigrams by second word (with the first one, count and part), and words (with
+    documents that hold them, whether a labelled one does, and bigrams they begin in each part)."""
+    numbers = _Numbers()
+    cut = [[numbers[w] for w in words_of(t)] for t in texts]
+    sizes = np.array([len(c) for c in cut])
+    if not sizes.sum():
+        return []
+    ids = np.concatenate([np.array(c, np.int64) for c in cut])
+    hashes = np.array([word_hash(w) for w in numbers], np.int64)
+    doc = np.repeat(np.arange(len(texts)), sizes)
+    part = np.array([-1 if p is None else p for p in parts])
+    held = np.unique(ids * len(texts) + doc)
+    df = np.bincount(held // len(texts), minlength=len(hashes))
+    judged_ = np.bincount((held // len(texts))[part[held % len(texts)] >= 0], minlength=len(hashes)) > 0
+    on = (doc[1:] == doc[:-1]) & (part[doc[1:]] >= 0)
+    pairs, which = np.unique(ids[:-1][on] << 32 | ids[1:][on], return_inverse=True)
+    once = np.unique(which * len(texts) + doc[1:][on])
+    seen, counts = np.unique((once // len(texts)) * 4 + part[once % len(texts)], return_counts=True)
+    a, b, p = pairs[seen // 4] >> 32, pairs[seen // 4] & 0xFFFFFFFF, seen % 4
+    begun = [np.bincount(a[p == i], counts[p == i], len(hashes)).astype(np.int64) for i in range(4)]
+    rows = []
+    place = _part_of(hashes, np.zeros_like(hashes), bits, splits)
+    order = np.lexsort((hashes, place))
+    rows += _sorted_blocks(
+        place[order], False, hashes[order], None, [x[order] for x in (df * 2 + judged_, *begun)]
     )
+    place = _part_of(hashes[b], hashes[a], bits, splits)
+    order = np.lexsort((hashes[b], place))
+    rows += _sorted_blocks(
+        place[order], True, hashes[b][order], hashes[a][order], [(counts * 4 + p)[order]]
+    )
+    return rows
+
+
+def _merged(group: pa.Table, discount: float) -> pa.Table:
+    """Exact counts of a partition: words of labelled texts, kept bigrams, and one row of totals."""
+    found: dict[bool, list] = {True: [], False: []}
+    for pairs, data in zip(group.column("pairs").to_pylist(), group.column("data").to_pylist(), strict=True):
+        found[pairs].append(_read_block(data, pairs))
+    made = []
+
+    def add(h, a, **columns) -> None:
+        size = len(h)
+        none = pa.nulls(size, pa.int64())
+        made.append(pa.table({
+            "h": pa.array(h, pa.int64()), "a": none if a is None else pa.array(a, pa.int64()),
+            **{n: pa.array(columns.get(n, np.zeros(size, np.int64)), pa.int64()) for n in _NUMBERS},
+        }, schema=_COUNTS))
+
+    if found[True]:
+        b, a, packed = (np.concatenate(x) for x in zip(*found[True], strict=True))
+        order = np.lexsort((a, b))
+        b, a, part, count = b[order], a[order], packed[order] & 3, packed[order] >> 2
+        first = np.flatnonzero(np.r_[True, (b[1:] != b[:-1]) | (a[1:] != a[:-1])])
+        k = [np.add.reduceat(np.where(part == i, count, 0), first) for i in range(4)]
+        b, a = b[first], a[first]
+        words = np.flatnonzero(np.r_[True, b[1:] != b[:-1]])
+        n = [np.add.reduceat((x > 0).astype(np.int64), words) for x in (*k, k[0] + k[2], k[1] + k[3])]
+        add(b[words], None, **{f"n{i}": x for i, x in enumerate(n)})
+        kept = np.maximum(k[0] + k[2], k[1] + k[3]) > discount
+        add(b[kept], a[kept], **{f"c{i}": x[kept] for i, x in enumerate(k)})
+    if found[False]:
+        h, packed, *begun = (np.concatenate(x) for x in zip(*found[False], strict=True))
+        order = np.argsort(h, kind="stable")
+        h = h[order]
+        first = np.flatnonzero(np.r_[True, h[1:] != h[:-1]])
+        df = np.add.reduceat(packed[order] >> 1, first)
+        on = np.add.reduceat(packed[order] & 1, first) > 0
+        begun = {f"c{i}": np.add.reduceat(x[order], first)[on] for i, x in enumerate(begun)}
+        add(h[first][on], None, df=df[on], **begun)
+        made.append(pa.table(
+            {n: [{"n0": len(first), "df": int(df.sum())}.get(n, None if n in "ha" else 0)] for n in _COUNTS.names},
+            schema=_COUNTS,
+        ))
+    return pa.concat_tables(made) if made else _COUNTS.empty_table()
+
+
+def counts(rows: DataFrame, discount: float) -> DataFrame:
+    """(h, a, n0..n5, c0..c3, df) of (text, part), kept as a table.
+
+    Rows without `a` add up to a word's counts: words before it in each part and, n4 and n5, in each
+    class; bigrams that it begins in each part; documents. Rows with `a` are bigrams (a, h) and their
+    texts in each part, c0..c3. Rows without `h` add up to the number of words and the sum of df.
+    """
+    size = rows.agg(F.sum(F.octet_length("text")).alias("n")).first()["n"] or 0
+    wanted = max(8, 1 << int(size // _PART_BYTES).bit_length())
+    # A word may follow any other, so ranges of words are split by the word before.
+    splits = min(max(2, wanted // 64), wanted // 4)
+    bits = (wanted // splits).bit_length() - 1
 
+    def count(batches):
+        for batch in slices_by_size(batches, "text", SLICE_BYTES):
+            made = _blocks(*(batch.column(n).to_pylist() for n in ("text", "part")), bits, splits)
+            if made:
+                yield table_of(dict(zip(_BLOCK.names, zip(*made, strict=True), strict=True)), _BLOCK)
+
+    def merge(group: pa.Table) -> pa.Table:
+        return _merged(group, discount)
+
+    blocks = rows.mapInArrow(count, "part int, pairs boolean, data binary")
+    schema = "h long, a long, " + ", ".join(f"{n} long" for n in _NUMBERS)
+    return stored(blocks.groupBy("part").applyInArrow(merge, schema), "toxicity-counts")
 
-def _columns() -> dict:
-    """n0..n3: kinds in one fold and class; n4 and n5: kinds in a class, whatever the fold."""
-    seen = F.col("seen")
-    masks = [1 << i for i in range(2 * _FOLDS)] + [
-        sum(1 << (2 * f + y) for f in range(_FOLDS)) for y in (0, 1)
-    ]
-    return {f"n{i}": F.count_if(seen.bitwiseAND(F.lit(m)) > 0) for i, m in enumerate(masks)}
 
+def _of_model(prefix: str, m: int, y: int) -> Column:
+    """Counts of class `y` over one fold, or over both (2)."""
+    if m < 2:
+        return F.col(f"{prefix}{2 * m + y}")
+    return F.col(f"n{4 + y}") if prefix == "n" else F.col(f"{prefix}{y}") + F.col(f"{prefix}{2 + y}")
 
-def _tables(rows: DataFrame, discount: float) -> tuple[dict, dict]:
-    """Continuation counts of all words and bigrams that some class counts above the discount.
 
-    The others have no evidence, so leaving them out changes no score. A word counts once for each
-    different word before it, a bigram likewise, so neither copies of a document nor repetition
-    inside one make an expression look frequent.
+def entries(counted: DataFrame, discount: float) -> tuple[DataFrame, DataFrame, list[float]]:
+    """(words, pairs, rest): the log ratios of both folds' models and of the whole one.
+
+    words: (h, own0..2, back0..2); pairs: (a, h, ratio0..2); `rest` is the ratio of other words.
     """
-    counted = stored(_counted(rows), "expressions")
-    names = list(_columns())
-    speaks = F.greatest("n4", "n5") > discount
-    counts = [c.alias(n) for n, c in _columns().items()]
-    single = stored(
-        counted.where("pair").groupBy("b").agg(*counts, F.count("*").alias("follows")), "words"
+    single = counted.where("h IS NOT NULL AND a IS NULL").groupBy("h").agg(
+        *[F.sum(n).alias(n) for n in _NUMBERS]
     )
-    double = stored(counted.where("not pair").groupBy("a", "b").agg(*counts), "bigrams")
-    sums = single.agg(*[F.coalesce(F.sum(n), F.lit(0)) for n in names], F.sum("follows")).first()
-    twos = double.where(speaks).orderBy("a", "b").toArrow().to_pydict()
-    # A word before such a bigram is needed to name it, whatever it says alone.
-    before = double.where(speaks).select(F.col("a").alias("b")).distinct().withColumn("before", F.lit(True))
-    context = double.groupBy(F.col("a").alias("b")).agg(
-        *[F.sum(n).alias(n.replace("n", "c")) for n in names]
+    models = [(m, y) for m in range(3) for y in (0, 1)]
+    zero, d = F.lit(0.0), F.lit(float(discount))
+    sums = single.agg(
+        *[F.coalesce(F.sum(_of_model("n", m, y)), F.lit(0)).alias(f"s{m}{y}") for m, y in models],
+        *[F.coalesce(F.sum(F.least(_of_model("n", m, y), d)), zero).alias(f"l{m}{y}") for m, y in models],
+    ).first()
+    whole = counted.where("h IS NULL").agg(F.sum("n0").alias("words"), F.sum("df").alias("df")).first()
+    mass = {k: max(float(sums[f"s{k[0]}{k[1]}"]), 1.0) for k in models}
+    # A class without any count leaves all its mass to the shared backoff.
+    left = {k: sums[f"l{k[0]}{k[1]}"] / mass[k] if sums[f"s{k[0]}{k[1]}"] else 1.0 for k in models}
+    total = (whole["df"] or 0) + 0.5 * ((whole["words"] or 0) + 1)
+    shared = (F.col("df") + 0.5) / total
+    double = counted.where("a IS NOT NULL").select("a", "h", *[f"c{i}" for i in range(4)])
+    over = {k: F.greatest(_of_model("c", *k) - d, zero) for k in models}
+    used = double.groupBy("a").agg(*[F.sum(over[k]).alias(f"u{k[0]}{k[1]}") for k in models])
+    probability = {
+        k: F.greatest(_of_model("n", *k) - d, zero) / mass[k] + left[k] * shared for k in models
+    }
+    speaks = F.greatest(*[_of_model("n", *k) for k in models]) > d
+    joined = single.join(used.withColumnRenamed("a", "h"), "h", "left").na.fill(0.0)
+    after = {
+        (m, y): F.when(_of_model("c", m, y) > 0, 1 - F.col(f"u{m}{y}") / _of_model("c", m, y)).otherwise(F.lit(1.0))
+        for m, y in models
+    }
+    words = joined.select(
+        "h", (speaks | (F.greatest(*[F.col(f"u{m}{y}") for m, y in models]) > 0)).alias("listed"),
+        *[probability[k].alias(f"p{k[0]}{k[1]}") for k in models],
+        *[after[k].alias(f"w{k[0]}{k[1]}") for k in models],
+        *[_of_model("c", *k).alias(f"t{k[0]}{k[1]}") for k in models],
     )
-    known = single.join(before, "b", "full").where(speaks | F.col("before")).drop("before")
-    ones = known.join(context, "b", "left").na.fill(0).orderBy("b").toArrow().to_pydict()
-    return {**ones, "types": sums[-1] or 0, "sums": np.array(sums[:-1], float)}, twos
-
-
-def _probabilities(ones: dict, twos: dict, fold: int | None, discount: float):
-    """(word, pair, first, second): per class the probabilities of words, the unknown one last, and
-    of kept bigrams, and the places of the two words of each bigram."""
-    words = ones["b"]
-    size = len(words)
-    follows = np.append(np.array(ones["follows"], float), 0.0) + 0.5
-    shared = follows / (ones["types"] + 0.5 * (size + 1))
-    index = {w: i for i, w in enumerate(words)}
-    known = [(index[a], index[b], i) for i, (a, b) in enumerate(zip(twos["a"], twos["b"], strict=True))
-             if a in index and b in index]
-    first, second, row = np.array(known, np.int64).reshape(-1, 3).T
-
-    def counts(table: dict, name: str, y: int) -> np.ndarray:
-        """Of one class: over one fold, or over all of them, which is not the sum of types."""
-        return np.array(table[f"{name}{2 * _FOLDS + y if fold is None else 2 * fold + y}"], float)
-
-    own, met = [], []
-    for y in (0, 1):
-        whole = max(ones["sums"][2 * _FOLDS + y if fold is None else 2 * fold + y], 1.0)
-        own.append(np.append(np.maximum(counts(ones, "n", y) - discount, 0), 0.0) / whole)
-        context = np.maximum(counts(ones, "c", y), 1.0)
-        met.append(np.maximum(counts(twos, "n", y)[row] - discount, 0) / context[first])
-    # The smaller class is discounted more; both take its backoff weight, else every rare word
-    # would speak for it.
-    floor = np.minimum(*[o.sum() for o in own])
-    word = [o * (floor / max(o.sum(), 1e-12)) + (1 - floor) * shared for o in own]
-    masses = [np.bincount(first, m, size + 1) for m in met]
-    least = np.minimum(*masses)
-    pair = [
-        m * (least / np.maximum(mass, 1e-12))[first] + (1 - least)[first] * w[second]
-        for m, mass, w in zip(met, masses, word, strict=True)
+    words = stored(words, "toxicity-words")
+    context = words.select(F.col("h").alias("a"), *[f"{x}{m}{y}" for x in "wt" for m, y in models])
+    last = words.select("h", *[f"p{m}{y}" for m, y in models])
+    met = double.join(context, "a").join(last, "h")
+
+    def ratio(m: int) -> Column:
+        of = [
+            F.when(F.col(f"t{m}{y}") > 0, over[m, y] / F.col(f"t{m}{y}")).otherwise(zero)
+            + F.col(f"w{m}{y}") * F.col(f"p{m}{y}") for y in (0, 1)
+        ]
+        return (F.log(of[1]) - F.log(of[0])).cast("float").alias(f"ratio{m}")
+
+    def logs(x: str, name: str) -> list[Column]:
+        return [(F.log(f"{x}{m}1") - F.log(f"{x}{m}0")).cast("float").alias(f"{name}{m}") for m in range(3)]
+
+    listed = words.where("listed").select("h", *logs("p", "own"), *logs("w", "back"))
+    rest = [float(np.log(left[m, 1] / left[m, 0])) for m in range(3)]
+    return listed, stored(met.select("a", "h", *[ratio(m) for m in range(3)]), "toxicity-pairs"), rest
+
+
+def _models(words: DataFrame, pairs: DataFrame, rest: list[float]) -> list[Model]:
+    """The models of both folds and the whole one, held by the driver and sent to all tasks."""
+    size = words.count() + pairs.count()
+    if size > HELD_ENTRIES:
+        raise ValueError(f"a model of {size} words and bigrams is more than a task should hold; raise the discount")
+    ones, twos = words.toArrow(), pairs.toArrow()
+
+    def column(table: pa.Table, name: str) -> np.ndarray:
+        return table.column(name).to_numpy()
+
+    order = np.argsort(column(ones, "h"))
+    keys = pair_keys(column(twos, "a"), column(twos, "h"))
+    by_key = np.argsort(keys)
+    return [
+        Model(
+            column(ones, "h")[order], column(ones, f"own{m}")[order], column(ones, f"back{m}")[order],
+            keys[by_key], column(twos, f"ratio{m}")[by_key], rest[m],
+        ) for m in range(3)
     ]
-    return word, pair, first, second
-
-
-def _model(ones: dict, twos: dict, fold: int | None, discount: float) -> Model:
-    """The two Kneser-Ney models of a fold, or of all, as log ratios."""
-    word, pair, first, second = _probabilities(ones, twos, fold, discount)
-    keys = first * (len(ones["b"]) + 1) + second
-    order = np.argsort(keys)
-    return Model(
-        ones["b"], np.log(word[1]) - np.log(word[0]), keys[order],
-        (np.log(pair[1]) - np.log(pair[0]))[order],
-    )
 
 
 def _evidence(sample: DataFrame, models: list[Model]) -> np.ndarray:
@@ -271,16 +427,15 @@ def fit(
 ) -> Model:
     """A model from the labelled rows for which the condition `learn` on `labels` holds.
 
-    The language models learn from all of them, the weights of the logistic function from at most
-    `per_class` rows of each class. Nothing but the text and the label of a row is read. Without labelled rows every text gets the score one half.
+    The language models learn from all of them and the shared backoff from all documents; the weights
+    of the logistic function from at most `per_class` rows of each class. Nothing but the text and
+    the label of a row is read. Without labelled rows every text gets the score one half.
     """
     learn = F.lit(True) if learn is None else learn
     docs = whole_texts(docs, ident, text)
-    ones, twos = _tables(_parted(docs, labels, label, learn), discount)
-    halves = [_model(ones, twos, f, discount) for f in range(_FOLDS)]
-    model = _model(ones, twos, None, discount)
+    *halves, model = _models(*entries(counts(_parted(docs, labels, label, learn), discount), discount))
     sample, shares = sample_rows(docs, labels, label, learn, per_class)
-    model.weights = _logistic(_evidence(sample, halves), shares)
+    model.weights = _logistic(_evidence(sample.withColumn("fold", text_fold()), halves), shares)
     return model
 
 
