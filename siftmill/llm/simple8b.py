@@ -95,12 +95,14 @@ def _encode_blocks(values: np.ndarray, size: int):
     sizes[whole:] = len(values) - whole * size
     block, at, selector = _walk(_selectors(_bits(table)), sizes)
     words = selector.astype(np.uint64) << np.uint64(60)
+    flat, place = table.ravel(), block * table.shape[1] + at
     for s in _PACKINGS[1:]:
         rows = np.flatnonzero(selector == s)
         if len(rows):
-            step = np.arange(_COUNT[s])
-            taken = table[block[rows, None], at[rows, None] + step]
-            words[rows] |= np.bitwise_or.reduce(taken << (step * _WIDTH[s]).astype(np.uint64), axis=1)
+            here, packed = place[rows], np.zeros(len(rows), np.uint64)
+            for nth in range(_COUNT[s]):
+                packed |= flat[here + nth] << np.uint64(nth * _WIDTH[s])
+            words[rows] |= packed
     rows = np.flatnonzero(selector == _ESCAPE)
     wide = np.bincount(block[rows], minlength=n)
     if len(rows):
