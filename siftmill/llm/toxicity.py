@@ -163,8 +163,8 @@ class _Numbers(dict):
 def _sorted_blocks(part: np.ndarray, pairs: bool, first: np.ndarray, wide: np.ndarray | None, more: list):
     """Rows of (part, pairs, data): hashes `first` ascend in each part; `wide` are hashes as they
     are, `more` small numbers."""
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]][: len(part)])
-    for i, j in zip(starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True):
+    ends = np.flatnonzero(np.r_[part[1:] != part[:-1], True][: len(part)]) + 1
+    for i, j in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=False):
         steps = np.r_[first[i], np.diff(first[i:j])]
         numbers = varint.encode(np.concatenate([steps, *(m[i:j] for m in more)]))[0].tobytes()
         raw = b"" if wide is None else np.ascontiguousarray(

@@ -1,6 +1,7 @@
 import math
 import random
 import zlib
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -51,38 +52,99 @@ def test_held_out_labels_are_not_read(spark, tables):
     assert one == two
 
 
-def test_words_in_few_surroundings_say_nothing():
-    """A word that is copied with its surroundings has fewer continuations than the discount."""
-    n = [3.0, 40.0]
-    ones = {"b": ["copied", "varied"], "follows": [3, 44], "types": 200, "sums": [0, 0, 0, 0, 100.0, 100.0]}
-    ones |= {f"n{i}": [0, 0] for i in range(5)} | {f"c{i}": [0, 0] for i in range(6)} | {"n5": n}
-    twos = {"a": [], "b": []} | {f"n{i}": [] for i in range(6)}
-    ones["sums"] = [0.0, 0.0, 0.0, 0.0, 100.0, 100.0]
-    model = toxicity._model(ones, twos, None, 5.0)
-    assert abs(model.own[0]) < 1e-9 and abs(model.own[2]) < 1e-9
-
-
-def test_model_is_a_pair_of_distributions():
-    """Both classes' bigram probabilities of a context add up to one with the unknown word."""
-    rng = random.Random(3)
-    words = [f"w{i}" for i in range(30)]
-    twos = {"a": [], "b": []} | {f"n{i}": [] for i in range(6)}
-    for a in words:
-        for b in rng.sample(words, 6):
-            twos["a"].append(a)
-            twos["b"].append(b)
-            for i in range(6):
-                twos[f"n{i}"].append(rng.randint(0, 30))
-    ones = {"b": words, "follows": [rng.randint(1, 20) for _ in words]}
-    ones["types"] = sum(ones["follows"])
-    for i in range(6):
-        ones[f"n{i}"] = [rng.randint(0, 50) for _ in words]
-        ones[f"c{i}"] = [sum(n for a, n in zip(twos["a"], twos[f"n{i}"]) if a == w) for w in words]
-    ones["sums"] = [float(sum(ones[f"n{i}"])) for i in range(6)]
-    word, pair, first = toxicity._probabilities(ones, twos, None, 5.0)[:3]
+def plain_model(rows, discount):
+    """Per class the probabilities of words and bigrams, counted in plain Python from (text, y)."""
+    df, made = Counter(), []
+    for text, _ in rows:
+        df.update(set(toxicity.words_of(text)))
+    total = sum(df.values()) + 0.5 * (len(df) + 1)
+
+    def shared(w):
+        return (df[w] + 0.5) / total
+
     for y in (0, 1):
-        assert math.isclose(word[y].sum(), 1, rel_tol=1e-9)
-    assert len(first) == 180
+        pairs, context, before = Counter(), Counter(), Counter()
+        for text in {t for t, label in rows if label == y}:
+            words = toxicity.words_of(text)
+            pairs.update(set(zip(words, words[1:])))
+        for (a, b), n in pairs.items():
+            context[a] += n
+            before[b] += 1
+        mass = sum(before.values())
+        left = sum(min(n, discount) for n in before.values()) / mass if mass else 1.0
+        made.append((pairs, context, before, mass or 1, left))
+
+    def word(y, w):
+        _, _, before, mass, left = made[y]
+        return max(before[w] - discount, 0) / mass + left * shared(w)
+
+    def pair(y, a, b):
+        pairs, context, *_ = made[y]
+        if not context[a]:
+            return word(y, b)
+        used = sum(max(n - discount, 0) for (x, _), n in pairs.items() if x == a) / context[a]
+        return max(pairs[a, b] - discount, 0) / context[a] + (1 - used) * word(y, b)
+
+    return word, pair, df
+
+
+def _labelled(n, seed):
+    rng = random.Random(seed)
+    names = [f"w{i}" for i in range(12)] + ["É", "x1"]
+    rows = [(" ".join(rng.choices(names[: 4 + 5 * (i % 3)], k=rng.randint(0, 25))), [0, 1, None][i % 3])
+            for i in range(n)]
+    rows += [("you vile", 1)] * 5 + [(f"you vile z{i}", 1) for i in range(8)] + [("", 0), ("!!", 1)]
+    return rows + [("same words here", 0)] * 30
+
+
+@pytest.mark.parametrize("discount", [0.75, 2.0, 5.0])
+@pytest.mark.parametrize("small_parts", [False, True])
+def test_ratios_against_plain_counts(spark, monkeypatch, discount, small_parts):
+    """Every word and bigram has the ratio of two Kneser-Ney models counted in plain Python; copies
+    of a text count once, and other slices and partitions give the same."""
+    rows = _labelled(120, 5)
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows) if y is not None], "doc_id long, toxic int")
+    if small_parts:
+        monkeypatch.setattr(toxicity, "_PART_BYTES", 8)
+        docs = docs.repartition(7)
+    parted = toxicity._parted(docs, labels, "toxic", F.lit(True))
+    model = toxicity._models(*toxicity.entries(toxicity.counts(parted, discount), discount))[2]
+    word, pair, df = plain_model(rows, discount)
+    rng = random.Random(2)
+    vocabulary = [*df, "never", "seen"]
+    for _ in range(60):
+        words = [w for x in rng.choices(vocabulary, k=12) for w in toxicity.words_of(x)] + ["you", "vile"]
+        want = [math.log(word(1, words[0]) / word(0, words[0]))]
+        want += [math.log(pair(1, a, b) / pair(0, a, b)) for a, b in zip(words, words[1:])]
+        assert model.ratios(words) == pytest.approx(want, abs=1e-5)
+
+
+@pytest.mark.parametrize("discount", [0.75, 3.0])
+def test_classes_are_distributions(discount):
+    """The plain model that the ratios are compared with adds up to one over all words."""
+    word, pair, df = plain_model(_labelled(120, 6), discount)
+    for y in (0, 1):
+        assert math.isclose(sum(word(y, w) for w in [*df, "unknown"]), 1, rel_tol=1e-9)
+        for a in ("w0", "you", "w9", "unknown"):
+            assert math.isclose(sum(pair(y, a, w) for w in [*df, "unknown"]), 1, rel_tol=1e-9)
+
+
+def test_bigrams_of_one_class_say_more_than_their_words(spark):
+    """`you vile` stands in toxic texts only, both words alone in either class."""
+    rows = [(f"you vile n{i} text", 1) for i in range(40)] + [(f"you kind n{i} vile", 0) for i in range(40)]
+    docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels, discount=0.75)
+    together, apart = model.ratios(["you", "vile"])[1], model.ratios(["other", "vile"])[1]
+    assert together > apart + 1
+
+
+def test_a_model_too_large_to_hold_is_an_error(spark, tables, monkeypatch):
+    docs, labels, _ = tables
+    monkeypatch.setattr(toxicity, "HELD_ENTRIES", 3)
+    with pytest.raises(ValueError):
+        toxicity.fit(docs, labels)
 
 
 def test_rows(spark, tables):
@@ -115,24 +177,6 @@ def test_query(spark, medium):
     assert len(got) == docs.count()
     marked = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{medium}/labels.parquet").collect()}
     held = [i for i in marked if got[i]["held_out"]]
-    assert sum(got[i]["predicted"] == marked[i] for i in held) >= 0.93 * len(held)
-
-
-def test_all_labelled_rows_are_counted(spark):
-    """Words outside the few rows that the weights are fitted on count, and none is cut."""
-    rows = [(i, f"plain w{i} words here", int(i % 2 == 0)) for i in range(40)]
-    rows += [(100 + i, "some free text", None) for i in range(3)] + [(0, "plain w0 words here", 0)]
-    docs = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
-    labels = spark.createDataFrame([(i, y) for i, _, y in rows if y is not None], "doc_id long, toxic int")
-    ones, twos = toxicity._tables(toxicity._parted(docs, labels, "toxic", F.lit(True)), 0.5)
-    at = {w: i for i, w in enumerate(ones["b"])}
-    assert set(at) == {"words", "here", *(f"w{i}" for i in range(40))}
-    assert ones["types"] == 40 + 40 + 1 and ones["follows"][at["words"]] == 40
-    assert [ones["n4"][at["words"]], ones["n5"][at["words"]]] == [20, 20]
-    # Below the discount stays out; a bigram counts once for each word before it.
-    assert (twos["a"], twos["b"]) == (
-        [f"w{i}" for i in sorted(range(40), key=str)] + ["words"], ["words"] * 40 + ["here"])
-    assert (twos["n4"][-1], twos["n5"][-1]) == (20, 20)
-    model = toxicity.fit(docs, labels, per_class=2, discount=0.5)
-    own = dict(zip(model.words, model.own))
-    assert all(own[f"w{i}"] * (1 if i % 2 == 0 else -1) > 0 for i in range(40))
+    assert sum(got[i]["predicted"] == marked[i] for i in held) >= 0.947 * len(held)
+    toxic = [i for i in held if marked[i]]
+    assert sum(got[i]["predicted"] for i in toxic) >= 0.65 * len(toxic)
