@@ -75,7 +75,7 @@ def rows_by_score(
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        scores = (shared.value.score(t or "") for t in batch.column(text).to_pylist())
+        scores = shared.value.scores([t or "" for t in batch.column(text).to_pylist()])
         return batch.filter(pa.array([keep(s) for s in scores], pa.bool_()))
 
     return map_batches(docs, run, docs.schema)

@@ -112,6 +112,9 @@ class Model:
         mean = total / max(features_in(words) + repeats, 1)
         return float(1 / (1 + np.exp(-np.clip(mean + self.constant, -30, 30))))
 
+    def scores(self, texts: list[str]) -> list[float]:
+        return [self.score(t) for t in texts]
+
 
 def train(
     rows: list[tuple[int, np.ndarray, np.ndarray]], buckets: int = BUCKETS, width: int = WIDTH,

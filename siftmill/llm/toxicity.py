@@ -51,12 +51,10 @@ HELD_ENTRIES = 12_000_000
 # Estimated discounts (1 to 3) leave the many words of one or two places as noise; README has both
 # results.
 DISCOUNT = 5.0
-WINDOW = 1
 SLICE_BYTES = 8 << 20
 # Bytes of text whose counts one merging task takes, about.
 _PART_BYTES = 16 << 20
 _HASH_BITS = 48
-_REMEMBERED = 1_000_000
 _TOKEN = re.compile(r"[^\W_]+")
 _BLOCK = pa.schema([("part", pa.int32()), ("pairs", pa.bool_()), ("data", pa.binary())])
 _NUMBERS = [f"n{i}" for i in range(6)] + [f"c{i}" for i in range(4)] + ["df"]
@@ -83,58 +81,68 @@ class Model:
     """Log ratios of words and of bigrams by hash, and the weights of the logistic function.
 
     `own` is a word's ratio after a context that neither class knows, `back` what a context adds to
-    it for a bigram that is not listed; unlisted words have the ratio `rest`.
+    it for a bigram that is not listed, `leads` whether it begins a listed one; unlisted words have
+    the ratio `rest`.
     """
 
     words: np.ndarray
     own: np.ndarray
     back: np.ndarray
+    leads: np.ndarray
     pairs: np.ndarray
     ratio: np.ndarray
     rest: float
     weights: np.ndarray = field(default_factory=lambda: np.zeros(3))
-    _index: dict = field(default_factory=dict)
-
-    def __getstate__(self):
-        return {**self.__dict__, "_index": {}}
-
-    def _places(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """(hashes, rows of `words`) of a text's words; behind the last row if unlisted."""
-        if len(self._index) > _REMEMBERED:
-            self._index.clear()
-        for word in set(words).difference(self._index):
-            h = word_hash(word)
-            at = int(np.searchsorted(self.words, h))
-            known = at < len(self.words) and self.words[at] == h
-            self._index[word] = h, at if known else len(self.words)
-        return np.array([self._index[w] for w in words], np.int64).T
-
-    def ratios(self, words: list[str]) -> np.ndarray:
-        """The log ratio of each word after the one before it."""
-        hashes, at = self._places(words)
-        ratios = np.append(self.own, self.rest)[at]
-        if len(words) > 1:
-            ratios[1:] += np.append(self.back, 0.0)[at[:-1]]
-            if len(self.pairs):
-                keys = pair_keys(hashes[:-1], hashes[1:])
-                found = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
-                ratios[1:] = np.where(self.pairs[found] == keys, self.ratio[found], ratios[1:])
-        return ratios
-
-    def evidence(self, text: str) -> tuple[float, float]:
-        """(mean log ratio of the text, mean log ratio of its most toxic window)."""
-        words = words_of(text)
-        if not words:
-            return 0.0, 0.0
-        run = np.concatenate([[0.0], np.cumsum(self.ratios(words))])
-        width = min(WINDOW, len(words))
-        top = (run[width:] - run[:-width]).max() / width
-        return float(run[-1] / len(words)), float(top)
-
-    def score(self, text: str) -> float:
-        mean, top = self.evidence(text)
-        z = self.weights @ np.array([1.0, mean, top])
-        return float(1 / (1 + np.exp(-np.clip(z, -30, 30))))
+
+    def ratios(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(the log ratio of each word of all texts after the one before it, words of each text)."""
+        ids, sizes, words = numbered(texts)
+        hashes = np.array([word_hash(w) for w in words], np.int64)
+        at = np.searchsorted(self.words, hashes)
+        found = np.append(self.words, -1)[at] == hashes
+        at[~found] = len(self.words)
+        ratios = np.append(self.own, self.rest)[at][ids].astype(float)
+        back, leads = np.append(self.back, 0.0)[at], np.append(self.leads, False)[at]
+        inside = np.ones(len(ids), bool)
+        inside[(np.cumsum(sizes) - sizes)[sizes > 0]] = False
+        # Contexts that lead a listed bigram are also the only ones that change what follows.
+        here = np.flatnonzero(inside)
+        here = here[leads[ids[here - 1]]]
+        ratios[here] += back[ids[here - 1]]
+        if len(self.pairs):
+            keys = pair_keys(hashes[ids[here - 1]], hashes[ids[here]])
+            place = np.minimum(np.searchsorted(self.pairs, keys), len(self.pairs) - 1)
+            ratios[here] = np.where(self.pairs[place] == keys, self.ratio[place], ratios[here])
+        return ratios, sizes
+
+    def evidence(self, texts: list[str]) -> np.ndarray:
+        """(mean log ratio, log ratio of the most toxic word) of each text, zero without words."""
+        ratios, sizes = self.ratios(texts)
+        made = np.zeros((len(texts), 2))
+        some = sizes > 0
+        if some.any():
+            starts = (np.cumsum(sizes) - sizes)[some]
+            made[some, 0] = np.add.reduceat(ratios, starts) / sizes[some]
+            made[some, 1] = np.maximum.reduceat(ratios, starts)
+        return made
+
+    def scores(self, texts: list[str]) -> np.ndarray:
+        z = self.weights[0] + self.evidence(texts) @ self.weights[1:]
+        return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
+
+
+class _Numbers(dict):
+    def __missing__(self, word: str) -> int:
+        self[word] = number = len(self)
+        return number
+
+
+def numbered(texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """(word numbers of all texts behind one another, words of each text, words)."""
+    numbers = _Numbers()
+    cut = [np.array([numbers[w] for w in words_of(t)], np.int64) for t in texts]
+    sizes = np.array([len(c) for c in cut], np.int64)
+    return np.concatenate(cut) if cut else np.zeros(0, np.int64), sizes, list(numbers)
 
 
 def text_fold(text: str = "text") -> Column:
@@ -154,12 +162,6 @@ def _parted(docs: DataFrame, labels: DataFrame, label: str, learn) -> DataFrame:
     return rows.join(small_or_same(first, HELD_LABELS), ["doc_id", "key"], "left").select("text", "part")
 
 
-class _Numbers(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = number = len(self)
-        return number
-
-
 def _sorted_blocks(part: np.ndarray, pairs: bool, first: np.ndarray, wide: np.ndarray | None, more: list):
     """Rows of (part, pairs, data): hashes `first` ascend in each part; `wide` are hashes as they
     are, `more` small numbers."""
@@ -194,13 +196,10 @@ def _part_of(first: np.ndarray, split: np.ndarray, bits: int, splits: int) -> np
 def _blocks(texts: list[str], parts: list[int | None], bits: int, splits: int) -> list[tuple]:
     """A slice's counts: bigrams by second word (with the first one, count and part), and words (with
     documents that hold them, whether a labelled one does, and bigrams they begin in each part)."""
-    numbers = _Numbers()
-    cut = [[numbers[w] for w in words_of(t)] for t in texts]
-    sizes = np.array([len(c) for c in cut])
-    if not sizes.sum():
+    ids, sizes, words = numbered(texts)
+    if not len(ids):
         return []
-    ids = np.concatenate([np.array(c, np.int64) for c in cut])
-    hashes = np.array([word_hash(w) for w in numbers], np.int64)
+    hashes = np.array([word_hash(w) for w in words], np.int64)
     doc = np.repeat(np.arange(len(texts)), sizes)
     part = np.array([-1 if p is None else p for p in parts])
     held = np.unique(ids * len(texts) + doc)
@@ -372,26 +371,29 @@ def _models(words: DataFrame, pairs: DataFrame, rest: list[float]) -> list[Model
         return table.column(name).to_numpy()
 
     order = np.argsort(column(ones, "h"))
+    hashes = column(ones, "h")[order]
+    leads = np.isin(hashes, column(twos, "a"))
     keys = pair_keys(column(twos, "a"), column(twos, "h"))
     by_key = np.argsort(keys)
     return [
         Model(
-            column(ones, "h")[order], column(ones, f"own{m}")[order], column(ones, f"back{m}")[order],
-            keys[by_key], column(twos, f"ratio{m}")[by_key], rest[m],
+            hashes, column(ones, f"own{m}")[order], column(ones, f"back{m}")[order], leads, keys[by_key],
+            column(twos, f"ratio{m}")[by_key], rest[m],
         ) for m in range(3)
     ]
 
 
 def _evidence(sample: DataFrame, models: list[Model]) -> np.ndarray:
     """(y, mean, top) of each sampled row by the model that did not see its fold."""
-    shared = sample.sparkSession.sparkContext.broadcast(models)
+    shared = sample.sparkSession.sparkContext.broadcast(models[:2])
     kind = pa.schema([("y", pa.int64()), ("mean", pa.float64()), ("top", pa.float64())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         texts, folds = batch.column("text").to_pylist(), batch.column("fold").to_pylist()
-        made = [shared.value[1 - f].evidence(t) for t, f in zip(texts, folds, strict=True)]
-        means, tops = zip(*made, strict=True)
-        return table_of({"y": batch.column("y").cast(pa.int64()), "mean": means, "top": tops}, kind)
+        both = [shared.value[1 - f].evidence(texts) for f in (0, 1)]
+        made = np.where(np.array(folds)[:, None] == 0, *both)
+        columns = {"y": batch.column("y").cast(pa.int64()), "mean": made[:, 0], "top": made[:, 1]}
+        return table_of(columns, kind)
 
     rows = map_batches(sample.select("text", "y", "fold"), run, "y long, mean double, top double")
     made = rows.toArrow()
@@ -448,7 +450,7 @@ def scores(docs: DataFrame, model: Model, ident: str = "doc_id", text: str = "te
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        made = [shared.value.score(t) for t in batch.column("text").to_pylist()]
+        made = shared.value.scores(batch.column("text").to_pylist())
         return table_of({"doc_id": batch.column("doc_id"), "score": made}, _SCORED)
 
     return map_batches(whole_texts(docs, ident, text), run, "doc_id long, score double")

@@ -37,7 +37,7 @@ def _plain(spark, folder):
     for module, modulus, held, good in ((toxicity, 3, 1, lambda s: s < 0.7), (quality, 4, 2, lambda s: s >= 0.7)):
         left = docs.where(docs.doc_id.isin(list(rows)))
         model = module.fit(left, labels, learn=learning_row("doc_id", modulus, held))
-        rows = {i: t for i, t in rows.items() if good(model.score(t))}
+        rows = {i: t for i, t in rows.items() if good(model.scores([t])[0])}
     ids = sorted(rows)
     roots = _components([simhash.fingerprint(rows[i]) for i in ids])
     first = {}

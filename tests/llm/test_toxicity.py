@@ -115,9 +115,10 @@ def test_ratios_against_plain_counts(spark, monkeypatch, discount, small_parts):
     vocabulary = [*df, "never", "seen"]
     for _ in range(60):
         words = [w for x in rng.choices(vocabulary, k=12) for w in toxicity.words_of(x)] + ["you", "vile"]
+        assert model.ratios(["", " ".join(words), "x", ""])[1].tolist() == [0, len(words), 1, 0]
         want = [math.log(word(1, words[0]) / word(0, words[0]))]
         want += [math.log(pair(1, a, b) / pair(0, a, b)) for a, b in zip(words, words[1:])]
-        assert model.ratios(words) == pytest.approx(want, abs=1e-5)
+        assert model.ratios([" ".join(words)])[0] == pytest.approx(want, abs=1e-5)
 
 
 @pytest.mark.parametrize("discount", [0.75, 3.0])
@@ -136,7 +137,7 @@ def test_bigrams_of_one_class_say_more_than_their_words(spark):
     docs = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, y) for i, (_, y) in enumerate(rows)], "doc_id long, toxic int")
     model = toxicity.fit(docs, labels, discount=0.75)
-    together, apart = model.ratios(["you", "vile"])[1], model.ratios(["other", "vile"])[1]
+    together, apart = model.ratios(["you vile"])[0][1], model.ratios(["other vile"])[0][1]
     assert together > apart + 1
 
 
