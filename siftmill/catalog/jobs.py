@@ -94,44 +94,47 @@ def z01_compile_funnel(spark, d):
         AND substr(md5('42:' || post_id), 1, 8) < 'c0000000'
         AND created_utc BETWEEN 1627776000 AND 1661990400),
     capped AS (SELECT * FROM ok WHERE r <= 5 OR author = 'unknown'),
-    {V.chunks_sql('capped', 'post_id, author, created_utc', 'selftext')}
-    SELECT post_id, author, chunk_id, md5(chunk) AS input, tokens AS input_tokens FROM chunks
-    ORDER BY created_utc, post_id, chunk_id LIMIT 5000""",
+    {V.chunks_sql('capped', 'post_id, author, created_utc, subreddit, title, score', 'selftext')}
+    SELECT post_id, author, created_utc, subreddit, coalesce(title, '') AS title,
+      coalesce(TRY_CAST(score AS INTEGER), 0) AS score, chunk_id, md5(chunk) AS input, tokens AS input_tokens
+    FROM chunks ORDER BY created_utc, post_id, chunk_id LIMIT (SELECT 5 * count(*) FROM documents)""",
 )
 def z02_risk_posts(spark, d):
-    made = corpora.risk_posts(
-        spread(V.posts(spark, d), "post_id"), order=["created_utc", "post_id"], rate=0.75, limit=5000
-    )
+    posts = spread(V.posts(spark, d), "post_id")
+    limit = 5 * V.table(spark, d, "documents").count()
+    made = corpora.risk_posts(posts, order=["created_utc", "post_id"], rate=0.75, limit=limit)
     return made.select(
-        "post_id", "author", V.long(F.col("chunk_id")).alias("chunk_id"), F.md5("input").alias("input"),
+        "post_id", *corpora.POST_COLUMNS, V.long(F.col("chunk_id")).alias("chunk_id"), F.md5("input").alias("input"),
         V.long(F.col("input_tokens")).alias("input_tokens"),
     )
 
 
 @query(
     "z03_control_posts",
-    f"""WITH RECURSIVE {V.POSTS}, shares AS (SELECT subreddit, CAST(greatest(40, least(floor(
-        CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () * (count(*) OVER () * 100)), 200)) AS BIGINT)
-      AS quota FROM posts GROUP BY subreddit),
+    f"""WITH RECURSIVE {V.POSTS}, shares AS (SELECT subreddit, CAST(greatest(sum(count(*)) OVER () // 25, least(floor(
+        CAST(count(*) AS DOUBLE) / sum(count(*)) OVER () * (count(*) OVER () * (sum(count(*)) OVER () // 10))),
+        sum(count(*)) OVER () // 5)) AS BIGINT) AS quota FROM posts GROUP BY subreddit),
     good AS (SELECT * FROM posts WHERE created_utc BETWEEN 1627776000 AND 1661990400
       AND {V.strip_sql('selftext')} <> '' AND NOT contains(selftext, '[removed]')
       AND NOT contains(selftext, '[deleted]') AND {V.tokens_sql('selftext')} >= 20),
     {V.chunks_sql('good', 'post_id', 'selftext')},
-    sized AS (SELECT g.post_id, author, g.subreddit, created_utc, quota,
+    sized AS (SELECT g.post_id, author, g.subreddit, created_utc, title, score, quota,
         (SELECT count(*) FROM chunks c WHERE c.post_id = g.post_id) AS n_chunks
       FROM good g JOIN shares USING (subreddit)),
     {in_turn_sql('sized', 'post_id', 'subreddit', 'created_utc, post_id', 'n_chunks', 'quota')}
-    SELECT post_id, author, subreddit, chunk_id, md5(chunk) AS input, tokens AS input_tokens,
+    SELECT post_id, author, subreddit, created_utc, coalesce(title, '') AS title,
+      coalesce(TRY_CAST(score AS INTEGER), 0) AS score, chunk_id, md5(chunk) AS input, tokens AS input_tokens,
       row_number() OVER (ORDER BY md5('42:' || post_id || '_' || chunk_id),
         post_id || '_' || chunk_id) - 1 AS pos
     FROM chunks JOIN sized USING (post_id) WHERE post_id IN (SELECT post_id FROM taken)""",
 )
 def z03_control_posts(spark, d):
     posts = spread(V.posts(spark, d), "post_id")
-    wanted = corpora.quota_table(posts, "subreddit", per_group=100, low=40, high=200)
+    n = V.table(spark, d, "documents").count()
+    wanted = corpora.quota_table(posts, "subreddit", per_group=n // 10, low=n // 25, high=n // 5)
     made = corpora.control_posts(posts, wanted, order=["created_utc", "post_id"])
     return made.select(
-        "post_id", "author", "subreddit", V.long(F.col("chunk_id")).alias("chunk_id"),
+        "post_id", *corpora.POST_COLUMNS, V.long(F.col("chunk_id")).alias("chunk_id"),
         F.md5("input").alias("input"), V.long(F.col("input_tokens")).alias("input_tokens"), "pos",
     )
 
@@ -140,45 +143,49 @@ def z03_control_posts(spark, d):
     "z04_chats",
     f"""WITH {PAIRS}, english AS (SELECT * FROM turn_pairs WHERE language = 'English'),
     wanted AS (SELECT * FROM english WHERE conv_id IN
-      (SELECT DISTINCT conv_id FROM english ORDER BY conv_id LIMIT 50)),
-    {V.chunks_sql('wanted', 'conv_id, turn_id, output', 'input')}
-    SELECT 'chunk' AS kind, conv_id, turn_id, chunk_id, md5(chunk) AS input, tokens AS input_tokens
+      (SELECT DISTINCT conv_id FROM english ORDER BY conv_id
+        LIMIT (SELECT count(DISTINCT conv_id) // 2 FROM conversations))),
+    {V.chunks_sql('wanted', 'conv_id, turn_id, language, model, output', 'input')}
+    SELECT 'chunk' AS kind, conv_id, turn_id, language, model, chunk_id, md5(chunk) AS input, tokens AS input_tokens
     FROM chunks
-    UNION ALL SELECT 'pair', conv_id, turn_id, 0, md5(input), {V.tokens_sql('input')} FROM turn_pairs""",
+    UNION ALL SELECT 'pair', conv_id, turn_id, language, model, 0, md5(input), {V.tokens_sql('input')} FROM turn_pairs""",
 )
 def z04_chats(spark, d):
     chats = V.chats(spark, d)
     pairs = corpora.chat_pairs(chats).select(
-        F.lit("pair").alias("kind"), "conv_id", "turn_id", F.lit(0).alias("chunk_id"), "input",
-        "input_tokens",
+        F.lit("pair").alias("kind"), "conv_id", "turn_id", "language", "model",
+        F.lit(0).alias("chunk_id"), "input", "input_tokens",
     )
-    chunks = corpora.chat_chunks(chats, 50).withColumn("kind", F.lit("chunk"))
+    half = chats.select("conv_id").distinct().count() // 2
+    chunks = corpora.chat_chunks(chats, half).withColumn("kind", F.lit("chunk"))
     return union_all(pairs, chunks).select(
-        "kind", "conv_id", "turn_id", V.long(F.col("chunk_id")).alias("chunk_id"),
+        "kind", "conv_id", "turn_id", "language", "model", V.long(F.col("chunk_id")).alias("chunk_id"),
         F.md5("input").alias("input"), V.long(F.col("input_tokens")).alias("input_tokens"),
     )
 
 
 EMOTION_ROWS = """SELECT d.doc_id AS id, d.text, CASE WHEN d.doc_id % 2 = 0 THEN 1 ELSE 0 END AS joy,
-    CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS sadness, l.toxic
+    CASE WHEN d.doc_id % 3 = 0 THEN 1 ELSE 0 END AS sadness, l.toxic,
+    CASE WHEN d.doc_id % 5 = 0 THEN 'unknown' ELSE d.source END AS subreddit
     FROM documents d JOIN labels l ON d.doc_id = l.doc_id"""
 
 
 @query(
     "z05_emotions",
-    f"""WITH raw AS ({EMOTION_ROWS}), clear AS (SELECT id, text, array_to_string(list_filter([
+    f"""WITH raw AS ({EMOTION_ROWS}), clear AS (SELECT id, subreddit, text, array_to_string(list_filter([
         CASE WHEN joy = 1 THEN 'joy' END, CASE WHEN sadness = 1 THEN 'sadness' END],
         lambda x: x IS NOT NULL), '|') AS emotions FROM raw WHERE toxic <> 1),
-    {V.chunks_sql('clear', 'id, emotions', 'text')}
-    SELECT id, emotions, chunk_id, md5(chunk) AS input, tokens AS input_tokens FROM chunks""",
+    {V.chunks_sql('clear', 'id, subreddit, emotions', 'text')}
+    SELECT id, subreddit, emotions, chunk_id, md5(chunk) AS input, tokens AS input_tokens FROM chunks""",
 )
 def z05_emotions(spark, d):
-    docs = V.table(spark, d, "documents").select("doc_id", "text")
+    docs = V.table(spark, d, "documents").select("doc_id", "text", "source")
     raw = docs.join(V.table(spark, d, "labels"), "doc_id").select(
         F.col("doc_id").alias("id"), "text",
         (F.col("doc_id") % 3 == 0).cast("int").alias("sadness"),
         (F.col("doc_id") % 2 == 0).cast("int").alias("joy"),
         (F.col("toxic") == 1).alias("example_very_unclear"),
+        F.when(F.col("doc_id") % 5 != 0, F.col("source")).alias("subreddit"),
     )
     root = scratch(spark, "emotions")
     csv_tree.write_csv(raw, f"{root}/full")
@@ -186,7 +193,7 @@ def z05_emotions(spark, d):
     typed = read.withColumn("example_very_unclear", F.col("example_very_unclear").cast("boolean"))
     made = corpora.labelled_emotions(typed)
     return made.select(
-        F.col("id").cast("long").alias("id"), F.array_join("emotions", "|").alias("emotions"),
+        F.col("id").cast("long").alias("id"), "subreddit", F.array_join("emotions", "|").alias("emotions"),
         V.long(F.col("chunk_id")).alias("chunk_id"), F.md5("input").alias("input"),
         V.long(F.col("input_tokens")).alias("input_tokens"),
     )
@@ -221,9 +228,8 @@ def z06_enrich(spark, d):
         ORDER BY turn) AS r FROM chats WHERE role = 'user') WHERE r = 1 AND length(text) > 0
       UNION ALL SELECT 'turn_' || conv_id || '_' || place, text FROM turns
         WHERE role = 'user' AND length({V.strip_sql('text')}) > 5
-      UNION ALL SELECT 'post_' || post_id, selftext FROM (SELECT * FROM posts
-        WHERE length({V.strip_sql('selftext')}) > 5 ORDER BY post_id
-        LIMIT (SELECT count(*) // 2 FROM posts))),
+      UNION ALL SELECT 'post_' || post_id, selftext FROM posts
+        WHERE length({V.strip_sql('selftext')}) > 5),
     {silver_sql('corpus', 'id', 'text', 0.5)}
     SELECT id, CAST(top_class AS VARCHAR) AS top_label, round(confidence, 6) AS confidence,
       round(dist[1], 6) AS p0 FROM silver WHERE len(dist) > 0""",
@@ -240,7 +246,7 @@ def z07_silver(spark, d):
     corpus = union_all(
         named(labels.first_turns(chats), "first_", "id", "text"),
         named(labels.all_user_turns(chats), "turn_", "id", "text"),
-        named(labels.long_posts(posts, limit=posts.count() // 2), "post_", "id", "text"),
+        named(labels.long_posts(posts), "post_", "id", "text"),
     )
     made = labels.silver_corpus(
         corpus, "id", "text", load_scorer, scratch(spark, "silver"), temperature=0.5

@@ -13,7 +13,7 @@ TURNS = f"""{V.CHATS}, turns AS (
     lead(role) OVER (PARTITION BY conv_id ORDER BY turn) AS next_role,
     lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS next_text FROM chats)"""
 PAIRS = f"""{TURNS}, turn_pairs AS (
-  SELECT conv_id, CAST(floor(place / 2) + 1 AS BIGINT) AS turn_id, language, text AS input,
+  SELECT conv_id, CAST(floor(place / 2) + 1 AS BIGINT) AS turn_id, language, model, text AS input,
     next_text AS output FROM turns WHERE role = 'user' AND next_role = 'assistant')"""
 
 
@@ -59,13 +59,13 @@ def c04_first_conversations(spark, d):
 
 @query(
     "c05_chat_chunks",
-    f"""WITH {PAIRS}, {V.chunks_sql('turn_pairs', 'conv_id, turn_id, output', 'input')}
-    SELECT conv_id, turn_id, chunk_id, chunk AS input, tokens AS input_tokens,
+    f"""WITH {PAIRS}, {V.chunks_sql('turn_pairs', 'conv_id, turn_id, language, model, output', 'input')}
+    SELECT conv_id, turn_id, language, model, chunk_id, chunk AS input, tokens AS input_tokens,
       md5(output) AS output FROM chunks""",
 )
 def c05_chat_chunks(spark, d):
-    pairs = turns.turn_pairs(V.chats(spark, d))
+    pairs = turns.turn_pairs(V.chats(spark, d), carry=["language", "model"])
     return turns.chat_chunks(pairs).select(
-        "conv_id", "turn_id", V.long(F.col("chunk_id")).alias("chunk_id"), "input",
+        "conv_id", "turn_id", "language", "model", V.long(F.col("chunk_id")).alias("chunk_id"), "input",
         V.long(F.col("input_tokens")).alias("input_tokens"), F.md5("output").alias("output"),
     )

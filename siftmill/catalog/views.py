@@ -77,6 +77,8 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
         F.when(ident % 37 == 0, "[removed]").when(ident % 53 == 0, "")
         .otherwise(F.col("text")).alias("selftext"),
         "n_chars",
+        F.when(ident % 41 == 0, None).otherwise(F.concat(F.lit("title "), (ident % 97).cast("string"))).alias("title"),
+        F.when(ident % 43 == 0, "none").otherwise((ident % 50).cast("string")).alias("score"),
     )
 
 
@@ -88,7 +90,9 @@ POSTS = """posts AS (
     CAST(1620000000 + (doc_id * 7919 * 37) % 60000000 AS DOUBLE) AS created_utc,
     source AS subreddit,
     CASE WHEN doc_id % 37 = 0 THEN '[removed]' WHEN doc_id % 53 = 0 THEN '' ELSE text END
-      AS selftext, n_chars
+      AS selftext, n_chars,
+    CASE WHEN doc_id % 41 = 0 THEN NULL ELSE 'title ' || (doc_id % 97) END AS title,
+    CASE WHEN doc_id % 43 = 0 THEN 'none' ELSE CAST(doc_id % 50 AS VARCHAR) END AS score
   FROM documents)"""
 
 

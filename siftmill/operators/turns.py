@@ -78,5 +78,6 @@ def of_first_conversations(pairs: DataFrame, n: int, conv: str = "conv_id") -> D
 
 
 def chat_chunks(pairs: DataFrame, conv: str = "conv_id", **options) -> DataFrame:
-    """Chunks of the user text with the answer carried along."""
-    return chunk_rows(pairs, "input", [conv, "turn_id", "output"], **options)
+    """Chunks of the user text; the answer and all other columns of the pairs are carried along."""
+    carried = [c for c in pairs.columns if c not in (conv, "turn_id", "input")]
+    return chunk_rows(pairs, "input", [conv, "turn_id", *carried], **options)

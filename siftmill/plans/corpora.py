@@ -14,18 +14,33 @@ from siftmill.session import durable
 from siftmill.sources import tables
 
 
+POST_COLUMNS = ("author", "created_utc", "score", "subreddit", "title")
+
+
+def post_columns(posts: DataFrame) -> DataFrame:
+    """Posts with all of POST_COLUMNS: a score that is no number is 0, a missing author or group
+    `unknown`, a missing title empty."""
+    kinds = {"author": "string", "created_utc": "double", "score": "string", "subreddit": "string", "title": "string"}
+    grown = filters.ensure_columns(posts, kinds)
+    return grown.withColumns({
+        "author": F.coalesce("author", F.lit("unknown")),
+        "score": parsing.to_int(F.col("score")),
+        "subreddit": F.coalesce("subreddit", F.lit("unknown")),
+        "title": F.coalesce("title", F.lit("")),
+    })
+
+
 def risk_posts(
     posts: DataFrame, key: str = "post_id", body: str = "selftext", order: Sequence[str] = ("post_id",),
     rate: float = 1.0, limit: int | None = None, cap: int = settings.AUTHOR_CAP,
-    carry: Sequence[str] = ("author", "created_utc", "subreddit"),
+    carry: Sequence[str] = POST_COLUMNS,
 ) -> DataFrame:
     """Valid bodies, sampled, inside the period, capped per author, in chunks, limited.
 
     The cheap filters and the cap run on rows before any text is cut. The cap takes posts in
     `order`, which names a post uniquely; the limit takes chunks in the same order.
     """
-    named = posts.withColumn("author", F.coalesce("author", F.lit("unknown")))
-    kept = filters.valid_body(named, body)
+    kept = filters.valid_body(post_columns(posts), body)
     kept = filters.in_period(sampling.bernoulli(kept, key, rate))
     capped = sampling.author_cap(kept, "author", order, cap)
     keys = list(dict.fromkeys([key, *order, *carry]))
@@ -51,15 +66,14 @@ def first_chunks(
 def control_posts(
     posts: DataFrame, wanted: Sequence[tuple[str, int]] | DataFrame, key: str = "post_id",
     body: str = "selftext", group: str = "subreddit", order: Sequence[str] = ("post_id",),
-    cap: int = settings.AUTHOR_CAP, seed: int = settings.SEED,
+    cap: int = settings.AUTHOR_CAP, seed: int = settings.SEED, carry: Sequence[str] = POST_COLUMNS,
 ) -> DataFrame:
     """Good posts, read group by group until each quota of chunks, capped per author.
 
     Caps, quotas and the final shuffle work on slim tables of chunk counts and chunk numbers;
     the texts are cut into rows for the kept posts only.
     """
-    named = posts.withColumn("author", F.coalesce("author", F.lit("unknown")))
-    good = filters.quality_body(filters.in_period(named), body)
+    good = filters.quality_body(filters.in_period(post_columns(posts)), body)
     sized = good.withColumn("_chunks", F.size(text.chunks(text.strip(F.col(body)))))
     slim = durable(sized.select(*dict.fromkeys([key, *order, "author", group, "_chunks"])))
     kept = durable(sampling.cap_and_quota(slim, "author", group, order, "_chunks", wanted, cap))
@@ -67,7 +81,7 @@ def control_posts(
     numbered = numbered.withColumn("_id", filters.composite_id(key, "chunk_id"))
     placed = sampling.shuffled(durable(numbered), "_id", seed).drop("_id")
     chosen = good.join(kept.select(key), key, "left_semi")
-    rows = filters.chunk_rows(chosen, body, [key, "author", group, "created_utc"])
+    rows = filters.chunk_rows(chosen, body, list(dict.fromkeys([key, group, *carry])))
     return rows.join(placed, [key, "chunk_id"])
 
 
@@ -86,8 +100,8 @@ def chat_chunks(
     chats: DataFrame, conversations: int | None = None, language: str = "English",
     conv: str = "conv_id",
 ) -> DataFrame:
-    """Chunks of the questions of the first conversations in a language."""
-    pairs = turns.turn_pairs(chats.where(F.col("language") == language), conv)
+    """Chunks of the questions of the first conversations in a language, with language and model."""
+    pairs = turns.turn_pairs(chats.where(F.col("language") == language), conv, carry=["language", "model"])
     if conversations is not None:
         pairs = turns.of_first_conversations(pairs, conversations, conv)
     return turns.chat_chunks(pairs, conv)
@@ -96,10 +110,18 @@ def chat_chunks(
 def labelled_emotions(
     rows: DataFrame, key: str = "id", body: str = "text", names: Sequence[str] = settings.EMOTIONS
 ) -> DataFrame:
-    """Clear rows in chunks, with the list of their active emotions."""
-    clear = filters.drop_flagged(rows)
-    listed = clear.withColumn("emotions", parsing.active_labels(clear, names))
-    return filters.chunk_rows(listed, body, [key, "emotions"])
+    """Clear rows in chunks, with their group and the list of their active emotions.
+
+    A row without an id is named by a hash of its values, a missing group is `unknown`.
+    """
+    clear = filters.ensure_columns(filters.drop_flagged(rows), {key: "string", "subreddit": "string"})
+    named = F.concat(F.lit("row_"), F.hex(F.xxhash64(*sorted(rows.columns))))
+    listed = clear.withColumns({
+        "emotions": parsing.active_labels(clear, names),
+        "subreddit": F.coalesce("subreddit", F.lit("unknown")),
+        key: F.coalesce(F.col(key).cast("string"), named),
+    })
+    return filters.chunk_rows(listed, body, [key, "subreddit", "emotions"])
 
 
 def nested_chats(

@@ -10,7 +10,7 @@ from siftmill.catalog import views as V
 from siftmill.operators import sampling, turns
 from siftmill.operators.filters import chunk_rows
 from siftmill.plans import compile as compiling
-from siftmill.plans import corpora
+from siftmill.plans import corpora, labels
 from siftmill.session import scratch
 from siftmill.sources import csv_tree, sinks, tables
 from siftmill.streaming import caps, files, usage
@@ -346,3 +346,29 @@ def test_probe_is_trained_and_written_back(spark, small):
     flags = F.array_contains("predicted_emotions", "positive") == (
         F.col("emotion_scores.positive") >= 0.6)
     assert good.where(~flags).count() == 0 and good.where("emotion_scores is null").count() == 0
+
+
+def test_posts_without_optional_columns(spark):
+    """Missing columns and values get their defaults, and all of them are carried to the chunks."""
+    body = "One plain sentence that is long enough to be kept. " * 3
+    posts = spark.createDataFrame(
+        [("a", body, 1630000000.0, "7", None), ("b", body, 1630000001.0, "x", "t")],
+        "post_id string, selftext string, created_utc double, score string, title string",
+    )
+    got = {r["post_id"]: r for r in corpora.risk_posts(posts).collect()}
+    assert (got["a"]["score"], got["a"]["title"], got["a"]["author"]) == (7, "", "unknown")
+    assert (got["b"]["score"], got["b"]["title"], got["b"]["subreddit"]) == (0, "t", "unknown")
+
+
+def test_labelled_rows_without_ids(spark):
+    rows = spark.createDataFrame([("some text here", 1), ("other text", 0)], "text string, joy int")
+    got = corpora.labelled_emotions(rows, names=["joy"]).collect()
+    assert len({r["id"] for r in got}) == 2 and {r["subreddit"] for r in got} == {"unknown"}
+    again = corpora.labelled_emotions(rows.repartition(3), names=["joy"]).collect()
+    assert {r["id"] for r in got} == {r["id"] for r in again}
+
+
+def test_limit_of_long_posts(spark):
+    posts = spark.createDataFrame([(i, "long enough") for i in range(9)], "post_id long, selftext string")
+    got = labels.long_posts(posts, limit=4).collect()
+    assert sorted(r["id"] for r in got) == ["0", "1", "2", "3"]
