@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left, bisect_right
 
 import pyarrow as pa
 import zstandard
@@ -103,18 +104,24 @@ def novel_spans(text: str, low: str | None = None) -> list[Span]:
         stop = text.find("\n", word.end())
         stop = min(word.end() + REACH, stop if stop >= 0 else len(text))
         at = word.end()
-        while (m := _CANDIDATE.search(text, at)) and m.start() < stop:
-            found[m.start(), m.end()] = None
-            at = m.end()
+        # Behind this place no candidate's shortest form starts in reach; a long one is read on.
+        last = stop + SHORTEST - 1
+        while at < stop and (m := _CANDIDATE.search(text, at, last)):
+            at = _CANDIDATE.match(text, m.start()).end()
+            found[m.start(), at] = None
     places: dict[str, list[tuple[int, int]]] = {}
     for start, end in found:
         places.setdefault(text[start:end], []).append((start, end))
+    for same in places.values():
+        same.sort()
     made = []
     for start, end in found:
         candidate = text[start:end]
         before, after = max(0, start - AROUND), end + AROUND
         # A secret that stands twice must not explain itself.
-        others = [p for p in places[candidate] if p[1] > before and p[0] < after]
+        same = places[candidate]
+        first = bisect_right(same, (before - len(candidate), len(text)))
+        others = same[first:bisect_left(same, (after, 0))]
         around = _without(text, before, after, others)
         if added_bytes(candidate, around) >= NOVELTY * len(candidate):
             made.append((start, "novel", end))

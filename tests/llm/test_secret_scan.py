@@ -1,6 +1,7 @@
 import hashlib
 import random
 import string
+import time
 
 import pytest
 
@@ -147,3 +148,32 @@ def test_query(spark, small):
         assert r["base_sha256"] == hashlib.sha256(want.encode()).hexdigest()
         assert r["n_assign"] + r["n_access"] + r["n_hex"] == len(base)
         assert r["n_novel"] == r["spans"].count("novel")
+
+
+def _searched_to_the_end(text):
+    """Candidates as a search from every sensitive word to the end of the text finds them."""
+    found = set()
+    for word in S._CONTEXT.finditer(text):
+        stop = text.find("\n", word.end())
+        stop = min(word.end() + S.REACH, stop if stop >= 0 else len(text))
+        at = word.end()
+        while (m := S._CANDIDATE.search(text, at)) and m.start() < stop:
+            found.add((m.start(), m.end()))
+            at = m.end()
+    return found
+
+
+def test_candidates_are_found_without_reading_on(monkeypatch):
+    rng = random.Random(6)
+    parts = ["token", "secret ", " a ", "\n", "=", "x" * 15, "y" * 16, "Zz9/" * 9, "pwd: ", "." * 20]
+    monkeypatch.setattr(S, "added_bytes", lambda candidate, around: len(candidate))
+    for _ in range(400):
+        text = "".join(rng.choices(parts, k=rng.randint(1, 25)))
+        got = {(start, end) for start, _, end in S.novel_spans(text)}
+        assert got == _searched_to_the_end(text)
+
+
+def test_many_sensitive_words_in_one_long_text():
+    start = time.perf_counter()
+    assert S.novel_spans("token a " * 130_000) == []
+    assert time.perf_counter() - start < 4
