@@ -450,6 +450,8 @@ def soft_labels(
     shares = summed.select("qid", F.col(label).alias("class_idx"), (F.col("w") / total).alias("p"))
     if classes is None:
         return shares
+    # Read twice below; the search behind it runs once.
+    shares = durable(shares)
     ident = options.get("qid", "vec_id")
     bare = query.select(F.col(ident).alias("qid")).join(shares.select("qid"), "qid", "left_anti")
     held = classes.agg(F.sort_array(F.collect_set(label)).alias("all")).scalar()
