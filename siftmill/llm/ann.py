@@ -3,9 +3,14 @@
 Centroids are fitted on a bounded sample by k-means that charges crowded lists. Every vector goes to
 the list of its nearest centroid, and boundary vectors to further lists too: those whose centroid is
 hardly farther, unless a list already chosen lies closer to that centroid than the vector does. A
-query finds its centroids by a best-first walk over an in-memory graph of centroids and searches the
-lists whose distance is within a ratio of the nearest one's. Lists and the queries that visit them
-meet block by block; distances are computed exactly on the original vectors.
+query finds its centroids by a best-first walk over an in-memory graph of centroids. Its reach is the
+distance within which lists hold enough vectors to answer it: that of the nearest list as a rule, more
+for a query whose own list is small. It searches the lists within a ratio of its reach, so it is
+answered in full wherever enough candidates exist. Lists and the queries that visit them meet block by
+block; vectors travel with their postings, and distances are computed exactly on the original ones.
+
+Each vector length has an index of its own; a length with no more vectors than a list should hold is
+one list, that is, searched exactly.
 
 Equal vectors are one entry with their lowest ids, so a vector that a third of the rows share is as
 cheap as any other; every query row gets its own answer from that of its vector.
@@ -22,9 +27,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from siftmill.llm.blocks import blocks_for, spread_over, unpacked
+from siftmill.llm.blocks import spread_over, unpacked
 from siftmill.llm.common import map_batches, table_of, usable_vectors
-from siftmill.session import durable
+from siftmill.session import durable, listed
 
 K = 10
 # The index is fitted on at most so many vectors; every vector is indexed.
@@ -43,7 +48,6 @@ DEGREE = 24
 BLOCK_ROWS = 4096
 QUERY_ROWS = 1024
 SEED = 42
-_PLACED = pa.schema([("list", pa.int32()), ("row", pa.int64())])
 _FOUND = pa.schema([
     ("asker", pa.int64()), ("row", pa.int64()), ("first_id", pa.int64()), ("score", pa.float64()),
 ])
@@ -96,6 +100,8 @@ class Index:
     centroids: np.ndarray
     graph: np.ndarray
     entries: np.ndarray
+    # Vectors whose nearest centroid it is, per list; not yet known: any list holds enough.
+    held: np.ndarray
     ratio: float = 1.0
 
     @classmethod
@@ -108,13 +114,19 @@ class Index:
         near = np.argsort(far, axis=1)[:, : min(degree, max(n - 1, 0))]
         ring = (np.arange(n)[:, None] + 1) % n
         entries = np.unique(np.linspace(0, n - 1, min(n, 8)).astype(int))
-        return cls(centroids, np.concatenate([near, ring], axis=1), entries)
+        return cls(centroids, np.concatenate([near, ring], axis=1), entries, np.full(n, np.inf))
 
-    def calibrate(self, x: np.ndarray, k: int, boundary: float, most: int, recall: float) -> None:
+    def calibrate(
+        self, x: np.ndarray, total: int, k: int, boundary: float, most: int, recall: float
+    ) -> None:
         """Set the ratio by the nearest neighbours of some sampled vectors among all of them.
 
         In a larger table neighbours are nearer than in its sample, so the ratio is on the safe side.
+        Lists are taken to hold what their sampled vectors are of the `total`.
         """
+        first = np.array([h[0] for h in self.homes(x, boundary, 1)])
+        self.held = np.bincount(first, minlength=len(self.centroids)) * (total / len(x))
+        every = np.arange(len(self.centroids))
         q = x[:_TRIED]
         squares = (x * x).sum(axis=1)
         needed = []
@@ -123,13 +135,22 @@ class Index:
             far[i] = np.inf
             near = np.argpartition(far, min(k, len(x) - 1))[: min(k, len(x) - 1)]
             gap = np.sqrt(((self.centroids - one) ** 2).sum(axis=1))
+            reach = self._reach(gap, every, k + 1)
             for homes in self.homes(x[near], boundary, most):
-                needed.append(gap[homes].min() / max(gap.min(), 1e-300))
-        self.ratio = float(np.quantile(needed, recall)) * (1 + 1e-9) if needed else 1.0
+                needed.append(gap[homes].min() / max(reach, 1e-300))
+        wide = float(np.quantile(needed, recall)) * (1 + 1e-9) if needed else 1.0
+        self.ratio = max(wide, 1.0)
+
+    def _reach(self, far: np.ndarray, lists: np.ndarray, need: int) -> float:
+        """The distance within which the nearest `lists` hold `need` vectors; infinite if none does."""
+        order = np.argsort(far, kind="stable")
+        enough = int(np.searchsorted(np.cumsum(self.held[lists][order]), need))
+        return float(far[order[enough]]) if enough < len(order) else np.inf
 
-    def visits(self, q: np.ndarray, ratio: float | None = None) -> np.ndarray:
+    def visits(self, q: np.ndarray, ratio: float | None = None, need: int = 1) -> np.ndarray:
         """Lists to search for `q`: a best-first walk that goes on while it meets centroids within
-        `ratio` of the nearest one's distance."""
+        `ratio` of its reach, the distance within which lists hold `need` vectors. All lists, if
+        they hold fewer."""
         ratio = self.ratio if ratio is None else ratio
 
         def measure(at):
@@ -141,27 +162,30 @@ class Index:
         start = measure(self.entries)
         queue = list(zip(start.tolist(), self.entries.tolist(), strict=True))
         heapq.heapify(queue)
-        nearest = float(start.min())
+        reach = self._reach(start, self.entries, need)
         found = {int(c): float(d) for c, d in zip(self.entries, start, strict=True)}
         while queue:
             distance, at = heapq.heappop(queue)
-            if distance > ratio * nearest and distance > self._patience(nearest, ratio):
+            if distance > max(ratio * reach, self._patience(reach, ratio)):
                 break
             fresh = self.graph[at]
             fresh = np.unique(fresh[~met[fresh]])
             if not len(fresh):
                 continue
             met[fresh] = True
-            for d, c in zip(measure(fresh).tolist(), fresh.tolist(), strict=True):
+            far = measure(fresh)
+            for d, c in zip(far.tolist(), fresh.tolist(), strict=True):
                 found[c] = d
-                nearest = min(nearest, d)
                 heapq.heappush(queue, (d, c))
-        return np.array(sorted(c for c, d in found.items() if d <= ratio * nearest), np.int64)
+            if far.min() < reach:
+                known = np.fromiter(found, np.int64, len(found))
+                reach = self._reach(np.fromiter(found.values(), float, len(found)), known, need)
+        return np.array(sorted(c for c, d in found.items() if d <= ratio * reach), np.int64)
 
     @staticmethod
-    def _patience(nearest: float, ratio: float) -> float:
+    def _patience(reach: float, ratio: float) -> float:
         """Nodes a little beyond the ratio are walked through as well: they may lead to nearer ones."""
-        return (1 + 1.5 * (ratio - 1)) * nearest
+        return (1 + 1.5 * (ratio - 1)) * reach
 
     def homes(self, x: np.ndarray, ratio: float = BOUNDARY, most: int = REPLICAS) -> list[np.ndarray]:
         """The lists of each vector: the nearest, and for boundary vectors up to `most` in all."""
@@ -206,16 +230,23 @@ def fit(
     entries: DataFrame, total: int, k: int = K, sample: int = SAMPLE, list_rows: int = LIST_ROWS,
     boundary: float = BOUNDARY, replicas: int = REPLICAS, recall: float = RECALL,
 ) -> Index:
-    """An index from the `sample` entries with the lowest seeded hash of their vector."""
-    drawn = entries.orderBy(F.xxhash64(F.lit(SEED + 1), "vec"), "key").limit(sample).select("vec")
-    rows = drawn.toArrow().column("vec").combine_chunks()
-    x = rows.flatten().to_numpy(zero_copy_only=False).reshape(len(rows), -1)
+    """An index from the `sample` of the `total` entries with the lowest seeded hash of their vector."""
+    # Hashed as doubles: floats and their doubles give one index.
+    wide = F.transform("vec", lambda v: v.cast("double"))
+    drawn = entries.orderBy(F.xxhash64(F.lit(SEED + 1), wide), "key").limit(sample).select("vec")
+    x = _matrix(drawn.toArrow().column("vec").combine_chunks())
     lists = max(1, min(total // list_rows, len(x) // SAMPLE_PER_LIST))
     index = Index.over(balanced_centroids(x, lists))
-    index.calibrate(x, k, boundary, replicas, recall)
+    index.calibrate(x, total, k, boundary, replicas, recall)
     return index
 
 
+def _matrix(vectors: pa.Array) -> np.ndarray:
+    """Vectors of one length as rows of doubles."""
+    flat = vectors.flatten().to_numpy(zero_copy_only=False)
+    return flat.reshape(len(vectors), -1).astype(np.float64)
+
+
 def _nearest(first: np.ndarray, x: np.ndarray, q: np.ndarray, k: int):
     """Per query the (places, distances) of its k nearest rows of a block, by exact distances, ties
     to the smaller first id."""
@@ -245,60 +276,80 @@ def neighbours(
     score is the Euclidean distance of the original vectors, ties go to smaller ids. Rows with the
     query's id are its own; of rows with one id and one vector one counts, and query rows with one
     id and one vector are one query. Vectors that are null, empty, zero or hold null or non-finite
-    components and rows without an id take no part; only vectors of the most frequent length do.
-    `is_query` may use the columns vec_id and vec.
+    components and rows without an id take no part; vectors meet those of the same length only. A
+    query gets fewer than k rows only if there are fewer candidates. `sample` is shared among the
+    lengths in proportion to their vectors, with `list_rows` vectors of each at least; more than
+    10,000 lengths with more than `list_rows` vectors each are an error. `is_query` may use the
+    columns vec_id and vec.
     """
-    every = usable_vectors(vectors, ident, vec)
     spark = vectors.sparkSession
-    widths = every.groupBy(F.size("vec").alias("w")).agg(F.count("*").alias("n"))
-    usual = widths.orderBy(F.col("n").desc(), "w").first()
-    width = usual["w"] if usual else 0
-    rows = every.where(F.size("vec") == width).withColumn("key", _content("vec"))
+    rows = usable_vectors(vectors, ident, vec)
+    if vectors.schema[vec].dataType.elementType.typeName() == "float":
+        # Half the bytes to move; tasks compute with doubles, which hold the same numbers.
+        rows = rows.withColumn("vec", F.transform("vec", lambda x: x.cast("float")))
+    rows = rows.withColumn("key", _content("vec"))
     # A query leaves out its own id, so one more is kept of a vector and of the vectors found.
     keep = k + 1
-    entries = durable(_entries(rows.dropDuplicates(["key", "vec_id"]), keep)).withColumn(
-        "row", F.monotonically_increasing_id()
+    entries = durable(_entries(rows.dropDuplicates(["key", "vec_id"]), keep)).select(
+        "*", F.size("vec").alias("width"), F.monotonically_increasing_id().alias("row")
     )
     asking = rows.where(F.coalesce(is_query, F.lit(False))).select("key", "vec_id").distinct()
-    total = entries.count()
-    if not total:
-        return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    index = fit(entries, total, k, sample, list_rows, boundary, replicas, recall)
-    shared = spark.sparkContext.broadcast(index)
-
-    def homes(batch: pa.RecordBatch) -> pa.RecordBatch:
-        number = batch.column("row").to_numpy(zero_copy_only=False)
-        x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(number), -1)
-        made = shared.value.homes(x, boundary, replicas)
-        sizes = [len(m) for m in made]
-        return table_of({"list": np.concatenate(made), "row": np.repeat(number, sizes)}, _PLACED)
-
-    def visits(batch: pa.RecordBatch) -> pa.RecordBatch:
-        number = batch.column("row").to_numpy(zero_copy_only=False)
-        x = batch.column("vec").flatten().to_numpy(zero_copy_only=False).reshape(len(number), -1)
-        made = [shared.value.visits(q) for q in x]
-        sizes = [len(m) for m in made]
-        return table_of({"list": np.concatenate(made), "row": np.repeat(number, sizes)}, _PLACED)
-
-    kind = "list int, row long"
-    askers = durable(entries.join(asking.select("key").distinct(), "key", "left_semi"))
-    postings = map_batches(entries.select("row", "vec"), homes, kind, rows=2000)
-    wanted = map_batches(askers.select("row", "vec"), visits, kind, rows=2000)
-
-    def blocks(placed: DataFrame, source: DataFrame, size: int, items: str, part: str) -> DataFrame:
-        """(list, part, items): the lists with vectors, a long one cut into parts of about `size`."""
-        placed = durable(placed)
-        long = placed.groupBy("list").agg(F.count("*").alias("n"))
-        parts = long.select("list", F.ceil(F.col("n") / size).cast("int").alias("parts"))
-        full = placed.join(F.broadcast(parts), "list").join(source.select("row", "first_id", "vec"), "row")
-        item = F.struct(F.col("row").alias("id"), "first_id", F.col("vec").alias("v"))
-        return full.groupBy("list", spread_over(F.col("row"), F.col("parts")).alias(part)).agg(
-            F.collect_list(item).alias(items)
+    widths = entries.groupBy("width").agg(F.count("*").alias("n"))
+    large = {r["width"]: r["n"] for r in listed(widths.where(F.col("n") > list_rows))}
+    every = sum(large.values())
+    made = {
+        width: fit(
+            entries.where(F.col("width") == width), n, k, max(list_rows, sample * n // every),
+            list_rows, boundary, replicas, recall,
         )
+        for width, n in large.items()
+    }
+
+    def with_lists(source: DataFrame, choose) -> DataFrame:
+        """The rows with `lists`, what `choose` (index, vectors) gives; one list without an index."""
+        indexes = spark.sparkContext.broadcast(made)
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch:
+            width = batch.column("width").to_numpy(zero_copy_only=False)
+            lists = [[0]] * len(width)
+            for w in np.unique(width).tolist():
+                if w in indexes.value:
+                    own = np.flatnonzero(width == w)
+                    x = _matrix(batch.column("vec").take(pa.array(own)))
+                    for at, some in zip(own.tolist(), choose(indexes.value[w], x), strict=True):
+                        lists[at] = some
+            return batch.append_column("lists", pa.array(lists, pa.list_(pa.int32())))
+
+        kind = source.select("width", "row", "first_id", "vec")
+        vectors = kind.schema["vec"].dataType.simpleString()
+        return durable(map_batches(
+            kind, run, f"width int, row long, first_id long, vec {vectors}, lists array<int>", rows=2000
+        ))
+
+    postings = with_lists(entries, lambda index, x: index.homes(x, boundary, replicas))
+    # A vector's first list is that of its nearest centroid; the indexes bound the rows collected.
+    main = postings.where(F.col("width").isin(list(made))).groupBy("width", F.col("lists")[0].alias("list"))
+    counts = main.agg(F.count("*").alias("n")).toArrow().to_pylist()
+    for index in made.values():
+        index.held = np.zeros(len(index.centroids))
+    for c in counts:
+        made[c["width"]].held[c["list"]] = c["n"]
+    askers = entries.join(asking.select("key").distinct(), "key", "left_semi")
+    wanted = with_lists(askers, lambda index, x: [index.visits(q, need=keep) for q in x])
+
+    def blocks(placed: DataFrame, size: int, items: str, part: str) -> DataFrame:
+        """(width, list, part, items): the lists with vectors, a long one in parts of about `size`."""
+        each = placed.select("width", "row", "first_id", "vec", F.explode("lists").alias("list"))
+        long = each.groupBy("width", "list").agg(F.count("*").alias("n")).where(F.col("n") > size)
+        # Only lists of an index can be long, so there are no more rows than centroids.
+        parts = long.select("width", "list", F.ceil(F.col("n") / size).cast("int").alias("parts"))
+        full = each.join(F.broadcast(parts), ["width", "list"], "left")
+        item = F.struct(F.col("row").alias("id"), "first_id", F.col("vec").alias("v"))
+        number = spread_over(F.col("row"), F.coalesce("parts", F.lit(1)))
+        return full.groupBy("width", "list", number.alias(part)).agg(F.collect_list(item).alias(items))
 
-    # As many rows as lists, which the sample bounds; so the broadcasts above are bounded too.
-    met = blocks(postings, entries, BLOCK_ROWS, "candidates", "part").join(
-        blocks(wanted, askers, QUERY_ROWS, "questions", "asked"), "list"
+    met = blocks(postings, BLOCK_ROWS, "candidates", "part").join(
+        blocks(wanted, QUERY_ROWS, "questions", "asked"), ["width", "list"]
     ).select("candidates", "questions")
 
     def search(batch: pa.RecordBatch) -> pa.RecordBatch:
@@ -307,6 +358,7 @@ def neighbours(
         for (ids, x), (own, q), first in zip(
             unpacked(batch, "candidates"), unpacked(batch, "questions"), firsts, strict=True
         ):
+            x, q = x.astype(np.float64), q.astype(np.float64)
             for i, (near, score) in enumerate(_nearest(first, x, q, keep)):
                 found["asker"] += [int(own[i])] * len(near)
                 found["row"] += ids[near].tolist()
@@ -329,7 +381,7 @@ def neighbours(
         F.sort_array(F.collect_list(F.struct("score", "vec_id"))).alias("found")
     )
     own = F.filter("found", lambda f: f["vec_id"] != F.col("query_id"))
-    named = answers.join(askers.select(F.col("row").alias("asker"), "key"), "asker")
+    named = answers.join(entries.select(F.col("row").alias("asker"), "key"), "asker")
     answered = asking.select("key", F.col("vec_id").alias("query_id")).join(named, "key")
     placed = answered.select("query_id", F.posexplode(F.slice(own, 1, k)).alias("at", "f"))
     return placed.select(

@@ -94,6 +94,42 @@ def test_many_lists_still_reach_the_recall(spark):
     assert hits >= 0.9 * sum(map(len, want.values()))
 
 
+def _whole(rows, every=100):
+    """Brute force among vectors of the query's own length."""
+    return {
+        q: found for width in {len(v) for _, v in rows}
+        for q, found in _brute([r for r in rows if len(r[1]) == width], 10, every).items()
+    }
+
+
+def test_far_queries_and_every_length_are_answered_in_full(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(3000, 16)))]
+    for i, far in enumerate((60.0, -80.0, 400.0, 1e5)):
+        rows[i * 100] = (i * 100, (rng.normal(size=16) + far).tolist())
+    rows += [(4000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(700, 5)))]
+    rows += [(5000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(15, 2)))]
+    rows += [(6000 + i, v.tolist()) for i, v in enumerate(rng.normal(size=(4, 3)))]
+    rows += [(7000, [1.0] * 7)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)
+    got = _found(ann.neighbours(df, F.col("vec_id") % 100 == 0, list_rows=60, sample=2000))
+    want = {q: found for q, found in _whole(rows).items() if found}
+    assert {q: len(v) for q, v in got.items()} == {q: len(v) for q, v in want.items()}
+    assert 7000 not in got and len(got[6000]) == 3
+    for q in (5000, 6000):
+        _same({q: got[q]}, {q: want[q]})
+    hits = sum(len({j for _, j in got[q]} & {j for _, j in want[q]}) for q in want)
+    assert hits >= 0.9 * sum(map(len, want.values()))
+    assert all(len({j for _, j in got[q]} & {j for _, j in want[q]}) >= 8 for q in (0, 100, 200, 300))
+
+
+def test_floats_give_the_scores_of_their_doubles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(i, v.tolist()) for i, v in enumerate(rng.normal(size=(250, 8)).astype(np.float32))]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    _same(_found(ann.neighbours(df, F.col("vec_id") % 50 == 0)), _brute(rows, 10, 50))
+
+
 @pytest.mark.parametrize("scale", ["sf0.01", "sf0.1"])
 def test_query_recall(spark, scale):
     folder = f"/root/testdata/{scale}"
