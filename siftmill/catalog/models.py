@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from siftmill import settings
 from siftmill.catalog import query
 from siftmill.catalog import views as V
+from siftmill.catalog.sampling import H
 from siftmill.operators import evaluation, probe, sampling, student
 from siftmill.plans import labels
 from siftmill.session import durable
@@ -76,19 +77,64 @@ def m01_multihot(spark, d):
     return made.select("vec_id", F.get(names, F.col("j")).alias("class"), "hot")
 
 
-@query("m02_probe_fit")
-def m02_probe_fit(spark, d):
+def train_side(share: float) -> str:
+    """SQL for the ids on the train side of a seeded split of the vectors."""
+    return f"""ranked AS (SELECT vec_id, label, row_number() OVER (ORDER BY {H.format('vec_id')}, vec_id) AS r,
+      count(*) OVER () AS n FROM embeddings),
+    train AS (SELECT vec_id, label FROM ranked WHERE r > ceil(n * {share}))"""
+
+
+def fitted_probe(spark, d):
     stored = tagged(spark, d).select(
         "vec_id", F.to_json("embedding").alias("embedding"), F.to_json("emotions").alias("emotions")
     )
     rows = durable(labels.training_labels(stored, "emotions", "embedding"))
-    made, split = probe.fit_probe(rows, "vec_id", "embedding", "emotions")
+    return probe.fit_probe(rows, "vec_id", "embedding", "emotions")
+
+
+@query("m02_probe_fit")
+def m02_probe_fit(spark, d):
+    made, split = fitted_probe(spark, d)
     guess = probe.predicted(F.col("scores"), made.classes)
     test = split.where("side = 'test'").withColumn("scores", made.scores(F.col("embedding")))
     checked = test.withColumn("guess", guess)
     return probe.label_report(checked, "emotions", "guess", made.classes)
 
 
+@query(
+    "m02_probe_certificate",
+    f"""WITH classes AS (SELECT unnest([{quoted(CLASSES)}]) AS class,
+      unnest(range(0, {len(CLASSES)})) AS j),
+    {train_side(0.2)}
+    SELECT class AS label, count(*) AS rows,
+      count(*) FILTER (WHERE j = label OR j = label % 3) AS positives,
+      1 AS calibrated, 1 AS settled
+    FROM train, classes WHERE j IN (SELECT label FROM embeddings UNION SELECT label % 3 FROM embeddings)
+    GROUP BY class""",
+)
+def m02_probe_certificate(spark, d):
+    """What the optimum of each label's regression must show on the rows it was fitted on.
+
+    The bias carries no penalty, so the mean score is the share of positives.
+    """
+    made, split = fitted_probe(spark, d)
+    train = split.where("side = 'train'").select(
+        made.scores(F.col("embedding")).alias("s"),
+        probe.multi_hot(F.col("emotions"), made.classes).alias("h"),
+    )
+    each = train.select(F.posexplode(F.arrays_zip("s", "h")).alias("j", "z"))
+    sums = each.groupBy("j").agg(
+        F.count("*").alias("rows"), F.sum("z.h").alias("positives"), F.avg("z.s").alias("expected")
+    )
+    names = F.array(*[F.lit(c) for c in made.classes])
+    share = F.col("positives") / F.col("rows")
+    return sums.select(
+        F.get(names, F.col("j")).alias("label"), "rows", "positives",
+        (F.abs(F.col("expected") - share) < 1e-4).cast("int").alias("calibrated"),
+        F.lit(int(made.gradient < 1e-4)).alias("settled"),
+    )
+
+
 @query("m03_probe_score", f"WITH {SCORED} SELECT vec_id, CAST(j AS INTEGER) AS j, round(p, 6) AS p FROM scored")
 def m03_probe_score(spark, d):
     made = scored(spark, d).select("vec_id", F.posexplode("scores").alias("j", "p"))
@@ -151,16 +197,42 @@ def m06_label_report(spark, d):
     )
 
 
-@query("m07_student")
-def m07_student(spark, d):
+def fitted_student(spark, d):
     rows = V.dists(spark, d).select("vec_id", "label", "teacher").join(
         V.table(spark, d, "embeddings").select("vec_id", "embedding"), "vec_id"
     ).withColumn("dataset", F.when(F.col("label") < 5, "low").otherwise("high"))
     split = sampling.random_split(rows, "vec_id", 0.1)
-    model = student.fit_student(split.where("side = 'train'"), "embedding", "teacher")
+    return student.fit_student(split.where("side = 'train'"), "embedding", "teacher"), split
+
+
+@query("m07_student")
+def m07_student(spark, d):
+    model, split = fitted_student(spark, d)
     test = student.apply_student(model, split.where("side = 'test'"), "embedding")
     made = evaluation.per_dataset(test, "dataset", "student", "teacher")
     extra = evaluation.divergence(test, "teacher", "student").select(
         F.lit("kl").alias("metric"), F.col("kl").alias("value")
     )
     return made.unionByName(extra)
+
+
+@query(
+    "m07_student_certificate",
+    f"""WITH {V.DISTS_LONG}, {train_side(0.1)}
+    SELECT CAST(class_idx AS INTEGER) AS class_idx, count(*) AS rows, round(sum(p), 4) AS mass,
+      1 AS calibrated, 1 AS settled
+    FROM long_dists JOIN train USING (vec_id) GROUP BY class_idx""",
+)
+def m07_student_certificate(spark, d):
+    """What the optimum must show: the student gives each class its teacher's mass on train rows."""
+    model, split = fitted_student(spark, d)
+    train = student.apply_student(model, split.where("side = 'train'"), "embedding")
+    each = train.select(F.posexplode(F.arrays_zip("teacher", "student")).alias("class_idx", "z"))
+    sums = each.groupBy("class_idx").agg(
+        F.count("*").alias("rows"), F.sum("z.teacher").alias("sum"), F.sum("z.student").alias("given")
+    )
+    return sums.select(
+        "class_idx", "rows", F.round("sum", 4).alias("mass"),
+        (F.abs(F.col("given") - F.col("sum")) < F.col("rows") * 1e-4).cast("int").alias("calibrated"),
+        F.lit(int(model.gradient < 1e-4)).alias("settled"),
+    )

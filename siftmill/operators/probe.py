@@ -3,17 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark import StorageLevel, inheritable_thread_target
-from pyspark.ml.classification import LogisticRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siftmill import settings
-from siftmill.operators.reduction import as_features
+from siftmill.operators import linear
 from siftmill.operators.sampling import random_split
 from siftmill.operators.scoring import sigmoid_scores
 from siftmill.session import listed
@@ -30,6 +27,8 @@ class Probe:
     classes: list[str]
     weights: np.ndarray
     bias: np.ndarray
+    # The largest entry of the mean gradient the fit ended with.
+    gradient: float = 0.0
 
     def scores(self, vec: Column) -> Column:
         """Probability per label as an array."""
@@ -38,41 +37,21 @@ class Probe:
 
 def fit_probe(
     df: DataFrame, key: str, vec: str, labels: str,
-    test_share: float = 0.2, seed: int = settings.SEED, iterations: int = 1000, threads: int = 8,
+    test_share: float = 0.2, seed: int = settings.SEED, iterations: int = 1000,
 ) -> tuple[Probe, DataFrame]:
     """A probe fitted on the train side and the split rows with their `side`.
 
     The penalty is that of a regression on standardised vectors with one unit of inverse
-    strength. The estimator standardises by itself and gives weights for the vectors as they
-    are; with the intercept free of penalty, centring changes nothing. The labels share one
-    persisted table and are fitted as concurrent jobs.
+    strength. All labels are fitted together, in one pass of the table per step. Rows without a
+    vector take no part in the fit; a list without a wanted label, or none, is a row of zeros.
     """
-    found = df.select(F.explode(labels).alias("c")).distinct()
+    found = df.select(F.explode(labels).alias("c")).distinct().where(F.col("c").isNotNull())
     classes = sorted(r["c"] for r in listed(found))
     split = random_split(df, key, test_share, seed)
-    rows = split.where("side = 'train'").select(
-        as_features(F.col(vec)).alias("features"), multi_hot(F.col(labels), classes).alias("hot")
-    ).persist(StorageLevel.MEMORY_AND_DISK)
-    n = rows.count()
-    # The estimator divides by the sample deviation, the penalty is meant for the population's.
-    penalty = (n - 1) / n**2
-
-    def fit(place: int):
-        one = rows.select("features", F.col("hot")[place].cast("double").alias("label"))
-        model = LogisticRegression(
-            regParam=penalty, elasticNetParam=0.0, standardization=True, maxIter=iterations,
-            tol=1e-6,
-        ).fit(one)
-        return model.coefficients.toArray(), model.intercept
-
-    try:
-        with ThreadPoolExecutor(threads) as pool:
-            run = inheritable_thread_target(df.sparkSession)(fit)
-            fitted = list(pool.map(run, range(len(classes))))
-    finally:
-        rows.unpersist()
-    weights = np.vstack([w for w, _ in fitted])
-    return Probe(classes, weights, np.array([b for _, b in fitted])), split
+    hot = multi_hot(F.coalesce(F.col(labels), F.array().cast("array<string>")), classes)
+    rows = split.where("side = 'train'").select(F.col(vec).alias("x"), hot.alias("hot"))
+    made = linear.fit(rows, "x", "hot", len(classes), linear.logistic, iterations=iterations)
+    return Probe(classes, made.weights, made.bias, made.gradient), split
 
 
 def late_fusion(scores: Column, classes: Sequence[str], group: Sequence[str]) -> Column:

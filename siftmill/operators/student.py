@@ -2,37 +2,30 @@
 
 from __future__ import annotations
 
-from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from siftmill.operators.reduction import as_features
+from siftmill.functions import dists
+from siftmill.operators import linear
+from siftmill.operators.scoring import linear_scores
 
 
 def fit_student(
     df: DataFrame, vec: str, dist: str, regularisation: float = 1e-3, iterations: int = 50
-) -> LogisticRegressionModel:
-    """Multinomial regression against soft labels.
+) -> linear.Fitted:
+    """Multinomial regression against soft labels: the least mean cross-entropy with `dist`.
 
-    Cross-entropy with a distribution is the weighted sum over its classes, so each row
-    counts once per class with the probability as its weight. The estimator keeps its own
-    blocks of the rows, so they are not persisted a second time here.
+    Rows without a vector or a distribution, such as those that could not be scored, take no part;
+    the first distribution found gives the number of classes.
     """
-    rows = (
-        df.select(as_features(F.col(vec)).alias("features"), F.posexplode(dist).alias("c", "p"))
-        .where(F.col("p") > 0)
-        .select("features", F.col("c").cast("double").alias("label"), "p")
-    )
-    return LogisticRegression(
-        family="multinomial", weightCol="p", regParam=regularisation, maxIter=iterations
-    ).fit(rows)
-
-
-def apply_student(
-    model: LogisticRegressionModel, df: DataFrame, vec: str, out: str = "student"
-) -> DataFrame:
-    made = model.transform(df.withColumn("features", as_features(F.col(vec))))
-    return made.withColumn(out, vector_to_array("probability")).drop(
-        "features", "rawPrediction", "probability", "prediction"
-    )
+    known = df.where((F.size(dist) > 0) & F.col(vec).isNotNull())
+    some = known.select(F.size(dist).alias("classes")).first()
+    if some is None:
+        raise ValueError("no row with a vector and a distribution")
+    return linear.fit(known, vec, dist, some["classes"], linear.multinomial, regularisation, iterations)
+
+
+def apply_student(model: linear.Fitted, df: DataFrame, vec: str, out: str = "student") -> DataFrame:
+    """Add the distribution the student gives."""
+    scored = df.withColumn("_logits", linear_scores(F.col(vec), model.weights, model.bias))
+    return scored.withColumn(out, dists.softmax(F.col("_logits"), 1.0)).drop("_logits")

@@ -4,13 +4,14 @@ import os
 import uuid
 
 import numpy as np
+import pytest
 from pyspark.ml.evaluation import MulticlassClassificationEvaluator
 from pyspark.sql import functions as F
 
 from siftmill.catalog import models
 from siftmill.catalog import views as V
 from siftmill.functions import dists
-from siftmill.operators import evaluation, probe, reduction, scoring, student
+from siftmill.operators import evaluation, linear, probe, reduction, scoring, student
 
 
 def test_pca(spark, small):
@@ -78,6 +79,42 @@ def test_student_learns(spark, small):
     assert learned < flat / 2
 
 
+def test_student_solves_the_penalised_problem(spark, small):
+    """The gradient vanishes at the solution, on copied, empty and constant input too."""
+    rows = V.dists(spark, small).select("vec_id", "teacher").join(
+        spark.read.parquet(f"{small}/embeddings.parquet").select("vec_id", "embedding"), "vec_id"
+    ).withColumn("embedding", F.concat(F.transform("embedding", lambda v: v * 50 + 1000), F.array(F.lit(3.0))))
+    unscored = rows.limit(3).withColumn("teacher", F.array().cast("array<double>"))
+    model = student.fit_student(rows.unionByName(unscored).repartition(7), "embedding", "teacher", iterations=200)
+    held = rows.toPandas()
+    x, y = np.stack(held["embedding"]).astype(float), np.stack(held["teacher"])
+    scale = x.std(axis=0)
+    z = (x - x.mean(axis=0))[:, :-1] / scale[:-1]
+    logits = x @ model.weights.T + model.bias
+    p = np.exp(logits - logits.max(axis=1, keepdims=True))
+    slope = p / p.sum(axis=1, keepdims=True) - y
+    gradient = slope.T @ z / len(x) + 1e-3 * model.weights[:, :-1] * scale[:-1]
+    assert np.abs(gradient).max() < 1e-5 and np.abs(slope.mean(axis=0)).max() < 1e-5
+    assert (model.weights[:, -1] == 0).all() and model.rows == len(x) and model.gradient < 1e-5
+
+
+def test_wide_vectors_are_scaled_by_variances(spark, small, monkeypatch):
+    rows = models.tagged(spark, small)
+    narrow, _ = probe.fit_probe(rows, "vec_id", "embedding", "emotions")
+    monkeypatch.setattr(linear, "COVARIANCE_WIDTH", 8)
+    wide, _ = probe.fit_probe(rows, "vec_id", "embedding", "emotions")
+    assert np.allclose(narrow.weights, wide.weights, atol=1e-3)
+    assert narrow.gradient < 1e-5 and wide.gradient < 1e-5
+
+
+def test_fit_refuses_ragged_vectors_and_empty_tables(spark):
+    df = spark.createDataFrame([([1.0, 2.0], [1.0]), ([1.0], [0.0])], "x array<double>, y array<double>")
+    with pytest.raises(Exception, match="different lengths"):
+        linear.fit(df, "x", "y", 1, linear.logistic)
+    with pytest.raises(ValueError, match="no row"):
+        linear.fit(df.where("false"), "x", "y", 1, linear.logistic)
+
+
 def test_weighted_scores_match_spark_ml(spark, small):
     rows = V.dists(spark, small)
     ours = evaluation.metrics(rows, "student", "teacher").first()
