@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from siftmill import settings
 from siftmill.catalog import query
 from siftmill.catalog import views as V
 from siftmill.catalog.models import SCORED, fixed_probe
@@ -16,13 +17,13 @@ from siftmill.operators.sets import union_all
 from siftmill.plans import compile as compiling
 from siftmill.plans import corpora, labels, populate
 from siftmill.session import scratch, spread
-from siftmill.sources import csv_tree
+from siftmill.sources import csv_tree, sinks
 
 OPTIONS = compiling.CompileOptions(
     neighbours=K, label_neighbours=K, risk_density=RISK_CUT, safe_density=SAFE_CUT,
     temperature=HEAT,
 )
-COMPILED = f"""{V.VECTORS}, {SPLIT}, {INDEX},
+COMPILED_STEPS = f"""{SPLIT}, {INDEX},
 risk0 AS (SELECT * FROM split WHERE side = 'train' AND binary_label = 1),
 risk1 AS (SELECT * FROM risk0 WHERE NOT (pos_score > 0.7 AND neg_score < 0.3)
   OR (SELECT count(*) FROM risk0 WHERE NOT (pos_score > 0.7 AND neg_score < 0.3)) = 0),
@@ -50,6 +51,14 @@ teach AS (SELECT * FROM final WHERE side = 'train'),
 {ranked_sql('tn', 'final', 'teach')},
 wts AS (SELECT qid, label, sum(exp(sim / {HEAT})) AS w FROM tn GROUP BY qid, label),
 shares AS (SELECT qid, label AS class_idx, w / sum(w) OVER (PARTITION BY qid) AS p FROM wts)"""
+COMPILED = f"{V.VECTORS}, {COMPILED_STEPS}"
+# A snapshot has no whole-number key: its rows are numbered by post_id. Every fifth row has predicted
+# labels in place of scores.
+SNAPSHOT = f"""plain AS (WITH {V.VECTORS} SELECT * FROM vectors), vectors AS (SELECT * REPLACE (
+  row_number() OVER (ORDER BY 'v' || vec_id) - 1 AS vec_id,
+  CASE WHEN vec_id % 5 = 0 THEN CAST(pos_score > 0.5 AS INTEGER) ELSE pos_score END AS pos_score,
+  CASE WHEN vec_id % 5 = 0 THEN CAST(neg_score > 0.5 AS INTEGER) ELSE neg_score END AS neg_score),
+  'text ' || vec_id AS text FROM plain)"""
 
 
 @query(
@@ -86,6 +95,49 @@ def z01_compile_funnel(spark, d):
     return compiling.compile_sets(V.vectors(spark, d), options=OPTIONS).funnel
 
 
+@query(
+    "z01_compile_written",
+    f"""WITH {SNAPSHOT}, {COMPILED_STEPS},
+    risky AS (SELECT DISTINCT subreddit FROM vectors WHERE binary_label = 1)
+    SELECT s.side, s.text, s.binary_label AS label, s.subreddit, i.class_idx,
+      i.subreddit AS class_name, CAST(i.subreddit IN (SELECT subreddit FROM risky) AS INTEGER) AS risk,
+      round(coalesce(p, 0), 6) AS p
+    FROM final f JOIN split s ON f.ident = s.vec_id CROSS JOIN idx i
+    LEFT JOIN shares h ON h.qid = f.vec_id AND h.class_idx = i.class_idx""",
+)
+def z01_compile_written(spark, d):
+    """A snapshot is written, compiled and written again; the rows come from the written files."""
+    rows = V.vectors(spark, d)
+    ident = F.col("vec_id").cast("string")
+    labelled = F.col("vec_id") % 5 == 0
+    predicted = F.array_compact(F.array(*[
+        F.when(F.col(f"{short}_score") > settings.EMOTION_FLAG, F.lit(name))
+        for short, name in (("pos", "positive"), ("neg", "negative"))
+    ]))
+    scores = F.struct(F.col("neg_score").alias("negative"), F.col("pos_score").alias("positive"))
+    posts = rows.select(
+        F.concat(F.lit("v"), ident).alias("post_id"), F.concat(F.lit("text "), ident).alias("input"),
+        "embedding", "subreddit", "author", "binary_label",
+        F.when(~labelled, scores).alias("emotion_scores"),
+        F.when(labelled, predicted).alias("predicted_emotions"),
+    )
+    path = scratch(spark, "snapshot")
+    sinks.write_snapshot(
+        {"mental_health_posts": posts.where("binary_label = 1"),
+         "safe_posts": posts.where("binary_label = 0")}, path,
+    )
+    made = compiling.compile_snapshot(path, scratch(spark, "sets"), spark, options=OPTIONS)
+    risky = made.risk_classes.select("class_idx", F.lit(1).alias("risk"))
+    names = made.classes.withColumnRenamed("subreddit", "class_name").join(risky, "class_idx", "left")
+    cells = made.rows.select(
+        "side", "text", "label", "subreddit", F.posexplode("soft_label").alias("class_idx", "p")
+    )
+    return cells.join(names, "class_idx").select(
+        "side", "text", "label", "subreddit", "class_idx", "class_name",
+        F.coalesce("risk", F.lit(0)).alias("risk"), V.six(F.col("p")).alias("p"),
+    )
+
+
 @query(
     "z02_risk_posts",
     f"""WITH {V.POSTS}, ok AS (SELECT *, row_number() OVER (PARTITION BY author
