@@ -8,7 +8,7 @@ from siftmill.catalog import query
 from siftmill.catalog import views as V
 from siftmill.catalog.sampling import CAPPED, feed
 from siftmill.catalog.scores import load_scorer, silver_sql
-from siftmill.operators import scoring
+from siftmill.operators import scoring, windows
 from siftmill.session import scratch, spread
 from siftmill.streaming import caps, files, usage
 
@@ -70,6 +70,38 @@ def x04_budget(spark, d):
     )
 
 
+# What follows a gap of more than a minute opens a window whatever came before; from there on each
+# opening leads to the first request more than a minute later.
+OPENED = """RECURSIVE e AS (SELECT epoch_us(ts) AS us, count(*) AS n, sum(value) AS v FROM events GROUP BY 1),
+nxt AS (SELECT *, us - lag(us) OVER (ORDER BY us) AS gap, min(us) OVER (ORDER BY us
+  RANGE BETWEEN 60000001 FOLLOWING AND UNBOUNDED FOLLOWING) AS later FROM e),
+starts AS (SELECT us FROM nxt WHERE gap IS NULL OR gap > 60000000),
+opens AS (SELECT us FROM starts UNION ALL SELECT later FROM opens JOIN nxt ON opens.us = nxt.us
+  WHERE later NOT IN (SELECT us FROM starts)),
+told AS (SELECT e.*, max(o.us) OVER (ORDER BY e.us) AS start FROM e LEFT JOIN opens o ON e.us = o.us),
+w AS (SELECT start, CAST(sum(n) AS BIGINT) AS requests, sum(v) AS tokens FROM told GROUP BY start)"""
+
+
+@query("x03_opened_windows", f"WITH {OPENED} SELECT start, requests, round(tokens, 6) AS tokens FROM w")
+def x03_opened_windows(spark, d):
+    made = windows.opened_windows(V.usage(spark, d))
+    return made.select(
+        F.unix_micros("start").alias("start"), "requests", V.six(F.col("tokens")).alias("tokens")
+    )
+
+
+@query(
+    "x04_opened_budget",
+    f"""WITH {OPENED} SELECT start, requests, round(tokens, 6) AS tokens FROM w
+    WHERE requests > 2 OR tokens > 60""",
+)
+def x04_opened_budget(spark, d):
+    made = usage.over_budget(windows.opened_windows(V.usage(spark, d)), 2, 60)
+    return made.select(
+        F.unix_micros("start").alias("start"), "requests", V.six(F.col("tokens")).alias("tokens")
+    )
+
+
 @query("x05_stream_cap", f"WITH {CAPPED} SELECT event_id, author FROM capped")
 def x05_stream_cap(spark, d):
     source, out = scratch(spark, "feed"), scratch(spark, "capped")
