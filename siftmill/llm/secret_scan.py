@@ -1,16 +1,20 @@
 """Secrets in whole texts: fixed patterns, and strings that nothing around them explains.
 
 Three base kinds (assign, access, hex) are plain patterns. The method adds the kind `novel`: every
-long token that follows a sensitive word is a candidate; it is compressed with zstandard after a
-raw dictionary made of common identifiers and of the text around it, and the bytes it adds are
-compared with its length. Words, identifiers and paths of the surroundings are in the dictionary and
-add little; a key or a password adds nearly its own length and is reported. Where the same string is a
-candidate more than once, its other places are taken out of the text around it.
+long token that follows a sensitive word, and the body of every private key block, is a candidate; it
+is compressed with zstandard after a raw dictionary made of common identifiers and of the text around
+it, and the bytes it adds are compared with its length. Words, identifiers and paths of the
+surroundings are in the dictionary and add little; a key or a password adds nearly its own length and
+is reported. Long strings over few letters (digits, hex, base32) cost less than their length however
+random they are: they are compared with what their own letters cost in random order and without any
+dictionary. Where the same string is a candidate more than once, its other places are taken out of
+the text around it.
 """
 
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from bisect import bisect_left, bisect_right
 
@@ -41,10 +45,23 @@ REACH = 64
 SHORTEST = 16
 # Added bytes per character from which a candidate counts as unexplained.
 NOVELTY = 0.7
+# Share of the bytes its shuffled letters cost alone from which a long candidate counts as random, and
+# the added bytes below which nothing does: a run of one letter costs as much shuffled.
+RANDOMNESS = 0.9
+FEWEST_BYTES = 16
 # Characters of the text on either side that serve as its dictionary.
 AROUND = 4096
 _CONTEXT = re.compile("|".join(map(re.escape, SENSITIVE)), re.ASCII | re.IGNORECASE)
 _CANDIDATE = re.compile(r"[A-Za-z0-9][A-Za-z0-9+/_=.~-]{%d,}" % (SHORTEST - 1))
+# A private key block: its head, header lines and the lines of its body, whose ends may be written as
+# escapes. No part gives back what it took, so a text is read once.
+_BREAK = r"(?:\s|\\[nr])"
+_BLOCK = re.compile(
+    r"-----BEGIN (?:[A-Z0-9]{1,16} ){0,4}PRIVATE KEY(?: BLOCK)?-----" + _BREAK + r"*+"
+    r"(?:[A-Za-z][A-Za-z-]{0,30}: [^\n]{0,200}\n" + _BREAK + r"*+){0,8}+"
+    r"([A-Za-z0-9+/=]{16,}+(?:" + _BREAK + r"++[A-Za-z0-9+/=]{16,}+)*+"
+    r"(?:" + _BREAK + r"++[A-Za-z0-9+/=]{1,15}+(?=" + _BREAK + r"*+-----END))?)"
+)
 _GATE = ("passw", "secret", "token", "key", "passphrase", "pwd", "credential", "bearer", "auth",
          "client_id", "signature", "webhook")
 IDENTIFIERS = (
@@ -94,8 +111,25 @@ def added_bytes(candidate: str, around: str) -> int:
     return len(press.compress(candidate.encode())) - len(press.compress(b""))
 
 
+def shuffled_bytes(candidate: str) -> int:
+    """Bytes of the candidate's letters in a fixed random order, without a dictionary."""
+    letters = list(candidate)
+    random.Random(len(letters)).shuffle(letters)
+    press = zstandard.ZstdCompressor(level=19, write_checksum=False, write_content_size=False)
+    return len(press.compress("".join(letters).encode())) - len(press.compress(b""))
+
+
+def is_novel(candidate: str, around: str) -> bool:
+    """Whether neither the identifiers nor the text around explain the candidate."""
+    added = added_bytes(candidate, around)
+    if added >= NOVELTY * len(candidate):
+        return True
+    return added >= FEWEST_BYTES and added >= RANDOMNESS * shuffled_bytes(candidate)
+
+
 def novel_spans(text: str, low: str | None = None) -> list[Span]:
-    """Candidates after a sensitive word that their surroundings do not explain."""
+    """Candidates that their surroundings do not explain: long tokens after a sensitive word on its
+    line, and bodies of private key blocks."""
     low = text.lower() if low is None else low
     if not any(w in low for w in _GATE):
         return []
@@ -109,6 +143,8 @@ def novel_spans(text: str, low: str | None = None) -> list[Span]:
         while at < stop and (m := _CANDIDATE.search(text, at, last)):
             at = _CANDIDATE.match(text, m.start()).end()
             found[m.start(), at] = None
+    if "PRIVATE KEY" in text:
+        found.update(dict.fromkeys(m.span(1) for m in _BLOCK.finditer(text)))
     places: dict[str, list[tuple[int, int]]] = {}
     for start, end in found:
         places.setdefault(text[start:end], []).append((start, end))
@@ -123,7 +159,7 @@ def novel_spans(text: str, low: str | None = None) -> list[Span]:
         first = bisect_right(same, (before - len(candidate), len(text)))
         others = same[first:bisect_left(same, (after, 0))]
         around = _without(text, before, after, others)
-        if added_bytes(candidate, around) >= NOVELTY * len(candidate):
+        if is_novel(candidate, around):
             made.append((start, "novel", end))
     return made
 

@@ -177,3 +177,84 @@ def test_many_sensitive_words_in_one_long_text():
     start = time.perf_counter()
     assert S.novel_spans("token a " * 130_000) == []
     assert time.perf_counter() - start < 4
+
+
+ALPHABETS = ("0123456789", "0123456789ABCDEF", "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", ALNUM + "+/")
+
+
+@pytest.mark.parametrize("letters", ALPHABETS)
+@pytest.mark.parametrize("length", [24, 64, 128, 256, 512, 2000])
+def test_random_strings_over_any_alphabet(letters, length):
+    rng = random.Random(length)
+    for _ in range(5):
+        key = "1" + "".join(rng.choices(letters, k=length - 1))
+        text = f"the client sends the credential {key} with each call\n"
+        at = text.index(key)
+        assert S.novel_spans(text) == [(at, "novel", at + length)], key
+
+
+def test_long_strings_that_are_explained():
+    words = "access_token/refresh_token/client_secret/private_key/configuration/settings/environment/"
+    for known in ("a" * 300, "ab" * 200, "0123456789" * 30, words * 4, "x" + "-" * 80, "/usr/local/bin" * 20):
+        assert S.novel_spans(f"the token {known} is no secret") == [], known
+    rng = random.Random(3)
+    seen = "".join(rng.choices("0123456789", k=300))
+    assert S.novel_spans(f"row {seen} ends\nthe token {seen} was seen above") == []
+
+
+def _pem(rng, lines, rest=10, kind="RSA "):
+    body = [""] * lines
+    for i in range(lines):
+        body[i] = "".join(rng.choices(ALNUM + "+/", k=64))
+    return kind, body + ["".join(rng.choices(ALNUM, k=rest))] * (rest > 0)
+
+
+@pytest.mark.parametrize("end", ["\n", "\\n", "\r\n", "\n    "])
+def test_private_key_blocks(end):
+    rng = random.Random(2)
+    for kind, body in (_pem(rng, 25), _pem(rng, 1, 0, ""), _pem(rng, 13, 15, "OPENSSH "), _pem(rng, 3, 4, "EC ")):
+        head, tail = f"-----BEGIN {kind}PRIVATE KEY-----{end}", f"{end}-----END {kind}PRIVATE KEY-----"
+        text = f"first{end}{head}{end.join(body)}{tail} last"
+        start = len(f"first{end}{head}")
+        assert (start, "novel", start + len(end.join(body))) in S.novel_spans(text)
+        assert body[0] not in S.masked(text) and body[-1] not in S.masked(text)
+        twice = text + "\n" + text
+        assert body[0] not in S.masked(twice)
+
+
+def test_blocks_that_hold_no_key():
+    mark = "-----BEGIN PRIVATE KEY-----"
+    for text in (f"{mark} is how such a file begins", f"{mark}\n{'A' * 64}\n{'A' * 64}\n-----END PRIVATE KEY-----",
+                 f"{mark}\n-----END PRIVATE KEY-----", mark * 50, "-----BEGIN PUBLIC KEY-----\nabc"):
+        assert S.novel_spans(text) == [], text
+    start = time.perf_counter()
+    S.novel_spans((mark + "\n") * 20_000 + "A: b\n" * 100_000 + "-----BEGIN " * 50_000)
+    assert time.perf_counter() - start < 5
+
+
+def _novel_by_hand(text):
+    """Every candidate of the text against everything around it, one at a time."""
+    spans = _searched_to_the_end(text) if any(w in text.lower() for w in S._GATE) else set()
+    spans |= {m.span(1) for m in S._BLOCK.finditer(text)}
+    made = []
+    for a, b in spans:
+        left, right = max(0, a - S.AROUND), b + S.AROUND
+        around, i = [], left
+        others = sorted(x for x in spans if text[x[0]:x[1]] == text[a:b] and x[1] > left and x[0] < right)
+        for x, y in others:
+            around.append(text[i:max(x, i)])
+            i = y
+        known = " ".join([*around, text[i:max(right, i)]])
+        added, alone = S.added_bytes(text[a:b], known), S.shuffled_bytes(text[a:b])
+        if added >= 0.7 * (b - a) or (added >= S.FEWEST_BYTES and added >= 0.9 * alone):
+            made.append((a, "novel", b))
+    return sorted(made)
+
+
+def test_novel_spans_by_hand():
+    rng = random.Random(11)
+    keys = ["".join(rng.choices(a, k=n)) for a in ALPHABETS for n in (20, 90, 300)]
+    parts = [*keys, "token ", "secret=", "bearer ", "\n", " x ", "configuration_settings_value ", "plain words here "]
+    for _ in range(150):
+        text = "".join(rng.choices(parts, k=rng.randint(2, 20)))
+        assert sorted(S.novel_spans(text)) == _novel_by_hand(text)
