@@ -3,8 +3,9 @@
 Characters are read one by one. For every position the search keeps the last piece of the best
 segmentation up to there; pieces have a bounded length, so only a window of that length can be
 reached again. Whenever the backpointers of all positions in the window run into one boundary, the
-ids before it are settled, leave the window and are never looked at again. Memory is bounded by the
-window, not by the text.
+ids before it are settled, leave the window and are never looked at again; a character of no piece is
+such a boundary. Memory is bounded by the window, not by the text. Texts are cut into units that no
+piece crosses; new units of a batch are read as one stream, and a worker remembers their ids.
 
 Two kinds of models score a step. A unigram model adds the piece's score. A merge (BPE) model has no
 scores to add: there a segmentation is the encoding exactly if each two neighbouring pieces are, so
@@ -15,6 +16,7 @@ each prefix survives.
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 from functools import cache
@@ -28,11 +30,10 @@ from pyspark.sql import DataFrame
 from siftmill.llm.common import map_batches, table_of, whole_texts
 
 SPACE = "▁"
-# Units whose ids, and pairs of pieces whose test, a worker remembers; the ids do not depend on it.
+# Units whose ids, and pairs of pieces whose test, a worker remembers once the search has found them,
+# and the longest such unit; the ids do not depend on either.
 REMEMBERED = 700_000
 _LONGEST_KEPT = 64
-# The last piece of a beginning that no segmentation covers.
-_DEAD = -2
 _MINUS, _NEVER = float("-inf"), float("inf")
 _SCHEMA = pa.schema([
     ("doc_id", pa.int64()), ("n_pieces", pa.int64()), ("n_byte_pieces", pa.int64()),
@@ -43,32 +44,43 @@ Step = Callable[[int, int], float]
 
 def viterbi(
     text: str, pieces: dict[str, int], longest: int, step: Step | None = None,
-    fits: dict[int, bool] | None = None, width: int = 0,
+    fits: dict[int, bool] | None = None, width: int = 0, used: set[str] | None = None,
 ) -> Iterator[tuple[int, int, int]]:
     """(id, start, end) of the best segmentation, each as soon as it is settled.
 
     Either `step(before, piece)` is the score of `piece` after the id `before` (-1 at the start), or
     `fits[before * width + piece]` says whether it may follow, and at most one way into each
-    position may be allowed. A single character that is no piece is passed over as id -1.
+    position may be allowed. A single character that is no piece is passed over as id -1. `used`
+    are the `letters_of(pieces)`.
     """
     base = 0
     score, back, last = [0.0], [0], [-1]
+    used = letters_of(pieces) if used is None else used
     get = pieces.get
-    size = len(text)
+    size, wide = len(text), 3 * longest
     for end in range(1, size + 1):
+        if text[end - 1] not in used:
+            # A character of no piece: every path leads through it, so all before it is settled.
+            if end - 1 > base:
+                yield from _path(base, end - 1, back, last)
+            yield -1, end - 1, end
+            base, score, back, last = end, [0.0], [0], [-1]
+            continue
         best, origin, chosen = _MINUS, end - 1, -1
         low = end - longest
         for start in range(low if low > base else base, end):
             piece = get(text[start:end])
-            if piece is None or score[start - base] == _MINUS:
+            if piece is None:
+                continue
+            so_far, before = score[start - base], last[start - base]
+            if so_far == _MINUS:
                 continue
             if fits is not None:
-                before = last[start - base]
                 if before < 0 or fits[before * width + piece]:
                     best, origin, chosen = 0.0, start, piece
                     break
                 continue
-            value = score[start - base] + step(last[start - base], piece)
+            value = so_far + step(before, piece)
             if value > best:
                 best, origin, chosen = value, start, piece
         if best == _MINUS and text[end - 1] not in pieces:
@@ -76,14 +88,8 @@ def viterbi(
         score.append(best)
         back.append(origin)
         last.append(chosen)
-        if end - base >= 3 * longest:
-            # Where do all paths from positions that can still be reached meet?
-            alive = {p for p in range(end - longest + 1, end + 1) if score[p - base] > _MINUS}
-            while len(alive) > 1:
-                far = max(alive)
-                alive.discard(far)
-                alive.add(back[far - base])
-            met = alive.pop()
+        if end - base >= wide:
+            met = _meeting(base, end, end - longest + 1, score, back)
             if met > base:
                 yield from _path(base, met, back, last)
                 cut = met - base
@@ -95,6 +101,20 @@ def viterbi(
         yield from _path(base, size, back, last)
 
 
+def _meeting(base: int, end: int, low: int, score: list[float], back: list[int]) -> int:
+    """The last boundary on all paths to the positions low..end, which can still be reached."""
+    alive = {p for p in range(low, end + 1) if score[p - base] > _MINUS}
+    while len(alive) > 1:
+        far = max(alive)
+        alive.discard(far)
+        alive.add(back[far - base])
+    return alive.pop()
+
+
+def letters_of(pieces: Iterable[str]) -> set[str]:
+    return set().union(*pieces)
+
+
 def _path(base: int, end: int, back: list[int], last: list[int]) -> list[tuple[int, int, int]]:
     made = []
     while end > base:
@@ -177,9 +197,9 @@ class Codec:
             # A piece that its own characters do not merge into never comes out.
             self.pieces = {t: i for t, i in self.every.items() if self._merged(t) == [t]}
         self.longest = max(map(len, self.pieces), default=1)
-        # Every end of a piece, with the piece's id where it is one itself.
-        self.tails: dict[str, int] = {t[i:]: -1 for t in self.pieces for i in range(1, len(t))}
-        self.tails.update(self.pieces)
+        self.used = letters_of(self.pieces)
+        # Stands between units: a character of no piece, so that no path leads across.
+        self.between = next(c for c in map(chr, range(len(self.used) + 1)) if c not in self.used)
         self.unit = unit_pattern(t.replace(SPACE, " ") for t in self.every)
         self.is_byte = np.zeros(size, bool)
         self.is_byte[list(self.byte_ids.values())] = True
@@ -212,58 +232,36 @@ class Codec:
                 ids += [self.byte_ids[b] for b in text[start:end].encode()]
             else:
                 ids.append(self.unknown_id)
-        return np.array(ids, "<u4").tobytes()
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def steps(self, text: str) -> Iterator[tuple[int, int, int]]:
+        """(id, start, end) along a text whose blanks are marked, settled ones first."""
+        if self.kind == "bpe":
+            return viterbi(
+                text, self.pieces, self.longest, fits=self.fits, width=len(self.texts), used=self.used
+            )
+        return viterbi(
+            text, self.pieces, self.longest, lambda _, piece: self.scores[piece], used=self.used
+        )
 
     def _unit_ids(self, unit: str) -> bytes:
         text = unit.replace(" ", SPACE)
-        if self.kind == "bpe":
-            found = viterbi(text, self.pieces, self.longest, fits=self.fits, width=len(self.texts))
-        else:
-            found = viterbi(text, self.pieces, self.longest, lambda _, piece: self.scores[piece])
-        return self._ids(found, text)
-
-    def _learn(self, units: list[str]) -> None:
-        """Remember the ids of short units.
-
-        In sorted order a unit goes on where the one before parts from it: the search of a common
-        beginning is the same, so it is done once.
-        """
-        if self.kind != "bpe":
-            self.known.update((u, self._unit_ids(u)) for u in units)
-            return
-        tails, fits, width, longest = self.tails.get, self.fits, len(self.texts), self.longest
-        before = ""
-        back, last = [0], [-1]
-        for unit, text in sorted((u, u.replace(" ", SPACE)) for u in units):
-            shared = 0
-            for x, y in zip(before, text):
-                if x != y:
-                    break
-                shared += 1
-            del back[shared + 1:], last[shared + 1:]
-            for end in range(shared + 1, len(text) + 1):
-                ways = []
-                for start in range(end - 1, max(end - longest, 0) - 1, -1):
-                    piece = tails(text[start:end])
-                    if piece is None:
-                        break
-                    if piece >= 0:
-                        ways.append((start, piece))
-                origin, chosen = end - 1, -1
-                if not ways and text[end - 1] in self.pieces:
-                    chosen = _DEAD
-                for start, piece in reversed(ways):
-                    left = last[start]
-                    if left == -1 or left >= 0 and fits[left * width + piece]:
-                        origin, chosen = start, piece
-                        break
-                else:
-                    if ways:
-                        chosen = _DEAD
-                back.append(origin)
-                last.append(chosen)
-            before = text
-            self.known[unit] = self._ids(_path(0, len(text), back, last), text)
+        return self._ids(self.steps(text), text)
+
+    def _units(self, units: list[str]) -> dict[str, bytes]:
+        """The ids of units, read as one stream."""
+        texts = [u.replace(" ", SPACE) for u in units]
+        stream = "".join([t + self.between for t in texts])
+        made, found, at = {}, [], 0
+        stop = len(texts[0]) if texts else 0
+        for step in self.steps(stream):
+            if step[1] < stop:
+                found.append(step)
+                continue
+            made[units[at]] = self._ids(found, stream)
+            found, at = [], at + 1
+            stop = step[2] + len(texts[at]) if at < len(texts) else 0
+        return made
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
         """Little-endian unsigned 32-bit ids of whole texts, without begin or end."""
@@ -279,11 +277,11 @@ class Codec:
                 late.append((i, units, found))
             else:
                 result[i] = b"".join(found)
-        self._learn([u for u in missing if len(u) <= _LONGEST_KEPT])
+        fresh = self._units(list(missing))
+        self.known.update((u, ids) for u, ids in fresh.items() if len(u) <= _LONGEST_KEPT)
         for i, units, found in late:
             result[i] = b"".join([
-                ids if ids is not None else get(u) if len(u) <= _LONGEST_KEPT else self._unit_ids(u)
-                for u, ids in zip(units, found, strict=True)
+                ids if ids is not None else fresh[u] for u, ids in zip(units, found, strict=True)
             ])
         return result
 

@@ -121,3 +121,34 @@ def test_query(spark, small, library):
         ids = library.encode(rows[r["doc_id"]])
         assert r["n_pieces"] == len(ids) and r["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes())
         assert r["round_trip"] and r["decoded_crc32"] == zlib.crc32(rows[r["doc_id"]].encode())
+
+
+def test_commits_on_documents(small, codec):
+    """Ids of the tables' own units are settled while the stream is read, never further back than
+    the longest unit and the window."""
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table(f"{small}/documents.parquet").column("text").to_pylist() if t][:60]
+    units = list(dict.fromkeys(u for t in texts for u in codec.unit.findall(" " + t)))
+    stream = "".join(u.replace(" ", S.SPACE) + codec.between for u in units)
+    read, commits, settled = [0], 0, 0
+
+    class Watched(str):
+        def __getitem__(self, at):
+            read[0] = max(read[0], at.stop if isinstance(at, slice) else at + 1)
+            return str.__getitem__(self, at)
+
+    before = -1
+    for _, start, end in codec.steps(Watched(stream)):
+        assert start == settled and read[0] - end <= 4 * codec.longest + max(map(len, units))
+        commits += read[0] != before
+        before, settled = read[0], end
+    assert settled == len(stream) and commits >= len(units) > 1000
+    assert codec._units(units) == {u: codec._unit_ids(u) for u in units}
+
+
+def test_units_that_hold_the_mark_between_units(library):
+    made = S.Codec(PATH)
+    texts = [f"a{made.between}b {made.between}", made.between * 3, "x" * 200 + made.between + "y" * 200]
+    parts = [made.unit.findall(" " + t) for t in texts]
+    assert [b"".join(made._units(p)[u] for u in p) for p in parts] == [made.encode(t) for t in texts]
