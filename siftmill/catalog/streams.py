@@ -10,12 +10,15 @@ from siftmill.catalog.sampling import CAPPED, feed
 from siftmill.catalog.scores import load_scorer, silver_sql
 from siftmill.operators import scoring, windows
 from siftmill.session import scratch, spread
+from siftmill.sources.sinks import is_folder
 from siftmill.streaming import caps, files, usage
 
 
 def arriving_table(spark, d, name, **options):
-    """The stored file of a table as a stream."""
-    schema = V.table(spark, d, name).schema
+    """The stored file of a table, or the files of its folder, as a stream."""
+    schema, path = V.table(spark, d, name).schema, f"{d}/{name}.parquet"
+    if is_folder(spark, path):
+        return files.arriving(spark, path, schema, **options)
     return files.arriving(spark, d, schema, pattern=f"{name}.parquet", **options)
 
 

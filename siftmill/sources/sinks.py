@@ -35,6 +35,12 @@ def exists(spark: SparkSession, path: str) -> bool:
     return done.getFileSystem(spark._jsc.hadoopConfiguration()).exists(done)
 
 
+def is_folder(spark: SparkSession, path: str) -> bool:
+    """Whether a table is stored as a folder of files."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(place).isDirectory()
+
+
 def append_valid(df: DataFrame, path: str, vector: str = "embedding") -> None:
     """Append the rows that have a vector."""
     df.where(F.col(vector).isNotNull()).write.mode("append").parquet(path)

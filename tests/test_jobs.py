@@ -5,7 +5,7 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from siftmill.catalog import jobs
+from siftmill.catalog import jobs, streams
 from siftmill.catalog import views as V
 from siftmill.operators import sampling, turns
 from siftmill.operators.filters import chunk_rows
@@ -172,6 +172,16 @@ def test_stream_goes_on_where_it_stopped(spark, small):
     assert run() == want
 
 
+def test_streams_read_tables_stored_as_folders(spark, small, tmp_path):
+    """A table of several files lies in a folder that has the name of the single file."""
+    for name in ("documents", "embeddings"):
+        stored = spark.read.parquet(f"{small}/{name}.parquet")
+        stored.repartition(3).write.parquet(f"{tmp_path}/{name}.parquet")
+    for made in (streams.x01_stream_chunks, streams.x02_foreach_batch, streams.x06_stream_score):
+        got, want = (Counter(made(spark, d).collect()) for d in (str(tmp_path), small))
+        assert got == want and want
+
+
 def test_stream_cap_equals_batch_cap(spark):
     rows = [(i, f"u{i % 9}" if i % 3 else "unknown") for i in range(300)]
     df = spark.createDataFrame(rows, "doc_id int, author string")
