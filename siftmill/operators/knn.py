@@ -1,10 +1,10 @@
 """k nearest neighbours by inner product of unit vectors, as a partitioned join.
 
 Rows with the same vector are collapsed first, so a group of copies costs one comparison. The
-reference side is laid out in cells around pivots; a large cell is cut into sub-blocks and a
-heavily visited cell into query salts, so that no task holds more than `block_rows` rows of
-either side. Exact search visits further cells until their bound proves that they cannot hold
-a better neighbour; `nprobe` stops after that many cells.
+reference side is laid out in cells around pivots. A task holds at most `block_rows` queries and
+reads the references of the cells they visit as a stream, so neither what it holds nor what it
+returns grows with the references. Exact search learns from the nearest cells what k neighbours
+reach and visits all cells whose bound reaches that too; `nprobe` stops after that many cells.
 """
 
 from __future__ import annotations
@@ -21,13 +21,17 @@ from pyspark.sql import types as T
 
 from siftmill import settings
 from siftmill.operators.ranking import positions, take_seeded
-from siftmill.session import durable
+from siftmill.session import durable, small_or_same
 
 # Cells made without being asked for; a request is never lowered.
 USUAL_CELLS = 4096
 BLOCK_ROWS = 8192
 # Above the rounding error of an angle near zero, about 1e-8.
 _SLACK = 1e-6
+# Below every similarity.
+_LEAST = -2.0
+# Tasks of one comparison at most; further parts share them.
+_WIDTH = 10_000
 
 
 def _content_key(vec: str):
@@ -72,6 +76,8 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
 
 
 _SLICE = 1024
+# Queries compared at once with a batch of references.
+_ROWS = 256
 
 
 def _slices(batches):
@@ -94,112 +100,223 @@ def _top(scores: np.ndarray, k: int) -> np.ndarray:
     return cols
 
 
-def _block_topk(k: int):
-    """Compare a block of queries with a block of references; keep the best k per query."""
+class _Part:
+    """The queries of one part and the best `k` references met so far, lowest id first.
 
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        schema = pa.schema(
-            [
-                pa.field("qkey", left.schema.field("key").type),
-                right.schema.field("rid"),
-                pa.field("sim", pa.float64()),
-                right.schema.field("items"),
-            ]
-        )
-        if left.num_rows == 0 or right.num_rows == 0:
-            return schema.empty_table()
-        right = right.sort_by("rid")
-        ref = _matrix(right.column("vec"))
-        queries = _matrix(left.column("qvec"))
-        rows, cols, sims = [], [], []
-        for start in range(0, len(queries), _SLICE):
-            scores = queries[start : start + _SLICE] @ ref.T
-            best = _top(scores, k)
-            sims.append(np.take_along_axis(scores, best, axis=1).ravel())
-            cols.append(best.ravel())
-            rows.append(np.repeat(np.arange(start, start + len(scores)), best.shape[1]))
-        taken = right.select(["rid", "items"]).take(pa.array(np.concatenate(cols)))
-        return pa.table(
-            [
-                left.column("key").take(pa.array(np.concatenate(rows))),
-                taken.column("rid"),
-                pa.array(np.concatenate(sims), pa.float64()),
-                taken.column("items"),
-            ],
-            schema=schema,
-        )
-
-    return run
+    Of the references only the items of those that some query holds are kept.
+    """
 
+    held_bytes = 64 << 20
+
+    def __init__(self, number: int, k: int):
+        self.number, self.k = number, k
+        self.asked: list[pa.RecordBatch] = []
+        self.queries = None
+
+    def ask(self, rows: pa.RecordBatch) -> None:
+        self.asked.append(rows.select(["key", "vec", "tau"]))
+
+    def _begin(self) -> None:
+        rows = pa.Table.from_batches(self.asked)
+        self.asked = []
+        self.keys = rows.column("key").combine_chunks()
+        self.queries = _matrix(rows.column("vec"))
+        self.odd = np.isnan(self.queries).any()
+        tau = rows.column("tau").to_numpy()
+        self.floor = np.where(tau > _LEAST, tau - _SLACK, -np.inf)
+        self.sims = np.full((len(rows), self.k), -np.inf)
+        self.held = np.full((len(rows), self.k), -1)
+        self.items, self.stored, self.limit = [], 0, self.held_bytes
+
+    def meet(self, rows: pa.RecordBatch) -> None:
+        """Compare the queries with references that follow those before in id order."""
+        if self.queries is None:
+            if not self.asked:
+                return
+            self._begin()
+        ref = _matrix(pa.chunked_array([rows.column("vec")]))
+        self.items.append(rows.column("items"))
+        odd = self.odd or np.isnan(ref).any()
+        for start in range(0, len(self.queries), _ROWS):
+            part = slice(start, start + _ROWS)
+            scores = self.queries[part] @ ref.T
+            if odd:
+                scores = np.nan_to_num(scores, nan=_LEAST)
+            self._take(part, scores)
+        self.stored += len(rows)
+        if sum(a.nbytes for a in self.items) > self.limit:
+            self._forget()
+
+    def _take(self, part: slice, scores: np.ndarray) -> None:
+        """Let scores above the lowest one held take its place; of equal ones the earlier stays."""
+        sims, held = self.sims[part], self.held[part]
+        better = scores > np.maximum(sims.min(axis=1), self.floor[part])[:, None]
+        row, col = np.divmod(np.flatnonzero(better), better.shape[1])
+        if not len(row):
+            return
+        hit, row, found = np.unique(row, return_inverse=True, return_counts=True)
+        place = np.arange(len(row)) - np.repeat(np.cumsum(found) - found, found)
+        new_sims = np.full((len(hit), found.max()), -np.inf)
+        new_held = np.full(new_sims.shape, -1)
+        new_sims[row, place] = scores[hit[row], col]
+        new_held[row, place] = self.stored + col
+        both = np.hstack([sims[hit], new_sims])
+        best = np.sort(_top(both, self.k), axis=1)
+        sims[hit] = np.take_along_axis(both, best, axis=1)
+        held[hit] = np.take_along_axis(np.hstack([held[hit], new_held]), best, axis=1)
+
+    def _needed(self) -> np.ndarray:
+        """Which held references have less than k rows strictly before them, counting copies."""
+        sizes = np.concatenate([a.value_lengths().to_numpy() for a in self.items] + [[0]])
+        order = np.argsort(-self.sims, axis=1, kind="stable")
+        sims = np.take_along_axis(self.sims, order, axis=1)
+        rows = sizes[np.take_along_axis(self.held, order, axis=1)]  # -1 reads the last, 0
+        before = np.cumsum(rows, axis=1) - rows
+        first = np.tile(np.arange(self.k), (len(sims), 1))
+        first[:, 1:][sims[:, 1:] == sims[:, :-1]] = 0
+        before = np.take_along_axis(before, np.maximum.accumulate(first, axis=1), axis=1)
+        needed = np.zeros(sims.shape, bool)
+        np.put_along_axis(needed, order, before < self.k, axis=1)
+        return needed & (self.held >= 0)
+
+    def _forget(self) -> None:
+        self.held[~self._needed()] = -1
+        used = np.unique(self.held[self.held >= 0])
+        self.items = [pa.concat_arrays(self.items).take(pa.array(used))]
+        self.held = np.where(self.held < 0, -1, np.searchsorted(used, self.held))
+        self.stored = len(used)
+        self.limit = max(self.held_bytes, 2 * self.items[0].nbytes)
+
+    def lists(self):
+        """(qkey, near) per query that holds a reference; `away` is the negative similarity."""
+        if self.queries is None:
+            return
+        self.queries = None
+        needed = self._needed()
+        items = pa.concat_arrays(self.items)
+        for start in range(0, len(needed), _SLICE):
+            part = slice(start, start + _SLICE)
+            row, col = np.nonzero(needed[part])
+            if not len(row):
+                continue
+            sims = self.sims[part][row, col]
+            sims[sims == _LEAST] = np.nan
+            asked, ends = np.unique(row, return_index=True)
+            near = pa.StructArray.from_arrays(
+                [pa.array(-sims), items.take(pa.array(self.held[part][row, col]))], ["away", "items"]
+            )
+            ends = pa.array(np.append(ends, len(row)).astype(np.int32))
+            yield pa.RecordBatch.from_arrays(
+                [self.keys.take(pa.array(start + asked)), pa.ListArray.from_arrays(ends, near)],
+                ["qkey", "near"],
+            )
 
-def _with_plan(df: DataFrame, plan: pa.Table) -> DataFrame:
-    """Add `blocks` and `salts` of the row's cell; one row per cell."""
-    if plan.num_rows == 1:
-        one = plan.to_pylist()[0]
-        return df.where(F.col("cell") == one["cell"]).withColumns(
-            {c: F.lit(one[c]) for c in ("blocks", "salts")}
-        )
-    return df.join(F.broadcast(df.sparkSession.createDataFrame(plan)), "cell")
 
+def _best_of_parts(k: int):
+    """Per part its queries, then its references as a stream; one list of the best k per query."""
 
-def _compare(queries: DataFrame, refs: DataFrame, plan: pa.Table, k: int) -> DataFrame:
-    """Best k per query of queries (key, vec, cell) against refs (rid, vec, items, cell).
+    def run(batches):
+        now = None
+        for batch in batches:
+            kind = batch.column("part").to_numpy() * 2 + batch.column("side").to_numpy()
+            cuts = np.nonzero(np.diff(kind))[0] + 1
+            for start, end in zip([0, *cuts], [*cuts, len(kind)]):
+                if start == end:
+                    continue
+                number, side = divmod(int(kind[start]), 2)
+                if now is None or now.number != number:
+                    if now is not None:
+                        yield from now.lists()
+                    now = _Part(number, k)
+                rows = batch.slice(start, end - start)
+                now.meet(rows) if side else now.ask(rows)
+        if now is not None:
+            yield from now.lists()
 
-    `plan` gives per cell the number of reference sub-blocks and of query salts.
-    """
+    return run
 
-    def slot(column: str, parts: str):
-        return F.pmod(F.xxhash64(column), F.col(parts)).cast("int")
 
-    def every(parts: str):
-        return F.explode(F.sequence(F.lit(0), F.col(parts) - 1))
+def _compare(left: DataFrame, right: DataFrame, parts: int, slices: int, k: int) -> DataFrame:
+    """(qkey, near): the best k per query of queries (part, key, vec, tau) against the references
+    (part, rid, vec, items) of the same part.
 
-    left = _with_plan(queries, plan).select(
-        "cell", "key", F.col("vec").alias("qvec"), slot("key", "salts").alias("salt"),
-        every("blocks").alias("block"),
-    )
-    right = _with_plan(refs, plan).select(
-        "cell", "rid", "vec", "items", slot("rid", "blocks").alias("block"),
-        every("salts").alias("salt"),
-    )
-    made = T.StructType(
+    A part is one task, which holds its queries and reads its references one batch after the
+    other, so what it holds and what it returns does not grow with the references. `slices` cuts
+    the references of every part where there are fewer parts than tasks; a query then has a list
+    a slice.
+    """
+    if slices > 1:
+        left = left.withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+        right = right.withColumn("slice", F.pmod(F.xxhash64("rid"), F.lit(slices)).cast("int"))
+        left, right = (
+            df.withColumn("part", F.col("part") * slices + F.col("slice")) for df in (left, right)
+        )
+    near = T.StructType(
         [
-            T.StructField("qkey", T.StringType()),
-            T.StructField("rid", refs.schema["rid"].dataType),
-            T.StructField("sim", T.DoubleType()),
-            T.StructField("items", refs.schema["items"].dataType),
+            T.StructField("away", T.DoubleType()),
+            T.StructField("items", right.schema["items"].dataType),
         ]
     )
-    keys = ["cell", "block", "salt"]
-    found = (
-        left.groupBy(*keys)
-        .cogroup(right.groupBy(*keys))
-        .applyInArrow(_block_topk(k), made)
+    made = T.StructType(
+        [T.StructField("qkey", T.StringType()), T.StructField("near", T.ArrayType(near))]
     )
-    return _best(found, k)
+    asked = left.select("part", F.lit(0).alias("side"), "key", "vec", "tau")
+    met = right.select("part", F.lit(1).alias("side"), "vec", "rid", "items")
+    width = max(1, min(_WIDTH, parts * slices))
+    both = asked.unionByName(met, allowMissingColumns=True)
+    laid = both.repartitionById(width, F.pmod("part", F.lit(width)).cast("int"))
+    ordered = laid.sortWithinPartitions("part", "side", "rid").drop("rid")
+    return ordered.mapInArrow(_best_of_parts(k), made)
 
 
-def _best(found: DataFrame, k: int) -> DataFrame:
-    rank = F.row_number().over(W.partitionBy("qkey").orderBy(F.desc("sim"), "rid"))
-    return found.withColumn("r", rank).where(F.col("r") <= k).drop("r")
+def _merged(found: DataFrame, k: int) -> DataFrame:
+    """One list per query, nearest first, of at most k distinct vectors."""
+    lists = found.groupBy("qkey").agg(F.flatten(F.collect_list("near")).alias("near"))
+    return lists.select("qkey", F.slice(F.sort_array("near"), 1, k).alias("near"))
 
 
-def _plan(loads: dict[int, int], sizes: dict[int, int], block_rows: int, tasks: int):
-    """Sub-blocks and salts per cell from its row counts.
+def _with_plan(df: DataFrame, plan: pa.Table) -> DataFrame:
+    """Add `first` and `salts` of the row's cell; one row per cell."""
+    if plan.num_rows == 1:
+        one = plan.to_pylist()[0]
+        return df.where(F.col("cell") == one["cell"]).withColumns(
+            {c: F.lit(one[c]) for c in ("first", "salts")}
+        )
+    return df.join(F.broadcast(df.sparkSession.createDataFrame(plan)), "cell")
+
+
+def _in_part(df: DataFrame, plan: pa.Table) -> DataFrame:
+    """Queries with the part that their cell and key name."""
+    salt = F.pmod(F.xxhash64("key"), F.col("salts")).cast("int")
+    return _with_plan(df, plan).withColumn("part", F.col("first") + salt)
+
+
+def _in_every_part(df: DataFrame, plan: pa.Table) -> DataFrame:
+    """References once for every part of their cell."""
+    parts = F.sequence("first", F.col("first") + F.col("salts") - 1)
+    return _with_plan(df, plan).select("rid", "vec", "items", F.explode(parts).alias("part"))
+
 
-    Fewer query rows than a block make more tasks, but each of them needs its own copy of the
-    reference block, so there is a floor.
+def _plan(loads: dict[int, int], n_ref: int, block_rows: int, tasks: int):
+    """First part and number of parts per cell from its queries; parts and slices in all.
+
+    Fewer query rows than a block make more tasks, but each of them reads its own copy of the
+    references, so there is a floor.
     """
     share = math.ceil(sum(loads.values()) / tasks)
     query_rows = max(1, min(block_rows, max(share, block_rows // 16)))
-    cells = sorted(set(loads) & set(sizes))
-    return pa.table(
+    cells = sorted(loads)
+    salts = np.array([max(1, math.ceil(loads[c] / query_rows)) for c in cells], np.int32)
+    parts = int(salts.sum())
+    slices = min(math.ceil(tasks / max(1, parts)), math.ceil(n_ref / block_rows))
+    plan = pa.table(
         {
             "cell": pa.array(cells, pa.int32()),
-            "blocks": pa.array([max(1, math.ceil(sizes[c] / block_rows)) for c in cells], pa.int32()),
-            "salts": pa.array([max(1, math.ceil(loads[c] / query_rows)) for c in cells], pa.int32()),
+            "first": pa.array((np.cumsum(salts) - salts).astype(np.int32)),
+            "salts": pa.array(salts),
         }
     )
+    return plan, parts, max(1, slices)
 
 
 def _counts(df: DataFrame) -> dict[int, int]:
@@ -208,8 +325,8 @@ def _counts(df: DataFrame) -> dict[int, int]:
     return {r["cell"]: r["n"] for r in rows}
 
 
-def _assign(refs: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """Nearest pivot and the angle to it for every reference vector."""
+def _assign(rows: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Nearest pivot and the angle to it for every vector."""
 
     def run(batches):
         for table in _slices(batches):
@@ -221,59 +338,52 @@ def _assign(refs: DataFrame, pivots: np.ndarray) -> DataFrame:
                 "angle", pa.array(angle)
             ).to_batches()
 
-    fields = [f for f in refs.schema.fields]
+    fields = [f for f in rows.schema.fields]
     schema = T.StructType(
         [*fields, T.StructField("cell", T.IntegerType()), T.StructField("angle", T.DoubleType())]
     )
-    return refs.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def _visit(queries, pivots, sizes, radius, k, nprobe, tau: bool):
-    """Cells to visit, an array per query row.
+def _visit(queries, pivots, sizes, radius, k, nprobe, carry: Sequence[str]):
+    """`carry` and the cells to visit, an array per query row.
 
-    First pass: nearest cells until they hold k vectors, or `nprobe` cells. Second pass
-    (`tau`): all other cells whose best possible similarity reaches the k-th one found.
+    Without `tau`: nearest cells until they hold k vectors, or `nprobe` cells. With it: all cells
+    whose best possible similarity reaches `tau`.
     """
+    bounded = "tau" in queries.columns
 
     def run(batches):
         for table in _slices(batches):
             scores = _matrix(table.column("vec")) @ pivots.T
-            order = np.argsort(-scores, axis=1, kind="stable")
-            held = np.cumsum(sizes[order], axis=1)
-            if nprobe:
-                first = np.arange(scores.shape[1])[None, :] < nprobe
-                first = np.broadcast_to(first, scores.shape)
-            else:
-                first = (held - sizes[order]) < k
-            near = np.zeros(scores.shape, bool)
-            np.put_along_axis(near, order, first, axis=1)
-            near &= sizes[None, :] > 0
-            if tau:
+            if bounded:
                 angle = np.arccos(np.clip(scores, -1.0, 1.0))
                 bound = np.cos(np.maximum(0.0, angle - radius[None, :]))
-                floor = table.column("tau").to_numpy()[:, None]
-                near = ~near & (bound >= floor - _SLACK) & (sizes[None, :] > 0)
+                floor = table.column("tau").to_numpy()[:, None] - _SLACK
+                # No bound holds for a vector with a component that is no number.
+                near = (bound >= floor) | np.isnan(bound)
+            else:
+                order = np.argsort(-scores, axis=1, kind="stable")
+                if nprobe:
+                    first = np.arange(scores.shape[1])[None, :] < nprobe
+                    first = np.broadcast_to(first, scores.shape)
+                else:
+                    first = (np.cumsum(sizes[order], axis=1) - sizes[order]) < k
+                near = np.zeros(scores.shape, bool)
+                np.put_along_axis(near, order, first, axis=1)
+            near &= sizes[None, :] > 0
             ends = np.concatenate([[0], np.cumsum(near.sum(axis=1))]).astype(np.int32)
             cells = pa.ListArray.from_arrays(
                 pa.array(ends), pa.array(np.nonzero(near)[1].astype(np.int32))
             )
-            yield from table.select(["key", "vec"]).append_column("cells", cells).to_batches()
+            yield from table.select(list(carry)).append_column("cells", cells).to_batches()
 
-    vec_type = queries.schema["vec"].dataType
     schema = T.StructType(
-        [
-            T.StructField("key", T.StringType()),
-            T.StructField("vec", vec_type),
-            T.StructField("cells", T.ArrayType(T.IntegerType())),
-        ]
+        [*[queries.schema[c] for c in carry], T.StructField("cells", T.ArrayType(T.IntegerType()))]
     )
     return queries.mapInArrow(run, schema)
 
 
-def _by_cell(visits: DataFrame) -> DataFrame:
-    return visits.select("key", "vec", F.explode("cells").alias("cell"))
-
-
 def _spread_pivots(refs: DataFrame, cells: int) -> np.ndarray:
     """`cells` distinct vectors in hash order; they reach the driver, as pivots do."""
     table = refs.orderBy("key").limit(cells).select("vec").toArrow()
@@ -307,7 +417,8 @@ def trained_pivots(
 
 
 def _search(queries, refs, k, cells, nprobe, pivots, block_rows) -> DataFrame:
-    """Best k distinct reference vectors per distinct query vector: (qkey, rid, sim, items)."""
+    """(qkey, near): lists of the best k distinct reference vectors per distinct query vector, or
+    fewer where their copies make k rows. A query may have more than one list."""
     spark = refs.sparkSession
     tasks = spark.sparkContext.defaultParallelism
     n_ref = refs.count()
@@ -316,11 +427,13 @@ def _search(queries, refs, k, cells, nprobe, pivots, block_rows) -> DataFrame:
         if wanted > 1 and n_ref > wanted:
             pivots = _spread_pivots(refs, wanted)
     vectors = queries.select("key", "vec")
+    unbounded = F.lit(_LEAST).alias("tau")
     if pivots is None or n_ref == 0:
-        plan = _plan({0: queries.count()}, {0: n_ref}, block_rows, tasks)
+        plan, parts, slices = _plan({0: queries.count()}, n_ref, block_rows, tasks)
         zero = F.lit(0).cast("int").alias("cell")
         return _compare(
-            vectors.select("key", "vec", zero), refs.select("rid", "vec", "items", zero), plan, k
+            _in_part(vectors.select("*", unbounded, zero), plan),
+            _in_every_part(refs.select("*", zero), plan), parts, slices, k,
         )
     placed = durable(_assign(refs.select("rid", "vec", "items"), pivots))
     stats = placed.groupBy("cell").agg(F.count("*").alias("n"), F.max("angle").alias("a")).collect()
@@ -328,25 +441,36 @@ def _search(queries, refs, k, cells, nprobe, pivots, block_rows) -> DataFrame:
     radius = np.zeros(len(pivots))
     for row in stats:
         sizes[row["cell"]], radius[row["cell"]] = row["n"], row["a"]
-    by_cell = {int(r["cell"]): int(r["n"]) for r in stats}
-    near = _by_cell(_visit(vectors, pivots, sizes, radius, k, nprobe, tau=False))
-    plan = _plan(_counts(near), by_cell, block_rows, tasks)
-    found = _compare(near, placed, plan, k)
+    visits = _visit(vectors, pivots, sizes, radius, k, nprobe, ["key", "vec"])
+    near = visits.select("key", "vec", unbounded, F.explode("cells").alias("cell"))
+    plan, parts, slices = _plan(_counts(near), int(sizes.max()), block_rows, tasks)
+    found = _compare(_in_part(near, plan), _in_every_part(placed, plan), parts, slices, k)
     if nprobe:
         return found
-    found = durable(found)
-    reached = found.groupBy("qkey").agg(
-        F.when(F.count("*") >= k, F.min("sim")).otherwise(F.lit(-2.0)).alias("tau")
+    # k rows at least as similar as `tau` are known; a cell that cannot reach it holds no neighbour.
+    sims = F.transform("near", lambda x: F.struct(x["away"].alias("away"), F.size(x["items"]).alias("rows")))
+    reached = _merged(found.select("qkey", sims.alias("near")), k).select(
+        "qkey", _reached(k).alias("tau")
     )
     bounded = vectors.join(reached, vectors["key"] == reached["qkey"], "left").select(
-        "key", "vec", F.coalesce("tau", F.lit(-2.0)).alias("tau")
+        "key", "vec", F.coalesce("tau", F.lit(_LEAST)).alias("tau")
+    )
+    homed = durable(_assign(bounded, pivots))
+    plan, parts, slices = _plan(_counts(homed), n_ref, block_rows, tasks)
+    asked = _in_part(homed, plan)
+    # Queries of one part are neighbours: the part reads every cell that one of them visits.
+    wanted = _visit(asked, pivots, sizes, radius, k, None, ["part"])
+    pairs = small_or_same(wanted.select("part", F.explode("cells").alias("cell")).distinct())
+    met = placed.join(pairs, "cell").select("rid", "vec", "items", "part")
+    return _compare(asked, met, parts, slices, k)
+
+
+def _reached(k: int):
+    """The similarity that k rows of a list reach, or one below all if it holds fewer."""
+    rows = F.aggregate("near", F.lit(0), lambda n, x: n + x["rows"])
+    return F.when(rows >= k, F.nanvl(-F.element_at("near", -1)["away"], F.lit(_LEAST))).otherwise(
+        F.lit(_LEAST)
     )
-    far = _by_cell(_visit(bounded, pivots, sizes, radius, k, nprobe, tau=True))
-    loads = _counts(far)
-    if not loads:
-        return found
-    rest = _compare(far, placed, _plan(loads, by_cell, block_rows, tasks), k)
-    return _best(found.unionByName(rest), k)
 
 
 def knn(
@@ -379,12 +503,13 @@ def knn(
         keyed.groupBy("key").agg(F.any_value("vec").alias("vec"))
     )
     found = _search(queries, refs, keep, cells, nprobe, pivots, block_rows)
-    # Neighbours by distinct vector become neighbours by row: at most keep*keep per query.
-    items = found.select("qkey", "sim", F.explode("items").alias("item"))
-    order = W.partitionBy("qkey").orderBy(F.desc("sim"), "item.id")
-    ranked = items.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep)
-    lists = ranked.groupBy("qkey").agg(
-        F.sort_array(F.collect_list(F.struct("rank", "sim", "item"))).alias("near")
+    # Neighbours by distinct vector become neighbours by row: what a list holds beyond `keep` rows
+    # is a last vector's copies or tied with it.
+    rows = F.flatten(F.transform("near", lambda n: F.transform(
+        n["items"], lambda x: F.struct(n["away"].alias("away"), x.alias("item"))
+    )))
+    lists = _merged(found, keep).select(
+        "qkey", F.slice(F.sort_array(rows), 1, keep).alias("near")
     )
     # One row per distinct query vector meets its copies; a hot key is split by the skew join.
     rows = keyed.select("qid", "key").join(lists, keyed["key"] == lists["qkey"])
@@ -396,7 +521,7 @@ def knn(
         "qid",
         F.col("hit.item.id").alias("rid"),
         *[F.col(f"hit.item.{c}").alias(c) for c in carry],
-        F.col("hit.sim").alias("sim"),
+        (-F.col("hit.away")).alias("sim"),
         (F.col("pos") + 1).alias("rank"),
     )
 

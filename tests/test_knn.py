@@ -1,6 +1,7 @@
 """Neighbour search against brute force: cells, blocks, copies, ties and edges."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -144,3 +145,65 @@ def test_risk_score(spark):
         w = [1 / (x + 1e-6) for x in d]
         want = sum(a * (r % 2) for a, r in zip(w, ids)) / sum(w)
         assert abs(got[q] - want) < 1e-4
+
+
+def rows_from_python(df):
+    """Rows that Python workers hand back in the plan of a collected table."""
+    seen, todo = 0, [df._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        if node.nodeName() == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif "QueryStage" in node.getClass().getSimpleName():
+            todo.append(node.plan())
+        else:
+            children = node.children()
+            todo += [children.apply(i) for i in range(children.size())]
+        held = node.metrics().get("pythonNumRowsReceived")
+        seen += held.get().value() if held.isDefined() else 0
+    return seen
+
+
+def test_a_comparison_returns_a_list_per_query(spark):
+    """However many references there are: not k rows for every block of them."""
+    rows = clustered(400)
+    df = frame(spark, rows)
+    near = knn.knn(df, df, 7, block_rows=16)
+    assert found(near) == brute(rows, rows, 7)
+    near.collect()
+    assert 0 < rows_from_python(near) <= 400
+
+
+@pytest.mark.parametrize("held_bytes", [knn._Part.held_bytes, 1])
+def test_part_meets_its_references_as_a_stream(monkeypatch, held_bytes):
+    """Small batches, two parts, ties, copies; what no query holds is forgotten on the way."""
+    monkeypatch.setattr(knn._Part, "held_bytes", held_bytes)
+    rng = np.random.default_rng(7)
+    vecs = [[float(x) for x in rng.integers(-1, 2, 3)] for _ in range(60)]
+    copies = [int(c) for c in rng.integers(1, 4, 60)]
+    items = [[{"id": 10 * i + c} for c in range(n)] for i, n in enumerate(copies)]
+    batches = []
+    for part in (0, 3):
+        names = {"part": [part] * 60, "key": [str(i) for i in range(60)], "vec": vecs}
+        batches.append({**names, "side": [0] * 60, "tau": [-2.0] * 60, "items": [None] * 60})
+        batches += [
+            {"part": [part] * 7, "key": [None] * 7, "vec": vecs[s : s + 7], "side": [1] * 7,
+             "tau": [None] * 7, "items": items[s : s + 7]}
+            for s in range(part, 56, 7)
+        ]
+    schema = pa.schema([
+        ("part", pa.int32()), ("side", pa.int32()), ("key", pa.string()),
+        ("vec", pa.list_(pa.float64())), ("tau", pa.float64()),
+        ("items", pa.list_(pa.struct([("id", pa.int64())]))),
+    ])
+    made = [pa.RecordBatch.from_pydict(b, schema=schema) for b in batches]
+    lists = [r for b in knn._best_of_parts(5)(made) for r in b.to_pylist()]
+    assert len(lists) == 120
+    unit = [np.array(v) / (np.linalg.norm(v) or 1.0) for v in vecs]
+    for number, got in enumerate(lists):
+        refs = range(0, 56) if number < 60 else range(3, 59)
+        sims = {i: round(float(unit[int(got["qkey"])] @ unit[i]), 9) for i in refs}
+        want = sorted((-sims[i], x["id"]) for i in refs for x in items[i])[:5]
+        rows = sorted((round(n["away"], 9), x["id"]) for n in got["near"] for x in n["items"])
+        assert [x + 0.0 for x, _ in rows[:5]] == [x + 0.0 for x, _ in want]
+        assert len(got["near"]) <= 5
