@@ -87,7 +87,8 @@ class Encoder:
         cut = []
         for text in texts:
             # Lower case is part of the vocabulary's own rule; here it saves memory.
-            low = text if "<|" in text or _ODD.search(text) else text.lower()
+            plain = "<|" not in text and (text.isascii() or not _ODD.search(text))
+            low = text.lower() if plain else text
             cut.append(low.replace("\n", " ").split(" "))
         result: list[bytes] = [b""] * len(texts)
         late, missing = [], set()

@@ -111,3 +111,20 @@ def test_query(spark, small, library):
     rows = queries.QUERIES["op7_packing"](spark, small).collect()
     n = _check(rows, texts, library)
     assert n <= -(-sum(r["length"] for r in rows) // 2048) * 1.02 + 1
+
+
+def test_plain_texts_are_not_searched_for_odd_characters(library, monkeypatch):
+    """ASCII texts need no search; others are searched as before, and the ids are the library's."""
+    searched = []
+
+    class Odd:
+        def search(self, text, odd=packing._ODD):
+            searched.append(text)
+            return odd.search(text)
+
+    monkeypatch.setattr(packing, "_ODD", Odd())
+    texts = ["Plain TEXT\nand \t\x01 more", "", "İstanbul Ünder", "日本 A"]
+    made = packing.Encoder(PATH)(texts)
+    for text, ids in zip(texts, made, strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == library.encode(text, add_special_tokens=False).ids
+    assert searched == texts[2:]
