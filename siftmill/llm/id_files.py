@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from siftmill.llm import simple8b
 from siftmill.llm.common import slices_by_size, stored, table_of, whole_texts
-from siftmill.llm.token_count import _FAST, _ODD
+from siftmill.llm.token_count import _ODD
 from siftmill.operators.ranking import sums_before
 from siftmill.session import scratch, shuffle_width
 
@@ -47,6 +47,12 @@ REMEMBERED = 1_400_000
 _ALONE = 500
 # Latin-1 characters that the quick cut knows.
 _USUAL = bytes(b for b in range(256) if not _ODD.match(chr(b)))
+# Kinds of the bytes of texts without odd characters, whose bytes above 127 all belong to letters.
+_MARK, _WHITE, _LETTER, _DIGIT, _OTHER = range(5)
+_KINDS = bytes(
+    _MARK if c == "\0" else _WHITE if c.isspace() else _LETTER if c.isalpha() else _DIGIT if c.isdigit() else _OTHER
+    for c in map(chr, range(128))
+) + bytes([_LETTER]) * 128
 _MAGIC = b"IDS8B\x00\x00\x01"
 _HEAD = "<8sII6Q"
 _FILES = pa.schema([
@@ -58,13 +64,39 @@ _DIGESTS = pa.schema([
 ])
 
 
+def _starts(raw: bytes) -> np.ndarray:
+    """Where the pre-tokens of texts without odd characters begin; each text ends with a zero byte,
+    which is one of its own."""
+    data = np.frombuffer(raw, np.uint8)
+    kind = np.frombuffer(raw.translate(_KINDS), np.uint8)
+    start = kind == _MARK
+    start[0] = True
+    start[1:] |= kind[1:] != kind[:-1]
+    # The last of the white characters before a word stands alone; as a blank, it leads the word.
+    led = (kind[:-1] == _WHITE) & (kind[1:] > _WHITE)
+    start[:-1] |= led
+    start[1:] &= ~(led & (data[:-1] == 32))
+    # Short forms: an apostrophe that begins a pre-token takes the letters behind it.
+    at = np.flatnonzero(start & (data == 39))
+    first, second = data[at + 1], data[np.minimum(at + 2, len(data) - 1)]
+    for letters, n in (("s", 1), ("t", 1), ("m", 1), ("d", 1), ("re", 2), ("ve", 2), ("ll", 2)):
+        here = first == ord(letters[0])
+        if n > 1:
+            here &= second == ord(letters[1])
+        start[at[here] + 1] = False
+        start[at[here] + 1 + n] = True
+    return np.flatnonzero(start)
+
+
 class Encoder:
     """Ids of whole texts by the tokenizers library with a byte-level vocabulary.
 
-    Pre-tokens do not influence one another, so each distinct one goes through the library once, many
-    in one text: those of one blank and what follows it stand behind one another, as a token with a
-    leading blank begins each of them, others have an added token in between. Texts with added
-    tokens, or with characters whose classes depend on the Unicode version, go through it as they are.
+    The texts of a call are cut into pre-tokens and these are numbered as arrays, so that only their
+    distinct ones are looked up; the ids of all places are taken by number. Pre-tokens do not
+    influence one another, so each distinct one goes through the library once, many in one text:
+    those of one blank and what follows it stand behind one another, as a token with a leading blank
+    begins each of them, others have an added token in between. Texts with added tokens, or with
+    characters whose classes depend on the Unicode version, go through it as they are.
     """
 
     def __init__(self, path: str):
@@ -81,14 +113,16 @@ class Encoder:
         blank = self.library.id_to_token(self.library.encode(" ", add_special_tokens=False).ids[0])
         self.begins = np.zeros(max(vocabulary.values()) + 1, bool)
         self.begins[[i for token, i in vocabulary.items() if token.startswith(blank)]] = True
-        self.known: dict[str, bytes] = {}
+        self.known: dict[bytes, bytes] = {}
 
-    def _learn(self, pieces: list[str]) -> None:
-        led = [p for p in pieces if p[0] == " " and len(p) > 1 and not p[1].isspace()]
-        others = [p for p in pieces if p[0] != " " or len(p) < 2 or p[1].isspace()]
-        for some, between in ((led, ""), (others, self.mark)):
+    def _learn(self, pieces: list[bytes]) -> None:
+        led, others = [], []
+        for p in pieces:
+            (led if p[0] == 32 and len(p) > 1 and not p[1:2].isspace() else others).append(p)
+        for some, between in ((led, b""), (others, self.mark.encode())):
             groups = [some[i:i + _ALONE] for i in range(0, len(some), _ALONE)]
-            for group, made in zip(groups, self._library([between.join(g) for g in groups]), strict=True):
+            lines = [between.join(g).decode() for g in groups]
+            for group, made in zip(groups, self._library(lines), strict=True):
                 raw = made.tobytes()
                 if between:
                     ends = np.append(np.flatnonzero(made == self.mark_id), len(made)) * 4
@@ -111,29 +145,41 @@ class Encoder:
             odd = _ODD.search(text)
         return bool(odd or self.added.search(text))
 
+    def _plain(self, texts: list[str]) -> list[bytes]:
+        """The ids of texts that the quick cut knows."""
+        raw = "".join([t + "\0" for t in texts]).encode()
+        starts = _starts(raw)
+        offsets = np.append(starts, len(raw))
+        pieces = pa.Array.from_buffers(
+            pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(raw)]
+        ).dictionary_encode()
+        distinct = pieces.dictionary.to_pylist()
+        # The mark behind each text has no ids.
+        self.known[b"\0"] = b""
+        found = list(map(self.known.get, distinct))
+        late = [i for i, ids in enumerate(found) if ids is None]
+        self._learn([distinct[i] for i in late])
+        for i in late:
+            found[i] = self.known[distinct[i]]
+        sizes = np.fromiter(map(len, found), np.int64, len(found)) // 4
+        number = pieces.indices.to_numpy()
+        held = sizes[number]
+        ends = np.cumsum(held)
+        # From each place of the result to the same id among those of the distinct pre-tokens.
+        place = np.repeat((np.cumsum(sizes) - sizes)[number] - (ends - held), held)
+        place += np.arange(len(place))
+        ids = np.frombuffer(b"".join(found), "<u4")[place].tobytes()
+        last = ends[np.frombuffer(raw, np.uint8)[starts] == 0] * 4
+        return [ids[i:j] for i, j in zip([0, *last[:-1].tolist()], last.tolist(), strict=True)]
+
     def __call__(self, texts: list[str]) -> list[bytes]:
         if len(self.known) > REMEMBERED:
             self.known.clear()
-        get = self.known.get
-        result: list[bytes] = [b""] * len(texts)
-        late, missing, odd = [], set(), []
-        for i, text in enumerate(texts):
-            if self._whole(text):
-                odd.append(i)
-                continue
-            pieces = _FAST.findall(text)
-            found = list(map(get, pieces))
-            if None in found:
-                missing.update([p for p, ids in zip(pieces, found, strict=True) if ids is None])
-                late.append((i, pieces))
-            else:
-                result[i] = b"".join(found)
-        self._learn(list(missing))
-        for i, pieces in late:
-            result[i] = b"".join(map(get, pieces))
-        for i, ids in zip(odd, self._library([texts[i] for i in odd]), strict=True):
-            result[i] = ids.tobytes()
-        return result
+        whole = [self._whole(t) for t in texts]
+        odd = iter(self._library([t for t, w in zip(texts, whole, strict=True) if w]))
+        plain = [t for t, w in zip(texts, whole, strict=True) if not w]
+        made = iter(self._plain(plain) if plain else [])
+        return [next(odd).tobytes() if w else next(made) for w in whole]
 
 
 @cache

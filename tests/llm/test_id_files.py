@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from texts import TEXTS
 
 from siftmill.llm import id_files, queries, simple8b
+from siftmill.llm.token_count import _FAST, _ODD
 
 
 @settings(max_examples=150, deadline=None)
@@ -78,6 +79,44 @@ def test_encoder_is_the_library():
     assert encode(texts) == want and encode(texts) == want
 
 
+_PARTS = ["'", "'s", "'re", "'ll", "'v", "'d", " ", "  ", "\t", "\n", "a", "sé", "é", "ɏ", "ll", "7", "12", "!", "-'",
+          "", "Das", "e", "m"]
+
+
+@settings(max_examples=500, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(_PARTS), max_size=12).map("".join), min_size=1, max_size=5))
+def test_cut_is_that_of_the_pattern(texts):
+    assert not any(map(_ODD.search, texts))
+    raw = "".join(t + "\0" for t in texts).encode()
+    starts = [*id_files._starts(raw).tolist(), len(raw)]
+    got = [raw[i:j].decode() for i, j in zip(starts, starts[1:])]
+    assert got == [p for t in texts for p in [*_FAST.findall(t), "\0"]]
+    encoder = id_files.encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    made = encoder.library.encode_batch(texts, add_special_tokens=False)
+    assert encoder(texts) == [np.array(e.ids, "<u4").tobytes() for e in made]
+
+
+class _Counting(dict):
+    asked = 0
+
+    def get(self, *key):
+        self.asked += 1
+        return super().get(*key)
+
+    def __getitem__(self, key):
+        self.asked += 1
+        return super().__getitem__(key)
+
+
+def test_only_distinct_pre_tokens_are_looked_up():
+    encoder = id_files.Encoder(public_tokenizers.path("byte_bpe_50k.json"))
+    encoder.known = _Counting()
+    texts = ["the same few words, again and again. " * 2_000] * 3 + ["other <|endoftext|> words ☃", ""]
+    want = [np.array(e.ids, "<u4").tobytes() for e in _library().encode_batch(texts, add_special_tokens=False)]
+    assert encoder(texts) == want
+    assert encoder.known.asked < 100
+
+
 def _want(rows):
     """Digests of (doc_id, text) rows in order, by the library alone."""
     library, start, made = _library(), 0, []
